@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from kvloom.llm import bpe, line_dedup, mixing, sstable
+from kvloom.llm import bpe, jaccard_join, language, line_dedup, mixing, sstable, toxicity
 
 QUERIES = {
     "op2_sstable_output": sstable.op2,
     "op4_bpe": bpe.op4,
     "op5_mixing": mixing.op5,
+    "op6_language_id": language.op6,
+    "op7_toxicity": toxicity.op7,
+    "op8_jaccard_join": jaccard_join.op8,
     "op10_line_dedup": line_dedup.op10,
 }
-SQL = {"op5_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
+SQL = {"op8_jaccard_join": jaccard_join.SQL, "op5_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
