@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from kvloom.llm import bpe, jaccard_join, language, line_dedup, mixing, sstable, toxicity
+from kvloom.llm import bpe, jaccard_join, language, line_dedup, mixing, mtree, quantized_search, sstable, toxicity
 
 QUERIES = {
+    "op1_mtree_topk": mtree.op1,
     "op2_sstable_output": sstable.op2,
+    "op3_quantized_ann": quantized_search.op3,
     "op4_bpe": bpe.op4,
     "op5_mixing": mixing.op5,
     "op6_language_id": language.op6,
@@ -13,4 +15,4 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8,
     "op10_line_dedup": line_dedup.op10,
 }
-SQL = {"op8_jaccard_join": jaccard_join.SQL, "op5_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
+SQL = {"op1_mtree_topk": mtree.SQL, "op8_jaccard_join": jaccard_join.SQL, "op5_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
