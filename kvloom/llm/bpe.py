@@ -17,6 +17,7 @@ import json
 import os
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -211,8 +212,6 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         bpe = loaded(SegmentTreeBpe, path)
-        import numpy as np
-
         ids, texts = [], []
         for text in b.column(1).to_pylist():
             raw, decoded = bpe.encode_both(text or "")
@@ -223,6 +222,21 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     return spread(docs.select(id_col, text_col)).mapInArrow(each_batch(batch), schema)
 
 
+def encode_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids array<int>) for each row, in the order of the rows; cases as in encode_documents."""
+    path = path or default_vocabulary()
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        bpe = loaded(SegmentTreeBpe, path)
+        raw = [bpe.encode_both(text.as_py() or "")[0] for text in b.column(1)]
+        sizes = np.array([0] + [len(r) // 4 for r in raw])
+        ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes[1:], pa.int64()), ids], names=schema.names)
+
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(each_batch(batch), schema)
+
+
 def digest_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): as encode_documents, with digests made in the worker, so ids and texts never travel."""
     path = path or default_vocabulary()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kvloom.llm import bpe, jaccard_join, language, line_dedup, mixing, mtree, quantized_search, sstable, toxicity
+from kvloom.llm import bpe, jaccard_join, language, line_dedup, mixing, mtree, quantized_search, repeats, sstable, toxicity
 
 QUERIES = {
     "op1_mtree_topk": mtree.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_language_id": language.op6,
     "op7_toxicity": toxicity.op7,
     "op8_jaccard_join": jaccard_join.op8,
+    "op9_repeat_removal": repeats.op9,
     "op10_line_dedup": line_dedup.op10,
 }
 SQL = {"op1_mtree_topk": mtree.SQL, "op8_jaccard_join": jaccard_join.SQL, "op5_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}

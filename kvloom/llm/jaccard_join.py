@@ -169,7 +169,7 @@ def _shared(blobs: DataFrame) -> DataFrame:
         order = np.argsort(rows, kind="stable")
         token, rows, each = token[order], rows[order], each[order]
         cut = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else np.zeros(0, int)
-        ends = np.append(cut[1:], len(rows))
+        ends = np.append(cut[1:], len(rows))[: len(cut)]
         packed, counts = _pack(token), each.astype("<u2").tobytes()
         return pa.table({
             "class": pa.array(sets[rows[cut]], pa.int64()),
