@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kvloom.llm.common import hash_pair, lower_ascii, shuffle_partitions, table, trim_space
+from kvloom.llm.common import hash_pair, lower_ascii, materialize, shuffle_partitions, table, trim_space
 
 #: Ids in one block of a hash's stream.
 BLOCK = 4096
@@ -55,8 +55,9 @@ def keep_bitmaps(
     document all copies stay.
     """
     n = shuffle_partitions(docs.sparkSession)
+    # Hashes only, no text: range sampling and both uses of the stream then read this table and not the corpus again.
     stream = (
-        _lines(docs, id_col, text_col, min_chars)
+        materialize(_lines(docs, id_col, text_col, min_chars), "lines")
         .repartitionByRange(n, "h1", "h2", "block")
         .sortWithinPartitions("h1", "h2", "block", F.desc("doc"), "pos")
     )
