@@ -58,6 +58,9 @@ STREAM_TYPES = (15, 19, 21)
 # Codes of state enums; unknown codes read as the default, the first (fixed values).
 PHASES = ("Started", "FullInit", "FullSyncing", "FullSynced", "IncrSyncing", "IncrSynced")
 
+STATES = ("ReadyRun", "Run", "Pause", "Stop")
+ROLES = ("Leader", "Follower")
+
 # Metric names (fixed values).
 METRICS = ("sync_delay_seconds", "rdb_replay_progress", "aof_commands_total", "filtered_commands_total", "sync_errors_total")
 

@@ -59,11 +59,18 @@ def string_code(data: Column) -> Column:
     return F.concat(length_code(F.octet_length(b).cast("long")), b)
 
 
+def code_name(code: Column, names: tuple[str, ...]) -> Column:
+    """Name of an enum code; unknown codes are the default, the first."""
+    return F.coalesce(F.get(F.array(*[F.lit(x) for x in names]), code.cast("int")), F.lit(names[0]))
+
+
+def name_code(name: Column, names: tuple[str, ...]) -> Column:
+    return F.greatest(F.array_position(F.array(*[F.lit(x) for x in names]), name).cast("int") - 1, F.lit(0))
+
+
 def phase_name(code: Column) -> Column:
-    """Sync phase of a code; unknown codes are the first phase."""
-    names = F.array(*[F.lit(x) for x in PHASES])
-    return F.coalesce(F.get(names, code.cast("int")), F.lit(PHASES[0]))
+    return code_name(code, PHASES)
 
 
 def phase_code(name: Column) -> Column:
-    return F.greatest(F.array_position(F.array(*[F.lit(x) for x in PHASES]), name).cast("int") - 1, F.lit(0))
+    return name_code(name, PHASES)

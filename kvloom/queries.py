@@ -360,10 +360,14 @@ def reserved_keys(v):
     return _keys(v).agg(F.first(A.is_reserved(lit(A.reserved_key("checkpoint")))).alias("checkpoint_reserved"), F.count_if(A.is_reserved(c("key"))).alias("n_reserved"), F.count("*").alias("n"))
 
 
-@query("SELECT b AS code, CASE WHEN b BETWEEN 0 AND 5 THEN ['Started', 'FullInit', 'FullSyncing', 'FullSynced', 'IncrSyncing', 'IncrSynced'][b + 1] ELSE 'Started' END AS phase, CASE WHEN b BETWEEN 0 AND 5 THEN b ELSE 0 END AS back FROM (SELECT unnest(range(0, 256)) AS b)")
+@query("""SELECT b AS code, CASE WHEN b <= 5 THEN ['Started', 'FullInit', 'FullSyncing', 'FullSynced', 'IncrSyncing', 'IncrSynced'][b + 1] ELSE 'Started' END AS phase,
+  CASE WHEN b <= 5 THEN b ELSE 0 END AS back, CASE WHEN b <= 3 THEN ['ReadyRun', 'Run', 'Pause', 'Stop'][b + 1] ELSE 'ReadyRun' END AS state,
+  CASE WHEN b = 1 THEN 'Follower' ELSE 'Leader' END AS role FROM (SELECT unnest(range(0, 256)) AS b)""")
 def enum_codecs(v):
     name = T.phase_name(c("code"))
-    return v.spark.range(0, 256).select(c("id").alias("code")).select("code", name.alias("phase"), T.phase_code(name).cast("long").alias("back"))
+    return v.spark.range(0, 256).select(c("id").alias("code")).select(
+        "code", name.alias("phase"), T.phase_code(name).cast("long").alias("back"), T.code_name(c("code"), C.STATES).alias("state"), T.code_name(c("code"), C.ROLES).alias("role")
+    )
 
 
 @query("SELECT c_custkey, md5(c_name) AS replid FROM customer")

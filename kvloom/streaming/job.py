@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvloom.functions.constants import PHASES, STORE_SIZE
+from kvloom.functions.constants import PHASES, STATES, STORE_SIZE
 from kvloom.operators import replay, segments
 from kvloom.operators.rules import RuleSet
 from kvloom.sources import rdb, resp
 
-STATES = ("ReadyRun", "Run", "Pause", "Stop")
-
 
 class SyncJob:
     """Applies base's snapshots, then its logs as they grow, to a keyspace table.
