@@ -39,7 +39,9 @@ from kvloom.llm.common import materialize, shuffle_partitions, table
 WINDOW, ANCHOR, STEP = 100, 24, 25
 SPAN = WINDOW - ANCHOR + 1  # anchors' places in a window
 #: Bytes hashed at a time; items packed at a time.
-PIECE, SHARD_ITEMS = 1 << 21, 600_000
+PIECE, SHARD_ITEMS = 1 << 19, 300_000
+#: Bytes merged at a time; a range is merged in parts by further bits of the anchors.
+MERGE = 1 << 20
 U = np.uint64
 BASE, M2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
@@ -137,12 +139,12 @@ def _from_six(raw: bytes) -> np.ndarray:
 
 
 def _part(anchor: np.ndarray, parts: int) -> np.ndarray:
-    return ((anchor >> U(48)) * U(parts) >> U(16)).astype(np.int64)
+    return ((anchor >> U(32)) * U(parts) >> U(32)).astype(np.int64)
 
 
 ITEM = np.dtype([("doc", "<i8"), ("start", "<i8"), ("windows", "<i4"), ("twice", "?")])
 SPANS = np.dtype([("start", "<i8"), ("windows", "<i4")])
-OPEN = np.dtype([("start", "<i8"), ("windows", "<i4"), ("part", "<i4")])
+OPEN = np.dtype([("start", "<i8"), ("windows", "<i4"), ("part", "<i4"), ("sub", "<i4")])
 
 
 def _pack_shards(docs: DataFrame, parts: int) -> DataFrame:
@@ -240,6 +242,7 @@ def _settle(shards: DataFrame) -> DataFrame:
         spans, opened = np.zeros(len(lost), SPANS), np.zeros(len(stay), OPEN)
         spans["start"], spans["windows"] = lost["start"], lost["windows"]
         opened["start"], opened["windows"], opened["part"] = stay["start"], stay["windows"], part
+        opened["sub"] = (anchor[new & (several | item["twice"])] & U(0xFFFF)).astype(np.int32)
         return pa.concat_tables([_by_doc(lost["doc"], spans, False), _by_doc(stay["doc"], opened, True)])
 
     return shards.groupBy("part").applyInArrow(run, "doc long, open boolean, found binary")
@@ -297,9 +300,16 @@ def merge_shards(shards: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarra
     return place[same], first[same]
 
 
+def _strings(x: np.ndarray, length: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The bytes of some of the strings that are joined in x, in the order of which."""
+    size = length[which]
+    shift = (np.cumsum(length) - length)[which] - (np.cumsum(size) - size)
+    return x[np.repeat(shift, size) + np.arange(size.sum())]
+
+
 def _open_bytes(docs: DataFrame, opened: DataFrame) -> DataFrame:
-    """(part, docs, starts, lengths, data): bytes of open items by hash range; each row is a shard of the range."""
-    schema = "part int, docs binary, starts binary, lengths binary, data binary"
+    """(part, docs, starts, subs, lengths, data): bytes of open items by hash range; each row is a shard of the range."""
+    schema = "part int, docs binary, starts binary, subs binary, lengths binary, data binary"
 
     def run(batches):
         held: dict[int, list] = {}
@@ -307,24 +317,24 @@ def _open_bytes(docs: DataFrame, opened: DataFrame) -> DataFrame:
 
         def emit():
             nonlocal held, size
-            cols: list[list] = [[] for _ in range(5)]
+            cols: list[list] = [[] for _ in range(6)]
             press = zstandard.ZstdCompressor(level=3)
             for part, own in held.items():
-                doc, start, data = zip(*own, strict=True)
-                values = (part, np.array(doc, "<i8").tobytes(), np.array(start, "<i8").tobytes(), np.array([len(d) for d in data], "<i4").tobytes(), press.compress(b"".join(data)))
+                doc, start, sub, data = zip(*own, strict=True)
+                values = (part, np.array(doc, "<i8").tobytes(), np.array(start, "<i8").tobytes(), np.array(sub, "<i4").tobytes(), np.array([len(d) for d in data], "<i4").tobytes(), press.compress(b"".join(data)))
                 for c, v in zip(cols, values, strict=True):
                     c.append(v)
             held, size = {}, 0
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "docs", "starts", "lengths", "data"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "docs", "starts", "subs", "lengths", "data"])
 
         for b in batches:
             for doc, raw, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 text = _raw(raw.as_py())
-                for start, windows, part in np.frombuffer(b"".join(found), OPEN).tolist():
+                for start, windows, part, sub in np.frombuffer(b"".join(found), OPEN).tolist():
                     data = text[start : start + windows + WINDOW - 1]
-                    held.setdefault(part, []).append((doc, start, data))
+                    held.setdefault(part, []).append((doc, start, sub, data))
                     size += len(data) + 100
-                if size >= 1 << 26:
+                if size >= 1 << 25:
                     yield emit()
         if held:
             yield emit()
@@ -336,26 +346,31 @@ def _open_bytes(docs: DataFrame, opened: DataFrame) -> DataFrame:
 
 def _merge_ranges(shards: DataFrame) -> DataFrame:
     """(doc, open, found): windows of open items that an earlier window repeats (SPANS)."""
-    def run(t: pa.Table) -> pa.Table:
-        join = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-        doc, start, length = join("docs", "<i8"), join("starts", "<i8"), join("lengths", "<i4").astype(np.int64)
-        x = np.frombuffer(b"".join([_raw(d) for d in t.column("data").to_pylist()]), np.uint8)
+    def merge(x: np.ndarray, doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # Document order, so that the first of an interval is the first occurrence.
         order = np.lexsort((start, doc))
-        at = np.cumsum(length) - length
-        gather = np.repeat(at[order] - (np.cumsum(length[order]) - length[order]), length[order]) + np.arange(len(x))
-        x, doc, start, length = x[gather], doc[order], start[order], length[order]
-        place, _ = merge_shards([(x, length)])
-        place = np.sort(place)
+        x, doc, start, length = _strings(x, length, order), doc[order], start[order], length[order]
+        place = np.sort(merge_shards([(x, length)])[0])
         string = np.repeat(np.arange(len(length)), length)[place]
         begin = np.cumsum(length) - length
-        new = np.append(True, (np.diff(place) != 1) | (string[1:] != string[:-1]))[: len(place)]
-        cut = np.flatnonzero(new)
+        cut = np.flatnonzero(np.append(True, (np.diff(place) != 1) | (string[1:] != string[:-1]))[: len(place)])
         spans = np.zeros(len(cut), SPANS)
         s = string[cut]
         spans["start"] = start[s] + place[cut] - begin[s]
         spans["windows"] = np.diff(np.append(cut, len(place)))
-        return _by_doc(doc[s], spans, False)
+        return doc[s], spans
+
+    def run(t: pa.Table) -> pa.Table:
+        join = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
+        doc, start, sub, length = join("docs", "<i8"), join("starts", "<i8"), join("subs", "<i4"), join("lengths", "<i4").astype(np.int64)
+        x = np.frombuffer(b"".join([_raw(d.as_py()) for d in t.column("data")]), np.uint8)
+        times = -(-len(x) // MERGE)
+        found = []
+        for i in range(times):
+            own = np.flatnonzero(sub % times == i)
+            if len(own):
+                found.append(merge(_strings(x, length, own), doc[own], start[own], length[own]))
+        return _by_doc(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), False)
 
     return shards.groupBy("part").applyInArrow(run, "doc long, open boolean, found binary")
 
@@ -391,7 +406,7 @@ def repeated_spans(found: list[bytes], size: int) -> np.ndarray:
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, found): packed removed windows of each document that has some."""
-    parts = shuffle_partitions(docs.sparkSession)
+    parts = 2 * shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("t"))
     rows = rows.filter(F.col("doc").isNotNull() & (F.octet_length("t") >= WINDOW))
     settled = materialize(_settle(_pack_shards(rows, parts)), "repeats-settled")
