@@ -41,7 +41,9 @@ SPAN = WINDOW - ANCHOR + 1  # anchors' places in a window
 #: Bytes hashed at a time; items packed at a time.
 PIECE, SHARD_ITEMS = 1 << 19, 300_000
 #: Bytes merged at a time; a range is merged in parts by further bits of the anchors.
-MERGE = 1 << 20
+MERGE = 1 << 21
+#: Windows merged at a time.
+MERGE_WINDOWS = 300_000
 U = np.uint64
 BASE, M2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
@@ -248,56 +250,66 @@ def _settle(shards: DataFrame) -> DataFrame:
     return shards.groupBy("part").applyInArrow(run, "doc long, open boolean, found binary")
 
 
+def _symbols(x: np.ndarray) -> np.ndarray:
+    """Hash of the STEP bytes at each place, made piece by piece: the sums behind it take several times the space."""
+    out = np.zeros(max(0, len(x) - STEP + 1), U)
+    for at in range(0, len(out), PIECE):
+        out[at : at + PIECE] = Hashes(x[at : at + PIECE + STEP - 1]).fixed(STEP)
+    return out
+
+
+def _refine(symbols: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(interleave, block): windows in order of their WINDOW bytes, without those alone in their block; a block's windows are equal and in document order."""
+    # The interleave before the first step: suffixes of the windows, shard after shard.
+    order, block = windows + (WINDOW - STEP), np.zeros(len(windows), np.int64)
+    for step in range(WINDOW // STEP):
+        if step:
+            order = order - STEP
+        s = np.unique(symbols[order], return_inverse=True)[1]
+        # Stable counting sort by the symbol, 16 bits at a time.
+        by = np.argsort((s & 0xFFFF).astype(np.uint16), kind="stable")
+        by = by[np.argsort((s[by] >> 16).astype(np.uint16), kind="stable")]
+        order, s, block = order[by], s[by], block[by]
+        if not len(order):
+            break
+        # Suffixes that agree in all symbols so far: same symbol here, same block before. Lone ones stay alone.
+        block = np.cumsum(np.append(False, (s[1:] != s[:-1]) | (block[1:] != block[:-1])))
+        many = np.bincount(block)[block] > 1
+        order, block = order[many], block[many]
+    return order, block
+
+
 def merge_shards(shards: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Repeated intervals of the merged shards.
 
     shards: (bytes, lengths of the strings in them), in document order. Gives
     (place, first): places in the joined bytes of all windows that an earlier
-    place repeats, and the first place of each's interval.
+    place repeats, and the first place of each's interval. Windows are merged in
+    parts by their first symbol, so a hot passage takes no more memory at a time.
     """
     x = np.concatenate([s[0] for s in shards])
     length = np.concatenate([s[1] for s in shards])
-    ends = np.cumsum(length)
-    end = np.repeat(ends, length)
-    begin = np.repeat(ends - length, length)
-    symbols = Hashes(x).fixed(STEP)
-    # The interleave before the first step: all suffixes that can precede WINDOW bytes, shard after shard.
-    order = np.arange(len(symbols))
-    order = order[order + STEP <= end[order]]
-    symbol = np.zeros(len(symbols), np.int64)
-    symbol[order] = np.unique(symbols[order], return_inverse=True)[1]
-    block = np.zeros(len(order), np.int64)
-    for step in range(WINDOW // STEP):
-        if step:
-            has = order - STEP >= begin[order]
-            order, block = order[has] - STEP, block[has]
-        s = symbol[order]
-        # Stable counting sort by symbol, 16 bits at a time.
-        by = np.argsort((s & 0xFFFF).astype(np.uint16), kind="stable")
-        by = by[np.argsort((s[by] >> 16).astype(np.uint16), kind="stable")]
-        order, s, block = order[by], s[by], block[by]
-        if len(order):
-            # Suffixes that agree in h symbols: same symbol here, same block before.
-            block = np.cumsum(np.append(False, (s[1:] != s[:-1]) | (block[1:] != block[:-1])))
-            if not step % 2:
-                # Suffixes alone in their block stay so: leave them out.
-                count = np.bincount(block)
-                many = count[block] > 1
-                order, block = order[many], block[many]
-    if not len(order):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    start = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-    first = np.repeat(order[start], np.diff(np.append(start, len(order))))
-    later = order != first
-    place, first = order[later], first[later]
-    same = np.ones(len(place), bool)
-    for at in range(0, len(place), 1 << 18):
-        s = slice(at, at + (1 << 18))
-        wide = np.arange(WINDOW)
-        for a in range(at, min(at + (1 << 18), len(place)), 1 << 14):
-            z = slice(a, min(a + (1 << 14), at + (1 << 18)))
-            same[z] = (x[place[z, None] + wide] == x[first[z, None] + wide]).all(axis=1)
-    return place[same], first[same]
+    count = np.maximum(length - WINDOW + 1, 0)
+    windows = np.repeat(np.cumsum(length) - length - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    symbols = _symbols(x)
+    times = max(1, -(-len(windows) // MERGE_WINDOWS))
+    part = (symbols[windows] >> U(20)) % U(times)
+    places, firsts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    wide = np.arange(WINDOW)
+    for i in range(times):
+        order, block = _refine(symbols, windows[part == i])
+        if not len(order):
+            continue
+        start = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        first = np.repeat(order[start], np.diff(np.append(start, len(order))))
+        later = order != first
+        place, first = order[later], first[later]
+        for at in range(0, len(place), 1 << 14):
+            z = slice(at, at + (1 << 14))
+            same = (x[place[z, None] + wide] == x[first[z, None] + wide]).all(axis=1)
+            places.append(place[z][same])
+            firsts.append(first[z][same])
+    return np.concatenate(places), np.concatenate(firsts)
 
 
 def _strings(x: np.ndarray, length: np.ndarray, which: np.ndarray) -> np.ndarray:

@@ -150,7 +150,7 @@ def test_repeats_in_pieces_and_parts(spark, monkeypatch):
     long = "".join(rnd.choices("abcdefgh \n", k=1500))
     rows = [(i, long[rnd.randrange(400) : rnd.randrange(600, 1500)] + "".join(rnd.choices("xyz", k=50))) for i in range(30)]
     got = brute_repeats(rows)
-    for name, value in (("PIECE", 256), ("SHARD_ITEMS", 40), ("MERGE", 2000)):
+    for name, value in (("PIECE", 256), ("SHARD_ITEMS", 40), ("MERGE", 2000), ("MERGE_WINDOWS", 500)):
         monkeypatch.setattr(repeats, name, value)
     data = {}
     for i, t in sorted(rows):
