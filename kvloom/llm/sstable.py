@@ -177,12 +177,26 @@ class Shard:
 
 
 class LibraryIds:
-    """Ids of the tokenizers library's model, each distinct chunk encoded once."""
+    """Ids of the tokenizers library's model, as little-endian u32; each distinct chunk is encoded once while it is remembered."""
 
     def __init__(self, path: str):
         self.words = Words(path)
-        self.word_memory = Memory(lambda w: b"".join([t.id.to_bytes(4, "little") for t in self.words.library.model.tokenize(w)]))
-        self.memory = Memory(lambda c: b"".join([w.to_bytes(4, "little") if isinstance(w, int) else self.word_memory[w] for w in self.words.split(c)]))
+        self.tokenize = self.words.library.model.tokenize
+        #: ASCII words and chunks have one memory: a lower-case word is its own chunk. Other words are in the vocabulary's alphabet.
+        self.memory = Memory(self._chunk, 300_000)
+        self.other = Memory(self._word, 100_000)
+
+    def _word(self, word: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(word)])
+
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha() and chunk.islower():
+            return self._word(chunk)
+        words = self.words.split(chunk)
+        if words == [chunk] and chunk.isascii():
+            return self._word(chunk)
+        ascii_chunk = chunk.isascii() and chunk.isprintable() and "<|" not in chunk
+        return b"".join([w.to_bytes(4, "little") if isinstance(w, int) else self.memory[w] if ascii_chunk and w != chunk else self.other[w] for w in words])
 
     def __call__(self, text: str) -> bytes:
         memory = self.memory
