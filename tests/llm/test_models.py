@@ -60,11 +60,11 @@ def test_tree_prunes_and_is_exact(monkeypatch):
 
 
 def test_large_components_stay_exact(spark):
-    big = [(i, [float(2**26 + i), float(i)]) for i in range(30)]
+    big = [(i, [float(2**23 + i), float(i)]) for i in range(30)]
     d = vectors(spark, big)
     r = mtree.top_products(d, d.filter("vec_id = 20"), 1).first()
-    v = [int(np.floor(64 * np.float32(x))) for x in (2**26 + 29, 29)]
-    q = [int(np.floor(64 * np.float32(x))) for x in (2**26 + 20, 20)]
+    v = [int(np.floor(64 * np.float32(x))) for x in (2**23 + 29, 29)]
+    q = [int(np.floor(64 * np.float32(x))) for x in (2**23 + 20, 20)]
     assert r.score == sum(a * b for a, b in zip(q, v, strict=True)) and r.vec_id == 29
 
 
@@ -125,7 +125,7 @@ def test_language_of_odd_rows(spark):
 
 
 def test_language_memory_starts_over():
-    m = language.Model(["a", "b"], {"x": {"a": 5}}, {1: {"y": {"b": 3}}})
+    m = language.Model(["a", "b"], {"x": {"a": 5}}, {1: {"y": {"b": 3}, "z": {"a": 3}}})
     s = language.Scorer(m)
     s.size = 5000
     s.clear()
