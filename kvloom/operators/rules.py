@@ -49,7 +49,7 @@ def has_prefix(key: Column, prefixes: list[str]) -> Column:
 def prefix_join(keys: DataFrame, prefixes: DataFrame, key_col: str = "key", prefix_col: str = "prefix") -> DataFrame:
     """Keys that begin with a prefix of a table of any size: an equality join on (length, start), not a nested loop."""
     p = prefixes.select(F.col(prefix_col).alias("__p")).filter(F.col("__p").isNotNull()).distinct()
-    sizes = [r[0] for r in p.select(F.length("__p").alias("n")).distinct().orderBy("n").limit(1024).collect()]
+    sizes = [r[0] for r in p.select(F.length("__p").alias("n")).distinct().orderBy("n").collect()]
     starts = keys.withColumn("__s", F.explode(F.array_distinct(F.transform(F.array(*[F.lit(n) for n in sizes]), lambda n: F.substring(F.col(key_col), F.lit(1), n))))) if sizes else keys.withColumn("__s", F.lit(None).cast("string"))
     return starts.join(p, F.col("__s") == F.col("__p"), "left_semi").drop("__s").distinct()
 
@@ -57,7 +57,7 @@ def prefix_join(keys: DataFrame, prefixes: DataFrame, key_col: str = "key", pref
 def any_starts_with(keys: DataFrame, probes: DataFrame, key_col: str = "key", probe_col: str = "probe") -> DataFrame:
     """(probe, found): whether a stored key begins with the probe."""
     q = probes.select(F.col(probe_col).alias("probe")).distinct()
-    sizes = [r[0] for r in q.select(F.length("probe").alias("n")).filter("n IS NOT NULL").distinct().orderBy("n").limit(1024).collect()]
+    sizes = [r[0] for r in q.select(F.length("probe").alias("n")).filter("n IS NOT NULL").distinct().orderBy("n").collect()]
     places = F.array(*[F.lit(n) for n in sizes]) if sizes else F.array().cast("array<int>")
     starts = keys.select(F.explode(F.transform(F.filter(places, lambda n: n <= F.length(key_col)), lambda n: F.substring(F.col(key_col), F.lit(1), n))).alias("__s")).distinct()
     return q.join(starts, F.col("probe") == F.col("__s"), "left").select("probe", F.col("__s").isNotNull().alias("found"))
