@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvloom.llm.common import materialize, shuffle_partitions, table
+from kvloom.llm.common import materialize, table
 from kvloom.llm.components import components
 
 WIDTH = 5
@@ -41,6 +41,8 @@ WIDTH = 5
 PERCENT = 75
 #: Shingles packed at a time in a worker.
 FLUSH = 2_000_000
+#: Hash ranges: this many, or more so that each counts about RANGE_SHINGLES.
+LEAST_RANGES, RANGE_SHINGLES = 64, 8_000_000
 LONGEST_MATCH = 8
 #: Cost of verifying a candidate against that of meeting one row of a prefix shingle.
 VERIFY_COST = 8.0
@@ -111,7 +113,7 @@ def _blobs(docs: DataFrame, parts: int, text_col: str) -> DataFrame:
             token = np.concatenate(held)
             lengths = np.array([len(h) for h in held])
             doc = np.repeat(np.arange(len(held)), lengths)
-            part = ((token >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int32)
+            part = ((token >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             token, doc, part = token[order], doc[order], part[order]
             cuts = np.searchsorted(part, np.arange(parts + 1))
@@ -200,9 +202,9 @@ def choose_prefix(n: int, unique: int, counts: np.ndarray) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def prefixes(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(class, n, l, unique, prefix array<long>, tokens) of every class that may link with another."""
-    parts = min(shuffle_partitions(docs.sparkSession), 1 << 15)
+def prefixes(docs: DataFrame, n_shingles: int, text_col: str = "text") -> DataFrame:
+    """(class, n, l, unique, prefix array<long>, tokens) of every class that may link with another; n_shingles sizes the hash ranges."""
+    parts = max(LEAST_RANGES, -(-n_shingles // RANGE_SHINGLES))
     found = _shared(_blobs(docs, parts, text_col))
     gathered = found.groupBy("class").agg(F.first("n").alias("n"), F.collect_list(F.struct("part", "tokens", "counts")).alias("got"))
 
@@ -215,7 +217,7 @@ def prefixes(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 if 100 * len(low) < PERCENT * n:
                     continue
                 counts = np.frombuffer(b"".join([g["counts"] for g in got]), "<u2").astype(np.int64)
-                full = low | np.repeat(np.array([g["part"] for g in got], np.uint64), [len(g["tokens"]) // 6 for g in got]) << np.uint64(48)
+                full = low ^ _mix(np.repeat(np.array([g["part"] for g in got], np.uint64), [len(g["tokens"]) // 6 for g in got]) * M2)
                 order = np.lexsort((full, counts))
                 match, k = choose_prefix(n, unique, counts[order])
                 if match:
@@ -229,7 +231,10 @@ def prefixes(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link."""
-    s = sets.select("class", "n", "tokens")
+    # Written first, so that Spark knows their size: sets that no pair names don't travel.
+    pairs = materialize(pairs, "jj-pairs")
+    named = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    s = sets.select("class", "n", "tokens").join(named, "class", "left_semi")
     both = pairs.join(s.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b").join(
         s.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a"
     )
@@ -251,41 +256,66 @@ def _postings(sets: DataFrame) -> DataFrame:
     return rows.select("token", "class", "n", "l", "unique", (F.col("unique") + F.col("i")).alias("at"))
 
 
-def _bounded(n1, n2, at1, at2, l1, l2):
-    """Sizes and positions leave room for a link that has l matches."""
+def _bounded(x: str, y: str, first: bool = False):
+    """Sizes, non-unique shingles and positions of rows x and y leave room for a link that has l matches; first: theirs is the first match."""
+    f = lambda a, name: F.col(f"{a}.{name}")
+    n1, n2 = f(x, "n"), f(y, "n")
     need = F.floor((F.lit(PERCENT) * (n1 + n2) + F.lit(99 + PERCENT)) / F.lit(100 + PERCENT))  # least intersection
-    rest = F.least(n1 - at1, n2 - at2)
-    return (100 * F.least(n1, n2) >= PERCENT * F.greatest(n1, n2)) & (rest >= need - F.least(l1, l2) + 1)
+    shared = F.least(n1 - f(x, "unique"), n2 - f(y, "unique"))
+    rest = F.least(n1 - f(x, "at"), n2 - f(y, "at"))
+    sizes = 100 * F.least(n1, n2) >= PERCENT * F.greatest(n1, n2)
+    return sizes & (shared >= need) & (rest >= (need if first else need - F.least(f(x, "l"), f(y, "l")) + 1))
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """(a, b) edges between classes that give all components (not all pairs) of the similarity join."""
+def _candidates(met: DataFrame, x: str, y: str) -> DataFrame:
+    """(a, b): pairs that share as many prefix shingles as the smaller of their l."""
+    f = lambda a, name: F.col(f"{a}.{name}")
+    pairs = met.groupBy(f(x, "class").alias("a"), f(y, "class").alias("b")).agg(F.count("*").alias("m"), F.min(F.least(f(x, "l"), f(y, "l"))).alias("need"))
+    return pairs.filter("m >= need").select("a", "b")
+
+
+def _open_rows(posts: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows of the prefix shingles that touch several components. Hot shingles of one component are dropped after a partial aggregation."""
+    rows = posts.join(label, posts["class"] == label["node"], "left").withColumn("comp", F.coalesce("component", "class")).drop("node", "component")
+    tokens = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
+    return materialize(rows.join(materialize(tokens, "jj-open"), "token"), "jj-rows")
+
+
+def components_of(sets: DataFrame) -> DataFrame:
+    """(node, component) of all classes that link with another."""
     posts = _postings(sets)
-    found = None
     label = None
-    for _ in range(STAR_ROUNDS):
-        if label is None:
-            rows = posts.withColumn("comp", F.col("class"))
-        else:
-            rows = posts.join(label, posts["class"] == label["node"], "left").withColumn("comp", F.coalesce("component", "class")).drop("node", "component")
-            open_tokens = materialize(rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token"), "jj-open")
-            rows = materialize(rows.join(open_tokens, "token"), "jj-rows")
-        pivot = F.min(F.struct("unique", F.col("class").alias("pclass"), F.col("comp").alias("pcomp"), F.col("n").alias("pn"), F.col("l").alias("pl"), F.col("at").alias("pat")))
-        pivots = rows.groupBy("token").agg(pivot.alias("p"), F.count("*").alias("rows")).filter("rows > 1").select("token", "p.pclass", "p.pcomp", "p.pn", "p.pl", "p.pat")
+    rows = posts.withColumn("comp", F.col("class"))
+    for turn in range(STAR_ROUNDS):
+        if turn:
+            rows = _open_rows(posts, label)
+        # First the class with the fewest unique shingles, the likely original; then others by chance.
+        first = F.col("unique") if turn == 0 else F.xxhash64(F.lit(turn), "class")
+        pivot = F.min(F.struct(first.alias("first"), "class", "comp", "n", "l", "unique", "at"))
+        pivots = rows.groupBy("token").agg(pivot.alias("p"), F.count("*").alias("rows")).filter("rows > 1").select("token", "p.*").drop("first")
         pivots = materialize(pivots, "jj-pivots")
-        star = rows.join(pivots, "token").filter((F.col("comp") != F.col("pcomp")) & _bounded(F.col("n"), F.col("pn"), F.col("at"), F.col("pat"), F.col("l"), F.col("pl")))
-        star = star.groupBy(F.col("pclass").alias("a"), F.col("class").alias("b")).agg(F.count("*").alias("m"), F.min(F.least("l", "pl")).alias("need")).filter("m >= need").select("a", "b")
-        got = materialize(verify(star, sets), "jj-links")
-        found = got if found is None else found.union(got)
-        label = materialize(components(found), "jj-components")
-    rows = posts.join(label, posts["class"] == label["node"], "left").withColumn("comp", F.coalesce("component", "class")).drop("node", "component")
-    open_tokens = materialize(rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token"), "jj-open")
-    rows = materialize(rows.join(open_tokens, "token").select("token", "class", "n", "l", "at", "comp"), "jj-rows")
+        x, y = pivots.alias("x"), rows.alias("y")
+        met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & _bounded("x", "y"))
+        label = _joined_components(label, verify(_candidates(met, "x", "y"), sets))
+    rows = _open_rows(posts, label)
+    rows = materialize(rows.join(sets.select("class", "prefix"), "class"), "jj-rows")
     x, y = rows.alias("x"), rows.alias("y")
-    c = F.col
-    pairs = x.join(y, (c("x.token") == c("y.token")) & (c("x.class") < c("y.class")) & (c("x.comp") != c("y.comp")) & _bounded(c("x.n"), c("y.n"), c("x.at"), c("y.at"), c("x.l"), c("y.l")))
-    pairs = pairs.groupBy(c("x.class").alias("a"), c("y.class").alias("b")).agg(F.count("*").alias("m"), F.min(F.least("x.l", "y.l")).alias("need")).filter("m >= need").select("a", "b")
-    return found.union(materialize(verify(pairs, sets), "jj-links"))
+    # Each pair meets once, at its first common shingle: there the position bound needs no slack, and all matches are counted.
+    common = F.array_intersect("x.prefix", "y.prefix")
+    once = (F.get(common, F.lit(0)) == F.col("x.token")) & (F.size(common) >= F.least("x.l", "y.l"))
+    other = (F.col("x.class") < F.col("y.class")) & (F.col("x.comp") != F.col("y.comp"))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & other & _bounded("x", "y", first=True) & once)
+    return _joined_components(label, verify(met.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")), sets))
+
+
+def _joined_components(label: DataFrame | None, got: DataFrame) -> DataFrame:
+    """(node, component) after new links (a, b): components of the links and of what was joined before."""
+    got = materialize(got, "jj-links")
+    if label is not None:
+        if got.isEmpty():
+            return label
+        got = got.union(label.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return materialize(components(got), "jj-components")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,8 +327,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smallest id that is not null (null if there is none).
     """
     members = materialize(classes(docs, id_col, text_col), "jj-classes")
-    sets = materialize(prefixes(docs, text_col), "jj-sets")
-    label = components(links(sets))
+    total = members.agg(F.sum("n")).first()[0] or 0
+    sets = materialize(prefixes(docs, total, text_col), "jj-sets")
+    label = components_of(sets)
     least = members.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("first"))
     joined = least.join(label, least["class"] == label["node"], "left").select("class", "first", F.coalesce("component", "class").alias("comp"))
     joined = materialize(joined, "jj-labels")
