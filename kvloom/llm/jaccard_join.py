@@ -47,6 +47,8 @@ LONGEST_MATCH = 8
 #: Cost of verifying a candidate against that of meeting one row of a prefix shingle.
 VERIFY_COST = 8.0
 STAR_ROUNDS = 2
+#: A round that finds less than one link for this many linked classes is the last.
+FEW_LINKS = 100
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 LOW48 = np.uint64((1 << 48) - 1)
 
@@ -284,7 +286,7 @@ def _open_rows(posts: DataFrame, label: DataFrame) -> DataFrame:
 def components_of(sets: DataFrame) -> DataFrame:
     """(node, component) of all classes that link with another."""
     posts = _postings(sets)
-    label = None
+    label = late = None
     rows = posts.withColumn("comp", F.col("class"))
     for turn in range(STAR_ROUNDS):
         if turn:
@@ -296,8 +298,14 @@ def components_of(sets: DataFrame) -> DataFrame:
         pivots = materialize(pivots, "jj-pivots")
         x, y = pivots.alias("x"), rows.alias("y")
         met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & _bounded("x", "y"))
-        label = _joined_components(label, verify(_candidates(met, "x", "y"), sets))
-    rows = _open_rows(posts, label)
+        got = materialize(verify(_candidates(met, "x", "y"), sets), "jj-links")
+        if turn and got.count() * FEW_LINKS < label.count():
+            # Few links contract little: the rows stay open as they are, the links join at the end.
+            late = got
+            break
+        label = _joined_components(label, got)
+    else:
+        rows = _open_rows(posts, label)
     rows = materialize(rows.join(sets.select("class", "prefix"), "class"), "jj-rows")
     x, y = rows.alias("x"), rows.alias("y")
     # Each pair meets once, at its first common shingle: there the position bound needs no slack, and all matches are counted.
@@ -305,7 +313,8 @@ def components_of(sets: DataFrame) -> DataFrame:
     once = (F.get(common, F.lit(0)) == F.col("x.token")) & (F.size(common) >= F.least("x.l", "y.l"))
     other = (F.col("x.class") < F.col("y.class")) & (F.col("x.comp") != F.col("y.comp"))
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & other & _bounded("x", "y", first=True) & once)
-    return _joined_components(label, verify(met.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")), sets))
+    got = verify(met.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")), sets)
+    return _joined_components(label, got if late is None else got.union(late))
 
 
 def _joined_components(label: DataFrame | None, got: DataFrame) -> DataFrame:
