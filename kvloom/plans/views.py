@@ -100,8 +100,8 @@ class Views:
 
     @cached_property
     def probes(self) -> DataFrame:
-        """Offsets that are looked up: of every 97th command, and some past the end."""
-        return self.offsets.filter(F.col("seq") % 97 == 0).select("run_id", (F.col("start_offset") + F.when(F.col("seq") % 2 == 0, 0).otherwise(30_000)).alias("o")).distinct()
+        """Offsets that are looked up: the start of every command, and 30,000 bytes after each, which lies past the end for the last ones."""
+        return self.offsets.select("run_id", F.explode(F.array(F.col("start_offset"), F.col("start_offset") + 30_000)).alias("o")).distinct()
 
     @cached_property
     def ranges(self) -> DataFrame:
