@@ -21,3 +21,25 @@ def running_total(df: DataFrame, by: str, order: str, value: str, name: str) ->
     inside = Window.partitionBy(by, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("__in", F.sum(value).over(inside)).join(blocks, [by, "__block"])
     return d.withColumn(name, F.col("__at") + F.col("__in")).drop("__block", "__at", "__in")
+
+
+#: Lengths of the leading parts of keys that make blocks inside blocks.
+LEADING = (9, 12)
+
+
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with the place (from 1) of each row in the order of a unique string key.
+
+    Keys are counted by their first characters, which are in key order too: rows
+    are numbered inside their block, blocks inside the block of a shorter part,
+    and one window goes over the blocks of the shortest part only.
+    """
+    parts = [f"__part{n}" for n in LEADING]
+    d = df.withColumns({p: F.substring(key, 1, n) for p, n in zip(parts, LEADING, strict=True)})
+    out = d.withColumn(name, F.row_number().over(Window.partitionBy(*parts).orderBy(key)).cast("long"))
+    for i in range(len(parts)):
+        blocks = d.groupBy(*parts[: i + 1]).agg(F.count("*").alias("__size"))
+        before = Window.partitionBy(*parts[:i]).orderBy(parts[i]).rowsBetween(Window.unboundedPreceding, -1)
+        blocks = blocks.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0))).drop("__size")
+        out = out.join(blocks, parts[: i + 1]).withColumn(name, F.col(name) + F.col("__before")).drop("__before")
+    return out.drop(*parts)

@@ -16,6 +16,7 @@ from kvloom.operators import replay as P
 from kvloom.operators import rules as U
 from kvloom.operators import segments as S
 from kvloom.operators import state as A
+from kvloom.operators.prefix_sum import numbered
 from kvloom.plans.views import NOW, NOW_MS, Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -590,11 +591,8 @@ ORDERED = "ordered AS (SELECT key, db, rdb_type, expire, value, row_number() OVE
 
 
 def _ordered(v: Views) -> DataFrame:
-    """Part of the snapshot in file order; the position comes with the rows of a real snapshot file."""
-    from pyspark.sql import Window
-
-    d = v.keyspace.filter(c("key").startswith("part:") | c("key").startswith("nation:"))
-    return d.withColumn("pos", F.row_number().over(Window.orderBy("key")).cast("long"))
+    """The snapshot in file order; the position comes with the rows of a real snapshot file."""
+    return numbered(v.keyspace, "key", "pos")
 
 
 @query(with_views("keyspace", more=ORDERED + ", l AS (SELECT pos, db, lag(db, 1, 0) OVER (ORDER BY pos) AS was FROM ordered)") + "SELECT pos, db FROM l WHERE db <> was")

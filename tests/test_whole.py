@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from helpers import same
 from kvloom import queries as q
+from kvloom.operators import replay
+from kvloom.operators.prefix_sum import numbered
 
 
 def whole(name: str, *changes: tuple[str, str]) -> str:
@@ -21,3 +25,23 @@ def test_every_command_is_looked_up(name, spark, small):
     old = "SELECT DISTINCT run_id, start_offset + CASE WHEN seq % 2 = 0 THEN 0 ELSE 30000 END AS o FROM offsets WHERE seq % 97 = 0"
     sql = whole(name, (old, "SELECT run_id, start_offset AS o FROM offsets UNION SELECT run_id, start_offset + 30000 FROM offsets"))
     same(q.QUERIES[name], sql, spark, small)
+
+
+@pytest.mark.parametrize("name", ["select_switches", "restore_commands"])
+def test_the_whole_snapshot_is_replayed(name, spark, small):
+    sql = whole(name, (" WHERE starts_with(key, 'part:') OR starts_with(key, 'nation:')", ""))
+    n = "octet_length(encode(value))"
+    sql = sql.replace(f"{n} + 1 + 11", f"{n} + CASE WHEN {n} < 64 THEN 1 WHEN {n} < 16384 THEN 2 ELSE 5 END + 11")
+    same(q.QUERIES[name], sql, spark, small)
+
+
+def test_places_and_switches_go_on_from_block_to_block(spark, monkeypatch):
+    rnd = random.Random(5)
+    keys = sorted({"".join(rnd.choices("ab:é1", k=rnd.randint(0, 16))) for _ in range(400)})
+    rows = [(k, rnd.choice([0, 0, 1, 2])) for k in keys]
+    d = spark.createDataFrame(rnd.sample(rows, len(rows)), "key string, db int")
+    placed = numbered(d, "key", "pos")
+    assert sorted((r.pos, r.key) for r in placed.collect()) == list(enumerate(keys, 1))
+    monkeypatch.setattr(replay, "BLOCK", 7)
+    want = [(i + 1, db) for i, (_, db) in enumerate(rows) if db != (rows[i - 1][1] if i else 0)]
+    assert sorted(map(tuple, replay.select_switches(placed).collect())) == want
