@@ -602,14 +602,12 @@ def select_switches(v):
 
 @query(with_views("keyspace") + "SELECT key, db, octet_length(encode(value)) + 1 + 11 AS n FROM keyspace WHERE octet_length(encode(value)) BETWEEN 1 AND 63")
 def dump_payload_len(v):
-    d = v.keyspace.filter(F.octet_length("value").between(1, 63))
-    return d.select("key", "db", P.dump_length(P.string_raw(c("value"))).alias("n"))
+    return v.keyspace.select("key", "db", P.dump_length(P.string_raw(c("value"))).alias("n"))
 
 
 @query()
 def dump_payload(v):
-    d = v.keyspace.filter(c("rdb_type") == 0)
-    return d.select("key", "db", F.hex(P.dump_payload(c("rdb_type"), P.string_raw(c("value")))).alias("payload"))
+    return v.keyspace.select("key", "db", F.hex(P.dump_payload(c("rdb_type"), P.string_raw(c("value")))).alias("payload"))
 
 
 @query(with_views("keyspace", more=ORDERED) + f"""SELECT pos, db, 5 AS n_args, 'RESTORE' AS cmd, key, CASE WHEN expire > TIMESTAMP '{NOW}' THEN epoch_ms(expire) - epoch_ms(TIMESTAMP '{NOW}') ELSE 0 END::VARCHAR AS ttl,

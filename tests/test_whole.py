@@ -45,3 +45,26 @@ def test_places_and_switches_go_on_from_block_to_block(spark, monkeypatch):
     monkeypatch.setattr(replay, "BLOCK", 7)
     want = [(i + 1, db) for i, (_, db) in enumerate(rows) if db != (rows[i - 1][1] if i else 0)]
     assert sorted(map(tuple, replay.select_switches(placed).collect())) == want
+
+
+def test_payloads_of_all_types_and_lengths(spark):
+    sizes = [0, 1, 63, 64, 16383, 16384]
+    rows = [(f"k{i}", t, 0, "v" * n) for i, (t, n) in enumerate((t, n) for t in (0, 1, 2, 4, 5) for n in sizes)] + [("none", 0, 0, None)]
+
+    class Fixed:
+        keyspace = spark.createDataFrame(rows, "key string, rdb_type int, db int, value string")
+
+    lengths = {r.key: r.n for r in q.dump_payload_len(Fixed).collect()}
+    payloads = {r.key: r.payload for r in q.dump_payload(Fixed).collect()}
+    assert set(lengths) == set(payloads) == {r[0] for r in rows}
+    assert lengths["none"] is None and payloads["none"] is None
+    for key, kind, _, value in rows[:-1]:
+        n = len(value)
+        code = f"{n:02X}" if n < 64 else f"{n + 0x4000:04X}" if n < 16384 else f"80{n:08X}"
+        body = f"{kind:02X}{code}{value.encode().hex().upper()}0900"
+        assert payloads[key][:-16] == body and lengths[key] == len(payloads[key]) // 2 == len(body) // 2 + 8
+
+
+def test_every_kind_of_key_has_a_payload(spark, small):
+    got = {r.kind for r in q.QUERIES["dump_payload"](spark, small).selectExpr("split(key, ':')[0] AS kind").distinct().collect()}
+    assert got == {"customer", "order", "part", "supplier", "nation"}
