@@ -110,8 +110,8 @@ class Views:
 
     @cached_property
     def saves(self) -> DataFrame:
-        """Checkpoint saves: of every 10th command."""
-        return self.offsets.filter(F.col("seq") % 10 == 0).select(
+        """Checkpoint saves: of every command."""
+        return self.offsets.select(
             F.col("run_id").alias("replid"), "seq", F.col("end_offset").alias("offset"), F.unix_seconds("ts").alias("mtime")
         )
 

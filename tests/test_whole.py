@@ -68,3 +68,8 @@ def test_payloads_of_all_types_and_lengths(spark):
 def test_every_kind_of_key_has_a_payload(spark, small):
     got = {r.kind for r in q.QUERIES["dump_payload"](spark, small).selectExpr("split(key, ':')[0] AS kind").distinct().collect()}
     assert got == {"customer", "order", "part", "supplier", "nation"}
+
+
+@pytest.mark.parametrize("name", ["checkpoint_latest", "checkpoint_fields", "checkpoint_parse", "resume_decision", "checkpoint_discovery"])
+def test_every_command_is_saved(name, spark, small):
+    same(q.QUERIES[name], whole(name, (" WHERE seq % 10 = 0", "")), spark, small)
