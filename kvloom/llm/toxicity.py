@@ -40,6 +40,8 @@ LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7"
 EDGE = " \t\n\r.,;:?!\"'()[]{}<>…«»“”‘’-–—*_~`^|/\\&%$#@+="
 LETTER_RUN = re.compile(r"[^\W\d_]+")
 SECOND, OBFUSCATED = 201, 202
+#: Added in the memory to the code of a chunk that is a lexicon word only in disguise.
+DISGUISED = 256
 NAMES = ("density", "weight", "hits", "top_weight", "near", "capitals", "exclaim", "question", "punctuation", "obfuscated", "hidden", "words", "word_length", "digits", "second")
 
 
@@ -77,6 +79,11 @@ class Featurizer:
             return OBFUSCATED
         return 0
 
+    def _remembered(self, chunk: str) -> int:
+        code = self.classify(chunk)
+        plain = not 0 < code < SECOND or chunk.strip(EDGE).lower() in self.code
+        return code if plain else code + DISGUISED
+
     def __call__(self, text: str | None) -> np.ndarray:
         text = text or ""
         words, memory = text.split(), self.memory
@@ -86,8 +93,10 @@ class Featurizer:
         if -1 in codes:
             for i, c in enumerate(codes):
                 if c < 0:
-                    memory[words[i]] = codes[i] = memory[words[i]] if words[i] in memory else self.classify(words[i])
+                    memory[words[i]] = codes[i] = memory[words[i]] if words[i] in memory else self._remembered(words[i])
         codes = np.array(codes, np.int64)
+        hidden = int((codes >= DISGUISED).sum())
+        codes %= DISGUISED
         raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
         n, size = max(1, len(words)), max(1, len(raw))
         capitals, exclaim, question, punctuation, digits = self.chars @ np.bincount(raw, minlength=256) / size
@@ -101,7 +110,6 @@ class Featurizer:
             before = np.abs(you[np.maximum(at - 1, 0)] - hits)
             near = int((np.minimum(after, before) <= NEAR).sum())
         odd = int((codes == OBFUSCATED).sum())
-        hidden = sum(1 for i in hits if words[i].strip(EDGE).lower() not in self.code) if len(hits) < 1000 else 0
         return np.array([
             len(hits) / n, weights.sum() / n, len(hits), weights.max() if len(weights) else 0, near, capitals, exclaim, question,
             punctuation, odd / n, hidden, np.log1p(len(words)), size / n, digits, len(you) / n,
