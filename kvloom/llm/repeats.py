@@ -175,7 +175,7 @@ def _pack_shards(docs: DataFrame, parts: int) -> DataFrame:
             anchor, content, item = anchor[order], content[order], item[order]
             new = np.append(True, (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]))[: len(anchor)]
             part = _part(anchor, parts)
-            again = ~new
+            again = ~new & ~_repeated_rows(item)
             rows = []
             cuts = np.searchsorted(part[new], np.arange(parts + 1))
             a, c, i = anchor[new], content[new], item[new]
@@ -223,6 +223,12 @@ def _by_doc(doc: np.ndarray, value: np.ndarray, opened: bool) -> pa.Table:
     })
 
 
+def _repeated_rows(item: np.ndarray) -> np.ndarray:
+    """Whether the item before has the same document and start: it comes from another row with that id and is the same item."""
+    same = (item["doc"][1:] == item["doc"][:-1]) & (item["start"][1:] == item["start"][:-1])
+    return np.append(False, same)[: len(item)]
+
+
 def _settle(shards: DataFrame) -> DataFrame:
     """(doc, open, found): items that lose all windows (SPANS), and open items (OPEN)."""
     def run(t: pa.Table) -> pa.Table:
@@ -239,7 +245,7 @@ def _settle(shards: DataFrame) -> DataFrame:
         new = new_anchor | np.append(True, content[1:] != content[:-1])[: len(anchor)]
         group = np.cumsum(new_anchor) - 1
         several = np.bincount(group, new, minlength=1)[group] > 1 if len(group) else np.zeros(0, bool)
-        lost = np.concatenate([item[~new], again])
+        lost = np.concatenate([item[~new & ~_repeated_rows(item)], again])
         stay = item[new & (several | item["twice"])]
         spans, opened = np.zeros(len(lost), SPANS), np.zeros(len(stay), OPEN)
         spans["start"], spans["windows"] = lost["start"], lost["windows"]
@@ -359,8 +365,9 @@ def _open_bytes(docs: DataFrame, opened: DataFrame) -> DataFrame:
 def _merge_ranges(shards: DataFrame) -> DataFrame:
     """(doc, open, found): windows of open items that an earlier window repeats (SPANS)."""
     def merge(x: np.ndarray, doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        # Document order, so that the first of an interval is the first occurrence.
+        # Document order, so that the first of an interval is the first occurrence. Rows that repeat an id bring an item once.
         order = np.lexsort((start, doc))
+        order = order[np.append(True, (np.diff(doc[order]) != 0) | (np.diff(start[order]) != 0))]
         x, doc, start, length = _strings(x, length, order), doc[order], start[order], length[order]
         place = np.sort(merge_shards([(x, length)])[0])
         string = np.repeat(np.arange(len(length)), length)[place]
