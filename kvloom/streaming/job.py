@@ -9,6 +9,7 @@ from kvloom.functions.constants import PHASES, STATES, STORE_SIZE
 from kvloom.operators import replay, segments
 from kvloom.operators.rules import RuleSet
 from kvloom.sources import rdb, resp
+from kvloom.streaming import databases
 
 
 class SyncJob:
@@ -33,9 +34,10 @@ class SyncJob:
         log = (self.spark.readStream.format("respLog").option("path", self.base).load() if stream else resp.read_logs(self.spark, self.base))
         at = lambda i: F.get("args", F.lit(i)).cast("string")
         rows = log.filter(F.col("_error").isNull()).select(
-            "run_id", F.col("start_offset").alias("seq"), F.lit(0).alias("db"), F.col("name").alias("cmd"), at(0).alias("key"),
+            "run_id", F.col("start_offset").alias("seq"), F.col("name").alias("cmd"), at(0).alias("key"),
             F.element_at("args", -1).cast("string").alias("value"), "end_offset",
         )
+        rows = (databases.track if stream else databases.selected)(rows)
         return rows.filter(~self.rules.drops(F.col("cmd"), F.col("key"), F.col("db")))
 
     def run(self) -> dict:
