@@ -1,4 +1,7 @@
-"""Removal of bytes that lie in a repeated 100-byte string, by merging shard Burrows-Wheeler transforms.
+"""Removal of bytes that lie in a repeated 100-byte string, by anchors and a radix sort of the windows that may repeat.
+
+No Burrows-Wheeler transform is built and no shards are merged by interleaving:
+all windows of an anchor meet in one hash range and are sorted there.
 
 Windows are the WINDOW-byte strings inside documents. Each is filed under its
 anchor, the least hash among its ANCHOR-byte substrings: equal windows have
@@ -11,14 +14,11 @@ repeated. Consecutive windows of one anchor form an item, (start, windows).
    sends one item for each shard. A range finds items equal to an earlier item,
    which lose all windows, and open items: first of their bytes, with an anchor
    that also occurs in other bytes or more than once in their own.
-2. Merge. The bytes of open items meet by anchor. Their shards' transforms are
-   merged by iterative interleave refinement: the interleave starts with the
-   shards one after another; a step sorts it stably by the symbols that precede
-   its suffixes, so after h steps suffixes are in order of their first h
-   symbols and blocks share that prefix. Suffixes are never compared or sorted
-   again. Symbols are STEP bytes, so WINDOW / STEP steps give the intervals of
-   suffixes with a common prefix of WINDOW bytes; the first of an interval, in
-   document order, stays.
+2. Merge. The bytes of open items meet by anchor and are joined in document
+   order. Windows are sorted stably by hashes of STEP bytes, the last first, so
+   WINDOW / STEP steps give blocks of windows with equal hashes throughout;
+   windows alone in their block are left out after each step. The first of a
+   block, in document order, stays.
 3. Removed windows become spans of their documents.
 
 Hashes are 64 bits or two times 48. Step 2 compares equal windows' bytes.
@@ -265,8 +265,8 @@ def _symbols(x: np.ndarray) -> np.ndarray:
 
 
 def _refine(symbols: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(interleave, block): windows in order of their WINDOW bytes, without those alone in their block; a block's windows are equal and in document order."""
-    # The interleave before the first step: suffixes of the windows, shard after shard.
+    """(order, block): windows in order of their WINDOW bytes, without those alone in their block; a block's windows are equal and in document order."""
+    # Before the first step: the last STEP bytes of the windows, in document order.
     order, block = windows + (WINDOW - STEP), np.zeros(len(windows), np.int64)
     for step in range(WINDOW // STEP):
         if step:
@@ -286,7 +286,7 @@ def _refine(symbols: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def merge_shards(shards: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Repeated intervals of the merged shards.
+    """Windows that repeat in some shards taken together; all shards are joined first.
 
     shards: (bytes, lengths of the strings in them), in document order. Gives
     (place, first): places in the joined bytes of all windows that an earlier
