@@ -5,9 +5,10 @@ leftmost merge of the lowest rank; a merge changes three leaves, each updated
 in logarithmic time, until no pair can merge. A text of n symbols takes
 O(n log n), also when it is one word of a million letters.
 
-Normalisation and the split into words follow the library. Texts are cut at
-white space first (no word crosses it) and each distinct chunk is encoded once
-for each worker; the memory of the last chunks is bounded.
+Normalisation and the split into words follow the library. Each distinct word
+is encoded once for each worker while it is remembered; the memory is bounded.
+A text with characters outside those of ``PLAIN`` is cut at white space first
+(no word crosses it), and its chunks go through the library's own normaliser.
 """
 
 from __future__ import annotations
@@ -25,15 +26,21 @@ from pyspark.sql import types as T
 
 from kvloom.llm.common import each_batch, spread, table
 
-#: Chunks in each of the two generations of a worker's memory.
+#: Words in each of the two generations of a worker's memory.
 MEMORY = 200_000
-#: Longer chunks are encoded anew each time.
+#: Longer words are encoded anew each time.
 MEMORY_CHARS = 64
 NO_MERGE = 1 << 62
 #: Characters at which str.split() cuts but the library does not.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 SPACES = re.compile("[\t\n\x0b\f\r \x85\xa0  -     　]+")
-ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+# Latin-1 characters that normalisation leaves as they are, but for case: ASCII, letters, punctuation (fixed values).
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "«»¿¡"
+PLAIN = re.sub(f"[^\t-\r -~{LETTERS}{MARKS}]", "", "".join(map(chr, range(256)))).encode("latin-1")
+PLAIN_WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
+# The vocabulary's alphabet: bytes that print stand for themselves, the others follow from code point 256 on.
+PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTS)}
 
 
 def default_vocabulary() -> str:
@@ -49,6 +56,19 @@ def chunks(text: str) -> list[str]:
     return text.split()
 
 
+def is_plain(text: str) -> bool:
+    """Whether all characters are of PLAIN and no special token can stand in the text."""
+    try:
+        return not text.encode("latin-1").translate(None, PLAIN) and "<|" not in text
+    except UnicodeEncodeError:
+        return False
+
+
+def pieces(text: str) -> list[str]:
+    """What is encoded and remembered: the words of a plain text in lower case, else the chunks."""
+    return PLAIN_WORDS.findall(text.lower()) if is_plain(text) else chunks(text)
+
+
 class Memory(dict):
     """A dict that makes missing values, of bounded size: the older of two generations goes when the newer is full."""
 
@@ -69,7 +89,7 @@ class Memory(dict):
 
 
 class Words:
-    """The library's normaliser and pre-tokeniser over one white-space-free chunk."""
+    """The library's normaliser and pre-tokeniser over one piece of a text."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -77,16 +97,17 @@ class Words:
 
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.config = json.load(f)
-        self.special = {x["content"]: x["id"] for x in self.config["added_tokens"]}
+            config = json.load(f)
+        self.special = {x["content"]: x["id"] for x in config["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
-    def split(self, chunk: str) -> list[str | int]:
+    def split(self, piece: str) -> list[str | int]:
         """Words in the vocabulary's alphabet, and ids of special tokens that stand in the text."""
-        if chunk.isascii() and chunk.isprintable() and "<|" not in chunk:
-            return ASCII_WORDS.findall(chunk.lower())
+        if is_plain(piece):
+            words = PLAIN_WORDS.findall(piece.lower())
+            return words if piece.isascii() else [w.encode().decode("latin-1").translate(ALPHABET) for w in words]
         out: list[str | int] = []
-        for x in self.cut.split(chunk) if self.cut else [chunk]:
+        for x in self.cut.split(piece) if self.cut else [piece]:
             if x in self.special:
                 out.append(self.special[x])
             elif x:
@@ -98,7 +119,8 @@ class Words:
 class SegmentTreeBpe:
     def __init__(self, path: str):
         self.words = Words(path)
-        model = self.words.config["model"]
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
         vocab: dict[str, int] = model["vocab"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab = vocab
@@ -106,8 +128,8 @@ class SegmentTreeBpe:
         pairs = (x if isinstance(x, list) else x.split(" ") for x in model["merges"])
         #: (left id << 32 | right id) -> (rank << 32, merged id)
         self.merges = {vocab[a] << 32 | vocab[b]: (rank << 32, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.word_memory = Memory(self.encode_word)
-        self.memory = Memory(self._chunk)
+        self.ids = Memory(self._ids, MEMORY // 2)
+        self.both = Memory(self._both)
 
     def encode_word(self, word: str) -> tuple[int, ...]:
         """Ids of one word: the segment tree."""
@@ -163,30 +185,38 @@ class SegmentTreeBpe:
                 put(h, NO_MERGE if m is None else m[0] | h)
         return tuple(x for x in ids if x >= 0)
 
-    def encode_chunk(self, chunk: str) -> list[int]:
+    def encode_piece(self, piece: str) -> list[int]:
         ids: list[int] = []
-        for w in self.words.split(chunk):
+        for w in self.words.split(piece):
             if isinstance(w, int):
                 ids.append(w)
             else:
-                ids += self.word_memory[w]
+                ids += self.encode_word(w)
         return ids
 
-    def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        ids = self.encode_chunk(chunk)
+    def _ids(self, piece: str) -> bytes:
+        return b"".join([i.to_bytes(4, "little") for i in self.encode_piece(piece)])
+
+    def _both(self, piece: str) -> tuple[bytes, bytes]:
+        ids = self.encode_piece(piece)
         return b"".join([i.to_bytes(4, "little") for i in ids]), self.decode(ids).encode()
 
+    def encode_raw(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        memory = self.ids
+        return b"".join([memory[p] for p in pieces(text)])
+
     def encode(self, text: str) -> list[int]:
-        return [i for c in chunks(text) for i in self.encode_chunk(c)]
+        return np.frombuffer(self.encode_raw(text), "<u4").tolist()
 
     def decode(self, ids) -> str:
         """As the library does for a vocabulary without a decoder: tokens joined by a space; unknown ids are left out."""
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
     def encode_both(self, text: str) -> tuple[bytes, bytes]:
-        """(ids as little-endian unsigned 32-bit integers, the decoded ids in UTF-8)."""
-        memory = self.memory
-        parts = [memory[c] for c in chunks(text)]
+        """(ids as in encode_raw, the decoded ids in UTF-8)."""
+        memory = self.both
+        parts = [memory[p] for p in pieces(text)]
         return b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts if p[1]])
 
 
@@ -229,12 +259,12 @@ def encode_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         bpe = loaded(SegmentTreeBpe, path)
-        raw = [bpe.encode_both(text.as_py() or "")[0] for text in b.column(1)]
+        raw = [bpe.encode_raw(text.as_py() or "") for text in b.column(1)]
         sizes = np.array([0] + [len(r) // 4 for r in raw])
         ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes[1:], pa.int64()), ids], names=schema.names)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(each_batch(batch), schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(each_batch(batch), schema)
 
 
 def digest_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,7 +285,7 @@ def digest_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
             two.append(hashlib.sha256(decoded).hexdigest())
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], names=schema.names)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(each_batch(batch), schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(each_batch(batch), schema)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

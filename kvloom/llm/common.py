@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: The C library's way to return free memory, where it has one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession, kind: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, one machine) a temporary folder is made and set.
+    The cluster names it in ``spark.checkpoint.dir``; where that is unset, a
+    session on one machine gets a temporary folder, a cluster an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="kvloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/kvloom-{kind}-{uuid.uuid4().hex}"
@@ -57,14 +64,26 @@ def hash_pair(c: Column) -> tuple[Column, Column]:
     return F.xxhash64(c), F.xxhash64(F.lit(0x5EED), c)
 
 
-def each_batch(fn: Callable) -> Callable[[Iterator], Iterator]:
-    """fn maps one Arrow batch to one Arrow batch."""
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on, and what one task held should not count against the next stage."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run over a task's batches, then give_back()."""
 
-    def run(batches):
-        for batch in batches:
-            yield fn(batch)
+    def then_give_back(batches):
+        yield from run(batches)
+        give_back()
 
-    return run
+    return then_give_back
+
+
+def each_batch(fn: Callable) -> Callable[[Iterator], Iterator]:
+    """fn maps one Arrow batch to one Arrow batch."""
+    return tidy(lambda batches: map(fn, batches))
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:

@@ -33,16 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvloom.llm.common import materialize, table
+from kvloom.llm.common import give_back, materialize, table, tidy
 from kvloom.llm.components import components
 
 WIDTH = 5
 #: Similarity PERCENT / 100.
 PERCENT = 75
 #: Shingles packed at a time in a worker.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Hash ranges: this many, or more so that each counts about RANGE_SHINGLES.
-LEAST_RANGES, RANGE_SHINGLES = 64, 8_000_000
+LEAST_RANGES, RANGE_SHINGLES = 64, 4_000_000
 LONGEST_MATCH = 8
 #: Cost of verifying a candidate against that of meeting one row of a prefix shingle.
 VERIFY_COST = 8.0
@@ -88,7 +88,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([b.column(0), n, of], names=["id", "n", "class"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(batch, f"id {kind}, n long, class long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(tidy(batch), f"id {kind}, n long, class long")
 
 
 def _pack(tokens: np.ndarray) -> bytes:
@@ -147,7 +147,7 @@ def _blobs(docs: DataFrame, parts: int, text_col: str) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(run, schema)
+    return docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(tidy(run), schema)
 
 
 def _shared(blobs: DataFrame) -> DataFrame:
@@ -183,7 +183,12 @@ def _shared(blobs: DataFrame) -> DataFrame:
             "counts": pa.array([counts[2 * a : 2 * z] for a, z in zip(cut, ends, strict=True)], pa.binary()),
         })
 
-    return blobs.groupBy("part").applyInArrow(run, "class long, n long, part int, tokens binary, counts binary")
+    def then_give_back(t: pa.Table) -> pa.Table:
+        out = run(t)
+        give_back()
+        return out
+
+    return blobs.groupBy("part").applyInArrow(then_give_back, "class long, n long, part int, tokens binary, counts binary")
 
 
 def choose_prefix(n: int, unique: int, counts: np.ndarray) -> tuple[int, int]:
@@ -228,7 +233,7 @@ def prefixes(docs: DataFrame, n_shingles: int, text_col: str = "text") -> DataFr
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["class", "n", "l", "unique", "prefix", "tokens"])
 
-    return gathered.mapInArrow(run, "class long, n long, l int, unique long, prefix array<long>, tokens binary")
+    return gathered.mapInArrow(tidy(run), "class long, n long, l int, unique long, prefix array<long>, tokens binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -250,7 +255,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok.append(100 * common >= PERCENT * (na + nb - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb", "na", "nb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ta", "tb", "na", "nb").mapInArrow(tidy(run), "a long, b long")
 
 
 def _postings(sets: DataFrame) -> DataFrame:

@@ -42,6 +42,8 @@ LETTER_RUN = re.compile(r"[^\W\d_]+")
 SECOND, OBFUSCATED = 201, 202
 #: Added in the memory to the code of a chunk that is a lexicon word only in disguise.
 DISGUISED = 256
+#: Chunks in a worker's memory.
+MEMORY = 150_000
 NAMES = ("density", "weight", "hits", "top_weight", "near", "capitals", "exclaim", "question", "punctuation", "obfuscated", "hidden", "words", "word_length", "digits", "second")
 
 
@@ -87,7 +89,7 @@ class Featurizer:
     def __call__(self, text: str | None) -> np.ndarray:
         text = text or ""
         words, memory = text.split(), self.memory
-        if len(memory) > 300_000:
+        if len(memory) > MEMORY:
             memory.clear()
         codes = [memory.get(w, -1) for w in words]
         if -1 in codes:
