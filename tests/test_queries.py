@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from helpers import same
+from helpers import ROOT, same
 from kvloom import queries as q
 
 
@@ -27,8 +27,6 @@ def test_llm_is_optional(tmp_path):
     import subprocess
     import sys
 
-    from conftest import ROOT
-
     shutil.copytree(f"{ROOT}/kvloom", tmp_path / "kvloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; n = e.queries(); assert 'key_slot' in n and not any(x.startswith('op') for x in n); assert 'key_slot' in e.oracle_sql()"
