@@ -11,28 +11,34 @@ NO_ROUTE_STRICT = (
     "SYNC", "SHUTDOWN", "SLAVEOF", "SCRIPT", "SENTINEL",
 )
 
-# Argument places of keys, from 1; 0 says that the command has no key (fixed values).
-KEY_POSITIONS: dict[tuple[int, ...], str] = {
-    (0,): "WAIT EVAL EVALSHA FCALL FCALL_RO EXEC DISCARD MULTI PING SELECT FLUSHDB FLUSHALL",
-    (1,): """APPEND BITCOUNT BITFIELD BITPOS DECR DECRBY GET GETBIT GETDEL GETEX GETRANGE GETSET INCR INCRBY INCRBYFLOAT
-        PSETEX SET SETBIT SETEX SETNX SETRANGE STRLEN SUBSTR
-        HDEL HEXISTS HGET HGETALL HINCRBY HINCRBYFLOAT HKEYS HLEN HMGET HMSET HRANDFIELD HSCAN HSET HSETNX HSTRLEN HVALS
-        LINDEX LINSERT LLEN LPOP LPOS LPUSH LPUSHX LRANGE LREM LSET LTRIM RPOP RPUSH RPUSHX
-        SADD SCARD SISMEMBER SMEMBERS SMISMEMBER SPOP SRANDMEMBER SREM SSCAN
-        ZADD ZCARD ZCOUNT ZDIFFSTORE ZINCRBY ZINTERSTORE ZLEXCOUNT ZMSCORE ZPOPMAX ZPOPMIN ZRANDMEMBER ZRANGE ZRANGEBYLEX
-        ZRANGEBYSCORE ZRANK ZREM ZREMRANGEBYLEX ZREMRANGEBYRANK ZREMRANGEBYSCORE ZREVRANGE ZREVRANGEBYLEX ZREVRANGEBYSCORE
-        ZREVRANK ZSCAN ZSCORE ZUNIONSTORE
-        XACK XADD XAUTOCLAIM XCLAIM XDEL XGROUP XINFO XLEN XPENDING XRANGE XREVRANGE XSETID XTRIM
-        DUMP EXPIRE EXPIREAT EXPIRETIME KEYS MIGRATE MOVE OBJECT PEXPIRE PEXPIREAT PEXPIRETIME PERSIST PSCAN PTTL RESTORE
-        SCAN SORT SORT_RO TTL TYPE""",
-    (1, 2): "BLMOVE BLPOP BRPOP BRPOPLPUSH LMOVE RPOPLPUSH SMOVE COPY RENAME RENAMENX",
-    (1, 2, 3): "SDIFF SDIFFSTORE SINTER SINTERSTORE SUNION SUNIONSTORE DEL EXISTS TOUCH UNLINK",
-    (1, 2, 3, 4): "MGET",
-    (1, 3, 5, 7): "MSET MSETNX",
-    (2,): "LMPOP SINTERCARD ZDIFF ZINTER ZINTERCARD ZUNION",
-    (2, 3, 4): "BITOP",
-    (3,): "BLMPOP XREAD",
-    (6,): "XREADGROUP",
+# Argument places of keys by command, from 1; 0 says that the command has no key (fixed values).
+KEY_POSITIONS: dict[str, tuple[int, ...]] = {
+    "WAIT": (0,), "EVAL": (0,), "EVALSHA": (0,), "FCALL": (0,), "FCALL_RO": (0,), "EXEC": (0,), "DISCARD": (0,),
+    "MULTI": (0,), "PING": (0,), "SELECT": (0,), "FLUSHDB": (0,), "FLUSHALL": (0,), "APPEND": (1,), "BITCOUNT": (1,),
+    "BITFIELD": (1,), "BITPOS": (1,), "DECR": (1,), "DECRBY": (1,), "GET": (1,), "GETBIT": (1,), "GETDEL": (1,),
+    "GETEX": (1,), "GETRANGE": (1,), "GETSET": (1,), "INCR": (1,), "INCRBY": (1,), "INCRBYFLOAT": (1,), "PSETEX": (1,),
+    "SET": (1,), "SETBIT": (1,), "SETEX": (1,), "SETNX": (1,), "SETRANGE": (1,), "STRLEN": (1,), "SUBSTR": (1,),
+    "HDEL": (1,), "HEXISTS": (1,), "HGET": (1,), "HGETALL": (1,), "HINCRBY": (1,), "HINCRBYFLOAT": (1,), "HKEYS": (1,),
+    "HLEN": (1,), "HMGET": (1,), "HMSET": (1,), "HRANDFIELD": (1,), "HSCAN": (1,), "HSET": (1,), "HSETNX": (1,),
+    "HSTRLEN": (1,), "HVALS": (1,), "LINDEX": (1,), "LINSERT": (1,), "LLEN": (1,), "LPOP": (1,), "LPOS": (1,),
+    "LPUSH": (1,), "LPUSHX": (1,), "LRANGE": (1,), "LREM": (1,), "LSET": (1,), "LTRIM": (1,), "RPOP": (1,),
+    "RPUSH": (1,), "RPUSHX": (1,), "SADD": (1,), "SCARD": (1,), "SISMEMBER": (1,), "SMEMBERS": (1,), "SMISMEMBER": (1,),
+    "SPOP": (1,), "SRANDMEMBER": (1,), "SREM": (1,), "SSCAN": (1,), "ZADD": (1,), "ZCARD": (1,), "ZCOUNT": (1,),
+    "ZDIFFSTORE": (1,), "ZINCRBY": (1,), "ZINTERSTORE": (1,), "ZLEXCOUNT": (1,), "ZMSCORE": (1,), "ZPOPMAX": (1,),
+    "ZPOPMIN": (1,), "ZRANDMEMBER": (1,), "ZRANGE": (1,), "ZRANGEBYLEX": (1,), "ZRANGEBYSCORE": (1,), "ZRANK": (1,),
+    "ZREM": (1,), "ZREMRANGEBYLEX": (1,), "ZREMRANGEBYRANK": (1,), "ZREMRANGEBYSCORE": (1,), "ZREVRANGE": (1,),
+    "ZREVRANGEBYLEX": (1,), "ZREVRANGEBYSCORE": (1,), "ZREVRANK": (1,), "ZSCAN": (1,), "ZSCORE": (1,),
+    "ZUNIONSTORE": (1,), "XACK": (1,), "XADD": (1,), "XAUTOCLAIM": (1,), "XCLAIM": (1,), "XDEL": (1,), "XGROUP": (1,),
+    "XINFO": (1,), "XLEN": (1,), "XPENDING": (1,), "XRANGE": (1,), "XREVRANGE": (1,), "XSETID": (1,), "XTRIM": (1,),
+    "DUMP": (1,), "EXPIRE": (1,), "EXPIREAT": (1,), "EXPIRETIME": (1,), "KEYS": (1,), "MIGRATE": (1,), "MOVE": (1,),
+    "OBJECT": (1,), "PEXPIRE": (1,), "PEXPIREAT": (1,), "PEXPIRETIME": (1,), "PERSIST": (1,), "PSCAN": (1,),
+    "PTTL": (1,), "RESTORE": (1,), "SCAN": (1,), "SORT": (1,), "SORT_RO": (1,), "TTL": (1,), "TYPE": (1,),
+    "BLMOVE": (1, 2), "BLPOP": (1, 2), "BRPOP": (1, 2), "BRPOPLPUSH": (1, 2), "LMOVE": (1, 2), "RPOPLPUSH": (1, 2),
+    "SMOVE": (1, 2), "COPY": (1, 2), "RENAME": (1, 2), "RENAMENX": (1, 2), "SDIFF": (1, 2, 3), "SDIFFSTORE": (1, 2, 3),
+    "SINTER": (1, 2, 3), "SINTERSTORE": (1, 2, 3), "SUNION": (1, 2, 3), "SUNIONSTORE": (1, 2, 3), "DEL": (1, 2, 3),
+    "EXISTS": (1, 2, 3), "TOUCH": (1, 2, 3), "UNLINK": (1, 2, 3), "MGET": (1, 2, 3, 4), "MSET": (1, 3, 5, 7),
+    "MSETNX": (1, 3, 5, 7), "LMPOP": (2,), "SINTERCARD": (2,), "ZDIFF": (2,), "ZINTER": (2,), "ZINTERCARD": (2,),
+    "ZUNION": (2,), "BITOP": (2, 3, 4), "BLMPOP": (3,), "XREAD": (3,), "XREADGROUP": (6,),
 }
 
 # Snapshot value types by type byte (fixed values).
@@ -75,7 +81,3 @@ CHECKPOINT_MS = 5000
 ACK_MS = 10_000
 DECODER_LIMIT = 100 << 20
 MAX_ELEMENTS = 100_000_000
-
-
-def positions_by_command() -> dict[str, tuple[int, ...]]:
-    return {name: at for at, names in KEY_POSITIONS.items() for name in names.split()}

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kvloom.functions.constants import DECODER_LIMIT, positions_by_command
+from kvloom.functions.constants import DECODER_LIMIT, KEY_POSITIONS
 
 CRLF = "\r\n"
 
@@ -74,8 +74,7 @@ def as_command(elements: Column) -> tuple[Column, Column]:
 
 def key_positions(cmd: Column) -> Column:
     """array<int>: argument places of a command's keys, [0] for none, null for unknown commands. Names are case-sensitive."""
-    names = positions_by_command()
-    pairs = [x for name, at in names.items() for x in (F.lit(name), F.array(*[F.lit(i) for i in at]))]
+    pairs = [x for name, at in KEY_POSITIONS.items() for x in (F.lit(name), F.array(*[F.lit(i) for i in at]))]
     return F.try_element_at(F.create_map(*pairs), cmd)
 
 

@@ -85,6 +85,13 @@ def metrics(commands: DataFrame, dropped: Column, failed: Column, now_ms: int, p
 
 
 def prometheus_text(m: DataFrame) -> DataFrame:
-    """(name, line): the metrics row as exposition lines, gauges first."""
-    pairs = [F.struct(F.lit(n).alias("name"), F.concat(F.lit(n + " "), F.col(n).cast("string")).alias("line")) for n in METRICS]
+    """(name, line): the metrics row as exposition lines, gauges first; plain decimals, six places at most."""
+    kinds = dict(m.dtypes)
+
+    def shown(n: str) -> Column:
+        if kinds[n] != "double":
+            return F.col(n).cast("string")
+        return F.rtrim(F.rtrim(F.format_string("%.6f", F.col(n)), F.lit("0")), F.lit("."))
+
+    pairs = [F.struct(F.lit(n).alias("name"), F.concat(F.lit(n + " "), shown(n)).alias("line")) for n in METRICS]
     return m.select(F.explode(F.array(*pairs)).alias("p")).select("p.name", "p.line")

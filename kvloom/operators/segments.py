@@ -42,61 +42,100 @@ def read_catalogue(spark, base: str) -> DataFrame:
     return catalogue(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).drop("content"))
 
 
-def find_snapshot(probes: DataFrame, segments: DataFrame, cell: int = 1 << 16) -> DataFrame:
-    """(run_id, o, offset, size): for each probe the snapshot with offset <= o < offset + size, the lowest if several.
+def _holding(points: DataFrame, ranges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """points (by, o) joined with all ranges (by, lo, hi, more columns) that hold o: lo <= o < hi.
 
-    Snapshots are cut into cells of offsets so that the join is on equal cells.
+    A range goes to the cells of its own level, the least power of two that is
+    not smaller: two cells at most, however long it is. Points look at each
+    level that occurs, of which there are 64 at most.
     """
-    s = segments.filter((F.col("kind") == SNAPSHOT) & (F.col("size") > 0)).select(
-        "run_id", "offset", "size",
-        F.explode(F.sequence(F.floor(F.col("offset") / cell), F.floor((F.col("offset") + F.col("size") - 1) / cell))).alias("cell"),
-    )
-    p = probes.select("run_id", "o", F.floor(F.col("o") / cell).alias("cell"))
-    met = p.join(s, ["run_id", "cell"]).filter((F.col("offset") <= F.col("o")) & (F.col("o") < F.col("offset") + F.col("size")))
-    first = met.groupBy("run_id", "o").agg(F.min_by(F.struct("offset", "size"), "offset").alias("s"))
-    return first.select("run_id", "o", "s.offset", "s.size")
+    level = F.ceil(F.log2((F.col("hi") - F.col("lo")).cast("double"))).cast("int")
+    r = ranges.filter("hi > lo").withColumn("level", level)
+    levels = [x["level"] for x in r.select("level").distinct().collect()]
+    cell = lambda o: F.floor(o / F.pow(F.lit(2.0), "level")).cast("long")
+    r = r.withColumn("cell", F.explode(F.array_distinct(F.array(cell(F.col("lo")), cell(F.col("hi") - 1)))))
+    p = points.withColumn("level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>"))).withColumn("cell", cell(F.col("o")))
+    return p.join(r, [*by, "level", "cell"]).filter((F.col("lo") <= F.col("o")) & (F.col("o") < F.col("hi"))).drop("level", "cell")
 
 
-def find_log(probes: DataFrame, segments: DataFrame) -> DataFrame:
-    """(run_id, o, offset): for each probe the log segment with the greatest offset <= o.
+def _last_start(points: DataFrame, starts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """points (by, o) with start: the greatest of starts (by, at) that is not above o; points below all of them are left out.
 
-    As-of join without a nested loop: probes and segment starts are merged in
-    offset order for each block of offsets; a block without a start takes the
-    last start before it.
+    As-of join without a nested loop: points and starts are merged in order for
+    each block of offsets; a block without a start takes the last one before it.
     """
     block = 1 << 20
-    s = segments.filter(F.col("kind") == LOG).select("run_id", F.col("offset").alias("at"), F.col("offset").alias("seg"), F.lit(None).cast("long").alias("o")).distinct()
-    p = probes.select("run_id", F.col("o").alias("at"), F.lit(None).cast("long").alias("seg"), "o").distinct()
+    none = F.lit(None).cast("long")
+    s = starts.select(*by, "at", F.col("at").alias("start"), none.alias("o")).distinct()
+    p = points.select(*by, F.col("o").alias("at"), none.alias("start"), "o").distinct()
     both = s.unionByName(p).withColumn("block", F.floor(F.col("at") / block))
-    ends = both.groupBy("run_id", "block").agg(F.max("seg").alias("last"))
-    before = Window.partitionBy("run_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy(*by, "block").agg(F.max("start").alias("last"))
+    before = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("carried", F.max("last").over(before)).drop("last")
-    order = Window.partitionBy("run_id", "block").orderBy("at", F.col("seg").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumn("here", F.max("seg").over(order)).join(ends, ["run_id", "block"])
-    return filled.filter("o IS NOT NULL").select("run_id", "o", F.coalesce("here", "carried").alias("offset")).filter("offset IS NOT NULL")
+    order = Window.partitionBy(*by, "block").orderBy("at", F.col("start").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumn("here", F.max("start").over(order)).join(ends, [*by, "block"])
+    return filled.filter("o IS NOT NULL").select(*by, "o", F.coalesce("here", "carried").alias("start")).filter("start IS NOT NULL")
+
+
+def _snapshot_ranges(segments: DataFrame) -> DataFrame:
+    rows = segments.filter(F.col("kind") == SNAPSHOT)
+    return rows.select("run_id", "offset", "size", F.col("offset").alias("lo"), (F.col("offset") + F.col("size")).alias("hi"))
+
+
+def _logs(segments: DataFrame) -> DataFrame:
+    return segments.filter(F.col("kind") == LOG).groupBy("run_id", "offset").agg(F.max("size").alias("size"))
+
+
+def find_snapshot(probes: DataFrame, segments: DataFrame) -> DataFrame:
+    """(run_id, o, offset, size): for each probe the snapshot with offset <= o < offset + size, the lowest if several."""
+    met = _holding(probes.select("run_id", "o"), _snapshot_ranges(segments), ("run_id",))
+    first = met.groupBy("run_id", "o").agg(F.min_by(F.struct("offset", "size"), "offset").alias("s"))
+    return first.select("run_id", "o", "s.offset", "s.size")
+
+
+def find_log(probes: DataFrame, segments: DataFrame) -> DataFrame:
+    """(run_id, o, offset): for each probe the log segment with the greatest offset <= o."""
+    starts = segments.filter(F.col("kind") == LOG).select("run_id", F.col("offset").alias("at"))
+    return _last_start(probes, starts, ("run_id",)).withColumnRenamed("start", "offset")
 
 
 def resolve_reader(probes: DataFrame, segments: DataFrame) -> DataFrame:
-    """(o, run_id, kind, offset, size): by run ids in order, a snapshot that holds o, else the log segment before it; the first run that has one."""
-    runs = segments.select("run_id").distinct()
-    every = _for_each_run(probes, runs)
-    snap = find_snapshot(every, segments).select("o", "run_id", F.lit(SNAPSHOT).alias("kind"), "offset", "size", F.lit(0).alias("rank"))
-    sizes = segments.filter(F.col("kind") == LOG).groupBy("run_id", "offset").agg(F.max("size").alias("size"))
-    log = find_log(every, segments).join(sizes, ["run_id", "offset"]).select("o", "run_id", F.lit(LOG).alias("kind"), "offset", "size", F.lit(1).alias("rank"))
+    """(o, run_id, kind, offset, size): by run ids in order, a snapshot that holds o, else the log segment before it; the first run that has one.
+
+    A run's logs answer for every o from its first log on. The first run that
+    answers for o is thus the last step before o of a staircase: runs whose
+    first log lies below those of all runs before them.
+    """
+    points = probes.select("o").distinct()
+    snap = _holding(points, _snapshot_ranges(segments)).select("o", "run_id", F.lit(SNAPSHOT).alias("kind"), "offset", "size", F.lit(0).alias("rank"))
+    logs = _logs(segments)
+    # One row for each run.
+    begins = logs.groupBy("run_id").agg(F.min("offset").alias("at"))
+    lower = F.min("at").over(Window.orderBy("run_id").rowsBetween(Window.unboundedPreceding, -1))
+    steps = begins.withColumn("lower", lower).filter(F.col("lower").isNull() | (F.col("at") < F.col("lower"))).select("at", "run_id")
+    at = _last_start(points, steps).join(steps.withColumnRenamed("at", "start"), "start").select("run_id", "o")
+    log = find_log(at, segments).join(logs, ["run_id", "offset"]).select("o", "run_id", F.lit(LOG).alias("kind"), "offset", "size", F.lit(1).alias("rank"))
     best = snap.union(log).groupBy("o").agg(F.min(F.struct("run_id", "rank", "kind", "offset", "size")).alias("b"))
     return best.select("o", "b.run_id", "b.kind", "b.offset", "b.size")
 
 
-def _for_each_run(probes: DataFrame, runs: DataFrame) -> DataFrame:
-    """(run_id, o): each probe under each run id; run ids are collected as one array (a catalogue has a directory for each)."""
-    ids = runs.agg(F.sort_array(F.collect_set("run_id")).alias("ids"))
-    keyed = probes.select("o").distinct().withColumn("k", F.lit(0))
-    return keyed.join(ids.withColumn("k", F.lit(0)), "k").select(F.explode("ids").alias("run_id"), "o")
-
+def available(probes: DataFrame, segments: DataFrame) -> DataFrame:
+    """(o, run_id, kind, n_available): bytes that can be read from o on, in the first run that has any; 0 and no run where none has.
 
-def available(resolved: DataFrame) -> DataFrame:
-    """resolved with n_available: bytes from o to the segment's end; 0 past it."""
-    return resolved.withColumn("n_available", F.greatest(F.col("offset") + F.col("size") - F.col("o"), F.lit(0)))
+    A run has bytes at o if a snapshot holds o, or if the last log segment that
+    begins at o or before it also ends after o.
+    """
+    points = probes.select("o").distinct()
+    following = F.lead("offset").over(Window.partitionBy("run_id").orderBy("offset"))
+    logs = _logs(segments).withColumn("end", F.col("offset") + F.col("size"))
+    logs = logs.withColumn("hi", F.coalesce(F.least("end", following), "end"))
+    snaps = _snapshot_ranges(segments)
+    ranges = snaps.select("run_id", F.lit(0).alias("rank"), F.lit(SNAPSHOT).alias("kind"), "lo", "hi", F.col("hi").alias("end")).union(
+        logs.select("run_id", F.lit(1), F.lit(LOG), "offset", "hi", "end")
+    )
+    best = _holding(points, ranges).groupBy("o").agg(F.min(F.struct("run_id", "rank", "lo", "kind", "end")).alias("b"))
+    found = best.select("o", "b.run_id", "b.kind", (F.col("b.end") - F.col("o")).alias("n_available"))
+    return points.join(found, "o", "left").select("o", "run_id", "kind", F.coalesce("n_available", F.lit(0)).alias("n_available"))
 
 
 def latest(segments: DataFrame) -> DataFrame:

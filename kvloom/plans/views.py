@@ -152,11 +152,11 @@ VIEW_SQL = {
   SELECT run_id, 'aof' AS kind, "offset", size, created_at FROM buckets
   UNION ALL SELECT run_id, 'rdb', "offset", size // 2, created_at FROM buckets WHERE b % 3 = 0""",
     "probes": """
-  SELECT DISTINCT run_id, start_offset + CASE WHEN seq % 2 = 0 THEN 0 ELSE 30000 END AS o FROM offsets WHERE seq % 97 = 0""",
+  SELECT run_id, start_offset AS o FROM offsets UNION SELECT run_id, start_offset + 30000 FROM offsets""",
     "ranges": """
   SELECT (n_nationkey * 37) % 500 AS s, (n_nationkey * 37) % 500 + (n_nationkey % 4) * 9 AS e FROM nation""",
     "saves": """
-  SELECT run_id AS replid, seq, end_offset AS "offset", (epoch_us(ts) // 1000000)::BIGINT AS mtime FROM offsets WHERE seq % 10 = 0""",
+  SELECT run_id AS replid, seq, end_offset AS "offset", (epoch_us(ts) // 1000000)::BIGINT AS mtime FROM offsets""",
 }
 _NEEDS = {
     "offsets": ["commands"], "txn_commands": ["commands"], "buckets": ["offsets"], "segments": ["buckets"], "probes": ["offsets"], "saves": ["offsets"],

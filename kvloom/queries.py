@@ -293,12 +293,12 @@ def crc64(v):
 
 
 def _position_sql() -> str:
-    return "CASE cmd " + " ".join(f"WHEN '{n}' THEN {list(at)}" for n, at in C.positions_by_command().items()) + " END"
+    return "CASE cmd " + " ".join(f"WHEN '{n}' THEN {list(at)}" for n, at in C.KEY_POSITIONS.items()) + " END"
 
 
-@query(f"SELECT cmd, {_position_sql()} AS positions, len(list_filter({_position_sql()}, lambda i: i > 0)) AS n_keys FROM (SELECT unnest([{_list([*C.positions_by_command(), 'UNKNOWNCMD'])}]) AS cmd)".replace(" AS positions", "::VARCHAR AS positions"))
+@query(f"SELECT cmd, {_position_sql()} AS positions, len(list_filter({_position_sql()}, lambda i: i > 0)) AS n_keys FROM (SELECT unnest([{_list([*C.KEY_POSITIONS, 'UNKNOWNCMD'])}]) AS cmd)".replace(" AS positions", "::VARCHAR AS positions"))
 def key_positions(v):
-    d = v.spark.createDataFrame([(n,) for n in [*C.positions_by_command(), "UNKNOWNCMD"]], "cmd string")
+    d = v.spark.createDataFrame([(n,) for n in [*C.KEY_POSITIONS, "UNKNOWNCMD"]], "cmd string")
     at = W.key_positions(c("cmd"))
     shown = F.when(at.isNotNull(), F.concat(lit("["), F.array_join(at.cast("array<string>"), ", "), lit("]")))
     return d.select("cmd", shown.alias("positions"), F.when(at.isNotNull(), F.size(F.filter(at, lambda i: i > 0)).cast("long")).alias("n_keys"))
@@ -306,7 +306,7 @@ def key_positions(v):
 
 @query(with_views("commands") + "SELECT seq, CASE WHEN cmd IN ('SET', 'GET', 'HSET') THEN args[2] WHEN cmd = 'DEL' THEN args[2] END AS first_key, CASE WHEN cmd = 'CONFIG' THEN NULL ELSE 1 END AS n_keys FROM commands")
 def command_keys(v):
-    keys = W.command_keys(c("cmd"), F.slice("args", 2, 100))
+    keys = W.command_keys(c("cmd"), F.slice("args", 2, F.size("args")))
     return v.commands.select("seq", F.get(keys, lit(0)).alias("first_key"), F.when(keys.isNotNull(), F.size(keys)).alias("n_keys"))
 
 
@@ -455,9 +455,18 @@ def reader_resolution(v):
     return S.resolve_reader(v.probes, v.segments)
 
 
-@query(with_views("segments", "probes", more=RESOLVED) + 'SELECT o, run_id, kind, greatest("offset" + size - o, 0) AS n_available FROM best')
+AVAILABLE = """os AS (SELECT DISTINCT o FROM probes),
+last AS (SELECT os.o, s.run_id, max(s."offset") AS "offset" FROM os JOIN segments s ON kind = 'aof' AND s."offset" <= os.o GROUP BY os.o, s.run_id),
+cand AS (
+  SELECT o, s.run_id, 0 AS rank, kind, s."offset" + size - o AS n FROM os JOIN segments s ON kind = 'rdb' AND s."offset" <= o AND o < s."offset" + size
+  UNION ALL
+  SELECT o, last.run_id, 1, kind, s."offset" + size - o FROM last JOIN segments s ON kind = 'aof' AND s.run_id = last.run_id AND s."offset" = last."offset"),
+best AS (SELECT o, arg_min(run_id, (run_id, rank)) AS run_id, arg_min(kind, (run_id, rank)) AS kind, arg_min(n, (run_id, rank)) AS n FROM cand WHERE n > 0 GROUP BY o)"""
+
+
+@query(with_views("segments", "probes", more=AVAILABLE) + "SELECT os.o, run_id, kind, coalesce(n, 0) AS n_available FROM os LEFT JOIN best ON os.o = best.o")
 def available_bytes(v):
-    return S.available(S.resolve_reader(v.probes, v.segments)).select("o", "run_id", "kind", "n_available")
+    return S.available(v.probes, v.segments)
 
 
 @query(with_views("segments") + 'SELECT run_id, kind, max("offset") AS "offset", max_by(size, "offset") AS size FROM segments GROUP BY run_id, kind')
@@ -587,7 +596,9 @@ def checkpoint_cadence(v):
 
 # Replay ----------------------------------------------------------------
 
-ORDERED = "ordered AS (SELECT key, db, rdb_type, expire, value, row_number() OVER (ORDER BY key) AS pos FROM keyspace WHERE starts_with(key, 'part:') OR starts_with(key, 'nation:'))"
+ORDERED = "ordered AS (SELECT key, db, rdb_type, expire, value, row_number() OVER (ORDER BY key) AS pos FROM keyspace)"
+CODE_LEN = "CASE WHEN octet_length(encode(value)) < 64 THEN 1 WHEN octet_length(encode(value)) < 16384 THEN 2 ELSE 5 END"
+PAYLOAD_LEN = f"octet_length(encode(value)) + {CODE_LEN} + 11"
 
 
 def _ordered(v: Views) -> DataFrame:
@@ -600,7 +611,7 @@ def select_switches(v):
     return P.select_switches(_ordered(v))
 
 
-@query(with_views("keyspace") + "SELECT key, db, octet_length(encode(value)) + 1 + 11 AS n FROM keyspace WHERE octet_length(encode(value)) BETWEEN 1 AND 63")
+@query(with_views("keyspace") + f"SELECT key, db, {PAYLOAD_LEN} AS n FROM keyspace")
 def dump_payload_len(v):
     return v.keyspace.select("key", "db", P.dump_length(P.string_raw(c("value"))).alias("n"))
 
@@ -611,7 +622,7 @@ def dump_payload(v):
 
 
 @query(with_views("keyspace", more=ORDERED) + f"""SELECT pos, db, 5 AS n_args, 'RESTORE' AS cmd, key, CASE WHEN expire > TIMESTAMP '{NOW}' THEN epoch_ms(expire) - epoch_ms(TIMESTAMP '{NOW}') ELSE 0 END::VARCHAR AS ttl,
-  octet_length(encode(value)) + 1 + 11 AS payload_len FROM ordered""")
+  {PAYLOAD_LEN} AS payload_len FROM ordered""")
 def restore_commands(v):
     d = _ordered(v).withColumn("raw_value", P.string_raw(c("value")))
     out = P.restore_commands(d, lit(NOW).cast("timestamp"))
@@ -640,10 +651,13 @@ def sync_metrics(v):
     return _metrics(v)
 
 
-@query(with_views("commands", more=METRIC_SQL) + """SELECT 'aof_commands_total' AS name, 'aof_commands_total ' || aof_commands_total AS line FROM m
-  UNION ALL SELECT 'filtered_commands_total', 'filtered_commands_total ' || filtered_commands_total FROM m UNION ALL SELECT 'sync_errors_total', 'sync_errors_total ' || sync_errors_total FROM m""")
+GAUGE = "rtrim(rtrim(printf('%.6f', {0}), '0'), '.')"
+
+
+@query(with_views("commands", more=METRIC_SQL) + " UNION ALL ".join(
+    f"SELECT '{n}' AS name, '{n} ' || {GAUGE.format(n) if i < 2 else n} AS line FROM m" for i, n in enumerate(C.METRICS)))
 def prometheus_text(v):
-    return P.prometheus_text(_metrics(v)).filter(c("name").endswith("total"))
+    return P.prometheus_text(_metrics(v))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
