@@ -26,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kvloom.llm.bpe import Memory, Words, chunks, default_vocabulary, loaded
-from kvloom.llm.common import scratch_dir, shuffle_partitions, table
+from kvloom.llm.bpe import Memory, Words, default_vocabulary, loaded, pieces
+from kvloom.llm.common import materialize, scratch_dir, shuffle_partitions, table, tidy
 
 MAGIC = b"KVSST1\x00\n"
 #: index offset, bloom offset, entries, ids, blocks, bloom bits, hash places, id width, null key present, magic
@@ -71,7 +72,8 @@ def _read_varint(buf, at: int) -> tuple[int, int]:
 
 
 def _places(key: bytes, bits: int, hashes: int) -> list[int]:
-    a, b = zlib.crc32(key), zlib.crc32(key, 0x9E3779B9) | 1
+    h = xxhash.xxh3_64_intdigest(key)
+    a, b = h & 0xFFFFFFFF, h >> 32 | 1
     return [(a + i * b) % bits for i in range(hashes)]
 
 
@@ -177,30 +179,22 @@ class Shard:
 
 
 class LibraryIds:
-    """Ids of the tokenizers library's model, as little-endian u32; each distinct chunk is encoded once while it is remembered."""
+    """Ids of the tokenizers library's model, as little-endian u32; each distinct word is encoded once while it is remembered."""
 
     def __init__(self, path: str):
         self.words = Words(path)
         self.tokenize = self.words.library.model.tokenize
-        #: ASCII words and chunks have one memory: a lower-case word is its own chunk. Other words are in the vocabulary's alphabet.
-        self.memory = Memory(self._chunk, 300_000)
-        self.other = Memory(self._word, 100_000)
-
-    def _word(self, word: str) -> bytes:
-        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(word)])
-
-    def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha() and chunk.islower():
-            return self._word(chunk)
-        words = self.words.split(chunk)
-        if words == [chunk] and chunk.isascii():
-            return self._word(chunk)
-        ascii_chunk = chunk.isascii() and chunk.isprintable() and "<|" not in chunk
-        return b"".join([w.to_bytes(4, "little") if isinstance(w, int) else self.memory[w] if ascii_chunk and w != chunk else self.other[w] for w in words])
+        self.memory = Memory(self._piece, 250_000)
+
+    def _piece(self, piece: str) -> bytes:
+        ids: list[int] = []
+        for w in self.words.split(piece):
+            ids += [w] if isinstance(w, int) else [t.id for t in self.tokenize(w)]
+        return b"".join([i.to_bytes(4, "little") for i in ids])
 
     def __call__(self, text: str) -> bytes:
         memory = self.memory
-        return b"".join([memory[c] for c in chunks(text)])
+        return b"".join([memory[p] for p in pieces(text)])
 
 
 def write_shards(docs: DataFrame, out: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -233,7 +227,7 @@ def write_shards(docs: DataFrame, out: str, path: str | None = None, id_col: str
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         .repartitionByRange(shuffle_partitions(docs.sparkSession), "id")
         .sortWithinPartitions("id", "text")
-        .mapInArrow(shards, "shard binary")
+        .mapInArrow(tidy(shards), "shard binary")
         .select(F.col("shard").cast("string").alias("value"))
         .write.mode("overwrite").option("maxRecordsPerFile", 1).option("compression", "none").text(out)
     )
@@ -279,7 +273,7 @@ def lookup(spark: SparkSession, folder: str, doc_ids: list[int]) -> DataFrame:
 
 
 def digest_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of all documents in the shards."""
+    """(doc_id, start, n_tokens, ids_crc32) of all documents in the shards. Every file is read once; what follows reads the digests only."""
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
 
     def per_doc(batches):
@@ -295,18 +289,11 @@ def digest_shards(spark: SparkSession, folder: str) -> DataFrame:
                 arrays = [pa.array([name] * len(doc), pa.string()), *[pa.array(x, pa.int64()) for x in (doc, at, n, crc)]]
                 yield pa.RecordBatch.from_arrays(arrays, names=["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    def footers(batches):
-        for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                shard = Shard(data.as_py())
-                arrays = [pa.array([name], pa.string()), pa.array([shard.firsts[0]], pa.binary()), pa.array([shard.n_ids], pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["shard", "first", "n_ids"])
-
-    totals = files.mapInArrow(footers, "shard string, first binary, n_ids long")
+    rows = materialize(files.mapInArrow(tidy(per_doc), "shard string, doc_id long, at long, n_tokens long, ids_crc32 long"), "sst-digests")
     # One row for each shard of SHARD_BYTES; shards that begin with the same repeated id follow in file order.
-    before = Window.orderBy("first", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("shard").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("null"), F.sum("n_tokens").alias("n_ids"))
+    before = Window.orderBy(F.desc("null"), F.asc_nulls_first("first"), "shard").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).select("shard", "base")
-    rows = files.mapInArrow(per_doc, "shard string, doc_id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(totals, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
