@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import same
@@ -131,9 +133,9 @@ def brute_repeats(rows):
     return out
 
 
-def check_repeats(spark, rows):
+def check_repeats(spark, rows, **limits):
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("found", F.lit(1)).withColumn("z", F.lit(1))
-    got = {r[0]: (r[1], r[2], r[3], bytes(r[4])) for r in repeats.remove_repeats(d).collect()}
+    got = {r[0]: (r[1], r[2], r[3], bytes(r[4])) for r in repeats.remove_repeats(d, **limits).collect()}
     assert got == brute_repeats(rows)
 
 
@@ -144,27 +146,71 @@ def test_repeats_against_brute_force(spark):
     check_repeats(spark, rows)
 
 
+def test_a_transform_is_in_suffix_order_and_steps_back():
+    rnd = random.Random(2)
+    for _ in range(60):
+        texts = ["".join(rnd.choices("ab", k=rnd.randint(0, 30))).encode() for _ in range(rnd.randint(1, 8))]
+        t = repeats.Transform(np.frombuffer(b"".join(texts), "u1"), np.array([len(x) for x in texts]))
+        # Terminators are less than all bytes and ordered by their string.
+        suffixes = sorted(([(1, c) for c in x[i:]] + [(0, j)], j, i) for j, x in enumerate(texts) for i in range(len(x) + 1))
+        assert list(zip(t.string, t.offset, strict=True)) == [(j, i) for _, j, i in suffixes]
+        for place, (_, j, i) in enumerate(suffixes):
+            assert t.last[place] == (texts[j][i - 1] + 1 if i else 0)
+            assert not i or (t.string[t.step[place]], t.offset[t.step[place]]) == (j, i - 1)
+
+
+@pytest.mark.parametrize("shards,limit", [(1, 10**6), (4, 10**6), (9, 10)])
+def test_interleaving_gives_the_intervals_of_common_prefixes(monkeypatch, shards, limit):
+    """Several shards, of which none has sorted another's suffixes."""
+    monkeypatch.setattr(repeats, "MERGE_WINDOWS", limit)
+    rnd = random.Random(shards)
+    for rounds in (2, 3, 6):
+        made = [["".join(rnd.choices("abc", k=rnd.randint(0, 25))).encode() for _ in range(rnd.randint(1, 5))] for _ in range(shards)]
+        ts = [repeats.Transform(np.frombuffer(b"".join(x), "u1"), np.array([len(y) for y in x])) for x in made]
+        where = [(s, j, i) for s, t in enumerate(ts) for j, i in zip(t.string.tolist(), t.offset.tolist(), strict=True)]
+        want = {}
+        for s, x in enumerate(made):
+            for j, y in enumerate(x):
+                for i in range(len(y) - rounds + 1):
+                    want.setdefault(y[i : i + rounds], set()).add((s, j, i))
+        entry, interval = repeats.interleave(ts, rounds)
+        got = {}
+        for e, k in zip(entry.tolist(), interval.tolist(), strict=True):
+            got.setdefault(k, set()).add(where[e])
+        assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
 def test_repeats_in_pieces_and_parts(spark, monkeypatch):
-    """Small limits: long texts are hashed in pieces, shards and merges are many."""
+    """Small limits: texts are hashed in pieces, items are cut, shards and merges are many, all anchors are hot."""
     rnd = random.Random(8)
     long = "".join(rnd.choices("abcdefgh \n", k=1500))
     rows = [(i, long[rnd.randrange(400) : rnd.randrange(600, 1500)] + "".join(rnd.choices("xyz", k=50))) for i in range(30)]
-    got = brute_repeats(rows)
-    for name, value in (("PIECE", 256), ("SHARD_ITEMS", 40), ("MERGE", 2000), ("MERGE_WINDOWS", 500)):
+    rows += [(40, "x" * 900), (41, "ab" * 300 + long[:200]), (42, long[:130] * 3)]
+    for name, value in (("PIECE", 256), ("SHARD_ITEMS", 40), ("SHARD", 700), ("MERGE", 20_000), ("MERGE_WINDOWS", 500), ("ITEM_WINDOWS", 64), ("HOT", 0)):
         monkeypatch.setattr(repeats, name, value)
-    data = {}
-    for i, t in sorted(rows):
-        parts = list(repeats._pieces(t.encode()))
-        data[i] = sum(len(p) - 99 for _, p in parts)
-        assert data[i] == len(t) - 99
-    x = [(__import__("numpy").frombuffer(t.encode(), "u1"), __import__("numpy").array([len(t)])) for _, t in sorted(rows)]
-    place, first = repeats.merge_shards(x)
-    joined = b"".join(t.encode() for _, t in sorted(rows))
-    assert all(joined[p : p + 100] == joined[f : f + 100] and f < p for p, f in zip(place, first, strict=True))
+    for _, t in rows:
+        assert sum(len(p) - 99 for _, p in repeats._pieces(t.encode())) == len(t) - 99
+    x = [t.encode() for _, t in sorted(rows)]
+    joined = b"".join(x)
+    place, first = repeats.repeated_windows(np.frombuffer(joined, "u1"), np.array([len(t) for t in x]))
+    assert len(place) and all(joined[p : p + 100] == joined[f : f + 100] and f < p for p, f in zip(place, first, strict=True))
     hit = bytearray(len(joined))
     for p in place:
         hit[p : p + 100] = b"\1" * 100
-    assert sum(hit) == sum(v[1] for v in got.values())
+    assert sum(hit) == sum(v[1] for v in brute_repeats(rows).values())
+    data = [(i, 7, at, p) for i, t in rows for at, p in repeats._pieces(t.encode())]
+    for _, _, at, p in data:
+        anew = repeats._filed_anew(p, at)
+        assert sum(n for _, _, n, _ in anew) == max(0, len(p) - 99) and all(len(d) == n + 99 and d == p[a - at : a - at + n + 99] for _, a, n, d in anew)
+    check_repeats(spark, rows, hot=0)
+
+
+def test_repeats_of_rows_that_repeat_an_id(spark):
+    a, b, c = ("".join(random.Random(i).choices("abcdefgh ", k=400)) for i in range(3))
+    for rows, lost in (([(3, a), (3, a)], {0}), ([(4, a), (4, b)], {0}), ([(4, a), (4, a + b), (4, a)], {0, 400}), ([(1, c), (4, a), (4, c), (4, c)], {0, 400})):
+        d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = repeats.remove_repeats(d).collect()
+        assert len(got) == len(rows) and {r.n_removed for r in got} == lost
 
 
 def test_repeats_empty_and_null_ids(spark):
