@@ -1,30 +1,20 @@
-"""A query set against all rows, in blocks of bounded size.
-
-Rows are hashed into data blocks, queries into query blocks; each pair of
-blocks meets in one task and returns every query's best few. Blocks hold at
-most about ``DATA_ROWS`` rows and ``QUERY_ROWS`` queries, at any table size.
-"""
+"""Vectors as rows and matrices, and the choice of the best of them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kvloom.llm.common import shuffle_partitions
-
-DATA_ROWS = 65_536
-QUERY_ROWS = 16_384
+from kvloom.llm.common import quoted
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, vector array<double>, dim): rows with an id and a non-empty vector of finite components."""
     inf = F.lit(float("inf"))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == inf))
-    rows = df.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    rows = df.select(F.col(quoted(id_col)).alias("vec_id"), F.col(quoted(vector_col)).cast("array<double>").alias("vector"))
     return rows.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & ~bad).withColumn("dim", F.size("vector"))
 
 
@@ -61,30 +51,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def search_blocks(data: DataFrame, queries: DataFrame, search: Callable, k: int, score_type: str) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k best.
-
-    data and queries have vec_id, vector, dim and may have more columns;
-    search(dim, query table, data table) gives (query_id, vec_id, score) arrays
-    of one block pair. Vectors meet vectors of their own length only.
-    """
-    n, q = data.count(), queries.count()
-    n_blocks = max(shuffle_partitions(data.sparkSession), -(-n // DATA_ROWS))
-    q_blocks = max(1, -(-q // QUERY_ROWS))
-    place = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = queries.withColumn("data_block", every(n_blocks)).withColumn("query_block", place(q_blocks))
-    right = data.withColumn("data_block", place(n_blocks)).withColumn("query_block", every(q_blocks))
-    keys = ["dim", "data_block", "query_block"]
-    kind = pa.int64() if score_type == "long" else pa.float64()
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not len(a) or not len(b):
-            found = [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-        else:
-            found = search(a.column("dim")[0].as_py(), a, b)
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], kind)})
-
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, f"query_id long, vec_id long, score {score_type}")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def ranked(found: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), score: str = "score") -> DataFrame:
+    """found with rank: the k highest scores of each query, ties to the smaller vec_id."""
+    order = Window.partitionBy(*by).orderBy(F.desc(score), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -14,11 +14,10 @@ every text.
 from __future__ import annotations
 
 import math
-import re
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +32,9 @@ SMOOTH = 0.5
 #: Known chunks in a worker's memory, times languages.
 MEMORY = 1_000_000
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: A letter is the same for training, prediction and ``und``: numerals and marks are none.
+NO_LETTERS = r"[^\p{L}]+"
+LETTERS = regex.compile(r"\p{L}+")
 
 
 def _top(counted: DataFrame, key: str, most: int) -> dict[str, dict[str, int]]:
@@ -121,7 +122,7 @@ def train(labelled: DataFrame) -> Model:
     rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     chosen = rows.select("doc_id").orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(MAX_TRAIN).distinct()
     sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi")  # MAX_TRAIN ids
-    words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).filter("word <> ''")
+    words = sample.select("lang", F.explode(F.split(F.lower("text"), NO_LETTERS)).alias("word")).filter("word <> ''")
     words = words.groupBy("lang", "word").agg(F.count("*").alias("n")).cache()
     try:
         langs = sorted(r[0] for r in words.select("lang").distinct().collect())

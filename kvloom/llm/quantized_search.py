@@ -4,23 +4,23 @@ Vectors are scaled to length 1 and cut into pairs of components; each pair is
 coded by one of 16 centroids, four bits. Codes and centroids minimise a loss
 that weighs the residual parallel to the vector ``eta`` times as much as the
 rest, since that part moves the largest inner products. A query makes a table
-of 16 partial products for each pair, adds table entries over all codes of a
-block, and scores the best of them exactly.
+of 16 partial products for each pair and adds table entries over the codes of
+all rows, in blocks. The RERANK rows of the highest sums, over all blocks
+together, are scored exactly, from the original vectors in double precision.
 
 The codebook is fitted on a bounded sample (``MAX_TRAIN`` rows, the smallest by
-a hash of their id). Every row is coded and scanned; exact scores come from the
-original vectors in double precision.
+a hash of their id). Every row is coded and scanned.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kvloom.llm.blocks import best, distinct_rows, matrix, search_blocks, usable
-from kvloom.llm.common import table
+from kvloom.llm.blocks import best, matrix, ranked, usable
+from kvloom.llm.common import materialize, table, tidy
 
 MAX_TRAIN = 10_000
 CENTROIDS = 16
@@ -29,8 +29,10 @@ PAIR = 2
 THRESHOLD = 0.2
 ROUNDS, PASSES = 8, 2
 K = 5
-#: Candidates scored exactly in a block: this many, or the block's rows over RERANK_SHARE.
-RERANK, RERANK_SHARE = 128, 32
+#: Candidates of a query that are scored exactly, of the whole table.
+RERANK = 64
+#: Codes of a block, queries that meet it in one task.
+BLOCK_ROWS, QUERY_ROWS = 65_536, 256
 
 
 class Codebook:
@@ -123,24 +125,33 @@ def scan(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
 
 
 def train(rows: DataFrame) -> dict[int, Codebook]:
-    """A codebook for each vector length in the sample."""
-    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("dim", "vector").limit(MAX_TRAIN).collect()  # bounded
+    """A codebook for each vector length; they share the sample."""
+    lengths = rows.select("dim").distinct().count()
+    order = Window.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id")
+    sample = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(1, MAX_TRAIN // max(1, lengths)))
     by_dim: dict[int, list] = {}
-    for r in got:
+    for r in sample.select("dim", "vector", "place").orderBy("dim", "place").collect():  # bounded
         by_dim.setdefault(r["dim"], []).append(r["vector"])
     return {d: Codebook(d, np.array(v)) for d, v in by_dim.items()}
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, rerank: int = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score): about each query's k largest cosines, with exact scores.
 
     Defined cases: rows with a null id, and null, empty or zero vectors or such
     with null or non-finite components, take no part; vectors of different
-    length don't meet; lengths that the sample lacks are scored exactly; a query
-    doesn't meet its own id; rows that repeat id and vector count once; equal
-    scores go to the smaller id; fewer candidates give fewer rows.
+    length don't meet; a query doesn't meet its own id; rows that repeat id and
+    vector count once; equal scores go to the smaller id; fewer candidates give
+    fewer rows.
     """
     books = train(vectors)
+    rerank = max(rerank, k)
+    n_blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
+    asked = queries.select(F.col("vec_id").alias("query_id"), "vector", "dim").distinct().withColumn("hash", F.xxhash64("query_id", "vector"))
+    asked = materialize(asked, "ann-queries")
+    chunks = max(1, -(-asked.count() // QUERY_ROWS))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     def code(batches):
         for b in batches:
@@ -148,39 +159,47 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             codes: list = [None] * len(dims)
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                if int(d) in books:
-                    for i, c in zip(at, books[int(d)].encode(matrix(b.column(1).take(pa.array(at)), int(d))), strict=True):
-                        codes[i] = c.tobytes()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.binary())], names=["vec_id", "vector", "dim", "code"])
-
-    def search(dim: int, a, b):
-        q, x = (matrix(t.column("vector"), dim) for t in (a, b))
-        q_ids, ids = (t.column("vec_id").to_numpy() for t in (a, b))
-        keep = distinct_rows(ids, x, k + 1)
-        x, ids = x[keep], ids[keep]
-        length = np.sqrt((x * x).sum(axis=1))
-        book = books.get(dim)
-        if book:
-            raw = b.column("code").to_pylist()
-            codes = np.ascontiguousarray(np.stack([np.frombuffer(raw[i], np.uint8) for i in keep]).T)
-        some = max(RERANK, len(x) // RERANK_SHARE)
-        out: list[list] = [[], [], []]
-        once = distinct_rows(q_ids, q, len(q))
-        for i, v in zip(q_ids[once], q[once], strict=True):
-            if book and len(x) > some:
-                rows = np.argpartition(scan(codes, book.tables(v)), len(x) - some)[len(x) - some :]
-            else:
-                rows = np.arange(len(x))
-            rows = rows[ids[rows] != i]
-            exact = (x[rows] * v).sum(axis=1) / (length[rows] * np.sqrt((v * v).sum()))
-            top = rows_of = best(exact, ids[rows], k)
-            out[0] += [int(i)] * len(top)
-            out[1] += ids[rows[rows_of]].tolist()
-            out[2] += exact[top].tolist()
-        return out
-
-    coded = vectors.mapInArrow(code, "vec_id long, vector array<double>, dim int, code binary")
-    return search_blocks(coded, queries, search, k, "double")
+                for i, c in zip(at, books[int(d)].encode(matrix(b.column(1).take(pa.array(at)), int(d))), strict=True):
+                    codes[i] = c.tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(codes, pa.binary())], names=["vec_id", "dim", "code"])
+
+    def look(a: pa.Table, b: pa.Table) -> pa.Table:
+        """The rerank highest sums of each query over a block's codes, ties to the smaller id."""
+        out: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]]
+        if len(a) and len(b):
+            dim = a.column("dim")[0].as_py()
+            ids, book = b.column("vec_id").to_numpy(), books[dim]
+            codes = np.ascontiguousarray(np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(ids), -1).T)
+            for i, h, v in zip(a.column("query_id").to_pylist(), a.column("hash").to_pylist(), matrix(a.column("vector"), dim), strict=True):
+                sums = scan(codes, book.tables(v))
+                sums[ids == i] = -np.inf
+                rows = best(sums, ids, rerank)
+                rows = rows[ids[rows] != i]
+                for x, y in zip(out, (np.full(len(rows), i), np.full(len(rows), h), ids[rows], sums[rows]), strict=True):
+                    x.append(y)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float32()]
+        return pa.table([pa.array(np.concatenate(x), kind) for x, kind in zip(out, kinds, strict=True)], names=["query_id", "hash", "vec_id", "near"])
+
+    def exact(batches):
+        for b in batches:
+            dims, score = b.column("dim").to_numpy(), np.zeros(len(b))
+            for d in np.unique(dims):
+                at = np.flatnonzero(dims == d)
+                x, v = (matrix(b.column(c).take(pa.array(at)), int(d)) for c in ("vector", "asked"))
+                score[at] = (x * v).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((v * v).sum(axis=1)))
+            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("vec_id"), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    # Rows that repeat id and vector are one candidate; those of one id with other vectors are told apart when scored.
+    coded = vectors.select("vec_id", "vector", "dim").mapInArrow(tidy(code), "vec_id long, dim int, code binary").distinct()
+    left = asked.withColumn("block", every(n_blocks)).withColumn("chunk", place("hash", chunks))
+    right = coded.withColumn("block", place("vec_id", n_blocks)).withColumn("chunk", every(chunks))
+    by = ["dim", "block", "chunk"]
+    met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(look, "query_id long, hash long, vec_id long, near float")
+    pairs = materialize(ranked(met, rerank, ("query_id", "hash"), "near").select("query_id", "hash", "vec_id").distinct(), "ann-candidates")
+    pairs = pairs.join(asked.select("hash", F.col("query_id").alias("q"), F.col("vector").alias("asked"), "dim"), ["hash"]).filter("q = query_id")
+    rows = pairs.join(vectors.select("vec_id", "vector", F.col("dim").alias("d")), "vec_id").filter("d = dim")
+    scored = rows.select("query_id", "vec_id", "dim", "vector", "asked").mapInArrow(tidy(exact), "query_id long, vec_id long, score double")
+    return ranked(scored.distinct(), k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

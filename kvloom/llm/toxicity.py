@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kvloom.llm.common import each_batch, materialize, spread, table
+from kvloom.llm.common import each_batch, materialize, spread, table, unused
 from kvloom.llm.language import fold
 
 MAX_TRAIN = 20_000
@@ -248,16 +249,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """docs: (doc_id, text); labels: (doc_id, toxic), only rows that may be learned from."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(MAX_TRAIN)
-    sample = materialize(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text"), "toxic-sample")  # MAX_TRAIN rows
-    lexicon = learn_lexicon(sample)
-    # Rows that repeat an id can exceed MAX_TRAIN; the limit keeps what the driver gets bounded.
-    rows = _features(spread(sample), lexicon).withColumn("part", F.xxhash64(F.lit("part"), "doc_id") % CALIBRATION == 0).orderBy("doc_id", "x").limit(2 * MAX_TRAIN).collect()
+    # Of rows that repeat an id the least text stands for all: MAX_TRAIN rows.
+    sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    calibrates = F.xxhash64(F.lit("part"), "doc_id") % CALIBRATION == 0
+    sample = materialize(sample, "toxic-sample")
+    # The calibrating part must not have helped to choose the words.
+    lexicon = learn_lexicon(sample.filter(~calibrates))
+    rows = _features(spread(sample), lexicon).withColumn("part", calibrates).orderBy("doc_id").collect()
     x = np.array([r["x"] for r in rows]).reshape(-1, len(NAMES))
     return Model(lexicon, x, np.array([float(r["toxic"]) for r in rows]), np.array([r["part"] for r in rows], bool))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with a column __score added.
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "__score") -> DataFrame:
+    """docs with the score added as the column ``name``, which docs must not have.
 
     Defined cases: null and empty texts are scored by the model as texts of no
     words; without training rows every score is 0, with one class only it is
@@ -266,13 +270,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)  # lexicon and trees: bounded
     made: dict = {}
     place = docs.columns.index(text_col)
-    schema = docs.withColumn("__score", F.lit(0.0)).schema
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         if "f" not in made:
             made["f"] = Featurizer(shared.value.lexicon)
         x = np.array([made["f"](t.as_py()) for t in b.column(place)]).reshape(-1, len(NAMES))
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value(x), pa.float64())], names=[*b.schema.names, "__score"])
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value(x), pa.float64())], names=[*b.schema.names, name])
 
     return docs.mapInArrow(each_batch(batch), schema)
 
@@ -284,7 +288,8 @@ def learnable(labels: DataFrame) -> DataFrame:
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that score 0.5 or more; columns unchanged."""
     model = train(docs.select("doc_id", "text"), learnable(labels))
-    return score(docs, model).filter(F.col("__score") < 0.5).drop("__score")
+    name = unused(docs, "__score")
+    return score(docs, model, name=name).filter(F.col(name) < 0.5).drop(name)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

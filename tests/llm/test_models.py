@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -43,22 +45,41 @@ def test_products_against_brute_force(spark):
     assert mtree.top_products(d.limit(0), d.limit(0)).count() == 0
 
 
-def test_tree_prunes_and_is_exact(monkeypatch):
-    monkeypatch.setattr(mtree, "PAGE", 16)
+def test_tree_prunes_and_is_exact():
+    """With the shipped pages: several nodes are opened and fewer products computed than there are rows."""
     rng = np.random.default_rng(1)
     x = np.floor(64 * (rng.normal(size=(40, 1, 8)) * 4 + rng.normal(size=(40, 50, 8)) * 0.2).reshape(-1, 8))
-    tree = mtree.MTree(x, np.arange(len(x)))
+    tree = mtree.MTree.build(np.arange(len(x)), x)
     for q in range(0, 2000, 97):
         ids, scores = tree.search(x[q], q, 10)
         s = x @ x[q]
         s[q] = -np.inf
         want = np.lexsort((np.arange(len(x)), -s))[:10]
         assert ids.tolist() == want.tolist() and scores.tolist() == s[want].tolist()
-    assert tree.computed < 0.7 * 21 * len(x)
-    same_point = mtree.MTree(np.ones((500, 3)), np.arange(500))
+    assert tree.opened > 2 * 21 and tree.computed < 0.5 * 21 * len(x)
+    same_point = mtree.MTree.build(np.arange(500), np.ones((500, 3)))
     assert same_point.search(np.ones(3), 3, 4)[0].tolist() == [0, 1, 2, 4]
 
 
+def test_bounds_go_on_from_cell_to_cell(spark, monkeypatch):
+    """Many cells and trees; clustered vectors, of which most cells need no visit."""
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(30, 1, 6)) * 3 + rng.normal(size=(30, 60, 6)) * 0.1).reshape(-1, 6).astype("f4")
+    x[:90] = x[0]
+    d = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    for name, value in (("TREE_ROWS", 50), ("QUERY_ROWS", 30)):
+        monkeypatch.setattr(mtree, name, value)
+    got: dict = {}
+    for r in mtree.top_products(d, d.filter("vec_id % 20 = 0"), 7).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    y = np.floor(64 * x.astype(float))
+    for q in range(0, len(x), 20):
+        s = y @ y[q]
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(len(x)), -s))[:7]
+        assert sorted(got[q]) == [(k + 1, i, int(s[i])) for k, i in enumerate(want.tolist())]
+
+
 def test_large_components_stay_exact(spark):
     big = [(i, [float(2**23 + i), float(i)]) for i in range(30)]
     d = vectors(spark, big)
@@ -68,8 +89,8 @@ def test_large_components_stay_exact(spark):
     assert r.score == sum(a * b for a, b in zip(q, v, strict=True)) and r.vec_id == 29
 
 
-def test_nearest_recall_and_scores(spark, monkeypatch):
-    monkeypatch.setattr(quantized_search, "RERANK", 40)
+def test_nearest_recall_and_scores(spark):
+    """With the shipped share of exact scores: 64 of 3,000 rows, so the codes decide."""
     rows = sample(3000, 16, 2) + [(5000, [0.0] * 16), *BAD]
     d = vectors(spark, rows).filter(F.exists("vector", lambda x: x != 0))
     got: dict = {}
@@ -113,6 +134,55 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_scores_equal_plain_python(spark):
+    """Words and n-grams counted and backed off in plain Python."""
+    import math
+    from collections import Counter
+
+    import regex
+
+    rng = random.Random(9)
+    pool = {"en": "the cat sat on mats".split(), "de": "der hund über straße läuft".split(), "fr": "le chât déjà là".split()}
+    docs = [(i, " ".join(rng.choices(pool[g], k=rng.randint(1, 9))) + rng.choice([".", " 12", "", "½"]), g) for i in range(60) for g in [rng.choice(list(pool))]]
+    model = language.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    letters = lambda t: regex.findall(r"\p{L}+", t.lower())
+    langs = sorted({g for _, _, g in docs})
+    words = {g: Counter(w for _, t, h in docs if h == g for w in letters(t)) for g in langs}
+    grams = {n: {g: Counter() for g in langs} for n in range(1, language.LONGEST + 1)}
+    for g in langs:
+        for w, c in words[g].items():
+            p = f"^{w}$"
+            for n in grams:
+                for i in range(len(p) - n + 1):
+                    grams[n][g][p[i : i + n]] += c
+
+    def logs(table, key):
+        keys = set().union(*table.values())
+        if key not in keys:
+            return None
+        return [math.log((table[g][key] + language.SMOOTH) / (sum(table[g].values()) + language.SMOOTH * len(keys))) for g in langs]
+
+    def score(word):
+        if (known := logs(words, word)) is not None:
+            return known
+        p = f"^{word}$"
+        for n in range(language.LONGEST, 0, -1):
+            found = [x for i in range(len(p) - n + 1) if (x := logs(grams[n], p[i : i + n])) is not None]
+            if found:
+                return [sum(c) / len(found) for c in zip(*found, strict=True)]
+        return [0.0] * len(langs)
+
+    odd = [(1, "The catmat"), (2, "hundstraße!!"), (3, "½² Ⅷ ①"), (4, "déjà-vu the"), (5, "xyz"), (6, "e\u0301té"), (7, None), (8, "中文")]
+    for r in language.predict(spark.createDataFrame(odd, "doc_id long, text string"), model).collect():
+        found = letters(dict(odd)[r.doc_id] or "")
+        if not found:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        total = [sum(c) for c in zip(*map(score, found), strict=True)]
+        p = [math.exp(t - max(total)) for t in total]
+        assert r.lang_pred == langs[p.index(max(p))] and abs(r.score - max(p) / sum(p)) < 1e-9
+
+
 def test_language_of_odd_rows(spark):
     docs = [(i, t, g) for i, (t, g) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 10)]
     model = language.train(spark.createDataFrame([*docs, (50, None, "en"), (51, "x", None)], "doc_id long, text string, lang string"))
@@ -162,6 +232,37 @@ def test_toxicity_of_odd_rows(spark):
     assert {r["__score"] for r in toxicity.score(d, one).collect()} == {0.0}
 
 
+def test_toxicity_scores_equal_plain_python(spark):
+    """Trees walked one by one in plain Python over features counted one by one."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = toxicity.train(docs, toxicity.learnable(spark.read.parquet(f"{sf}/labels.parquet")))
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "½ " * 5000), (-4, "YOU!!! " * 300 + "x"), (-4, "y0u")], "doc_id long, text string")
+    f = toxicity.Featurizer(model.lexicon)
+    weight = dict(model.lexicon)
+    for r in toxicity.score(docs.union(odd), model, name="s").collect():
+        text = r.text or ""
+        codes = [f.classify(w) for w in text.split()]
+        hits = [model.lexicon[c - 1][0] for c in codes if 0 < c < toxicity.SECOND]
+        n, raw = max(1, len(codes)), text.encode()
+        x = f(text)
+        assert x[0] == len(hits) / n and x[2] == len(hits) and abs(x[1] - sum(weight[w] for w in hits) / n) < 1e-12
+        at, you = ([i for i, c in enumerate(codes) if test(c)] for test in (lambda c: 0 < c < toxicity.SECOND, lambda c: c == toxicity.SECOND))
+        assert x[4] == sum(any(abs(i - j) <= toxicity.NEAR for j in you) for i in at)
+        assert abs(x[5] - sum(65 <= b < 91 for b in raw) / max(1, len(raw))) < 1e-12
+        total = model.trees.start
+        for feature, cut, value in model.trees.trees:
+            node = 1
+            while feature[node] >= 0:
+                j = feature[node]
+                node = 2 * node + int(sum(e <= x[j] for e in model.trees.edges[j]) > cut[node])
+            total += value[node]
+        a, p = model.at, model.probability
+        k = sum(v <= total for v in a)
+        flat = p[0] if k == 0 else p[-1] if k == len(a) else p[k - 1] + (p[k] - p[k - 1]) * (total - a[k - 1]) / (a[k] - a[k - 1])
+        assert abs(r.s - min(1, max(0, 0.999 * flat + 0.001 / (1 + np.exp(-total))))) < 1e-9
+
+
 def test_isotonic():
     at, p = toxicity.isotonic(np.array([1.0, 2, 3, 4, 5]), np.array([0.0, 1, 0, 1, 1]))
     assert (np.diff(p) > 0).all() and (np.diff(at) > 0).all() and p[0] == 0 and p[-1] == 1
