@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kvloom.llm.common import each_batch, spread, table
+from kvloom.llm.common import each_batch, quoted, spread, table
 
 #: Words in each of the two generations of a worker's memory.
 MEMORY = 200_000
@@ -264,7 +264,7 @@ def encode_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
         ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes[1:], pa.int64()), ids], names=schema.names)
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(each_batch(batch), schema)
+    return docs.select(F.col(quoted(id_col)), F.col(quoted(text_col))).mapInArrow(each_batch(batch), schema)
 
 
 def digest_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,7 +285,7 @@ def digest_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
             two.append(hashlib.sha256(decoded).hexdigest())
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], names=schema.names)
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(each_batch(batch), schema)
+    return docs.select(F.col(quoted(id_col)), F.col(quoted(text_col))).mapInArrow(each_batch(batch), schema)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

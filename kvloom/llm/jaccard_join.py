@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvloom.llm.common import give_back, materialize, table, tidy
+from kvloom.llm.common import columns_of, give_back, materialize, quoted, table, tidy, unused
 from kvloom.llm.components import components
 
 WIDTH = 5
@@ -88,7 +88,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([b.column(0), n, of], names=["id", "n", "class"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(tidy(batch), f"id {kind}, n long, class long")
+    return docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("binary").alias("t")).mapInArrow(tidy(batch), f"id {kind}, n long, class long")
 
 
 def _pack(tokens: np.ndarray) -> bytes:
@@ -147,7 +147,7 @@ def _blobs(docs: DataFrame, parts: int, text_col: str) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(tidy(run), schema)
+    return docs.select(F.col(quoted(text_col)).cast("binary").alias("t")).mapInArrow(tidy(run), schema)
 
 
 def _shared(blobs: DataFrame) -> DataFrame:
@@ -356,9 +356,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without rows whose id is not the smallest of its component; columns unchanged. Null ids stay."""
     found = similar_components(docs, id_col, text_col)
-    gone = materialize(found.filter(F.col("id") != F.col("component")).select(F.col("id").alias("__gone")).distinct(), "jj-gone")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("__gone"), "left_anti").select(*names)
+    name = unused(docs, "__gone")
+    gone = materialize(found.filter(F.col("id") != F.col("component")).select(F.col("id").alias(name)).distinct(), "jj-gone")
+    return docs.join(gone.hint("shuffle_hash"), F.col(quoted(id_col)) == F.col(name), "left_anti").select(*columns_of(docs))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

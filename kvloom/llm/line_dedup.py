@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kvloom.llm.common import hash_pair, lower_ascii, materialize, shuffle_partitions, table, trim_space
+from kvloom.llm.common import columns_of, hash_pair, lower_ascii, materialize, quoted, shuffle_partitions, table, trim_space
 
 #: Ids in one block of a hash's stream.
 BLOCK = 4096
@@ -29,7 +29,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataF
     """One row for each line whose key has at least min_chars code points."""
     key = lower_ascii(trim_space(F.col("line")))
     rows = (
-        docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+        docs.select(F.col(quoted(id_col)).alias("doc"), F.col(quoted(text_col)).alias("text"))
         .filter(F.col("doc").isNotNull() & (F.length("text") >= min_chars))
         .select("doc", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
         .filter(F.length("line") >= min_chars)
@@ -93,43 +93,33 @@ def keep_bitmaps(
 def apply_bitmaps(
     docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """docs with columns __kept (text of the kept lines) and __dropped (number of dropped lines) added."""
-    b = bitmaps.select(
-        F.col("doc").alias("__doc"),
-        F.col("row").alias("__row"),
-        F.col("n_dropped").alias("__dropped"),
-        F.col("keep_runs").alias("__runs"),
-    )
-    rows = docs.withColumn("__hash", F.xxhash64(F.col(text_col)))
-    joined = rows.join(
-        b.hint("shuffle_hash"), (F.col(id_col) == F.col("__doc")) & (F.col("__hash") == F.col("__row")), "left"
-    )
+    """(doc, kept, n_dropped): each row of docs as a struct, the text of its kept lines, the number of its dropped lines."""
+    text = F.col(quoted(text_col))
+    rows = docs.select(F.struct(*columns_of(docs)).alias("doc"), F.col(quoted(id_col)).alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    runs = bitmaps.select(F.col("doc").alias("id_of"), F.col("row").alias("hash_of"), "n_dropped", "keep_runs")
+    joined = rows.join(runs.hint("shuffle_hash"), (F.col("id") == F.col("id_of")) & (F.col("hash") == F.col("hash_of")), "left")
     # array(split(..)) binds the lines once for all runs.
     kept = F.expr(
-        f"transform(array(split({text_col}, '\n', -1)), ls -> array_join(flatten("
-        "transform(__runs, k -> slice(ls, k.start + 1, least(k.len, size(ls))))), '\n'))[0]"
+        "transform(array(split(text, '\n', -1)), ls -> array_join(flatten("
+        "transform(keep_runs, k -> slice(ls, k.start + 1, least(k.len, size(ls))))), '\n'))[0]"
     )
-    return (
-        joined.withColumn("__kept", F.when(F.col("__runs").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(kept))
-        .withColumn("__dropped", F.coalesce(F.col("__dropped"), F.lit(0)).cast("long"))
-        .drop("__doc", "__row", "__runs", "__hash")
+    return joined.select(
+        "doc", F.when(F.col("keep_runs").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept).alias("kept"),
+        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """docs with repeated lines removed from the text; all other columns and rows unchanged (null text: empty)."""
-    names = docs.columns
     out = apply_bitmaps(docs, keep_bitmaps(docs, id_col, text_col, **limits), id_col, text_col)
-    return out.withColumn(text_col, F.col("__kept")).select(*[F.col(f"`{c}`") for c in names])
+    return out.select(*[(F.col("kept") if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = apply_bitmaps(docs, keep_bitmaps(docs))
+    out = apply_bitmaps(docs, keep_bitmaps(docs)).withColumn("t", F.coalesce("doc.text", F.lit("")))
     n_lines = F.length("t") - F.length(F.replace(F.col("t"), F.lit("\n"), F.lit(""))) + 1
-    return out.withColumn("t", F.coalesce("text", F.lit(""))).select(
-        "doc_id", n_lines.cast("long").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256")
-    )
+    return out.select("doc.doc_id", n_lines.cast("long").alias("n_lines"), "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 SQL = r"""

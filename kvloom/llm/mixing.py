@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kvloom.llm.common import shuffle_partitions, table
+from kvloom.llm.common import columns_of, materialize, quoted, shuffle_partitions, table
 
 BUCKET_ROWS = 4096
 #: Hex digits that make a group of buckets.
@@ -69,8 +69,18 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def _order_key(id_col: str, text_col: str) -> Column:
-    by_text = F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    return F.md5(F.coalesce(F.col(id_col).cast("string"), by_text).cast("binary"))
+    by_text = F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(quoted(text_col)), F.lit("")).cast("binary")))
+    return F.md5(F.coalesce(F.col(quoted(id_col)).cast("string"), by_text).cast("binary"))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    return docs.select(
+        F.col(quoted(id_col)).alias("id"),
+        F.coalesce(F.concat(F.lit("s"), F.col(quoted(source_col))), F.lit(NO_SOURCE)).alias("skey"),
+        word_count(F.col(quoted(text_col))).alias("size"),
+        _order_key(id_col, text_col).alias("key"),
+        *more,
+    )
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -86,16 +96,18 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     the text; rows that repeat an id follow one another and count each; an empty
     table gives no rows; sources without words have target 0.
     """
-    rows = docs.count()
+    # Written once: the texts are read and counted once for all that follows.
+    sized = materialize(_sized(docs, id_col, text_col, source_col), "mix-sizes")
+    return _planned(sized, sized).select("id", "key", "size", "source_size", "target", "taken", "positions")
+
+
+def _planned(narrow: DataFrame, rows: DataFrame, *tie: str) -> DataFrame:
+    """rows with their plan; rows are those of narrow, with more columns to carry along. tie: columns that order rows of one id and size."""
+    n = narrow.count()
     digits = GROUP_DIGITS
-    while rows > BUCKET_ROWS * 16**digits:
+    while n > BUCKET_ROWS * 16**digits:
         digits += 1
-    narrow = docs.select(
-        F.col(id_col).alias("id"),
-        F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit(NO_SOURCE)).alias("skey"),
-        word_count(F.col(text_col)).alias("size"),
-        _order_key(id_col, text_col).alias("key"),
-    ).withColumn("bucket", F.substring("key", 1, digits))
+    narrow, rows = (d.withColumn("bucket", F.substring("key", 1, digits)) for d in (narrow, rows))
     buckets = narrow.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
     buckets = buckets.withColumn("grp", F.substring("bucket", 1, GROUP_DIGITS))
     groups = buckets.groupBy("skey", "grp").agg(F.sum("bucket_size").alias("grp_size"))
@@ -110,7 +122,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     offsets = buckets.join(groups, ["skey", "grp"]).select(
         "skey", "bucket", (F.col("grp_at") + F.col("in_grp")).alias("bucket_at"), "source_size", "target", "slope"
     )
-    placed = narrow.withColumn("in_bucket", sum_before("size", ["skey", "bucket"], ["key", "id", "size"])).join(
+    placed = rows.withColumn("in_bucket", sum_before("size", ["skey", "bucket"], ["key", "id", "size", *tie])).join(
         offsets, ["skey", "bucket"]
     )
     demand = F.floor("target").cast("long")
@@ -129,10 +141,8 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     taken = part(0)
     for epoch in range(1, MAX_EPOCHS):
         taken = taken + part(epoch)
-    return placed.select(
-        "id", "key", "size", "source_size", "target", taken.alias("taken"),
-        F.array_compact(F.array(*[position(e) for e in range(MAX_EPOCHS)])).alias("positions"),
-    )
+    positions = F.array_compact(F.array(*[position(e) for e in range(MAX_EPOCHS)]))
+    return placed.withColumn("taken", taken).withColumn("positions", positions)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -144,19 +154,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     without words are not read.
     """
     reads = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
-    plan = (
-        plan_mix(docs, id_col, text_col, source_col)
-        .select("key", F.slice("positions", F.lit(1), reads).alias("positions"))
-        .filter(F.size("positions") > 0)
-        .groupBy(F.col("key").alias("__key"))
-        .agg(F.max("positions").alias("__positions"))
-    )
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("__of", _order_key(id_col, text_col))
-    out = keyed.join(plan.hint("shuffle_hash"), F.col("__of") == F.col("__key"))
-    out = out.select(*names, "__of", F.explode("__positions").alias("__at"))
+    whole = F.struct(*columns_of(docs))
+    sized = materialize(_sized(docs, id_col, text_col, source_col), "mix-sizes")
+    rows = _planned(sized, _sized(docs, id_col, text_col, source_col, whole.alias("doc"), F.xxhash64(whole).alias("tie")), "tie")
+    out = rows.select("doc", "key", "tie", F.explode(F.slice("positions", F.lit(1), reads)).alias("at"))
     n = shuffle_partitions(docs.sparkSession)
-    return out.repartitionByRange(n, "__at", "__of").sortWithinPartitions("__at", "__of").select(*names)
+    out = out.repartitionByRange(n, "at", "key").sortWithinPartitions("at", "key", "tie")
+    return out.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import struct
 import zlib
@@ -171,8 +172,9 @@ def test_lines_against_brute_force(spark):
     pool = ["Shared line number %d with more than forty letters é" % i for i in range(6)] + ["  SHARED line number 1 with more than forty letters é\r", "short", "", "\t"]
     rows = [(i, "\n".join(rnd.choices(pool, k=rnd.randint(0, 7)))) for i in range(60)] + [(None, pool[0]), (100, None), (101, pool[0] + "\n" + pool[0]), (20_000, pool[2]), (3, pool[1])]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("k")).withColumn("pos", F.lit(1)).withColumn("block", F.lit(2))
+    d = d.withColumn("__kept", F.lit("mine")).withColumn("__dropped", F.lit(3)).withColumn("kept", F.lit("too")).withColumn("my `odd` name", F.lit(4))
     out = line_dedup.apply_bitmaps(d, line_dedup.keep_bitmaps(d))
-    got = sorted(((r.doc_id, r["__dropped"], r["__kept"]) for r in out.collect()), key=str)
+    got = sorted(((r.doc.doc_id, r.n_dropped, r.kept) for r in out.collect()), key=str)
     assert got == sorted(((i, n, k) for i, _, n, k in _dedup(rows)), key=str)
     clean = line_dedup.dedup_lines(d)
     assert clean.columns == d.columns and clean.count() == len(rows)
@@ -225,7 +227,19 @@ def test_mix_on_odd_rows(spark):
     assert all(abs(taken[s] - target[s]) <= 1 for s in sizes)
     assert sorted(map(str, got)) == sorted(map(str, mixing.plan_mix(d.repartition(7)).collect()))
     mixed = mixing.mix(d)
-    assert mixed.columns == d.columns and 0 < mixed.count() < 2 * len(rows)
+    assert mixed.columns == d.columns
+    # Every row is read as often as the words taken of it say, to the nearest whole; rows that repeat an id have plans of their own.
+    reads: dict = {}
+    for r in got:
+        reads[r.id, r.size] = reads.get((r.id, r.size), 0) + (math.floor(r.taken / r.size + 0.5) if r.size else 0)
+    seen: dict = {}
+    for r in mixed.collect():
+        seen[r.doc_id, size(r.text)] = seen.get((r.doc_id, size(r.text)), 0) + 1
+    assert seen == {k: n for k, n in reads.items() if n}
+    # In order of training time.
+    first = {r.id: r.positions for r in got if r.id not in (None, 777) and len(r.positions) == 1}
+    times = [first[r.doc_id][0] for r in mixed.collect() if r.doc_id in first]
+    assert len(times) > 20 and times == sorted(times)
     assert mixing.plan_mix(d.limit(0)).count() == 0
     only_empty = d.filter("source = 'empty'")
     assert [r.taken for r in mixing.plan_mix(only_empty).collect()] == [0] and mixing.mix(only_empty).count() == 0
