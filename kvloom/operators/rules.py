@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 from kvloom.functions.constants import NO_ROUTE, NO_ROUTE_STRICT
 from kvloom.functions.hashing import key_slot
 
-#: More ranges or prefixes than this go through a join, not an expression.
-INLINE = 64
-
 
 def merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Sorted, with touching and overlapping ranges made one (for rule lists; tables use operators.ranges)."""

@@ -287,7 +287,16 @@ def worker_distribution(v):
     return d.groupBy(H.worker_index(H.fnv1a(c("key")), 4).alias("worker")).agg(F.sum("n").alias("n"))
 
 
-@query()
+CRC64_TABLE = "[" + ", ".join(f"{x}::UBIGINT" for x in H.crc64_table()) + "]"
+
+
+def crc64_sql(data: str) -> str:
+    """Hexadecimal digits, least byte first, of the CRC-64 of a list of byte values."""
+    crc = f"list_reduce(list_prepend(0::UBIGINT, list_transform({data}, lambda b: b::UBIGINT)), lambda crc, b: xor(crc >> 8, ({CRC64_TABLE})[(xor(crc, b) & 255)::BIGINT + 1]))"
+    return f"(SELECT array_to_string(list_transform(range(8), lambda i: printf('%02X', ((x >> (8 * i)::UBIGINT) & 255)::BIGINT)), '') FROM (SELECT {crc} AS x))"
+
+
+@query(f"SELECT c_name, {crc64_sql(BYTES.format(k='c_name'))} AS crc64 FROM customer")
 def crc64(v):
     return v.table("customer").select("c_name", F.hex(H.crc64(c("c_name").cast("binary"))).alias("crc64"))
 
@@ -616,7 +625,13 @@ def dump_payload_len(v):
     return v.keyspace.select("key", "db", P.dump_length(P.string_raw(c("value"))).alias("n"))
 
 
-@query()
+# Bytes of a DUMP body: type, length code, value, version.
+BODY = f"""list_concat([rdb_type], CASE WHEN strlen(value) < 64 THEN [strlen(value)] WHEN strlen(value) < 16384 THEN [64 + strlen(value) // 256, strlen(value) % 256]
+  ELSE [128, strlen(value) // 16777216, strlen(value) // 65536 % 256, strlen(value) // 256 % 256, strlen(value) % 256] END, {BYTES.format(k='value')}, [9, 0])"""
+
+
+@query(with_views("keyspace", more=f"b AS (SELECT key, db, {BODY} AS body FROM keyspace)")
+       + f"SELECT key, db, array_to_string(list_transform(body, lambda b: printf('%02X', b::BIGINT)), '') || {crc64_sql('body')} AS payload FROM b")
 def dump_payload(v):
     return v.keyspace.select("key", "db", F.hex(P.dump_payload(c("rdb_type"), P.string_raw(c("value")))).alias("payload"))
 
@@ -663,3 +678,6 @@ def prometheus_text(v):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept commands by database and command under a full rule set."""
     return _kept(Views(spark, sf_dir), ALL_RULES)
+
+
+from kvloom import file_queries as _file_queries  # noqa: E402, F401  (registers more queries)

@@ -224,22 +224,32 @@ def encode_string(data: bytes) -> bytes:
     return encode_length(len(data)) + data
 
 
-def write_snapshot(rows, aux=(), version: int = 9) -> bytes:
-    """A snapshot file of (db, key, raw, expire_ms, type) rows."""
-    out = io.BytesIO()
-    out.write(MAGIC + b"%04d" % version)
-    for k, v in aux:
-        out.write(b"\xfa" + encode_string(k) + encode_string(v))
+def snapshot_pieces(rows, aux=(), version: int = 9) -> Iterator[bytes]:
+    """A snapshot file, piece by piece, of (db, key, raw, expire_ms, type) rows; a sixth value holds opcodes that go before the entry."""
+    crc = 0
+
+    def counted(piece: bytes) -> bytes:
+        nonlocal crc
+        crc = crc64_of(piece, crc)
+        return piece
+
+    yield counted(MAGIC + b"%04d" % version + b"".join(b"\xfa" + encode_string(k) + encode_string(v) for k, v in aux))
     now = None
-    for db, key, raw, expire, kind in rows:
+    for db, key, raw, expire, kind, *lead in rows:
+        piece = b""
         if db != now:
-            out.write(b"\xfe" + encode_length(db))
+            piece += b"\xfe" + encode_length(db)
             now = db
         if expire is not None:
-            out.write(b"\xfc" + expire.to_bytes(8, "little"))
-        out.write(bytes([kind]) + encode_string(key) + raw)
-    out.write(b"\xff")
-    return out.getvalue() + crc64_of(out.getvalue()).to_bytes(8, "little")
+            piece += b"\xfc" + expire.to_bytes(8, "little")
+        yield counted(piece + b"".join(x or b"" for x in lead) + bytes([kind]) + encode_string(key) + raw)
+    yield counted(b"\xff")
+    yield crc.to_bytes(8, "little")
+
+
+def write_snapshot(rows, aux=(), version: int = 9) -> bytes:
+    """A snapshot file of rows as in snapshot_pieces."""
+    return b"".join(snapshot_pieces(rows, aux, version))
 
 
 def _rows(run_id: str, reader: SnapshotReader):

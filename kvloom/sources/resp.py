@@ -41,6 +41,36 @@ def decode_column(df: DataFrame, raw: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+VALUE_COLUMNS = "tag string, text string, used long, _error string"
+
+
+def decode_values(df: DataFrame, raw: str, limit: int = DECODER_LIMIT) -> DataFrame:
+    """df without raw, with the first value that raw holds: tag, its text, bytes used; an incomplete value has none, malformed or too many bytes an _error."""
+    from pyspark.sql import types as T
+
+    keep = [f for f in df.schema.fields if f.name != raw]
+    names = [f.name for f in keep]
+    found_schema = T._parse_datatype_string(VALUE_COLUMNS)
+
+    def one(data: bytes | None) -> tuple:
+        d = Decoder(limit)
+        try:
+            d.feed(data or b"")
+            v = d.decode()
+        except WireError as e:
+            return None, None, 0, type(e).__name__
+        return (v.tag, str(v), d.offset, None) if v else (None, None, 0, None)
+
+    def run(batches):
+        for b in batches:
+            cols = list(zip(*map(one, b.column(raw).to_pylist()), strict=True)) or [[]] * 4
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.string()]
+            arrays = [*[b.column(n) for n in names], *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, *found_schema.names])
+
+    return df.mapInArrow(run, T.StructType([*keep, *found_schema.fields]))
+
+
 def decode_log(run_id: str, start: int, pieces: Iterator[bytes], limit: int = DECODER_LIMIT, fail_fast: bool = False):
     """Rows of SCHEMA of one log; malformed bytes give one row with _error and end the log, or raise with fail_fast."""
     d = Decoder(limit)

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
+import operator
 import os
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvloom.functions.constants import LOG_SIZE
+from kvloom.operators.segments import catalogue, find_log
+from kvloom.sources.rdb import snapshot_pieces
+from kvloom.sources.shared import mounted
 
 
 def read_bytes(spark: SparkSession, path: str, segment_offset: int, offset: int, size: int | None = None) -> DataFrame:
@@ -63,6 +70,94 @@ class LogWriter:
         return self.at
 
 
+SEGMENTS = "run_id string, kind string, offset long, size long, path string"
+
+
+def _written(folder: str, name, pieces: Iterable[bytes]) -> tuple[int, str]:
+    """(size, path) of a file whose name depends on its size; readers see all of it or nothing, and a task that runs again replaces it."""
+    os.makedirs(folder, exist_ok=True)
+    part, size = os.path.join(folder, f".{uuid.uuid4().hex}.part"), 0
+    with open(part, "wb") as f:
+        for p in pieces:
+            f.write(p)
+            size += len(p)
+        f.flush()
+        os.fsync(f.fileno())
+    path = os.path.join(folder, name(size))
+    os.replace(part, path)
+    return size, path
+
+
+def _each_run(batches) -> Iterator[tuple[str, Iterator[dict]]]:
+    """(run_id, its rows) of batches that are sorted by run."""
+    rows = (r for b in batches for r in b.to_pylist())
+    return itertools.groupby(rows, key=operator.itemgetter("run_id"))
+
+
+def write_snapshots(rows: DataFrame, base: str, offset: int = 0, aux: dict[str, str] | None = None) -> DataFrame:
+    """SEGMENTS of base/{run_id}/{offset}_{size}.rdb, written when the result is read.
+
+    rows: (run_id, pos, db, key, raw_value, expire_ms, rdb_type, lead); lead
+    holds opcodes that go before an entry. A file can't be split: each run is
+    one stream through one task, of which a batch is held. base must be mounted
+    on the executors.
+    """
+    def run(batches):
+        for run_id, own in _each_run(batches):
+            entries = ((r["db"], r["key"], r["raw_value"], r["expire_ms"], r["rdb_type"], r["lead"]) for r in own)
+            pairs = [(k.encode(), v.encode()) for k, v in {**(aux or {}), "repl-id": run_id}.items()]
+            size, path = _written(os.path.join(mounted(base), run_id), lambda n: f"{offset}_{n}.rdb", snapshot_pieces(entries, pairs))
+            yield _segment_batch([(run_id, "rdb", offset, size, path)])
+
+    binary = [F.col(c).cast("binary").alias(c) for c in ("key", "raw_value", "lead")]
+    rows = rows.select("run_id", "pos", "db", "expire_ms", "rdb_type", *binary)
+    return rows.repartition("run_id").sortWithinPartitions("run_id", "pos").mapInArrow(run, SEGMENTS)
+
+
+def write_logs(commands: DataFrame, base: str, log_size: int = LOG_SIZE) -> DataFrame:
+    """SEGMENTS of base/{run_id}/{offset}.aof, written when the result is read; a write that finds log_size bytes or more begins a new file.
+
+    commands: (run_id, seq, raw). Each run is one stream, as in write_snapshots.
+    """
+    def run(batches):
+        for run_id, own in _each_run(batches):
+            at, left = 0, next(own, None)
+            while left is not None:
+                start = at
+
+                def pieces():
+                    nonlocal at, left
+                    while left is not None and at - start < log_size:
+                        yield left["raw"]
+                        at += len(left["raw"])
+                        left = next(own, None)
+
+                size, path = _written(os.path.join(mounted(base), run_id), lambda _: f"{start}.aof", pieces())
+                yield _segment_batch([(run_id, "aof", start, size, path)])
+
+    rows = commands.select("run_id", "seq", F.col("raw").cast("binary").alias("raw"))
+    return rows.repartition("run_id").sortWithinPartitions("run_id", "seq").mapInArrow(run, SEGMENTS)
+
+
+def _segment_batch(rows: list) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["run_id", "kind", "offset", "size", "path"])
+
+
+def read_ranges(spark: SparkSession, base: str, wanted: DataFrame) -> DataFrame:
+    """(run_id, o, size, content): bytes of the logs under base, at most size from o on, out of the segment that holds o.
+
+    wanted: (run_id, o, size). Files and ranges meet by path; what lies past a
+    segment's end is not read on from the next one, as a reader stops there.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.aof").load(base)
+    names = catalogue(files.drop("content"))
+    at = find_log(wanted, names).join(names.select("run_id", "offset", "path"), ["run_id", "offset"])
+    ranges = wanted.join(at, ["run_id", "o"]).select("run_id", "o", "size", "path", (F.col("o") - F.col("offset")).cast("int").alias("skip"))
+    met = ranges.join(files.select("path", "content"), "path")
+    return met.select("run_id", "o", "size", F.expr("substring(content, skip + 1, cast(size as int))").alias("content"))
+
+
 def write_commands(commands: DataFrame, folder: str) -> None:
     """Encoded commands (pos, args of text) as RESP text files in order of pos, through Spark's own writer."""
     from kvloom.functions.wire import encode_command

@@ -1,33 +1,16 @@
-"""The database of each command: that of the last SELECT of its run, 0 before the first."""
+"""The database of each command of a stream: that of the last SELECT of its run, 0 before the first. operators.apply.in_database does it for tables."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-COLUMNS = ("run_id", "seq", "db", "cmd", "key", "value", "end_offset")
-SCHEMA = "run_id string, seq long, db int, cmd string, key string, value string, end_offset long"
-#: Bytes of a log in which commands look back in one window.
-BLOCK = 1 << 20
-
-
-def _chosen() -> Column:
-    return F.when(F.upper("cmd") == "SELECT", F.col("key").try_cast("int"))
-
-
-def selected(commands: DataFrame) -> DataFrame:
-    """commands (run_id, seq, cmd, key, value, end_offset) with db."""
-    d = commands.withColumn("__db", _chosen()).withColumn("__block", F.floor(F.col("seq") / BLOCK))
-    ends = d.groupBy("run_id", "__block").agg(F.max_by("__db", F.when(F.col("__db").isNotNull(), F.col("seq"))).alias("__last"))
-    before = Window.partitionBy("run_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("__before", F.last("__last", ignorenulls=True).over(before)).drop("__last")
-    inside = Window.partitionBy("run_id", "__block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("__here", F.last("__db", ignorenulls=True).over(inside)).join(ends, ["run_id", "__block"])
-    return d.withColumn("db", F.coalesce("__here", "__before", F.lit(0))).select(*COLUMNS)
+COLUMNS = ("run_id", "seq", "db", "name", "args", "_error", "end_offset")
+SCHEMA = "run_id string, seq long, db int, name string, args array<binary>, _error string, end_offset long"
 
 
 def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -37,6 +20,7 @@ def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
     yield rows.assign(db=db)[list(COLUMNS)]
 
 
-def track(commands: DataFrame) -> DataFrame:
-    """The same for streaming commands; state is one database for each run."""
-    return commands.withColumn("chosen", _chosen()).groupBy("run_id").applyInPandasWithState(_update, SCHEMA, "db int", "append", GroupStateTimeout.NoTimeout)
+def track(log: DataFrame) -> DataFrame:
+    """Streaming log (run_id, seq, name, args, _error, end_offset) with db; state is one database for each run."""
+    chosen = F.when(F.upper("name") == "SELECT", F.get("args", F.lit(0)).cast("string").try_cast("int"))
+    return log.withColumn("chosen", chosen).groupBy("run_id").applyInPandasWithState(_update, SCHEMA, "db int", "append", GroupStateTimeout.NoTimeout)

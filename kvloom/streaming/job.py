@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvloom.functions import wire
 from kvloom.functions.constants import PHASES, STATES, STORE_SIZE
-from kvloom.operators import replay, segments
+from kvloom.operators import apply, segments
 from kvloom.operators.rules import RuleSet
 from kvloom.sources import rdb, resp
 from kvloom.streaming import databases
@@ -30,31 +33,36 @@ class SyncJob:
         return {"code": code, "message": message, "data": data}
 
     def commands(self, stream: bool = True) -> DataFrame:
-        """Kept commands of the logs: (run_id, seq, db, cmd, key, value, end_offset)."""
+        """The logs as (run_id, seq, db, name, args, _error, end_offset, dropped). A command is dropped if the rules drop any of its keys."""
         log = (self.spark.readStream.format("respLog").option("path", self.base).load() if stream else resp.read_logs(self.spark, self.base))
-        at = lambda i: F.get("args", F.lit(i)).cast("string")
-        rows = log.filter(F.col("_error").isNull()).select(
-            "run_id", F.col("start_offset").alias("seq"), F.col("name").alias("cmd"), at(0).alias("key"),
-            F.element_at("args", -1).cast("string").alias("value"), "end_offset",
-        )
-        rows = (databases.track if stream else databases.selected)(rows)
-        return rows.filter(~self.rules.drops(F.col("cmd"), F.col("key"), F.col("db")))
+        rows = log.select("run_id", F.col("start_offset").alias("seq"), "name", "args", "_error", "end_offset")
+        rows = (databases.track if stream else apply.in_database)(rows).select(*databases.COLUMNS)
+        cmd = F.upper("name")
+        keys = wire.command_keys(cmd, F.transform("args", lambda a: a.cast("string")))
+        # Of commands that take any number of keys, all count: DEL and UNLINK every argument, MSET every other.
+        keys = F.when(cmd.isin("DEL", "UNLINK"), F.transform("args", lambda a: a.cast("string"))).when(
+            cmd == "MSET", F.transform(F.filter("args", lambda a, i: i % 2 == 0), lambda a: a.cast("string"))
+        ).otherwise(keys)
+        dropped = F.col("_error").isNull() & ~self.rules.keeps_all_keys(cmd, keys, F.col("db"))
+        return rows.withColumn("dropped", dropped)
 
     def run(self) -> dict:
         if self.state not in ("ReadyRun", "Pause"):
             return self._answer(1, f"cannot run in {self.state}")
         if self.state == "ReadyRun":
             self.phase = "FullSyncing"
-            snap = rdb.read_snapshots(self.spark, self.base).select("run_id", "db", F.col("key").cast("string"), F.col("value").cast("string"))
+            snap = rdb.read_snapshots(self.spark, self.base).select(
+                "run_id", "db", "key", F.coalesce("value", "raw_value").alias("value"), F.unix_millis("expire").alias("expire_ms"), "rdb_type"
+            )
             snap.write.mode("overwrite").parquet(f"{self.out}/snapshot")
             self.phase = "FullSynced"
 
-        def apply(batch: DataFrame, batch_id: int) -> None:
+        def save(batch: DataFrame, batch_id: int) -> None:
             batch.write.mode("overwrite").parquet(f"{self.out}/log/batch={batch_id}")
             saved = batch.groupBy("run_id").agg(F.max("end_offset").alias("offset"))
             saved.write.mode("overwrite").parquet(f"{self.out}/checkpoints/batch={batch_id}")
 
-        writer = self.commands().writeStream.foreachBatch(apply).option("checkpointLocation", f"{self.out}/stream")
+        writer = self.commands().writeStream.foreachBatch(save).option("checkpointLocation", f"{self.out}/stream")
         writer = writer.trigger(processingTime=f"{self.every} milliseconds") if self.every else writer.trigger(availableNow=True)
         self.query, self.state, self.phase = writer.start(), "Run", "IncrSyncing"
         return self._answer()
@@ -103,11 +111,16 @@ class SyncJob:
         self.spark.sparkContext.setLogLevel(level.upper())
         return self._answer()
 
-    def keyspace(self) -> DataFrame:
-        """The keyspace as far as the job came."""
+    def keyspace(self, now_ms: int | None = None) -> DataFrame:
+        """The keyspace as far as the job came: (db, key, field, value, expire_ms, source), all bytes as they are. Values of other than strings and
+        of hashes that the log made stay encoded. now_ms: the clock of relative expiry."""
         snap = self.spark.read.parquet(f"{self.out}/snapshot")
-        log = self.spark.read.parquet(f"{self.out}/log")
-        return replay.apply_log(snap, log)
+        log = self.spark.read.parquet(f"{self.out}/log").filter("NOT dropped")
+        return apply.apply(snap, log, int(time.time() * 1000) if now_ms is None else now_ms)
+
+    def unapplied(self) -> DataFrame:
+        """(run_id, seq, name, reason) of malformed bytes and of commands that the keyspace lacks."""
+        return apply.unapplied(self.spark.read.parquet(f"{self.out}/log").filter("NOT dropped"))
 
     def checkpoints(self) -> DataFrame:
         """(run_id, offset): the last saved log offset of each run."""
@@ -115,7 +128,9 @@ class SyncJob:
 
     def metrics(self) -> dict:
         log = self.spark.read.parquet(f"{self.out}/log")
-        return self._answer(data=log.agg(F.count("*").alias("aof_commands_total"), F.max("end_offset").alias("offset")).first().asDict())
+        failed = F.col("_error").isNotNull()
+        counts = [F.count_if(~F.col("dropped") & ~failed).alias("aof_commands_total"), F.count_if("dropped").alias("filtered_commands_total"), F.count_if(failed).alias("sync_errors_total")]
+        return self._answer(data=log.agg(*counts, F.max("end_offset").alias("offset")).first().asDict())
 
     def gc(self, limit: int = STORE_SIZE) -> DataFrame:
         """Segments that have to go so that the store fits limit."""
