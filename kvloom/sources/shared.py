@@ -10,14 +10,22 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names; where that is unset, a session on one machine gets a temporary folder, a cluster an error."""
+    """A new folder in the one that ``spark.checkpoint.dir`` names. It goes when the application ends.
+
+    Where the setting is unset, a session on one machine gets a temporary folder, a cluster an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="kvloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/kvloom-{kind}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/kvloom-{kind}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
 
 
 def mounted(path: str) -> str:
