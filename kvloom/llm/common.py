@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvloom.sources.shared import shared_folder
+
 #: ASCII white space, the separators of the word rule ``[^\x20\x09-\x0D]+``.
 SPACE = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -25,18 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession, kind: str) -> str:
-    """A new path in the folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; where that is unset, a
-    session on one machine gets a temporary folder, a cluster an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="kvloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/kvloom-{kind}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share."""
+    return shared_folder(spark, kind)
 
 
 def materialize(df: DataFrame, kind: str) -> DataFrame:

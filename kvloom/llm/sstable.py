@@ -19,10 +19,11 @@ store that Spark can write to will do.
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
-from bisect import bisect_right
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -127,25 +128,31 @@ class ShardWriter:
 
 
 class Shard:
-    """Reader over a shard's bytes."""
+    """Reader over a shard: read(at, n) gives bytes of it. Footer and index are read at once, the filter and blocks when asked for."""
 
-    def __init__(self, data: bytes):
-        self.data = data
-        at = len(data) - FOOTER.size
-        if at < 0 or not data.endswith(MAGIC):
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        self.read = read
+        at = size - FOOTER.size
+        tail = read(at, FOOTER.size) if at >= 0 else b""
+        if not tail.endswith(MAGIC):
             raise ValueError("not a shard, or cut off")
-        (self.index_at, self.bloom_at, self.n, self.n_ids, self.n_blocks, self.bits, self.hashes, self.width, self.null, _) = FOOTER.unpack_from(data, at)
+        (self.index_at, self.bloom_at, self.n, self.n_ids, self.n_blocks, self.bits, self.hashes, self.width, self.null, _) = FOOTER.unpack(tail)
         self.blocks = []
-        i = self.index_at
+        index, i = read(self.index_at, self.bloom_at - self.index_at), 0
         for _ in range(self.n_blocks):
-            k, i = _read_varint(data, i)
-            self.blocks.append((data[i : i + k], *struct.unpack_from("<QI", data, i + k)))
+            k, i = _read_varint(index, i)
+            self.blocks.append((index[i : i + k], *struct.unpack_from("<QI", index, i + k)))
             i += k + 12
         self.firsts = [b[0] for b in self.blocks]
+        self.bloom: bytes | None = None
+
+    @classmethod
+    def of(cls, data: bytes) -> Shard:
+        return cls(lambda at, n: data[at : at + n], len(data))
 
     def _entries(self, block: int) -> Iterator[tuple[bytes, np.ndarray]]:
-        _, at, size = self.blocks[block]
-        end, key, data = at + size, b"", self.data
+        _, at, end = self.blocks[block]
+        data, at, key = self.read(at, end), 0, b""
         while at < end:
             shared, at = _read_varint(data, at)
             rest, at = _read_varint(data, at)
@@ -161,7 +168,9 @@ class Shard:
                 yield read_key(key), ids
 
     def may_contain(self, doc_id: int | None) -> bool:
-        return all(self.data[self.bloom_at + (p >> 3)] >> (p & 7) & 1 for p in _places(make_key(doc_id), self.bits, self.hashes))
+        if self.bloom is None:
+            self.bloom = self.read(self.bloom_at, (self.bits + 7) // 8)
+        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _places(make_key(doc_id), self.bits, self.hashes))
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of all documents with this id (more than one where rows repeat an id)."""
@@ -240,7 +249,7 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     def rows(batches):
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                shard, place = Shard(data.as_py()), 0
+                shard, place = Shard.of(data.as_py()), 0
                 part: list = []
                 for doc_id, ids in shard:
                     part.append((name, place, doc_id, ids.astype("<u4").tobytes()))
@@ -259,17 +268,50 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInArrow(rows, "shard string, place long, doc_id long, ids binary")
 
 
-def lookup(spark: SparkSession, folder: str, doc_ids: list[int]) -> DataFrame:
-    """(doc_id, ids array<long>) of the given ids, by Bloom filter and binary search in each shard."""
-    def rows(batches):
-        for b in batches:
-            for data in b.column(0):
-                shard = Shard(data.as_py())
-                found = [(i, ids.tolist()) for i in doc_ids for ids in shard.get(i)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+class ShardStore:
+    """Point lookups in a folder of shards, by ranged reads of the file system that Spark uses; n_read counts the bytes.
+
+    Opening reads the footer and index of each shard (of SHARD_BYTES). A lookup
+    finds the shards that can hold the id by their first keys, asks the Bloom
+    filter, and reads one block.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        self.files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.n_read = self.size = 0
+        found = []
+        for status in self.files.listStatus(path):
+            if not status.getPath().getName().startswith(("_", ".")) and status.getLen() > 0:
+                self.size += status.getLen()
+                found.append(Shard(functools.partial(self._read, status.getPath()), status.getLen()))
+        self.shards = sorted(found, key=lambda s: s.firsts[0])
+        self.firsts = [s.firsts[0] for s in self.shards]
+
+    def _read(self, path, at: int, n: int) -> bytes:
+        stream = self.files.open(path)
+        try:
+            stream.seek(at)
+            data = bytes(stream.readNBytes(n))
+        finally:
+            stream.close()
+        self.n_read += len(data)
+        return data
 
-    return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(rows, "doc_id long, ids array<long>")
+    def get(self, doc_id: int | None) -> list[np.ndarray]:
+        """The ids of all documents with this id."""
+        key, found = make_key(doc_id), []
+        i = max(0, bisect_left(self.firsts, key) - 1)
+        while i < len(self.shards) and self.firsts[i] <= key:
+            found += self.shards[i].get(doc_id)
+            i += 1
+        return found
+
+
+def lookup(spark: SparkSession, folder: str, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids array<long>) of a few given ids; of many, join them with read_shards."""
+    store = ShardStore(spark, folder)
+    return spark.createDataFrame([(i, ids.tolist()) for i in doc_ids for ids in store.get(i)], "doc_id long, ids array<long>")
 
 
 def digest_shards(spark: SparkSession, folder: str) -> DataFrame:
@@ -280,7 +322,7 @@ def digest_shards(spark: SparkSession, folder: str) -> DataFrame:
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 doc, at, n, crc, start = [], [], [], [], 0
-                for doc_id, ids in Shard(data.as_py()):
+                for doc_id, ids in Shard.of(data.as_py()):
                     doc.append(doc_id)
                     at.append(start)
                     n.append(len(ids))

@@ -8,6 +8,7 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -110,6 +111,23 @@ def test_shards_of_odd_rows(spark, tmp_path, library, monkeypatch):
     assert list(rows[9]) == [*library.encode(ODD[-1][1], add_special_tokens=False).ids, 1]
 
 
+def test_lookups_read_little(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sstable, "BLOCK_BYTES", 2000)
+    writer = sstable.ShardWriter(4)
+    for i in range(0, 4000, 2):
+        writer.add(sstable.make_key(i), np.arange(i % 60))
+    (tmp_path / "one").write_bytes(writer.finish())
+    writer = sstable.ShardWriter(4)
+    for i in range(4000, 5000):
+        writer.add(sstable.make_key(i), np.arange(3))
+    (tmp_path / "two").write_bytes(writer.finish())
+    store = sstable.ShardStore(spark, str(tmp_path))
+    opened = store.n_read
+    assert [len(x) for x in store.get(1234)] == [1234 % 60] and [len(x) for x in store.get(4999)] == [3] and store.get(10**9) == []
+    assert sum(len(store.get(i)) for i in range(1, 400, 2)) == 0
+    assert opened < store.size / 10 and store.n_read < store.size / 4
+
+
 def test_shards_of_an_empty_table(spark, tmp_path):
     out = str(tmp_path / "sst")
     sstable.write_shards(spark.createDataFrame([], "doc_id long, text string"), out)
@@ -130,14 +148,14 @@ def test_shard_lookup_and_damage():
     for i in ids:
         w.add(sstable.make_key(i), np.arange(i % 50))
     data = w.finish()
-    s = sstable.Shard(data)
+    s = sstable.Shard.of(data)
     assert s.n_blocks > 3 and [i for i, _ in s] == ids
     assert all(len(s.get(i)[0]) == i % 50 for i in ids[::97])
     assert s.get(5 * 10**12) == []
     hits = sum(s.may_contain(i) for i in range(2 * 10**12, 2 * 10**12 + 2000))
     assert hits < 60
     with pytest.raises(ValueError):
-        sstable.Shard(data[:-3])
+        sstable.Shard.of(data[:-3])
     with pytest.raises(ValueError):
         w.add(sstable.make_key(ids[0]), np.arange(1))
 
