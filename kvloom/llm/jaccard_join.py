@@ -72,23 +72,30 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(h)
 
 
-def class_of(h: np.ndarray) -> int:
-    """64-bit hash of a set as a signed integer: the class."""
-    x = _mix(np.array([_mix(h ^ M2).sum(), np.uint64(len(h))], np.uint64))
-    return int(_mix(x[:1] * M2 + x[1:]).view(np.int64)[0])
+def class_of(h: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit hashes of a set as signed integers: the class, and what tells sets of one class apart."""
+    total = np.array([_mix(h ^ M2).sum(), np.uint64(len(h)), _mix(h + M1).sum()], np.uint64)
+    x = _mix(total)
+    return tuple(_mix(x[[0, 2]] * M2 + x[1]).view(np.int64).tolist())
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, class); class is null for empty sets."""
+    """(id, n, class, other); class and its second hash are null for empty sets."""
     def batch(batches):
         for b in batches:
             sets = [shingles(t.as_py()) for t in b.column(1)]
             n = pa.array([len(h) for h in sets], pa.int64())
-            of = pa.array([class_of(h) if len(h) else None for h in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), n, of], names=["id", "n", "class"])
+            of = [class_of(h) if len(h) else (None, None) for h in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), n, *[pa.array([o[i] for o in of], pa.int64()) for i in (0, 1)]], names=["id", "n", "class", "other"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("binary").alias("t")).mapInArrow(tidy(batch), f"id {kind}, n long, class long")
+    return docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("binary").alias("t")).mapInArrow(tidy(batch), f"id {kind}, n long, class long, other long")
+
+
+def collided(members: DataFrame) -> list[int]:
+    """Classes that hold different sets: about one in 10^10 documents. There the second hash becomes the class."""
+    pairs = members.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("other").alias("lo"), F.max("other").alias("hi"))
+    return [r["class"] for r in pairs.filter("lo < hi").select("class").collect()]
 
 
 def _pack(tokens: np.ndarray) -> bytes:
@@ -101,9 +108,10 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def _blobs(docs: DataFrame, parts: int, text_col: str) -> DataFrame:
+def _blobs(docs: DataFrame, parts: int, text_col: str, rehash: list[int]) -> DataFrame:
     """(part, sets, n, counts, tokens): for each hash range, the shingles of many classes, packed."""
     schema = "part int, sets binary, n binary, counts binary, tokens binary"
+    apart = frozenset(rehash)
 
     def run(batches):
         seen: set[int] = set()  # classes that this task has sent
@@ -135,7 +143,11 @@ def _blobs(docs: DataFrame, parts: int, text_col: str) -> DataFrame:
         for b in batches:
             for t in b.column(0):
                 h = shingles(t.as_py())
-                if not len(h) or (c := class_of(h)) in seen:
+                if not len(h):
+                    continue
+                c, other = class_of(h)
+                c = other if c in apart else c
+                if c in seen:
                     continue
                 seen.add(c)
                 held.append(h)
@@ -209,10 +221,10 @@ def choose_prefix(n: int, unique: int, counts: np.ndarray) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def prefixes(docs: DataFrame, n_shingles: int, text_col: str = "text") -> DataFrame:
-    """(class, n, l, unique, prefix array<long>, tokens) of every class that may link with another; n_shingles sizes the hash ranges."""
+def prefixes(docs: DataFrame, n_shingles: int, text_col: str = "text", rehash: list[int] | None = None) -> DataFrame:
+    """(class, n, l, unique, prefix array<long>, tokens) of every class that may link with another; n_shingles sizes the hash ranges, rehash names the collided classes."""
     parts = max(LEAST_RANGES, -(-n_shingles // RANGE_SHINGLES))
-    found = _shared(_blobs(docs, parts, text_col))
+    found = _shared(_blobs(docs, parts, text_col, rehash or []))
     gathered = found.groupBy("class").agg(F.first("n").alias("n"), F.collect_list(F.struct("part", "tokens", "counts")).alias("got"))
 
     def run(batches):
@@ -342,7 +354,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     members = materialize(classes(docs, id_col, text_col), "jj-classes")
     total = members.agg(F.sum("n")).first()[0] or 0
-    sets = materialize(prefixes(docs, total, text_col), "jj-sets")
+    rehash = collided(members)
+    members = members.withColumn("class", F.when(F.col("class").isin(rehash), F.col("other")).otherwise(F.col("class"))) if rehash else members
+    sets = materialize(prefixes(docs, total, text_col, rehash), "jj-sets")
     label = components_of(sets)
     least = members.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("first"))
     joined = least.join(label, least["class"] == label["node"], "left").select("class", "first", F.coalesce("component", "class").alias("comp"))

@@ -65,6 +65,17 @@ def test_join_against_brute_force(spark):
         assert got == brute_components(rows)
 
 
+def test_collided_classes_take_the_second_hash(spark):
+    d = spark.createDataFrame([(1, 3, 7, 1), (2, 3, 7, 2), (3, 3, 8, 5), (4, 0, None, None), (5, 3, 8, 5)], "id long, n long, class long, other long")
+    assert jj.collided(d) == [7]
+    words = "a b c d e f g h i j k l m n o p".split()
+    docs = spark.createDataFrame([(i, " ".join([*words, str(i)])) for i in range(3)], "doc_id long, text string")
+    known = [jj.class_of(jj.shingles(r.text.encode())) for r in docs.collect()]
+    assert {r["class"] for r in jj.prefixes(docs, 50).collect()} == {a for a, _ in known}
+    assert {r["class"] for r in jj.prefixes(docs, 50, rehash=[known[1][0]]).collect()} == {known[0][0], known[1][1], known[2][0]}
+    assert all(a != b for a, b in known)
+
+
 def test_join_empty_and_pipeline_form(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jj.similar_components(empty).count() == 0
