@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kvloom.llm.common import each_batch, materialize, spread, table, unused
+from kvloom.llm.common import columns_of, each_batch, materialize, quoted, spread, table, unused
 from kvloom.llm.language import fold
 
 MAX_TRAIN = 20_000
@@ -269,16 +269,18 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "__
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # lexicon and trees: bounded
     made: dict = {}
-    place = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    # One struct of all columns passes unchanged, whatever their names are.
+    rows = docs.select(F.struct(*columns_of(docs)).alias("doc"), F.col(quoted(text_col)).alias("text"))
+    schema = T.StructType([rows.schema["doc"], T.StructField("score", T.DoubleType())])
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         if "f" not in made:
             made["f"] = Featurizer(shared.value.lexicon)
-        x = np.array([made["f"](t.as_py()) for t in b.column(place)]).reshape(-1, len(NAMES))
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value(x), pa.float64())], names=[*b.schema.names, name])
+        x = np.array([made["f"](t.as_py()) for t in b.column(1)]).reshape(-1, len(NAMES))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value(x), pa.float64())], names=["doc", "score"])
 
-    return docs.mapInArrow(each_batch(batch), schema)
+    scored = rows.mapInArrow(each_batch(batch), schema)
+    return scored.select(*[F.col("doc")[c].alias(c) for c in docs.columns], F.col("score").alias(name))
 
 
 def learnable(labels: DataFrame) -> DataFrame:
@@ -289,7 +291,7 @@ def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that score 0.5 or more; columns unchanged."""
     model = train(docs.select("doc_id", "text"), learnable(labels))
     name = unused(docs, "__score")
-    return score(docs, model, name=name).filter(F.col(name) < 0.5).drop(name)
+    return score(docs, model, name=name).filter(F.col(name) < 0.5).select(*columns_of(docs))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

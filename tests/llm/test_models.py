@@ -266,25 +266,3 @@ def test_toxicity_scores_equal_plain_python(spark):
 def test_isotonic():
     at, p = toxicity.isotonic(np.array([1.0, 2, 3, 4, 5]), np.array([0.0, 1, 0, 1, 1]))
     assert (np.diff(p) > 0).all() and (np.diff(at) > 0).all() and p[0] == 0 and p[-1] == 1
-
-
-@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
-def test_pipeline(spark, sf):
-    import corpus_pipeline as cp
-
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    n, columns = {}, docs.columns
-    for name, stage in cp.STAGES:
-        out = stage(spark, docs, sf)
-        rows = out.collect()
-        docs = spark.createDataFrame(rows, out.schema)
-        n[name] = len(rows)
-        if name != cp.STAGES[-1][0]:
-            assert out.columns == columns
-    assert n["toxicity"] == n["line_dedup"] >= n["jaccard_join"] and n["bpe"] == n["mixing"]
-    by_id: dict = {}
-    for r in docs.collect():
-        assert r.n_tokens == len(r.ids)
-        by_id[r.doc_id] = by_id.get(r.doc_id, 0) + 1
-    assert max(by_id.values()) <= 2
-    assert sorted(map(str, cp.run(spark, sf).collect())) == sorted(map(str, docs.collect()))
