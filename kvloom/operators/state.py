@@ -2,37 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvloom.functions.constants import RESERVED_PREFIX
 from kvloom.functions.snapshot_types import phase_code, phase_name
+from kvloom.operators.prefix_sum import running_total
 
 
 def transaction_status(commands: DataFrame) -> DataFrame:
     """commands (run_id, seq, cmd) with txn (No, Begin, In, Commit) and in_txn after each command.
 
-    Closed form with windows, no fold: a MULTI opens a group; the group ends at
-    the first DISCARD, or EXEC after an ordinary command.
+    Closed form, no fold: a MULTI opens a group, which ends at the first DISCARD,
+    or EXEC after an ordinary command. A group's turning points are least places
+    (seq), found by aggregations with map-side combining, so that a log without
+    transactions, or with one that stays open, is no window of all its rows.
     """
-    by_run = Window.partitionBy("run_id").orderBy("seq")
-    ordinary = ~F.col("cmd").isin("MULTI", "EXEC", "DISCARD")
-    d = commands.withColumn("__od", ordinary.cast("int")).withColumn("__g", F.sum((F.col("cmd") == "MULTI").cast("int")).over(by_run))
-    in_group = Window.partitionBy("run_id", "__g").orderBy("seq")
-    group = Window.partitionBy("run_id", "__g")
-    d = d.withColumn("__n", F.sum("__od").over(in_group))
-    ends = (F.col("cmd") == "DISCARD") | ((F.col("cmd") == "EXEC") & (F.col("__n") > 0))
-    end = F.min(F.when(ends, F.struct("seq", "cmd", "__n"))).over(group)
-    d = d.withColumn("__end", end)
+    group = ["run_id", "__g"]
+    seq, cmd = F.col("seq"), F.col("cmd")
+    ordinary = ~cmd.isin("MULTI", "EXEC", "DISCARD")
+    d = running_total(commands.withColumn("__multi", (cmd == "MULTI").cast("long")), "run_id", "seq", "__multi", "__g")
+    first = lambda d, condition, name: d.groupBy(*group).agg(F.min(F.when(condition, seq)).alias(name))
+    d = d.join(d.groupBy(*group).agg(F.min(F.when(ordinary, seq)).alias("__begun"), F.min(F.when(cmd == "DISCARD", seq)).alias("__gone")), group)
+    d = d.join(first(d, (cmd == "EXEC") & (seq > F.col("__begun")), "__done"), group)
+    end = F.least("__gone", "__done")  # the one that there is, or the earlier
+    d = d.join(first(d, ordinary & (seq > end), "__after"), group)
     status = (
         F.when(F.col("__g") == 0, "No")
-        .when(F.col("__end").isNull() | (F.col("seq") < F.col("__end.seq")), F.when(F.col("__n") > 0, "In").otherwise("Begin"))
-        .when(F.col("__end.cmd") == "DISCARD", "No")
-        .when(F.col("__n") > F.col("__end.__n"), "No")
-        .otherwise("Commit")
+        .when(end.isNull() | (seq < end), F.when(seq >= F.col("__begun"), "In").otherwise("Begin"))
+        .when(end == F.col("__gone"), "No").when(seq >= F.col("__after"), "No").otherwise("Commit")
     )
-    d = d.withColumn("txn", status)
-    return d.withColumn("in_txn", (F.col("__od") == 1) & (F.col("txn") == "In")).drop("__od", "__g", "__n", "__end")
+    return d.withColumn("txn", status).withColumn("in_txn", ordinary & (F.col("txn") == "In")).drop("__multi", "__g", "__begun", "__gone", "__done", "__after")
 
 
 def last_phase(events: DataFrame) -> DataFrame:

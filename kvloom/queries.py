@@ -543,14 +543,16 @@ def range_list_contains(v):
 
 # State -----------------------------------------------------------------
 
-TXN = """g AS (SELECT *, CASE WHEN cmd IN ('MULTI', 'EXEC', 'DISCARD') THEN 0 ELSE 1 END AS od, sum(CASE WHEN cmd = 'MULTI' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY seq) AS g FROM txn_commands),
-n AS (SELECT *, sum(od) OVER (PARTITION BY run_id, g ORDER BY seq) AS n_od FROM g),
-e AS (SELECT run_id, g, min(seq) AS t_end, min_by(cmd, seq) AS t_cmd, min_by(n_od, seq) AS od_end FROM n WHERE cmd = 'DISCARD' OR (cmd = 'EXEC' AND n_od > 0) GROUP BY run_id, g),
-st AS (SELECT n.run_id, seq, cmd, od, CASE WHEN n.g = 0 THEN 'No' WHEN t_end IS NULL OR seq < t_end THEN CASE WHEN n_od > 0 THEN 'In' ELSE 'Begin' END
-  WHEN t_cmd = 'DISCARD' THEN 'No' WHEN n_od > od_end THEN 'No' ELSE 'Commit' END AS txn FROM n LEFT JOIN e ON n.run_id = e.run_id AND n.g = e.g)"""
+# One command after the other.
+TXN = """i AS (SELECT run_id, seq, cmd, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS i FROM txn_commands),
+st AS (SELECT run_id, i, seq, cmd, CASE WHEN cmd = 'MULTI' THEN 'Begin' ELSE 'No' END AS txn FROM i WHERE i = 1
+  UNION ALL
+  SELECT i.run_id, i.i, i.seq, i.cmd, CASE WHEN i.cmd = 'MULTI' THEN 'Begin' WHEN i.cmd = 'DISCARD' THEN CASE WHEN st.txn IN ('Begin', 'In') THEN 'No' ELSE st.txn END
+    WHEN i.cmd = 'EXEC' THEN CASE WHEN st.txn = 'In' THEN 'Commit' ELSE st.txn END WHEN st.txn = 'Begin' THEN 'In' WHEN st.txn = 'Commit' THEN 'No' ELSE st.txn END
+  FROM st JOIN i ON i.run_id = st.run_id AND i.i = st.i + 1)"""
 
 
-@query(with_views("txn_commands", more=TXN) + "SELECT run_id, seq, txn, od = 1 AND txn = 'In' AS in_txn FROM st")
+@query(with_views("txn_commands", more=TXN, recursive=True) + "SELECT run_id, seq, txn, txn = 'In' AND cmd NOT IN ('MULTI', 'EXEC', 'DISCARD') AS in_txn FROM st")
 def txn_status(v):
     return A.transaction_status(v.txn_commands.select("run_id", "seq", "cmd")).select("run_id", "seq", "txn", "in_txn")
 
