@@ -6,7 +6,7 @@ that weighs the residual parallel to the vector ``eta`` times as much as the
 rest, since that part moves the largest inner products. A query makes a table
 of 16 partial products for each pair and adds table entries over the codes of
 all rows, in blocks. The RERANK rows of the highest sums, over all blocks
-together, are scored exactly, from the original vectors in double precision.
+together (more in large tables), are scored exactly, from the original vectors in double precision.
 
 The codebook is fitted on a bounded sample (``MAX_TRAIN`` rows, the smallest by
 a hash of their id). Every row is coded and scanned.
@@ -14,6 +14,8 @@ a hash of their id). Every row is coded and scanned.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,7 +31,7 @@ PAIR = 2
 THRESHOLD = 0.2
 ROUNDS, PASSES = 8, 2
 K = 5
-#: Candidates of a query that are scored exactly, of the whole table.
+#: Candidates of a query that are scored exactly, of the whole table: this many, or the square root of the rows where that is more.
 RERANK = 64
 #: Codes of a block, queries that meet it in one task.
 BLOCK_ROWS, QUERY_ROWS = 65_536, 256
@@ -135,7 +137,7 @@ def train(rows: DataFrame) -> dict[int, Codebook]:
     return {d: Codebook(d, np.array(v)) for d, v in by_dim.items()}
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, rerank: int = RERANK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, rerank: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): about each query's k largest cosines, with exact scores.
 
     Defined cases: rows with a null id, and null, empty or zero vectors or such
@@ -145,13 +147,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, rerank: int = RE
     fewer rows.
     """
     books = train(vectors)
-    rerank = max(rerank, k)
-    n_blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
+    n = vectors.count()
+    rerank = max(k, rerank or max(RERANK, math.isqrt(n)))
+    n_blocks = max(1, -(-n // BLOCK_ROWS))
     asked = queries.select(F.col("vec_id").alias("query_id"), "vector", "dim").distinct().withColumn("hash", F.xxhash64("query_id", "vector"))
     asked = materialize(asked, "ann-queries")
     chunks = max(1, -(-asked.count() // QUERY_ROWS))
-    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
 
     def code(batches):
         for b in batches:
