@@ -14,7 +14,8 @@ routing object, leaves with the objects' distances to theirs.
 A query first searches a tree of its nearest cell. The k-th score found there is
 its bound; it goes on only to cells whose ball leaves room for a better one, and
 takes the bound along. Search in a tree is best first, and a distance is
-computed only if |d(query, parent) - d(object, parent)| - radius leaves room.
+computed only if |d(query, parent) - d(object, parent)| - radius leaves room;
+queries that meet a tree search it side by side.
 """
 
 from __future__ import annotations
@@ -128,55 +129,79 @@ class MTree:
             groups = [part for g in groups for part in (np.array_split(g, 2) if len(g) > 0.95 * len(members) else [g])]
         return groups
 
-    def search(self, query: np.ndarray, query_id: int, k: int, least: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best of score least or more, highest first, ties to the smaller id; without query_id itself."""
-        if not len(self.ids):
-            return self.ids, np.zeros(0, self.whole.dtype)
-        at = np.append(query.astype(np.float64), 0.0)
-        total = float(at @ at) + self.m2
+    def search(self, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best, highest first, ties to the smaller id; without query_id itself."""
+        _, ids, scores = self.search_all(query[None], np.array([query_id]), k)
+        return ids, scores
+
+    def search_all(self, queries: np.ndarray, query_ids: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's place, id, score) of each query's k best of score least or more (nan: any), as search gives them.
+
+        Queries go through the tree together, best first by the least bound among
+        them; each takes part only in nodes and rows that its own bound leaves
+        room for.
+        """
+        m, nodes, points = len(queries), self.nodes, self.points
+        lowest = np.iinfo(np.int64).min + 1 if self.whole.dtype == np.int64 else -np.inf
+        top, top_ids = np.full((m, k), lowest, self.whole.dtype), np.full((m, k), np.iinfo(np.int64).max)
+        least = np.full(m, np.nan) if least is None else least
+        at = np.hstack([queries.astype(np.float64), np.zeros((m, 1))])
+        total = (at * at).sum(axis=1) + self.m2
         slack = SLACK * (total + 1.0)
-        found_ids, found = np.zeros(0, np.int64), np.zeros(0, self.whole.dtype)
-        limit = np.inf if least is None else max(0.0, total - 2.0 * least)  # squared distance of the k-th best
-        nodes, points = self.nodes, self.points
-        d = float(np.sqrt(((points[nodes["routing"][0]] - at) ** 2).sum()))
-        self.computed += 1
-        heap = [(max(0.0, d - nodes["radius"][0]), 0, d)]
+        # Squared distance of the k-th best, and the score that has it.
+        limit = np.where(np.isnan(least), np.inf, np.maximum(0.0, total - 2.0 * np.nan_to_num(least)))
+        heap: list[tuple] = []
+        n = 0
+
+        def push(node: int, who: np.ndarray, d: np.ndarray) -> None:
+            nonlocal n
+            bound = np.maximum(0.0, d - nodes["radius"][node])
+            n += 1
+            heapq.heappush(heap, (float(bound.min()), n, node, who, d, bound))
+
+        if len(self.ids):
+            self.computed += m
+            push(0, np.arange(m), np.sqrt(((points[nodes["routing"][0]] - at) ** 2).sum(axis=1)))
         while heap:
-            bound, i, d = heapq.heappop(heap)
-            if bound * bound > limit + slack:
-                break
-            self.opened += 1
-            reach = float(np.sqrt(limit + slack))
-            a, z = int(nodes["first"][i]), int(nodes["last"][i])
-            if nodes["leaf"][i]:
-                rows = np.arange(a, z)
-                if np.isfinite(limit):
-                    rows = rows[np.abs(d - self.member_distance[a:z]) <= reach]
-                scores = self.whole[rows] @ query
-                self.computed += len(rows)
-                good = self.ids[rows] != query_id
-                if np.isfinite(limit):
-                    good &= 2.0 * scores >= total - limit - slack
-                if not good.any():
+            _, _, node, who, d, bound = heapq.heappop(heap)
+            room = limit[who] + slack[who]
+            open_ = bound * bound <= room
+            if not open_.any():
+                continue
+            who, d, reach = who[open_], d[open_], np.sqrt(room[open_])
+            self.opened += len(who)
+            a, z = int(nodes["first"][node]), int(nodes["last"][node])
+            if nodes["leaf"][node]:
+                # Stored distances say which rows can be near enough.
+                near = np.abs(d[:, None] - self.member_distance[a:z]) <= reach[:, None]
+                rows, some = near.any(axis=0), near.any(axis=1)
+                who, near, rows = who[some], near[np.ix_(some, rows)], a + np.flatnonzero(rows)
+                self.computed += near.size
+                scores, ids = queries[who] @ self.whole[rows].T, self.ids[rows]
+                near &= (ids != query_ids[who, None]) & (2.0 * scores >= (total[who] - limit[who] - slack[who])[:, None])
+                better = near.any(axis=1)
+                if not better.any():
                     continue
-                ids, scores = np.append(found_ids, self.ids[rows[good]]), np.append(found, scores[good])
-                top = best(scores, ids, k)
-                found_ids, found = ids[top], scores[top]
-                if len(found) == k:
-                    limit = min(limit, max(0.0, total - 2.0 * float(found[-1])))
+                who = who[better]
+                both = np.hstack([top[who], np.where(near[better], scores[better], lowest)])
+                both_ids = np.hstack([top_ids[who], np.where(near[better], ids, np.iinfo(np.int64).max)])
+                order = np.lexsort((both_ids, -both), axis=1)[:, :k]
+                top[who], top_ids[who] = np.take_along_axis(both, order, 1), np.take_along_axis(both_ids, order, 1)
+                kth = top[who, k - 1]
+                full = who[kth != lowest]
+                limit[full] = np.minimum(limit[full], np.maximum(0.0, total[full] - 2.0 * top[full, k - 1]))
                 continue
             children = np.arange(a, z)
-            radius = nodes["radius"][a:z]
-            open_ = np.abs(d - nodes["parent"][a:z]) - radius <= reach
-            children, radius = children[open_], radius[open_]
-            to = np.sqrt(((points[nodes["routing"][children]] - at) ** 2).sum(axis=1))
-            self.computed += len(children)
-            for child, dc, r in zip(children.tolist(), to.tolist(), radius.tolist(), strict=True):
-                if dc - r <= reach:
-                    heapq.heappush(heap, (max(0.0, dc - r), child, dc))
-        if least is not None:
-            found_ids, found = found_ids[found >= least], found[found >= least]
-        return found_ids, found
+            near = np.abs(d[:, None] - nodes["parent"][a:z]) - nodes["radius"][a:z] <= reach[:, None]
+            some, children = near.any(axis=1), children[near.any(axis=0)]
+            near, who, reach = near[np.ix_(some, children - a)], who[some], reach[some]
+            self.computed += near.size
+            to = np.sqrt(((points[nodes["routing"][children]] - at[who][:, None]) ** 2).sum(axis=2))
+            near &= to - nodes["radius"][children] <= reach[:, None]
+            for i in np.flatnonzero(near.any(axis=0)).tolist():
+                push(int(children[i]), who[near[:, i]], to[near[:, i], i])
+        found = (top != lowest) & ~(top < np.where(np.isnan(least), -np.inf, least)[:, None])
+        return np.nonzero(found)[0], top_ids[found], top[found]
 
 
 class Top:
@@ -316,9 +341,11 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFram
             whole = np.frombuffer(raw("whole"), raw("kind")).reshape(-1, dim).astype(np.float64 if raw("kind") != "<i8" else np.int64)
             q, whole = _exact(_integers(a.column("vector"), dim), whole, dim)
             tree = MTree(np.frombuffer(raw("ids"), "<i8"), whole, np.frombuffer(raw("members"), "<f8"), np.frombuffer(raw("nodes"), NODE), top.value.m2[dim])
-            for i, v, least in zip(a.column("query_id").to_pylist(), q, a.column("least").to_pylist(), strict=True):
-                ids, scores = tree.search(v, i, k, least)
-                out[0].append(np.full(len(ids), i))
+            asked_ids = a.column("query_id").to_numpy()
+            # Some at a time: what a node holds for them stays small.
+            for i in range(0, len(q), 128):
+                of, ids, scores = tree.search_all(q[i : i + 128], asked_ids[i : i + 128], k, a.column("least").to_numpy()[i : i + 128])
+                out[0].append(asked_ids[i : i + 128][of])
                 out[1].append(ids)
                 out[2].append(scores.astype(np.int64))
         return pa.table([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
