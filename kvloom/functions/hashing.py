@@ -52,11 +52,11 @@ def crc64_of(data: bytes, crc: int = 0) -> int:
 
 
 def byte_values(c: Column) -> Column:
-    """array<int> of a string's or binary's bytes."""
-    digits = F.hex(c.cast("binary"))
+    """array<int> of a string's or binary's bytes: in Latin-1 every byte is the character of its number."""
+    chars = F.decode(c.cast("binary"), "ISO-8859-1")
     n = F.octet_length(c)
     places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("int"))
+    return F.transform(places, lambda i: F.ascii(F.substring(chars, i, F.lit(1))))
 
 
 def hash_tag(key: Column, empty_tag_is_tag: bool = True) -> Column:

@@ -91,19 +91,26 @@ class RuleSet:
             steps.append(("prefix_white", has_key & ~has_prefix(key, list(self.prefix_white))))
         if self.prefix_black:
             steps.append(("prefix_black", has_key & has_prefix(key, list(self.prefix_black))))
-        slot = key_slot(key, self.empty_tag_is_tag) if self.slot_white or self.slot_black else None
-        if self.slot_white:
-            steps.append(("slot_white", has_key & ~in_ranges(slot, list(self.slot_white))))
-        if self.slot_black:
-            steps.append(("slot_black", has_key & in_ranges(slot, list(self.slot_black))))
         return [x for x in steps if x]
 
+    def _slot_reason(self, key: Column) -> Column:
+        """The slot rule that drops the key; the slot is bound once for both lists."""
+        def rule(slot: Column) -> Column:
+            out = F
+            if self.slot_white:
+                out = out.when(~in_ranges(slot, list(self.slot_white)), F.lit("slot_white"))
+            if self.slot_black:
+                out = out.when(in_ranges(slot, list(self.slot_black)), F.lit("slot_black"))
+            return out
+
+        return F.get(F.transform(F.array(key_slot(key, self.empty_tag_is_tag)), rule), F.lit(0))
+
     def reason(self, cmd: Column, key: Column, db: Column) -> Column:
         """Name of the first rule that drops the command; null if it is kept. Later rules are not evaluated."""
         out = F
         for name, hit in self._steps(cmd, key, db):
             out = out.when(F.coalesce(hit, F.lit(False)), F.lit(name))
-        return out
+        return out.when(key.isNotNull(), self._slot_reason(key)) if self.slot_white or self.slot_black else out
 
     def drops(self, cmd: Column, key: Column, db: Column) -> Column:
         return self.reason(cmd, key, db).isNotNull()
