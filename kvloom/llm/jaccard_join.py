@@ -47,6 +47,8 @@ LONGEST_MATCH = 8
 #: Cost of verifying a candidate against that of meeting one row of a prefix shingle.
 VERIFY_COST = 8.0
 STAR_ROUNDS = 2
+#: Pairs of a class from which on they are dealt to several tasks; or one pair in so many, where that is more.
+HOT_PAIRS, HOT_SHARE = 256, 10_000
 #: A round that finds less than one link for this many linked classes is the last.
 FEW_LINKS = 100
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -248,15 +250,36 @@ def prefixes(docs: DataFrame, n_shingles: int, text_col: str = "text", rehash: l
     return gathered.mapInArrow(tidy(run), "class long, n long, l int, unique long, prefix array<long>, tokens binary")
 
 
+def _with_set(rows: DataFrame, pairs: DataFrame, sets: DataFrame, side: str, n_pairs: int) -> DataFrame:
+    """rows of pairs with n and tokens of the classes on one side, as n{side} and t{side}.
+
+    The centre of a star can be in a third of all pairs: classes in more than
+    HOT_PAIRS pairs, and in more than a HOT_SHARE-th of all, of which there are
+    HOT_SHARE at most, meet their pairs in several parts.
+    """
+    least = max(HOT_PAIRS, n_pairs // HOT_SHARE)
+    hot = pairs.groupBy(F.col(side).alias("hot")).agg(F.count("*").alias("n")).filter(F.col("n") > least)
+    hot = F.broadcast(hot.select("hot", F.ceil(F.col("n") / least).cast("int").alias("parts")))
+    other = "b" if side == "a" else "a"
+    p = rows.join(hot, F.col(side) == F.col("hot"), "left").drop("hot")
+    p = p.withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    s = sets.join(hot, F.col("class") == F.col("hot"), "left").select(
+        F.col("class").alias("of"), F.col("n").alias(f"n{side}"), F.col("tokens").alias(f"t{side}"),
+        F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part_of"),
+    )
+    return p.join(s, (F.col(side) == F.col("of")) & (F.col("part") == F.col("part_of"))).drop("of", "part", "part_of")
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link."""
     # Written first, so that Spark knows their size: sets that no pair names don't travel.
     pairs = materialize(pairs, "jj-pairs")
+    n_pairs = pairs.count()
     named = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     s = sets.select("class", "n", "tokens").join(named, "class", "left_semi")
-    both = pairs.join(s.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b").join(
-        s.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a"
-    )
+    both = pairs
+    for side in ("b", "a"):
+        both = _with_set(both, pairs, s, side, n_pairs)
 
     def run(batches):
         for b in batches:

@@ -56,8 +56,9 @@ def near_copies(rnd, n):
     return rows
 
 
-def test_join_against_brute_force(spark):
+def test_join_against_brute_force(spark, monkeypatch):
     for seed in (1, 2):
+        monkeypatch.setattr(jj, "HOT_PAIRS", 256 if seed == 1 else 2)
         rows = near_copies(random.Random(seed), 220)
         rows += [(900, None), (901, ""), (902, " \n"), (903, "one two"), (904, "One  two"), (905, "one two three"), (5, rows[9][1]), (None, rows[3][1]), (None, "alone and without any id")]
         d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class", F.lit(1)).withColumn("n", F.lit(2))
