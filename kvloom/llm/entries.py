@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kvloom.llm import bpe, filter_audit, fim, jaccard_join, language, line_dedup, mixing, mtree, quantized_search, repeats, sstable, toxicity
+from kvloom.llm import bpe, filter_audit, fim, jaccard_join, language, line_dedup, mixing, mtree, quantized_search, repeats, sstable, toxicity, warc
 
 QUERIES = {
     "op1_mtree_topk": mtree.op1,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8,
     "op9_repeat_removal": repeats.op9,
     "op10_line_dedup": line_dedup.op10,
+    "op11_warc": warc.op11,
     "op12_filter_audit": filter_audit.op12,
     "op13_fill_in_middle": fim.op13,
 }
 SQL = {"op1_mtree_topk": mtree.SQL, "op8_jaccard_join": jaccard_join.SQL, "op5_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL,
-       "op12_filter_audit": filter_audit.SQL, "op13_fill_in_middle": fim.SQL}
+       "op11_warc": warc.SQL, "op12_filter_audit": filter_audit.SQL, "op13_fill_in_middle": fim.SQL}
