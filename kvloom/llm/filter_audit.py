@@ -72,7 +72,7 @@ def failing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
 
 
 def set_counts(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(part, n, good, toxic): for each part three arrays of counts by set of failing filters: rows, those of quality 1, those toxic. Several labels of an id: any counts."""
+    """(part, n, good, toxic): for each part three arrays of counts by set of failing filters: rows, those of quality 1, those toxic. Several labels of an id: any counts; labels of a null id count for no row."""
     known = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc")).agg(F.max((F.col("quality") == 1).cast("long")).alias("good"), F.max((F.col("toxic") == 1).cast("long")).alias("toxic"))
     sums = rows.join(known, "doc", "left").groupBy("part", "fails").agg(F.count("*").alias("n"), *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("good", "toxic")])
     each = [F.sum(F.when(F.col("fails") == s, F.col(c)).otherwise(0)).alias(f"{c}{s}") for c in ("n", "good", "toxic") for s in SETS]

@@ -5,7 +5,7 @@ anchor, the least hash among its ANCHOR-byte substrings: equal windows have
 equal anchors, so a window whose anchor occurs once in the corpus is not
 repeated. Consecutive windows of one anchor form an item, (start, windows).
 
-1. Items. Every task packs (anchor hash, hash of the item's bytes, document,
+1. Items. Every task packs (anchor hash, digest of the item's bytes, document,
    start) into hash ranges; items that a task holds more than once are settled
    there, so a passage in a third of all documents sends one item for each task.
    A range finds items equal to an earlier item, which lose all windows, and
@@ -27,7 +27,9 @@ repeated. Consecutive windows of one anchor form an item, (start, windows).
 An anchor with more than HOT open items would make a large group: its items are
 filed anew, in a second way, under anchors of LONG bytes.
 
-Equal hashes of items stand for equal bytes: 64 bits, or two times 48.
+Only items of one 128-bit BLAKE2 digest count as equal without a comparison of
+their bytes. Hashes of anchors need not be free of collisions: an anchor that
+two strings share only makes more items open, and the merge compares bytes.
 """
 
 from __future__ import annotations
@@ -52,21 +54,7 @@ MERGE_WINDOWS = 500_000
 #: Open items of an anchor from which on they are filed under longer anchors.
 HOT = 4096
 U = np.uint64
-BASE, M2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
-
-
-class _Powers:
-    up: np.ndarray = np.ones(0, U)
-    down: np.ndarray = np.ones(0, U)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_Powers.up) < n:
-        size = 1 << (n - 1).bit_length()
-        up, down = np.full(size, BASE, U), np.full(size, U(pow(int(BASE), -1, 1 << 64)), U)
-        up[0] = down[0] = 1
-        _Powers.up, _Powers.down = np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
-    return _Powers.up[:n], _Powers.down[:n]
+M1, M2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -74,20 +62,24 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(29))
 
 
-class Hashes:
-    """Hashes of all substrings of some bytes: equal substrings, equal hashes."""
+def hashes(x: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of all substrings of width bytes (8 or more): equal substrings, equal hashes. Words of 8 bytes are mixed in turn, so that no pattern of bytes cancels out."""
+    n = len(x) - width + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    words = np.empty(len(x) - 7, U)
+    for i in range(min(8, len(words))):
+        own = np.frombuffer(x[i : i + (len(x) - i) // 8 * 8].tobytes(), "<u8")
+        words[i::8] = own
+    h = np.full(n, U(width), U)
+    for at in [*range(0, width - 7, 8), *([width - 8] if width % 8 else [])]:
+        h = _mix((h ^ words[at : at + n]) * M1)
+    return h
 
-    def __init__(self, x: np.ndarray):
-        up, self.down = _powers(len(x) + 1)
-        self.sums = np.zeros(len(x) + 1, U)
-        np.cumsum((x.astype(U) + U(1)) * up[:-1], out=self.sums[1:])
 
-    def fixed(self, size: int) -> np.ndarray:
-        n = len(self.sums) - size
-        return _mix((self.sums[size:] - self.sums[:-size]) * self.down[:n]) if n > 0 else np.zeros(0, U)
-
-    def at(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U) * M2)
+def digests(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits of a cryptographic hash of each stretch, as two integers."""
+    return np.frombuffer(b"".join([hashlib.blake2b(data[a:z], digest_size=16).digest() for a, z in zip(start.tolist(), end.tolist(), strict=True)]), "<u8").reshape(-1, 2)
 
 
 def _rolling(h: np.ndarray, width: int, pick) -> np.ndarray:
@@ -99,9 +91,9 @@ def _rolling(h: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(h[: len(h) - rest], h[rest:]) if rest else h
 
 
-def _runs(hashes: Hashes, width: int, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, windows, anchor) of the items of the windows at whole: runs of one anchor of width bytes, cut at ITEM_WINDOWS."""
-    value = _rolling(hashes.fixed(width), WINDOW - width + 1, np.minimum)[whole]
+def _runs(h: np.ndarray, width: int, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, windows, anchor) of the items of the windows at whole: runs of one anchor of width bytes, whose hashes h has, cut at ITEM_WINDOWS."""
+    value = _rolling(h, WINDOW - width + 1, np.minimum)[whole]
     first = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (np.diff(whole) != 1)))
     windows = np.diff(np.append(first, len(whole)))
     times = -(-windows // ITEM_WINDOWS)
@@ -111,22 +103,22 @@ def _runs(hashes: Hashes, width: int, whole: np.ndarray) -> tuple[np.ndarray, np
 
 
 def items_of(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(piece, start, windows, anchor, bytes' hash, open) of all items of some texts."""
+    """(piece, start, windows, anchor, bytes' digest, open) of all items of some texts."""
     size = np.array([len(p) for p in pieces])
-    x = np.frombuffer(b"".join(pieces), np.uint8)
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U, bool))
+    data = b"".join(pieces)
+    x = np.frombuffer(data, np.uint8)
+    none = (*(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U)), np.zeros((0, 2), U), np.zeros(0, bool))
     if len(x) < WINDOW:
         return none
     ends = np.cumsum(size)
-    hashes, span = Hashes(x), WINDOW - ANCHOR + 1
+    h, span = hashes(x, ANCHOR), WINDOW - ANCHOR + 1
     owner = np.repeat(np.arange(len(size)), size)[: len(x) - WINDOW + 1]
     at = np.flatnonzero(np.arange(len(owner)) + WINDOW <= ends[owner])  # windows that lie in one piece
     if not len(at):
         return none
-    start, windows, anchor = _runs(hashes, ANCHOR, at)
-    content = hashes.at(start, start + windows + WINDOW - 1)
+    start, windows, anchor = _runs(h, ANCHOR, at)
+    content = digests(data, start, start + windows + WINDOW - 1)
     # Places of anchors: the greatest of the minima of the windows around a place is its own hash.
-    h = hashes.fixed(ANCHOR)
     padded = np.concatenate([np.zeros(span - 1, U), _rolling(h, span, np.minimum), np.zeros(span - 1, U)])
     places = np.flatnonzero(_rolling(padded, span, np.maximum)[: len(h)] == h)
     # Items whose anchor occurs twice in their own bytes.
@@ -169,6 +161,11 @@ SPANS = np.dtype([("start", "<i4"), ("windows", "<i4")])
 OPEN = np.dtype([("start", "<i4"), ("windows", "<i2"), ("key", "<u4"), ("hot", "?")])
 
 
+def _differ(content: np.ndarray) -> np.ndarray:
+    """Whether each digest but the first is another one than that before it."""
+    return (content[1:] != content[:-1]).any(axis=1)
+
+
 def _item_order(item: np.ndarray, *outer: np.ndarray) -> np.ndarray:
     return np.lexsort((item["start"], item["row"], item["doc"], *outer))
 
@@ -197,16 +194,16 @@ def _pack_shards(docs: DataFrame, parts: int) -> DataFrame:
             anchor, content, item = (np.concatenate(c) for c in zip(*held, strict=True))
             held, n = [], 0
             part = _part(_key(anchor), parts)
-            order = _item_order(item, content, anchor, part)
+            order = _item_order(item, content[:, 0], anchor, part)
             part, anchor, content, item = part[order], anchor[order], content[order], item[order]
-            new = np.append(True, (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]))[: len(anchor)]
+            new = np.append(True, (anchor[1:] != anchor[:-1]) | _differ(content))[: len(anchor)]
             again = ~new & ~_repeated_rows(item)
             rows = []
             cuts = np.searchsorted(part[new], np.arange(parts + 1))
             a, c, i = anchor[new], content[new], item[new]
             for p in np.flatnonzero(np.diff(cuts)):
                 s = slice(cuts[p], cuts[p + 1])
-                rows.append((int(p), 0, _six(a[s]), _six(c[s]), i[s].tobytes()))
+                rows.append((int(p), 0, _six(a[s]), c[s].tobytes(), i[s].tobytes()))
             i = item[again]
             to = _part(_key(i["doc"].astype(U)), parts)
             order = np.argsort(to, kind="stable")
@@ -266,11 +263,11 @@ def _settle(shards: DataFrame, hot: int) -> DataFrame:
         join = lambda c: b"".join(t.column(c).to_pylist())
         again = np.frombuffer(b"".join([r for r, k in zip(raw, kind, strict=True) if k]), ITEM)
         item = np.frombuffer(b"".join([r for r, k in zip(raw, kind, strict=True) if not k]), ITEM)
-        anchor, content = _from_six(join("anchors")), _from_six(join("contents"))
-        order = _item_order(item, content, anchor)
+        anchor, content = _from_six(join("anchors")), np.frombuffer(join("contents"), "<u8").reshape(-1, 2)
+        order = _item_order(item, content[:, 0], anchor)
         anchor, content, item = anchor[order], content[order], item[order]
         new_anchor = np.append(True, anchor[1:] != anchor[:-1])[: len(anchor)]
-        new = new_anchor | np.append(True, content[1:] != content[:-1])[: len(anchor)]
+        new = new_anchor | np.append(True, _differ(content))[: len(anchor)]
         group = np.cumsum(new_anchor) - 1
         contents = np.bincount(group, new, minlength=1)[group] if len(group) else np.zeros(0)
         lost = np.concatenate([item[~new & ~_repeated_rows(item)], again])
@@ -419,7 +416,7 @@ def _strings(x: np.ndarray, length: np.ndarray, which: np.ndarray) -> np.ndarray
 def _filed_anew(data: bytes, start: int) -> list[tuple[int, int, int, bytes]]:
     """(key, start, windows, bytes) of an item's windows under anchors of LONG bytes."""
     x = np.frombuffer(data, np.uint8)
-    at, windows, anchor = _runs(Hashes(x), LONG, np.arange(len(x) - WINDOW + 1))
+    at, windows, anchor = _runs(hashes(x, LONG), LONG, np.arange(len(x) - WINDOW + 1))
     key = _key(_mix(anchor + M2))
     return [(k, start + a, n, data[a : a + n + WINDOW - 1]) for k, a, n in zip(key.tolist(), at.tolist(), windows.tolist(), strict=True)]
 

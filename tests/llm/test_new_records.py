@@ -134,8 +134,8 @@ def test_archives_of_nothing_and_odd_columns(spark, tmp_path):
 
 
 def brute_audit(docs, labels):
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, t in labels if t == 1}
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
     rows = []
     for i, text, lang in docs:
         text = text or ""
