@@ -1,26 +1,69 @@
-"""Running totals along a long ordered log."""
+"""Parallel prefix scans along long ordered tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+#: A block of a level holds up to two to this power blocks of the level below.
+BITS = 12
+#: How totals of blocks are made, how rows run inside a block, and how what came before meets what is here.
+TOTAL = {"sum": F.sum, "max": F.max, "min": F.min}
+MEET = {
+    "sum": lambda before, here: F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0)), "max": F.greatest, "min": F.least,
+    "last": lambda before, here: F.coalesce(here, before),
+}
 
 
-def running_total(df: DataFrame, by: str, order: str, value: str, name: str) -> DataFrame:
-    """df with the running sum of value along order (a unique integer) for each by.
+def _running(kind: str, c: Column) -> Column:
+    return F.last(c, ignorenulls=True) if kind == "last" else TOTAL[kind](c)
+
 
-    A few logs with all rows would put one window on one task: sums run inside
-    blocks of order, and over one row for each block.
+def scan(
+    df: DataFrame, by: list[str], order: str, values: dict[str, tuple[str, Column]], tie: tuple[Column, ...] = (), exclusive: bool = False, span: int | None = None
+) -> DataFrame:
+    """df with running values along order, an integer column, for each by: {name: (sum, max, min or last, column)}.
+
+    last is the last value that is not null. Rows of equal order follow tie. An
+    exclusive value leaves its own row out. Any associative operation would do:
+    rows run inside blocks of order, the blocks' totals inside blocks of blocks,
+    and so on, until what is left of a by are some thousand totals. No window
+    but that last one has a by, and no by at all, to itself: a log with all
+    rows, or a table without by, is spread like any other. span bounds the
+    absolute values of order; without it one aggregation finds it.
     """
-    d = df.withColumn("__block", F.floor(F.col(order) / BLOCK))
-    blocks = d.groupBy(by, "__block").agg(F.sum(value).alias("__size"))
-    before = Window.partitionBy(by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("__at", F.coalesce(F.sum("__size").over(before), F.lit(0))).drop("__size")
-    inside = Window.partitionBy(by, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("__in", F.sum(value).over(inside)).join(blocks, [by, "__block"])
-    return d.withColumn(name, F.col("__at") + F.col("__in")).drop("__block", "__at", "__in")
+    if span is None:
+        found = df.agg(F.max(F.abs(F.col(order)))).first()[0]
+        span = int(found or 0)
+    d = df.withColumn("__block", F.shiftright(F.col(order).cast("long"), BITS))
+    place = F.struct(F.col(order), *tie)
+    rows = Window.partitionBy(*by, "__block").orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    total = lambda kind, c: F.max_by(c, F.when(c.isNotNull(), place)) if kind == "last" else TOTAL[kind](c)
+    blocks = d.groupBy(*by, "__block").agg(*[total(kind, c).alias(f"__{n}") for n, (kind, c) in values.items()])
+    before = _before(blocks, by, "__block", {f"__{n}": kind for n, (kind, _) in values.items()}, span >> BITS)
+    d = d.withColumns({n: _running(kind, c).over(rows) for n, (kind, c) in values.items()})
+    d = d.join(before, [*by, "__block"], "left")
+    return d.withColumns({n: MEET[kind](F.col(f"__{n}"), F.col(n)) for n, (kind, _) in values.items()}).drop("__block", *[f"__{n}" for n in values])
+
+
+def _before(blocks: DataFrame, by: list[str], key: str, kinds: dict[str, str], span: int) -> DataFrame:
+    """blocks (by, key, totals) with each total replaced by that of all blocks before it."""
+    if span < 1 << BITS:
+        w = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        return blocks.withColumns({n: _running(kind, F.col(n)).over(w) for n, kind in kinds.items()})
+    upper = f"{key}_"
+    d = blocks.withColumn(upper, F.shiftright(key, BITS))
+    total = lambda n, kind: F.max_by(n, F.when(F.col(n).isNotNull(), F.col(key))) if kind == "last" else TOTAL[kind](n)
+    above = d.groupBy(*by, upper).agg(*[total(n, kind).alias(n) for n, kind in kinds.items()])
+    above = _before(above, by, upper, kinds, span >> BITS).withColumnsRenamed({n: f"{n}_" for n in kinds})
+    w = Window.partitionBy(*by, upper).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({n: _running(kind, F.col(n)).over(w) for n, kind in kinds.items()}).join(above, [*by, upper], "left")
+    return d.withColumns({n: MEET[kind](F.col(f"{n}_"), F.col(n)) for n, kind in kinds.items()}).drop(upper, *[f"{n}_" for n in kinds])
+
+
+def running_total(df: DataFrame, by: str, order: str, value: str, name: str) -> DataFrame:
+    """df with the running sum of value along order (a unique integer) for each by."""
+    return scan(df, [by], order, {name: ("sum", F.col(value))})
 
 
 #: Lengths of the leading parts of keys that make blocks inside blocks.

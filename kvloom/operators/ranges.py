@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kvloom.operators.prefix_sum import scan
+
 #: Width of the cells that make containment an equality join.
 CELL = 1024
 
@@ -12,21 +14,18 @@ CELL = 1024
 def merge(ranges: DataFrame, start: str = "s", end: str = "e") -> DataFrame:
     """(s, e): overlapping and touching ranges made one.
 
-    Two passes keep the ordered window short: ranges are merged inside blocks
-    of the distinct starts first, then the few block results over all.
+    A range begins an island where it lies beyond the reach of all before it; an
+    island is known by its start. Reach and start are prefix scans, islands an
+    aggregation with map-side combining: no step has all ranges, or a long
+    island, in one task.
     """
     r = ranges.select(F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")).filter("s <= e")
     r = r.groupBy("s").agg(F.max("e").alias("e"))
-    inner = _merge(r.withColumn("cell", F.floor(F.col("s") / CELL)), ["cell"])
-    return _merge(inner.select("s", "e"), [])
-
-
-def _merge(r: DataFrame, by: list[str]) -> DataFrame:
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("s")
-    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    r = r.withColumn("new", (reach.isNull() | (F.col("s") > reach + 1)).cast("int"))
-    r = r.withColumn("island", F.sum("new").over(w))
-    return r.groupBy(*by, "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
+    span = int(r.agg(F.max(F.abs("s"))).first()[0] or 0)
+    r = scan(r, [], "s", {"reach": ("max", F.col("e"))}, exclusive=True, span=span)
+    begins = F.col("reach").isNull() | (F.col("s") > F.col("reach") + 1)
+    r = scan(r.withColumn("begins", F.when(begins, F.col("s"))), [], "s", {"island": ("max", F.col("begins"))}, span=span)
+    return r.groupBy("island").agg(F.max("e").alias("e")).select(F.col("island").alias("s"), "e")
 
 
 def coverage(ranges: DataFrame) -> DataFrame:

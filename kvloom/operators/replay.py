@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kvloom.functions.constants import METRICS, MODULE_TYPES
 from kvloom.functions.hashing import crc64
 from kvloom.functions.snapshot_types import string_code, ttl_ms
-from kvloom.operators.prefix_sum import BLOCK
+from kvloom.operators.prefix_sum import scan
 
 DUMP_VERSION = 9
 
@@ -49,13 +49,8 @@ def select_switches(rows: DataFrame, by: str | None = None) -> DataFrame:
     database of the block before, so that no window holds a whole snapshot.
     """
     keys = [by] if by else []
-    d = rows.select(*keys, "pos", "db", F.floor(F.col("pos") / BLOCK).alias("__block"))
-    ends = d.groupBy(*keys, "__block").agg(F.max_by("db", "pos").alias("__last"))
-    ends = ends.withColumn("__before", F.lag("__last", 1, 0).over(Window.partitionBy(*keys).orderBy("__block"))).drop("__last")
-    inside = Window.partitionBy(*keys, "__block").orderBy("pos")
-    was = F.coalesce(F.col("__here"), F.col("__before"))
-    d = d.withColumn("__here", F.lag("db", 1).over(inside)).join(ends, [*keys, "__block"])
-    return d.filter(was != F.col("db")).select(*keys, "pos", "db")
+    d = scan(rows.select(*keys, "pos", "db"), keys, "pos", {"__was": ("last", F.col("db"))}, exclusive=True)
+    return d.filter(F.coalesce("__was", F.lit(0)) != F.col("db")).select(*keys, "pos", "db")
 
 
 def string_raw(value: Column) -> Column:

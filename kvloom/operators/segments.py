@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvloom.functions.constants import LOG_SIZE
+from kvloom.operators.prefix_sum import scan
+from kvloom.sources.shared import written
 
 SNAPSHOT, LOG = "rdb", "aof"
 
@@ -49,10 +51,12 @@ def _holding(points: DataFrame, ranges: DataFrame, by: tuple[str, ...] = ()) ->
     not smaller: two cells at most, however long it is. Points look at each
     level that occurs, of which there are 64 at most.
     """
-    level = F.ceil(F.log2((F.col("hi") - F.col("lo")).cast("double"))).cast("int")
+    # The digits of size - 1 in base two: integers only, so that any offset is exact.
+    size = F.col("hi") - F.col("lo")
+    level = F.when(size == 1, 0).otherwise(F.length(F.bin(size - 1)))
     r = ranges.filter("hi > lo").withColumn("level", level)
-    levels = [x["level"] for x in r.select("level").distinct().collect()]
-    cell = lambda o: F.floor(o / F.pow(F.lit(2.0), "level")).cast("long")
+    levels = [x["level"] for x in r.select("level").distinct().collect()]  # 64 at most
+    cell = lambda o: F.call_function("shiftright", o, F.col("level"))
     r = r.withColumn("cell", F.explode(F.array_distinct(F.array(cell(F.col("lo")), cell(F.col("hi") - 1)))))
     p = points.withColumn("level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>"))).withColumn("cell", cell(F.col("o")))
     return p.join(r, [*by, "level", "cell"]).filter((F.col("lo") <= F.col("o")) & (F.col("o") < F.col("hi"))).drop("level", "cell")
@@ -61,20 +65,15 @@ def _holding(points: DataFrame, ranges: DataFrame, by: tuple[str, ...] = ()) ->
 def _last_start(points: DataFrame, starts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """points (by, o) with start: the greatest of starts (by, at) that is not above o; points below all of them are left out.
 
-    As-of join without a nested loop: points and starts are merged in order for
-    each block of offsets; a block without a start takes the last one before it.
+    As-of join without a nested loop: points and starts are merged in order, and
+    the last start is carried along by a prefix scan.
     """
-    block = 1 << 20
     none = F.lit(None).cast("long")
-    s = starts.select(*by, "at", F.col("at").alias("start"), none.alias("o")).distinct()
-    p = points.select(*by, F.col("o").alias("at"), none.alias("start"), "o").distinct()
-    both = s.unionByName(p).withColumn("block", F.floor(F.col("at") / block))
-    ends = both.groupBy(*by, "block").agg(F.max("start").alias("last"))
-    before = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("carried", F.max("last").over(before)).drop("last")
-    order = Window.partitionBy(*by, "block").orderBy("at", F.col("start").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumn("here", F.max("start").over(order)).join(ends, [*by, "block"])
-    return filled.filter("o IS NOT NULL").select(*by, "o", F.coalesce("here", "carried").alias("start")).filter("start IS NOT NULL")
+    s = starts.select(*by, "at", F.col("at").alias("given"), none.alias("o")).distinct()
+    p = points.select(*by, F.col("o").alias("at"), none.alias("given"), "o").distinct()
+    span = int(s.select("at").union(p.select("at")).agg(F.max(F.abs("at"))).first()[0] or 0)
+    filled = scan(s.unionByName(p), list(by), "at", {"start": ("max", F.col("given"))}, tie=(F.col("given").asc_nulls_last(),), span=span)
+    return filled.filter("o IS NOT NULL AND start IS NOT NULL").select(*by, "o", "start")
 
 
 def _snapshot_ranges(segments: DataFrame) -> DataFrame:
@@ -106,14 +105,15 @@ def resolve_reader(probes: DataFrame, segments: DataFrame) -> DataFrame:
     answers for o is thus the last step before o of a staircase: runs whose
     first log lies below those of all runs before them.
     """
-    points = probes.select("o").distinct()
+    # Both are used several times, and may be dear to make.
+    segments, points = written(segments, "catalogue"), written(probes.select("o").distinct(), "points")
     snap = _holding(points, _snapshot_ranges(segments)).select("o", "run_id", F.lit(SNAPSHOT).alias("kind"), "offset", "size", F.lit(0).alias("rank"))
     logs = _logs(segments)
-    # One row for each run.
-    begins = logs.groupBy("run_id").agg(F.min("offset").alias("at"))
-    lower = F.min("at").over(Window.orderBy("run_id").rowsBetween(Window.unboundedPreceding, -1))
-    steps = begins.withColumn("lower", lower).filter(F.col("lower").isNull() | (F.col("at") < F.col("lower"))).select("at", "run_id")
-    at = _last_start(points, steps).join(steps.withColumnRenamed("at", "start"), "start").select("run_id", "o")
+    # One row for each run; a step ends where that of an earlier run begins.
+    begins = logs.groupBy("run_id").agg(F.min("offset").alias("lo"))
+    lower = F.min("lo").over(Window.orderBy("run_id").rowsBetween(Window.unboundedPreceding, -1))
+    steps = begins.withColumn("hi", F.coalesce(lower, F.lit((1 << 63) - 1))).filter("lo < hi")
+    at = _holding(points, steps).select("run_id", "o")
     log = find_log(at, segments).join(logs, ["run_id", "offset"]).select("o", "run_id", F.lit(LOG).alias("kind"), "offset", "size", F.lit(1).alias("rank"))
     best = snap.union(log).groupBy("o").agg(F.min(F.struct("run_id", "rank", "kind", "offset", "size")).alias("b"))
     return best.select("o", "b.run_id", "b.kind", "b.offset", "b.size")

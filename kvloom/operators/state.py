@@ -7,32 +7,33 @@ from pyspark.sql import functions as F
 
 from kvloom.functions.constants import RESERVED_PREFIX
 from kvloom.functions.snapshot_types import phase_code, phase_name
-from kvloom.operators.prefix_sum import running_total
+from kvloom.operators.prefix_sum import scan
 
 
 def transaction_status(commands: DataFrame) -> DataFrame:
     """commands (run_id, seq, cmd) with txn (No, Begin, In, Commit) and in_txn after each command.
 
     Closed form, no fold: a MULTI opens a group, which ends at the first DISCARD,
-    or EXEC after an ordinary command. A group's turning points are least places
-    (seq), found by aggregations with map-side combining, so that a log without
-    transactions, or with one that stays open, is no window of all its rows.
+    or EXEC after an ordinary command. Two prefix scans carry what a command must
+    know: the last MULTI and the last ordinary command, then the first end in the
+    latest group. A log without transactions, or with one that stays open, is
+    scanned like any other.
     """
-    group = ["run_id", "__g"]
     seq, cmd = F.col("seq"), F.col("cmd")
     ordinary = ~cmd.isin("MULTI", "EXEC", "DISCARD")
-    d = running_total(commands.withColumn("__multi", (cmd == "MULTI").cast("long")), "run_id", "seq", "__multi", "__g")
-    first = lambda d, condition, name: d.groupBy(*group).agg(F.min(F.when(condition, seq)).alias(name))
-    d = d.join(d.groupBy(*group).agg(F.min(F.when(ordinary, seq)).alias("__begun"), F.min(F.when(cmd == "DISCARD", seq)).alias("__gone")), group)
-    d = d.join(first(d, (cmd == "EXEC") & (seq > F.col("__begun")), "__done"), group)
-    end = F.least("__gone", "__done")  # the one that there is, or the earlier
-    d = d.join(first(d, ordinary & (seq > end), "__after"), group)
+    span = int(commands.agg(F.max(F.abs("seq"))).first()[0] or 0)
+    d = scan(commands, ["run_id"], "seq", {"__multi": ("max", F.when(cmd == "MULTI", seq)), "__last": ("max", F.when(ordinary, seq))}, span=span)
+    begun = F.coalesce(F.col("__last") > F.col("__multi"), F.lit(False))
+    ends = (cmd == "DISCARD") | ((cmd == "EXEC") & begun)
+    # The greatest is of the latest group, and the first there.
+    end = F.when(ends & F.col("__multi").isNotNull(), F.struct(F.col("__multi").alias("multi"), (-seq).alias("at"), (cmd == "DISCARD").alias("gone")))
+    d = scan(d, ["run_id"], "seq", {"__end": ("max", end)}, span=span)
+    ended = F.coalesce(F.col("__end.multi") == F.col("__multi"), F.lit(False))
     status = (
-        F.when(F.col("__g") == 0, "No")
-        .when(end.isNull() | (seq < end), F.when(seq >= F.col("__begun"), "In").otherwise("Begin"))
-        .when(end == F.col("__gone"), "No").when(seq >= F.col("__after"), "No").otherwise("Commit")
+        F.when(F.col("__multi").isNull(), "No").when(~ended, F.when(begun, "In").otherwise("Begin"))
+        .when(F.col("__end.gone") | (F.col("__last") > -F.col("__end.at")), "No").otherwise("Commit")
     )
-    return d.withColumn("txn", status).withColumn("in_txn", ordinary & (F.col("txn") == "In")).drop("__multi", "__g", "__begun", "__gone", "__done", "__after")
+    return d.withColumn("txn", status).withColumn("in_txn", ordinary & (F.col("txn") == "In")).drop("__multi", "__last", "__end")
 
 
 def last_phase(events: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
@@ -28,6 +28,13 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return folder
 
 
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: what is used several times is made once, and lost executors cost nothing of it."""
+    path = shared_folder(df.sparkSession, kind)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def mounted(path: str) -> str:
     """The path as the operating system takes it."""
     return re.sub(r"^file:(//)?", "", path)
