@@ -5,10 +5,10 @@ word falls back to its longest character n-grams that training saw, from
 ``LONGEST`` letters down to one. A document's language has the highest sum.
 
 Training reads a bounded sample (``MAX_TRAIN`` labelled documents, the smallest
-by a hash of their id) and keeps bounded tables (``MAX_WORDS`` words and
-``MAX_GRAMS`` n-grams of each length, the most frequent), so the model that
-goes to the workers has one size for any corpus. Prediction reads every word of
-every text.
+by a hash of their id) and keeps all its words and n-grams, so the model that
+goes to the workers stops growing with the corpus: some 100 bytes for each
+distinct word and n-gram, 8 more for each language. Prediction reads every word
+of every text.
 """
 
 from __future__ import annotations
@@ -17,15 +17,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kvloom.llm.common import each_batch, table
+from kvloom.llm.common import each_batch, materialize, quoted, table
 
 MAX_TRAIN = 10_000
-MAX_WORDS = 40_000
-MAX_GRAMS = 10_000
 LONGEST = 5
 #: Added to every count.
 SMOOTH = 0.5
@@ -37,35 +37,40 @@ NO_LETTERS = r"[^\p{L}]+"
 LETTERS = regex.compile(r"\p{L}+")
 
 
-def _top(counted: DataFrame, key: str, most: int) -> dict[str, dict[str, int]]:
-    """{key: {lang: n}} of the most frequent keys; ties to the smaller key."""
-    per_key = counted.groupBy(key).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
-    rows = per_key.orderBy(F.desc("total"), key).limit(most).collect()  # bounded by most
-    return {r[key]: r["by_lang"] for r in rows}
+class Table:
+    """Counts of keys by language as log frequencies: a row of one matrix for each key."""
 
+    def __init__(self, keys: list[str], counts: np.ndarray):
+        self.row = {k: i for i, k in enumerate(keys)}
+        self.logs = np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * len(keys)))
+
+    @classmethod
+    def of(cls, found: pa.Table, langs: list[str]) -> Table:
+        """found: (key, lang, n), each key and language once."""
+        key, lang = (found.column(c).combine_chunks().dictionary_encode() for c in ("key", "lang"))
+        keys, place = key.dictionary.to_pylist(), {g: i for i, g in enumerate(langs)}
+        column = np.array([place[g] for g in lang.dictionary.to_pylist()], np.int64)
+        counts = np.zeros((len(keys), len(langs)))
+        counts[key.indices.to_numpy(), column[lang.indices.to_numpy()]] = found.column("n").to_numpy()
+        return cls(keys, counts)
 
-class Model:
-    """Log frequencies by word and n-gram; vectors follow the languages in code point order."""
 
-    def __init__(self, langs: list[str], words: dict, grams: dict[int, dict]):
-        self.langs = langs
-        self.words = self._logs(words)
-        self.grams = {n: self._logs(g) for n, g in grams.items()}
+class Model:
+    """Log frequencies by word and n-gram; columns follow the languages in code point order. grams: n-grams of all lengths by length."""
 
-    def _logs(self, counts: dict[str, dict[str, int]]) -> dict[str, tuple[float, ...]]:
-        totals = [sum(c.get(x, 0) for c in counts.values()) + SMOOTH * len(counts) for x in self.langs]
-        return {k: tuple(math.log((c.get(x, 0) + SMOOTH) / t) for x, t in zip(self.langs, totals, strict=True)) for k, c in counts.items()}
+    def __init__(self, langs: list[str], words: Table, grams: dict[int, Table]):
+        self.langs, self.words, self.grams = langs, words, grams
 
     def word(self, word: str) -> np.ndarray:
         """Score of one lower-case word in each language."""
-        if (known := self.words.get(word)) is not None:
-            return np.array(known)
+        if (known := self.words.row.get(word)) is not None:
+            return self.words.logs[known]
         padded = f"^{word}$"
         for n in range(LONGEST, 0, -1):
-            table = self.grams.get(n, {})
-            found = [table[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in table]
+            table = self.grams[n]
+            found = [r for i in range(len(padded) - n + 1) if (r := table.row.get(padded[i : i + n])) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return table.logs[found].mean(axis=0)
         return np.zeros(len(self.langs))
 
 
@@ -122,27 +127,16 @@ def train(labelled: DataFrame) -> Model:
     rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     chosen = rows.select("doc_id").orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(MAX_TRAIN).distinct()
     sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi")  # MAX_TRAIN ids
-    words = sample.select("lang", F.explode(F.split(F.lower("text"), NO_LETTERS)).alias("word")).filter("word <> ''")
-    words = words.groupBy("lang", "word").agg(F.count("*").alias("n")).cache()
-    try:
-        langs = sorted(r[0] for r in words.select("lang").distinct().collect())
-        known = _top(words, "word", MAX_WORDS)
-        padded = words.select("lang", "n", F.concat(F.lit("^"), "word", F.lit("$")).alias("p"))
-        grams: dict[int, dict] = {}
-        each = padded.select("lang", "n", F.explode(F.flatten(F.transform(
-            F.sequence(F.lit(1), F.lit(LONGEST)),
-            lambda k: F.transform(
-                F.filter(F.sequence(F.lit(1), F.length("p")), lambda i: i + k - 1 <= F.length("p")),
-                lambda i: F.substring(F.col("p"), i, k),
-            ),
-        ))).alias("gram"))
-        each = each.groupBy("lang", "gram").agg(F.sum("n").alias("n")).cache()
-        for k in range(1, LONGEST + 1):
-            grams[k] = _top(each.filter(F.length("gram") == k), "gram", MAX_GRAMS)
-        each.unpersist()
-    finally:
-        words.unpersist()
-    return Model(langs, known, grams)
+    words = sample.select("lang", F.explode(F.split(F.lower("text"), NO_LETTERS)).alias("key")).filter("key <> ''")
+    words = materialize(words.groupBy("key", "lang").agg(F.count("*").alias("n")), "lang-words")
+    # All n-grams that begin at a place of a word: those that would reach behind its end are shorter than they should be.
+    places = words.select("lang", "n", F.concat(F.lit("^"), "key", F.lit("$")).alias("p")).withColumn("i", F.explode(F.sequence(F.lit(1), F.length("p"))))
+    grams = places.select("lang", "n", F.posexplode(F.array(*[F.substring("p", F.col("i"), F.lit(k)) for k in range(1, LONGEST + 1)])).alias("k", "key"))
+    grams = grams.filter(F.length("key") == F.col("k") + 1).groupBy("key", "lang").agg(F.sum("n").alias("n")).withColumn("k", F.length("key"))
+    # Bounded by the sample: what MAX_TRAIN documents hold.
+    known, parts = words.toArrow(), grams.toArrow()
+    langs = sorted(known.column("lang").unique().to_pylist())
+    return Model(langs, Table.of(known, langs), {k: Table.of(parts.filter(pc.equal(parts.column("k"), k)), langs) for k in range(1, LONGEST + 1)})
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,7 +146,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     without languages gives ``und`` with score 0; equal sums go to the first
     language in code point order; each repeated row gives a row.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_WORDS and MAX_GRAMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_TRAIN documents
     made: dict = {}
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -161,8 +155,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         found = [made["scorer"](t.as_py()) for t in b.column(1)]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[id_col, "lang_pred", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(each_batch(batch), f"`{id_col}` {kind}, lang_pred string, score double")
+    rows = docs.select(F.col(quoted(id_col)).alias(id_col), F.col(quoted(text_col)).alias("text"))
+    schema = T.StructType([rows.schema[id_col], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(each_batch(batch), schema)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
