@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from kvloom.functions.constants import VALUE_CLASSES
 from kvloom.sources.rdb import CorruptSnapshot, SnapshotReader, encode_length, encode_string
+from kvloom.sources.shared import written
 
 Element = tuple[int | None, bytes | None, bytes | None, float | None]
 CLASS_OF = {t: name for name, types in VALUE_CLASSES.items() for t in types}
@@ -291,6 +292,15 @@ def explode_values(snapshot: DataFrame) -> DataFrame:
     return snapshot.select(*names, "raw_value").mapInArrow(run, schema)
 
 
+def entries(snapshot: DataFrame) -> DataFrame:
+    """(run_id, db, key, field, value, expire_ms, rdb_type) of a snapshot, as log application takes them: strings, fields of hashes, and other values as they are."""
+    rows = written(snapshot, "entries")
+    kind, expire = F.col("rdb_type"), F.unix_millis("expire").alias("expire_ms")
+    whole = rows.filter(~kind.isin(*VALUE_CLASSES["hash"])).select("run_id", "db", "key", F.lit(None).cast("binary").alias("field"), F.coalesce("value", "raw_value").alias("value"), expire, kind)
+    fields = explode_values(rows.filter(kind.isin(*VALUE_CLASSES["hash"])))
+    return whole.unionByName(fields.select("run_id", "db", "key", "field", "value", expire, kind))
+
+
 def pack_values(rows: DataFrame, *keep: str) -> DataFrame:
     """(keep, rdb_type, raw_value) of rows with rdb_type and items, an array of structs (place, field, value, score)."""
     schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in (*keep, "rdb_type")) + ", raw_value binary"

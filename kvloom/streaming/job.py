@@ -7,7 +7,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvloom.functions import wire
+from kvloom.functions import elements, wire
 from kvloom.functions.constants import PHASES, STATES, STORE_SIZE
 from kvloom.operators import apply, segments
 from kvloom.operators.rules import RuleSet
@@ -51,10 +51,7 @@ class SyncJob:
             return self._answer(1, f"cannot run in {self.state}")
         if self.state == "ReadyRun":
             self.phase = "FullSyncing"
-            snap = rdb.read_snapshots(self.spark, self.base).select(
-                "run_id", "db", "key", F.coalesce("value", "raw_value").alias("value"), F.unix_millis("expire").alias("expire_ms"), "rdb_type"
-            )
-            snap.write.mode("overwrite").parquet(f"{self.out}/snapshot")
+            elements.entries(rdb.read_snapshots(self.spark, self.base)).write.mode("overwrite").parquet(f"{self.out}/snapshot")
             self.phase = "FullSynced"
 
         def save(batch: DataFrame, batch_id: int) -> None:
@@ -112,15 +109,15 @@ class SyncJob:
         return self._answer()
 
     def keyspace(self, now_ms: int | None = None) -> DataFrame:
-        """The keyspace as far as the job came: (db, key, field, value, expire_ms, source), all bytes as they are. Values of other than strings and
-        of hashes that the log made stay encoded. now_ms: the clock of relative expiry."""
+        """The keyspace as far as the job came: (db, key, field, value, expire_ms, source), all bytes as they are. Values of other than strings
+        and hashes stay encoded. now_ms: the clock of relative expiry."""
         snap = self.spark.read.parquet(f"{self.out}/snapshot")
         log = self.spark.read.parquet(f"{self.out}/log").filter("NOT dropped")
         return apply.apply(snap, log, int(time.time() * 1000) if now_ms is None else now_ms)
 
     def unapplied(self) -> DataFrame:
         """(run_id, seq, name, reason) of malformed bytes and of commands that the keyspace lacks."""
-        return apply.unapplied(self.spark.read.parquet(f"{self.out}/log").filter("NOT dropped"))
+        return apply.unapplied(self.spark.read.parquet(f"{self.out}/log").filter("NOT dropped"), self.spark.read.parquet(f"{self.out}/snapshot"))
 
     def checkpoints(self) -> DataFrame:
         """(run_id, offset): the last saved log offset of each run."""
