@@ -7,7 +7,7 @@ often than others.
 
 Training reads a bounded sample (``MAX_TRAIN`` labelled documents, the smallest
 by a hash of their id). Their words are counted on the executors; the driver
-gets at most ``MAX_LEXICON`` words and MAX_TRAIN short feature vectors. Scoring
+gets the words that pass the limits and MAX_TRAIN short feature vectors. Scoring
 reads every whole text.
 """
 
@@ -25,10 +25,12 @@ from kvloom.llm.common import columns_of, each_batch, materialize, quoted, sprea
 from kvloom.llm.language import fold
 
 MAX_TRAIN = 20_000
-MAX_LEXICON = 200
-#: Documents of label 1 that use a word of the lexicon, and log odds of the label given the word against without it, at least.
+#: Documents of label 1 that use a word of the lexicon, at least.
 LEAST_DOCS = 3
-LEAST_ODDS = 1.5
+#: A word's weight is the lower end of the 95 % range (one-sided) of the log odds of the label given the word against
+#: without it, so that rare words that met label 1 by chance weigh little; and the weight of a word of the lexicon, at least.
+SURE = 1.645
+LEAST_ODDS = 1.0
 #: Words to either side of a lexicon word in which a second-person word counts.
 NEAR = 5
 TREES, DEPTH, RATE, BINS, LEAF = 60, 4, 0.15, 64, 20
@@ -40,9 +42,10 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine d
 LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 EDGE = " \t\n\r.,;:?!\"'()[]{}<>…«»“”‘’-–—*_~`^|/\\&%$#@+="
 LETTER_RUN = re.compile(r"[^\W\d_]+")
-SECOND, OBFUSCATED = 201, 202
+#: Codes of chunks; lexicon words follow from WORD on.
+OTHER, SECOND, OBFUSCATED, WORD = range(4)
 #: Added in the memory to the code of a chunk that is a lexicon word only in disguise.
-DISGUISED = 256
+DISGUISED = 1 << 40
 #: Chunks in a worker's memory.
 MEMORY = 150_000
 NAMES = ("density", "weight", "hits", "top_weight", "near", "capitals", "exclaim", "question", "punctuation", "obfuscated", "hidden", "words", "word_length", "digits", "second")
@@ -50,10 +53,8 @@ NAMES = ("density", "weight", "hits", "top_weight", "near", "capitals", "exclaim
 
 class Featurizer:
     def __init__(self, lexicon: list[tuple[str, float]]):
-        self.code = {w: i + 1 for i, (w, _) in enumerate(lexicon)}
-        self.weight = np.zeros(256)
-        for i, (_, x) in enumerate(lexicon):
-            self.weight[i + 1] = x
+        self.code = {w: i + WORD for i, (w, _) in enumerate(lexicon)}
+        self.weight = np.array([0.0] * WORD + [x for _, x in lexicon])
         self.memory: dict[str, int] = {}
         chars = np.zeros((5, 256), bool)
         for row, letters in enumerate((range(65, 91), b"!", b"?", [c for c in range(33, 127) if not chr(c).isalnum()], range(48, 58))):
@@ -61,7 +62,7 @@ class Featurizer:
         self.chars = chars.astype(float)
 
     def classify(self, chunk: str) -> int:
-        """Code of a chunk between white space: its place in the lexicon, SECOND, OBFUSCATED or 0."""
+        """Code of a chunk between white space: that of its word in the lexicon, SECOND, OBFUSCATED or OTHER."""
         word = chunk.strip(EDGE).lower()
         if word in self.code:
             return self.code[word]
@@ -70,7 +71,7 @@ class Featurizer:
         if word.isalpha() or not word:
             # Look-alikes at the edges: stripping has taken them off.
             whole = chunk.lower().strip(" .,;:?\"'()[]{}<>").translate(LOOKALIKE)
-            return self.code.get(whole, 0)
+            return self.code.get(whole, OTHER)
         plain = word.translate(LOOKALIKE)
         for form in (plain, "".join(LETTER_RUN.findall(plain))):
             if form in self.code:
@@ -80,11 +81,11 @@ class Featurizer:
                 if p in self.code:
                     return self.code[p]
             return OBFUSCATED
-        return 0
+        return OTHER
 
     def _remembered(self, chunk: str) -> int:
         code = self.classify(chunk)
-        plain = not 0 < code < SECOND or chunk.strip(EDGE).lower() in self.code
+        plain = code < WORD or chunk.strip(EDGE).lower() in self.code
         return code if plain else code + DISGUISED
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -104,7 +105,7 @@ class Featurizer:
         n, size = max(1, len(words)), max(1, len(raw))
         capitals, exclaim, question, punctuation, digits = self.chars @ np.bincount(raw, minlength=256) / size
         weights = self.weight[codes] if len(codes) else np.zeros(0)
-        hits = np.flatnonzero((codes > 0) & (codes < SECOND))
+        hits = np.flatnonzero(codes >= WORD)
         you = np.flatnonzero(codes == SECOND)
         near = 0
         if len(hits) and len(you):
@@ -229,7 +230,7 @@ def _features(docs: DataFrame, lexicon: list[tuple[str, float]]) -> DataFrame:
 
 
 def learn_lexicon(sample: DataFrame) -> list[tuple[str, float]]:
-    """At most MAX_LEXICON (word, log odds), by documents that use the word."""
+    """(word, weight) by documents that use the word: all words of the sample that pass both limits."""
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     n = sample.agg(F.count("*"), F.sum("toxic")).first()
     total, toxic = n[0] or 0, n[1] or 0
@@ -239,10 +240,10 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, float]]:
         F.sum("toxic").alias("t"), (F.count("*") - F.sum("toxic")).alias("f")
     )
     odds = F.log((F.col("t") + 0.5) * (total - toxic + 1) / ((F.col("f") + 0.5) * (toxic + 1)))
-    top = used.withColumn("odds", odds).filter((F.col("t") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS))
-    # The weight of evidence orders: odds alone favours rare words.
-    rows = top.orderBy(F.desc(F.col("odds") * F.sqrt("t")), "word").limit(MAX_LEXICON).collect()
-    return [(r["word"], float(r["odds"])) for r in rows]
+    weight = odds - SURE * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("f") + 0.5))
+    # Bounded by the sample.
+    rows = used.withColumn("weight", weight).filter((F.col("t") >= LEAST_DOCS) & (F.col("weight") >= LEAST_ODDS)).orderBy("word").collect()
+    return [(r["word"], float(r["weight"])) for r in rows]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:

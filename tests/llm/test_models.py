@@ -195,7 +195,7 @@ def test_language_of_odd_rows(spark):
 
 
 def test_language_memory_starts_over():
-    m = language.Model(["a", "b"], {"x": {"a": 5}}, {1: {"y": {"b": 3}, "z": {"a": 3}}})
+    m = language.Model(["a", "b"], language.Table(["x"], np.array([[5.0, 0]])), {n: language.Table(["y", "z"], np.array([[0, 3.0], [3, 0]])) if n == 1 else language.Table([], np.zeros((0, 2))) for n in range(1, language.LONGEST + 1)})
     s = language.Scorer(m)
     s.size = 5000
     s.clear()
@@ -243,11 +243,11 @@ def test_toxicity_scores_equal_plain_python(spark):
     for r in toxicity.score(docs.union(odd), model, name="s").collect():
         text = r.text or ""
         codes = [f.classify(w) for w in text.split()]
-        hits = [model.lexicon[c - 1][0] for c in codes if 0 < c < toxicity.SECOND]
+        hits = [model.lexicon[c - toxicity.WORD][0] for c in codes if c >= toxicity.WORD]
         n, raw = max(1, len(codes)), text.encode()
         x = f(text)
         assert x[0] == len(hits) / n and x[2] == len(hits) and abs(x[1] - sum(weight[w] for w in hits) / n) < 1e-12
-        at, you = ([i for i, c in enumerate(codes) if test(c)] for test in (lambda c: 0 < c < toxicity.SECOND, lambda c: c == toxicity.SECOND))
+        at, you = ([i for i, c in enumerate(codes) if test(c)] for test in (lambda c: c >= toxicity.WORD, lambda c: c == toxicity.SECOND))
         assert x[4] == sum(any(abs(i - j) <= toxicity.NEAR for j in you) for i in at)
         assert abs(x[5] - sum(65 <= b < 91 for b in raw) / max(1, len(raw))) < 1e-12
         total = model.trees.start
