@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kvloom.functions import elements as X
 from kvloom.functions import snapshot_types as T
 from kvloom.functions import wire as W
 from kvloom.functions.constants import ACK_MS
@@ -91,6 +92,12 @@ def _snapshot_store(v: Views) -> str:
     return base
 
 
+# The three runs of SNAPSHOT_ROWS one after the other in one file.
+SPLIT_SQL = with_views("keyspace", more=SNAPSHOT_ROWS + """, n AS (SELECT run_id, count(*) AS n FROM entries GROUP BY run_id),
+u AS (SELECT run_id, pos, db, key, rdb_type, value, raw, expire_ms FROM entries
+  UNION ALL SELECT run_id, n + i - 1, 3, 'special:' || i::VARCHAR, [15, 15, 19, 21][i], NULL, NULL, NULL FROM n, (SELECT unnest([1, 2, 3, 4]) AS i))""") + "SELECT row_number() OVER (ORDER BY run_id, pos) - 1 AS pos, db, key, rdb_type, value, raw, expire_ms FROM u"
+
+
 @query(with_views("keyspace", more=SNAPSHOT_ROWS + """, n AS (SELECT run_id, count(*) AS n FROM entries GROUP BY run_id)""") + """SELECT run_id, pos, db, key, rdb_type, value, raw, expire_ms FROM entries
   UNION ALL SELECT run_id, n + i - 1, 3, 'special:' || i::VARCHAR, [15, 15, 19, 21][i], NULL, NULL, NULL FROM n, (SELECT unnest([1, 2, 3, 4]) AS i)""")
 def rdb_scan(v):
@@ -99,6 +106,16 @@ def rdb_scan(v):
     return d.select("run_id", "pos", "db", c("key").cast("string").alias("key"), "rdb_type", c("value").cast("string").alias("value"), F.hex("raw_value").alias("raw"), F.unix_millis("expire").alias("expire_ms"))
 
 
+@query(SPLIT_SQL)
+def rdb_split_scan(v):
+    """One snapshot file, cut by an index of boundaries about every 4 KiB, its parts read by several tasks."""
+    d = _entries(v).withColumns({"pos": F.struct("run_id", "pos"), "run_id": lit("run_0")})
+    base = shared_folder(v.spark, "one-snapshot")
+    _spark_writes(G.write_snapshots(d, base, offset=100))
+    d = rdb.read_snapshots(v.spark, base, split=4096)
+    return d.select("pos", "db", c("key").cast("string").alias("key"), "rdb_type", c("value").cast("string").alias("value"), F.hex("raw_value").alias("raw"), F.unix_millis("expire").alias("expire_ms"))
+
+
 @query("SELECT run_id, unnest(['redis-ver', 'ctime', 'repl-id']) AS key, unnest(['7.2.0', '1', run_id]) AS value FROM (SELECT unnest(['run_0', 'run_1', 'run_2']) AS run_id)")
 def rdb_aux(v):
     d = rdb.read_aux(v.spark, _snapshot_store(v))
@@ -140,6 +157,21 @@ def log_scan(v):
     return d.select("run_id", "start_offset", "end_offset", "name", F.array_join(F.transform("args", lambda a: a.cast("string")), "|").alias("args"))
 
 
+# Every third value holds what looks like the begin of a command.
+LOOKALIKE = """x AS (SELECT seq, run_id, cmd, list_concat(args, CASE WHEN seq % 3 = 0 THEN ['a' || chr(13) || chr(10) || '*3' || chr(13) || chr(10) || '$3' || chr(13) || chr(10) || 'SET' || chr(13) || chr(10) || '$9' || chr(13) || chr(10)] ELSE [] END) AS args FROM commands),
+y AS (SELECT seq, cmd, args, (strlen(len(args)::VARCHAR) + 3 + list_sum(list_transform(args, lambda a: strlen(strlen(a)::VARCHAR) + 5 + strlen(a))))::BIGINT AS n FROM x)"""
+
+
+@query(with_views("commands", more=LOOKALIKE) + "SELECT (sum(n) OVER (ORDER BY seq) - n)::BIGINT AS start_offset, (sum(n) OVER (ORDER BY seq))::BIGINT AS end_offset, cmd AS name, array_to_string(args[2:], '|') AS args FROM y")
+def log_split_scan(v):
+    """One log with values that hold command headers, cut every 4 KiB, its splits decoded by several tasks."""
+    more = F.when(c("seq") % 3 == 0, F.array(lit("a\r\n*3\r\n$3\r\nSET\r\n$9\r\n"))).otherwise(F.array().cast("array<string>"))
+    base = shared_folder(v.spark, "one-log")
+    _spark_writes(G.write_logs(v.commands.select(lit("run_0").alias("run_id"), "seq", W.encode_command(F.concat("args", more)).alias("raw")), base))
+    d = resp.read_logs(v.spark, base, split=4096)
+    return d.select("start_offset", "end_offset", "name", F.array_join(F.transform("args", lambda a: a.cast("string")), "|").alias("args"))
+
+
 @query(with_views("offsets", more=SEGMENT_ROWS + """, t AS (SELECT run_id, seg, string_agg(raw, '' ORDER BY seq) AS data FROM w GROUP BY run_id, seg)""", recursive=True)
        + "SELECT w.run_id, start_offset + 3 AS o, hex(encode(substr(data, start_offset + 3 - w.seg + 1, 70))) AS content FROM w JOIN t ON w.run_id = t.run_id AND w.seg = t.seg")
 def segment_reads(v):
@@ -180,7 +212,7 @@ def resp_decode(v):
 # A log over three databases with options, several keys, flushes, an unknown command and a malformed end.
 SYNC_ARGS = """CASE event_id % 13 WHEN 0 THEN ['SELECT', (event_id // 13 % 3)::VARCHAR] WHEN 3 THEN ['set', k0, v, 'PX', '60000'] WHEN 4 THEN ['DEL', k0, k5] WHEN 5 THEN ['HSET', h, 'f1', 'a' || v, 'f2', 'b' || v]
   WHEN 6 THEN ['HDEL', h, 'f1'] WHEN 7 THEN ['EXPIRE', k0, '100'] WHEN 8 THEN ['PERSIST', k1] WHEN 9 THEN ['MSET', k0, 'm' || v, k3, 'm' || v]
-  WHEN 10 THEN CASE WHEN event_id % 403 = 10 THEN ['FLUSHDB'] ELSE ['GET', k0] END WHEN 11 THEN ['RENAME', k0, k1] ELSE ['SET', k0, v] END"""
+  WHEN 10 THEN CASE WHEN event_id % 403 = 10 THEN ['FLUSHDB'] ELSE ['GET', k0] END WHEN 11 THEN ['LPUSH', k0, k1] ELSE ['SET', k0, v] END"""
 SYNC_LOG = f"""s AS (SELECT event_id AS seq, 'run_' || (event_id % 2)::VARCHAR AS run_id, 'k' || (event_id % 97)::VARCHAR AS k0, 'k' || ((event_id + 1) % 97)::VARCHAR AS k1, 'k' || ((event_id + 3) % 97)::VARCHAR AS k3,
   'k' || ((event_id + 5) % 97)::VARCHAR AS k5, 'h' || (event_id % 31)::VARCHAR AS h, 'v' || event_id::VARCHAR AS v, event_id FROM events),
 a AS (SELECT seq, run_id, {SYNC_ARGS} AS args FROM s),
@@ -188,6 +220,7 @@ g AS (SELECT *, args[1] AS cmd, coalesce(last_value(CASE WHEN args[1] = 'SELECT'
 log AS (SELECT run_id || '/' || lpad(seq::VARCHAR, 12, '0') AS place, * FROM g)"""
 SYNC_STATE = """flushed AS (SELECT db, max(place) AS place FROM log WHERE cmd = 'FLUSHDB' GROUP BY db),
 snap AS (SELECT (n_nationkey % 4)::INTEGER AS db, 'k' || (n_nationkey * 4)::VARCHAR AS key, n_name AS value FROM nation),
+hashes AS (SELECT (n_nationkey % 4)::INTEGER AS db, 'h' || n_nationkey::VARCHAR AS key, n_name, n_regionkey FROM nation),
 whole AS (
   SELECT '' AS place, db, key, value, NULL::BIGINT AS expire_ms, 'snapshot' AS source FROM snap
   UNION ALL SELECT place, db, args[2], args[3], CASE WHEN len(args) = 5 THEN NOW + 60000 END, 'log' FROM log WHERE upper(cmd) = 'SET'
@@ -200,9 +233,10 @@ strings AS (
   SELECT l.db, l.key, NULL AS field, l.w.v AS value, CASE WHEN max(t.place) IS NULL THEN l.w.e ELSE max_by(struct_pack(e := t.expire_ms), t.place).e END AS expire_ms, l.w.s AS source
   FROM last l LEFT JOIN ttl t ON t.db = l.db AND t.key = l.key AND t.place > l.w.a WHERE l.w.s IS NOT NULL GROUP BY l.db, l.key, l.w),
 hash AS (
-  SELECT place, db, args[2] AS key, args[3] AS field, args[4] AS value FROM log WHERE cmd = 'HSET' UNION ALL SELECT place, db, args[2], args[5], args[6] FROM log WHERE cmd = 'HSET'
+  SELECT '' AS place, db, key, unnest(['f1', 'f3']) AS field, unnest([n_name, n_regionkey::VARCHAR]) AS value FROM hashes
+  UNION ALL SELECT place, db, args[2] AS key, args[3] AS field, args[4] AS value FROM log WHERE cmd = 'HSET' UNION ALL SELECT place, db, args[2], args[5], args[6] FROM log WHERE cmd = 'HSET'
   UNION ALL SELECT place, db, args[2], args[3], NULL FROM log WHERE cmd = 'HDEL'),
-fields AS (SELECT h.db, key, field, max_by(struct_pack(v := value), h.place).v AS value FROM hash h LEFT JOIN flushed f ON h.db = f.db WHERE f.place IS NULL OR h.place > f.place GROUP BY h.db, key, field)""".replace("NOW", str(NOW_MS))
+fields AS (SELECT h.db, key, field, max_by(struct_pack(v := value), h.place).v AS value, max(h.place) AS place FROM hash h LEFT JOIN flushed f ON h.db = f.db WHERE f.place IS NULL OR h.place > f.place GROUP BY h.db, key, field)""".replace("NOW", str(NOW_MS))
 
 
 def _sync_log(v: Views) -> DataFrame:
@@ -217,7 +251,7 @@ def _sync_log(v: Views) -> DataFrame:
         F.when(m == 0, args("SELECT", (F.floor(n / 13) % 3).cast("string"))).when(m == 3, args("set", k(0), val, "PX", "60000")).when(m == 4, args("DEL", k(0), k(5)))
         .when(m == 5, args("HSET", h, "f1", more("a"), "f2", more("b"))).when(m == 6, args("HDEL", h, "f1")).when(m == 7, args("EXPIRE", k(0), "100"))
         .when(m == 8, args("PERSIST", k(1))).when(m == 9, args("MSET", k(0), more("m"), k(3), more("m"))).when((m == 10) & (n % 403 == 10), args("FLUSHDB"))
-        .when(m == 10, args("GET", k(0))).when(m == 11, args("RENAME", k(0), k(1))).otherwise(args("SET", k(0), val))
+        .when(m == 10, args("GET", k(0))).when(m == 11, args("LPUSH", k(0), k(1))).otherwise(args("SET", k(0), val))
     )
     rows = v.table("events").select(F.concat(lit("run_"), (n % 2).cast("string")).alias("run_id"), n.alias("seq"), W.encode_command(cmd).alias("raw"))
     bad = v.spark.createDataFrame([("run_0", 1 << 60, ":1x\r\n"), ("run_1", 1 << 60, "!\r\n")], "run_id string, seq long, raw string")
@@ -227,16 +261,28 @@ def _sync_log(v: Views) -> DataFrame:
     return Y.in_database(log.withColumn("seq", c("start_offset")))
 
 
-@query(with_views(more=SYNC_LOG + ", " + SYNC_STATE) + "SELECT * FROM strings UNION ALL SELECT db, key, field, value, NULL, 'log' FROM fields WHERE value IS NOT NULL")
+@query(with_views(more=SYNC_LOG + ", " + SYNC_STATE) + "SELECT * FROM strings UNION ALL SELECT db, key, field, value, NULL, CASE WHEN place = '' THEN 'snapshot' ELSE 'log' END FROM fields WHERE value IS NOT NULL")
 def sync_apply(v):
-    """A snapshot and a log of several databases, applied."""
-    snap = v.table("nation").select(
-        (c("n_nationkey") % 4).cast("int").alias("db"), F.concat(lit("k"), (c("n_nationkey") * 4).cast("string")).alias("key"), c("n_name").alias("value"), lit(None).cast("long").alias("expire_ms"))
-    d = Y.apply(snap, _sync_log(v), NOW_MS)
+    """A snapshot file of strings and hashes of every encoding, and a log of several databases, applied."""
+    d = Y.apply(_sync_snapshot(v), _sync_log(v), NOW_MS)
     return d.select("db", *[c(x).cast("string").alias(x) for x in ("key", "field", "value")], "expire_ms", "source")
 
 
-@query(with_views(more=SYNC_LOG) + """SELECT run_id, cmd AS name, 'not supported' AS reason, count(*) AS n FROM log WHERE cmd = 'RENAME' GROUP BY run_id, cmd
+def _sync_snapshot(v: Views) -> DataFrame:
+    """(db, key, field, value, expire_ms) of a snapshot file: a string for each nation, and a hash whose encoding follows its number."""
+    n = c("n_nationkey")
+    item = lambda field, value: F.struct(lit(None).cast("int").alias("place"), lit(field).cast("binary").alias("field"), value.cast("binary").alias("value"), lit(None).cast("double").alias("score"))
+    rows = v.table("nation").select(n.alias("n"), (n % 4).cast("int").alias("db"), "n_name", F.array(item("f1", c("n_name")), item("f3", c("n_regionkey").cast("string"))).alias("items"))
+    strings = rows.select("n", "db", F.concat(lit("k"), (c("n") * 4).cast("string")).alias("key"), lit(0).alias("rdb_type"), T.string_code(c("n_name")).alias("raw_value"))
+    hashes = rows.select("n", "db", F.concat(lit("h"), c("n").cast("string")).alias("key"), F.get(F.array(*[lit(t) for t in (4, 9, 13, 16)]), c("n") % 4).alias("rdb_type"), "items")
+    both = strings.unionByName(X.pack_values(hashes, "n", "db", "key"))
+    both = both.select(lit("run_0").alias("run_id"), F.struct("n", "key").alias("pos"), "db", "key", "raw_value", lit(None).cast("long").alias("expire_ms"), "rdb_type", lit(None).cast("binary").alias("lead"))
+    base = shared_folder(v.spark, "sync-snapshot")
+    _spark_writes(G.write_snapshots(both, base))
+    return X.entries(rdb.read_snapshots(v.spark, base))
+
+
+@query(with_views(more=SYNC_LOG) + """SELECT run_id, cmd AS name, 'not supported' AS reason, count(*) AS n FROM log WHERE cmd = 'LPUSH' GROUP BY run_id, cmd
   UNION ALL SELECT 'run_0', NULL, 'InvalidInteger', 1 UNION ALL SELECT 'run_1', NULL, 'InvalidType', 1""")
 def sync_unapplied(v):
     """What of that log is not applied, and why."""
@@ -244,6 +290,68 @@ def sync_unapplied(v):
     return d.groupBy("run_id", "name", "reason").agg(F.count("*").alias("n"))
 
 
+# Strings and hashes on few keys that are renamed again and again; the SQL takes one command after the other.
+RENAME_LOG = """a AS (SELECT event_id AS seq, (event_id % 3)::INTEGER AS db, 'k' || (event_id * 7 % 23)::VARCHAR AS k, 'k' || (event_id * 5 % 19)::VARCHAR AS d, 'f' || (event_id % 4)::VARCHAR AS f, 'v' || event_id::VARCHAR AS v,
+  ['SET', 'HSET', 'HSET', 'HDEL', 'DEL', 'EXPIRE', 'RENAME', 'RENAME'][event_id // 3 % 8 + 1] AS cmd FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY db ORDER BY seq) AS i FROM a),
+w AS (SELECT DISTINCT db, 0::BIGINT AS i, []::STRUCT(k VARCHAR, s VARCHAR, h STRUCT(f VARCHAR, v VARCHAR)[], e BIGINT)[] AS m FROM n
+  UNION ALL
+  SELECT db, i, CASE
+    WHEN cmd = 'SET' THEN list_append(rest, {k: k, s: v, h: [], e: NULL})
+    WHEN cmd = 'HSET' AND old.s IS NULL THEN list_append(rest, {k: k, s: NULL, h: list_append(coalesce(others, []), {f: f, v: v}), e: old.e})
+    WHEN cmd = 'HDEL' AND old.k IS NOT NULL AND old.s IS NULL THEN CASE WHEN len(others) = 0 THEN rest ELSE list_append(rest, {k: k, s: NULL, h: others, e: old.e}) END
+    WHEN cmd = 'DEL' THEN rest
+    WHEN cmd = 'EXPIRE' AND old.k IS NOT NULL THEN list_append(rest, {k: k, s: old.s, h: old.h, e: NOW + seq * 1000})
+    WHEN cmd = 'RENAME' AND k <> d THEN CASE WHEN old.k IS NULL THEN list_filter(rest, lambda x: x.k <> d) ELSE list_append(list_filter(rest, lambda x: x.k <> d), {k: d, s: old.s, h: old.h, e: old.e}) END
+    ELSE m END
+  FROM (SELECT *, list_filter(old.h, lambda x: x.f <> f) AS others FROM (
+    SELECT n.*, w.m, list_filter(w.m, lambda x: x.k = n.k)[1] AS old, list_filter(w.m, lambda x: x.k <> n.k) AS rest FROM w JOIN n ON n.db = w.db AND n.i = w.i + 1))),
+z AS (SELECT db, unnest(m) AS x FROM (SELECT db, arg_max(m, i) AS m FROM w GROUP BY db))""".replace("NOW", str(NOW_MS))
+
+
+@query(with_views(more=RENAME_LOG, recursive=True) + """SELECT db, x.k AS key, NULL AS field, x.s AS value, x.e AS expire_ms FROM z WHERE x.s IS NOT NULL
+  UNION ALL SELECT db, key, h.f, h.v, e FROM (SELECT db, x.k AS key, x.e AS e, unnest(x.h) AS h FROM z WHERE x.s IS NULL)""")
+def sync_renames(v):
+    """A log in which strings and hashes are renamed over and over, with their expiry, applied."""
+    n = c("event_id")
+    named = lambda prefix, x: F.concat(lit(prefix), x.cast("string"))
+    k, d, f, val, m = named("k", n * 7 % 23), named("k", n * 5 % 19), named("f", n % 4), named("v", n), F.floor(n / 3) % 8
+    args = (
+        F.when(m == 0, F.array(k, val)).when(m.isin(1, 2), F.array(k, f, val)).when(m == 3, F.array(k, f)).when(m == 4, F.array(k))
+        .when(m == 5, F.array(k, n.cast("string"))).otherwise(F.array(k, d))
+    )
+    name = F.get(F.array(*[lit(x) for x in ("SET", "HSET", "HSET", "HDEL", "DEL", "EXPIRE", "RENAME", "RENAME")]), m.cast("int"))
+    log = v.table("events").select(lit("run_0").alias("run_id"), n.alias("seq"), (n % 3).cast("int").alias("db"), name.alias("name"), F.transform(args, lambda a: a.cast("binary")).alias("args"))
+    empty = v.spark.createDataFrame([], "db int, key string, value string, expire_ms long")
+    r = Y.apply(empty, log, NOW_MS)
+    return r.select("db", *[c(x).cast("string").alias(x) for x in ("key", "field", "value")], "expire_ms")
+
+
+# Elements --------------------------------------------------------------
+
+ELEMENT_TYPES = (1, 10, 14, 18, 2, 11, 20, 3, 5, 12, 17, 4, 9, 13, 16)
+
+
+@query(f"""WITH t AS (SELECT unnest([{", ".join(map(str, ELEMENT_TYPES))}]) AS rdb_type),
+o AS (SELECT c_nationkey AS n, c_custkey, c_name, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS place FROM customer)
+SELECT rdb_type, n || ':' || rdb_type AS key, CASE WHEN rdb_type IN (1, 10, 14, 18) THEN place END AS place, CASE WHEN rdb_type IN (4, 9, 13, 16) THEN c_name END AS field,
+  CASE WHEN rdb_type IN (2, 11, 20, 4, 9, 13, 16) THEN (c_custkey * 31 - 20000)::VARCHAR ELSE c_name END AS value, CASE WHEN rdb_type IN (3, 5, 12, 17) THEN c_acctbal END AS score FROM o, t""")
+def value_elements(v):
+    """Collections of all customers of a nation in every encoding, through snapshot files, element by element."""
+    per = v.table("customer").groupBy(c("c_nationkey").alias("n")).agg(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name", "c_acctbal"))).alias("all"))
+    d = per.select("n", F.explode(F.array(*[lit(t) for t in ELEMENT_TYPES])).alias("rdb_type"), "all")
+    kind, number = c("rdb_type"), lambda x: (x["c_custkey"] * 31 - 20000).cast("string")
+    item = lambda x, i: F.struct(
+        i.alias("place"), x["c_name"].cast("binary").alias("field"), F.when(kind.isin(2, 11, 20, 4, 9, 13, 16), number(x)).otherwise(x["c_name"]).cast("binary").alias("value"), x["c_acctbal"].alias("score"))
+    d = d.select("n", "rdb_type", F.concat(c("n").cast("string"), lit(":"), kind.cast("string")).alias("key"), F.transform("all", item).alias("items"))
+    raw = X.pack_values(d, "n", "key")
+    rows = raw.select(F.concat(lit("run_"), (c("n") % 3).cast("string")).alias("run_id"), F.struct("n", "key").alias("pos"), (c("n") % 2).alias("db"), "key", "raw_value", lit(None).cast("long").alias("expire_ms"), "rdb_type", lit(None).cast("binary").alias("lead"))
+    base = shared_folder(v.spark, "elements")
+    _spark_writes(G.write_snapshots(rows, base))
+    found = X.explode_values(rdb.read_snapshots(v.spark, base, check_crc=True))
+    return found.select("rdb_type", *[c(x).cast("string").alias(x) for x in ("key", "field", "value")], c("place").cast("long").alias("place"), "score")
+
+
 @query(with_views("commands", more=f"""n AS (SELECT run_id, seq, (epoch_us(ts) // 1000) AS at_ms, row_number() OVER (PARTITION BY run_id ORDER BY (epoch_us(ts) // 1000), seq) AS i FROM commands),
 w AS (SELECT run_id, i, seq, at_ms, at_ms AS last, true AS due FROM n WHERE i = 1
   UNION ALL

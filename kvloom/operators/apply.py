@@ -118,20 +118,20 @@ def _operations(snapshot: DataFrame, log: DataFrame, now_ms: int) -> DataFrame:
 
     Runs follow one another by run_id: place is seq behind all runs before.
     """
+    # Read several times, and dear to decode.
+    log = written(log.select("run_id", "seq", "db", "name", "args").filter(F.upper("name").isin(*APPLIED)), "log")
     ends = log.groupBy("run_id").agg(F.max("seq").alias("last"))  # a row for each run
     base = F.coalesce(F.sum(F.col("last") + 1).over(Window.orderBy("run_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = F.broadcast(ends.select(F.col("run_id").alias("of_run"), base.alias("base")))
-    placed = log.join(bases, F.col("run_id") == F.col("of_run")).withColumn("place", F.col("base") + F.col("seq"))
+    bases = F.broadcast(ends.select("run_id", base.alias("base")))
     field = F.col("field").cast("binary") if "field" in snapshot.columns else F.lit(None).cast("binary")
     none = lambda kind: F.lit(None).cast(kind)
     first = snapshot.select("db", F.col("key").cast("binary").alias("key"), F.lit(LOADED).cast("long").alias("place"), F.lit(0).alias("i"), F.when(field.isNull(), "load").otherwise("hload").alias("op"),
                             field.alias("field"), F.col("value").cast("binary").alias("value"), "expire_ms", F.lit("snapshot").alias("source"), none("string").alias("run_id"), none("long").alias("seq"))
-    found = effects(placed.withColumn("seq", F.col("place")), now_ms).withColumnRenamed("seq", "place")
-    back = F.broadcast(ends.select(F.col("run_id").alias("of_run"), base.alias("base")))
-    found = found.join(back, F.col("run_id") == F.col("of_run")).withColumns({"source": F.lit("log"), "seq": F.col("place") - F.col("base")})
+    place = (F.col("base") + F.col("seq")).alias("place")
+    found = effects(log, now_ms).join(bases, "run_id").select("*", place, F.lit("log").alias("source"))
     rows = first.unionByName(found.select(*first.columns))
     # A row for each database that is flushed, and one for all.
-    flushes = placed.filter(F.upper("name").isin("FLUSHDB", "FLUSHALL"))
+    flushes = log.filter(F.upper("name").isin("FLUSHDB", "FLUSHALL")).join(bases, "run_id").select("db", "name", place)
     last = flushes.groupBy(F.when(F.upper("name") == "FLUSHDB", F.col("db")).otherwise(-1).alias("flushed")).agg(F.max("place").alias("at"))
     for name, of in (("own", F.col("db")), ("every", F.lit(-1))):
         rows = rows.join(F.broadcast(last.select(F.col("flushed").alias("of"), F.col("at").alias(name))), of == F.col("of"), "left").drop("of")
@@ -183,7 +183,7 @@ def follow_renames(rows: DataFrame) -> DataFrame:
     edges = edges.join(last.select("db", F.col("key").alias("to_key"), "moved"), ["db", "to_key"]).withColumn("lost", F.col("moved") > F.col("to")).drop("moved", "to")
     d = d.filter("op NOT IN ('in', 'out')").join(edges, ["db", "key", "version"], "left").join(last, ["db", "key"], "left")
     kept = F.when(F.col("to_key").isNotNull(), ~F.col("lost")).otherwise(F.col("moved").isNull() | (_here() > F.col("moved")))
-    return d.filter(kept).withColumn("key", F.coalesce("to_key", "key")).drop("version", "to_key", "lost", "moved")
+    return written(d.filter(kept).withColumn("key", F.coalesce("to_key", "key")).drop("version", "to_key", "lost", "moved"), "followed")
 
 
 FIELD_OPS = ("hset", "hload", "hdel")
@@ -257,7 +257,7 @@ def apply(snapshot: DataFrame, log: DataFrame, now_ms: int) -> DataFrame:
     that expiry. Malformed commands change nothing, nor do field commands on
     strings and raw values; unapplied() lists both.
     """
-    rows = written(follow_renames(_operations(snapshot, log, now_ms)), "operations")
+    rows = follow_renames(written(_operations(snapshot, log, now_ms), "operations"))
     keys, fields = _resolved(rows)
     keys = written(keys, "keyspace")
     strings = keys.filter("string").select("db", "key", F.lit(None).cast("binary").alias("field"), "value", "expire_ms", "source")
@@ -275,8 +275,7 @@ def unapplied(log: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
     out = log.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select("run_id", "seq", "name", "reason")
     if snapshot is None:
         return out
-    rows = follow_renames(_operations(snapshot, log.filter(F.col("_error").isNull()), 0))
-    rows = written(rows, "operations")
+    rows = follow_renames(written(_operations(snapshot, log.filter(F.col("_error").isNull()), 0), "operations"))
     strings = _keys(rows).filter(F.col("whole.op").isin(*STRING_OPS)).select("db", "key", "n", _place("whole").alias("from"))
     wrong = _met(rows.filter(F.col("op").isin("hset", "hdel")).select("db", "key", "place", "i", "run_id", "seq"), strings).filter(_here() > F.col("from"))
     wrong = wrong.select("run_id", "seq").distinct().join(log.select("run_id", "seq", "name"), ["run_id", "seq"])

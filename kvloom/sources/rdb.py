@@ -1,7 +1,8 @@
 """Snapshot files: a streaming reader, a writer, and Spark sources over both.
 
-A snapshot can't be split, so a file is one partition; rows stream out of the
-reader one by one and values stay encoded ("raw"), only strings are decoded.
+A snapshot says nowhere where its entries begin: one pass over heads finds
+places to cut it, and tasks read the parts by their ranges. Rows stream out of
+the reader one by one and values stay encoded ("raw"), only strings are decoded.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from kvloom.functions.constants import MAX_ELEMENTS, MODULE_TYPES, STREAM_TYPES, VALUE_TYPES
 from kvloom.functions.hashing import crc64_of
+from kvloom.sources.shared import written
+from kvloom.sources.store import Cursor, Ranged, readable, required_local
 
 SCHEMA = "run_id string, pos long, db int, key binary, value binary, raw_value binary, expire timestamp, rdb_type int"
 AUX_SCHEMA = "run_id string, key binary, value binary"
@@ -177,8 +180,13 @@ class SnapshotReader:
 
     def __iter__(self) -> Iterator[tuple[int, bytes, bytes | None, bytes | None, int | None, int]]:
         self.header()
-        db, expire = 0, None
-        while True:
+        return self.entries()
+
+    def entries(self, db: int = 0, expire: int | None = None, stop: int | None = None, marks: Marks | None = None) -> Iterator[tuple[int, bytes, bytes | None, bytes | None, int | None, int]]:
+        """Entries from here on, in database db and with a pending expiry, up to the place stop or the end of the file."""
+        while stop is None or self.seen < stop:
+            if marks:
+                marks.note(self.seen, db, expire)
             op = self._uint(1)
             if op == 0xFF:
                 crc = self.crc
@@ -212,6 +220,44 @@ class SnapshotReader:
                 raise CorruptSnapshot(f"opcode {op:#x}")
 
 
+class Marks:
+    """Places between entries: the first, and one after each so many bytes."""
+
+    def __init__(self, every: int):
+        self.every, self.rows, self.found = every, 0, []
+
+    def note(self, at: int, db: int, expire: int | None) -> None:
+        if not self.found or at - self.found[-1][0] >= self.every:
+            self.found.append((at, db, expire, self.rows))
+
+
+class Skimmer(SnapshotReader):
+    """Passes over the strings of a snapshot without reading them, to find places where it can be cut."""
+
+    def _string(self) -> bytes:
+        n, special = self._length()
+        if special and n < 3:
+            n = 1 << n
+        elif special and n == 3:
+            n, _ = self._count(), self._count()
+        elif special:
+            raise CorruptSnapshot(f"string coding {n}")
+        if n <= 64:
+            return self._take(n)
+        if not self.f.skip(n):
+            raise CorruptSnapshot(f"ends after {self.f.f.size} bytes, inside an entry")
+        self.seen += n
+        return b""
+
+    def marks(self, every: int) -> list[tuple[int, int, int | None, int]]:
+        """(place, database, pending expiry, rows before) of places between entries, about every so many bytes."""
+        self.header()
+        marks = Marks(every)
+        for _ in self.entries(marks=marks):
+            marks.rows += 1
+        return [*marks.found, (self.seen, 0, None, marks.rows)]
+
+
 def encode_length(n: int) -> bytes:
     if n < 64:
         return bytes([n])
@@ -252,15 +298,67 @@ def write_snapshot(rows, aux=(), version: int = 9) -> bytes:
     return b"".join(snapshot_pieces(rows, aux, version))
 
 
-def _rows(run_id: str, reader: SnapshotReader):
-    for pos, (db, key, value, raw, expire, kind) in enumerate(reader):
+def _rows(run_id: str, entries, first: int = 0):
+    for pos, (db, key, value, raw, expire, kind) in enumerate(entries, first):
         at = None if expire is None else dt.datetime.fromtimestamp(expire / 1000, dt.timezone.utc)
         yield run_id, pos, db, key, value, raw, at, kind
 
 
-def read_snapshots(spark: SparkSession, base: str, check_crc: bool = False) -> DataFrame:
-    """Rows of all snapshots under base, through Spark's own file reader; corrupt files fail the query."""
-    return _read(spark, base, SCHEMA, check_crc, lambda run, r: _rows(run, r), [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.timestamp("us", "UTC"), pa.int32()])
+#: Bytes of a snapshot that a task reads.
+SPLIT = 32 << 20
+KINDS = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.timestamp("us", "UTC"), pa.int32()]
+INDEX = "run_id string, path string, at long, db int, expire_ms long, pos long, stop long"
+
+
+def snapshot_index(spark: SparkSession, base: str, split: int = SPLIT) -> DataFrame:
+    """INDEX: places at which the snapshots under base can be cut, about every split bytes: offset, database, pending expiry, rows before, next place.
+
+    One pass over each file that reads heads and short strings and seeks over
+    the rest. The index is a table, which can be kept beside the files.
+    """
+    def run(batches):
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                with Ranged(path) as f:
+                    marks = Skimmer(Cursor(f, piece=1 << 14)).marks(split)
+                rows = [(path.split("/")[-2], path, *m, after[0]) for m, after in zip(marks, marks[1:], strict=False)]
+                kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                cols = list(zip(*rows, strict=True)) or [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in INDEX.split(", ")])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.rdb").load(base).select("path")
+    return written(files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(run, INDEX), "snapshot-index")
+
+
+def read_snapshots(spark: SparkSession, base: str, check_crc: bool = False, split: int = SPLIT, index: DataFrame | None = None) -> DataFrame:
+    """Rows of all snapshots under base; corrupt files fail the query.
+
+    Files are cut at the places of index (snapshot_index, made here if it is not
+    given), and each part is read by its range. With check_crc a file is one
+    stream, as its checksum runs over all of it.
+    """
+    if check_crc or not readable(base):
+        return _read(spark, base, SCHEMA, check_crc, lambda run, r: _rows(run, r), KINDS)
+    index = snapshot_index(spark, base, split) if index is None else index
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            for run_id, path, at, db, expire, pos, stop in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                with Ranged(path) as f:
+                    reader = SnapshotReader(Cursor(f, at))
+                    reader.seen = at
+                    part: list = []
+                    for row in _rows(run_id, reader.entries(db, expire, stop), pos):
+                        part.append(row)
+                        if len(part) == 4096:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), KINDS, strict=True)], names=names)
+                            part = []
+                    if part:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), KINDS, strict=True)], names=names)
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return index.select(*[c.split()[0] for c in INDEX.split(", ")]).repartition(n, "path", "at").mapInArrow(run, SCHEMA)
 
 
 def read_aux(spark: SparkSession, base: str) -> DataFrame:
@@ -274,21 +372,27 @@ def read_aux(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, base: str, schema: str, check_crc: bool, rows, kinds: list) -> DataFrame:
+    """Whole files, each one stream: by ranges where the store allows it, else through Spark's reader, of 2 GB at most."""
     names = [f.split()[0] for f in schema.split(", ")]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.rdb").load(base).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.rdb").load(base)
+    ranged = readable(base)
+    files = files.select("path") if ranged else files.select("path", "content")
 
     def run(batches):
         for b in batches:
-            for path, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                part: list = []
-                for row in rows(path.split("/")[-2], SnapshotReader(io.BytesIO(data.as_py()), check_crc)):
-                    part.append(row)
-                    if len(part) == 4096:
+            for i, path in enumerate(b.column(0).to_pylist()):
+                with Ranged(path) if ranged else io.BytesIO(b.column(1)[i].as_py()) as f:
+                    part: list = []
+                    for row in rows(path.split("/")[-2], SnapshotReader(Cursor(f) if ranged else f, check_crc)):
+                        part.append(row)
+                        if len(part) == 4096:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
+                            part = []
+                    if part:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
-                        part = []
-                if part:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
 
+    if ranged:
+        files = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
     return files.mapInArrow(run, schema)
 
 
@@ -313,7 +417,7 @@ class SnapshotSource(DataSource):
 
 class _SnapshotFiles(DataSourceReader):
     def __init__(self, options):
-        self.base, self.check = options["path"], options.get("checkCrc", "false") == "true"
+        self.base, self.check = required_local(options["path"]), options.get("checkCrc", "false") == "true"
 
     def partitions(self):
         return [

@@ -13,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from kvloom.functions.constants import DECODER_LIMIT
 from kvloom.functions.wire import Decoder, WireError
+from kvloom.sources.store import Cursor, Ranged, readable, required_local
 
 SCHEMA = "run_id string, start_offset long, end_offset long, name string, args array<binary>, _error string"
 PIECE = 1 << 20
@@ -88,8 +89,178 @@ def decode_log(run_id: str, start: int, pieces: Iterator[bytes], limit: int = DE
         yield run_id, at, None, None, None, f"{type(e).__name__}: {e}"
 
 
-def read_logs(spark: SparkSession, base: str, max_buffer: int = DECODER_LIMIT, mode: str = "PERMISSIVE") -> DataFrame:
-    """Commands of all base/{run_id}/{offset}.aof segments, through Spark's own file reader (any store Spark can read); one task for each file."""
+#: Bytes of a log that a task decodes.
+SPLIT = 32 << 20
+HEADER = re.compile(rb"\*[1-9]\d{0,8}\r\n\$\d{1,10}\r\n")
+
+
+class _Cut(Exception):
+    """The file ends inside a value."""
+
+
+def _pass(c: Cursor, limit: int, strict: bool) -> None:
+    """Move behind one value without reading what it holds. strict: bulk strings must end in CRLF, which the decoder does not ask for."""
+    left, begin = 1, c.at
+    while left:
+        left -= 1
+        mark = c.read(1)
+        if mark not in (b"+", b"-", b":", b"$", b"*"):
+            if not mark:
+                raise _Cut
+            raise WireError(mark)
+        line = c.line()
+        if line is None:
+            raise _Cut
+        if mark in (b"+", b"-"):
+            continue
+        try:
+            n = int(line)
+        except ValueError:
+            raise WireError(line) from None
+        if mark == b":":
+            continue
+        if n < -1:
+            raise WireError(n)
+        if mark == b"*":
+            left += max(0, n)
+        elif n >= 0:
+            if c.at + n + 2 - begin > limit:
+                raise WireError(n)
+            if not c.skip(n):
+                raise _Cut
+            if strict and c.peek(2) != b"\r\n":
+                raise WireError("no CRLF")
+            if not c.skip(2):
+                raise _Cut
+
+
+def _follow(f: Ranged, start: int, end: int, limit: int, strict: bool = False) -> int:
+    """Where the first value begins that does not begin before end, from a value at start on. Malformed or cut: the file's size, as the log ends there."""
+    c = Cursor(f, start)
+    try:
+        while c.at < end:
+            _pass(c, limit, strict)
+    except (WireError, _Cut) as e:
+        if strict and isinstance(e, WireError):
+            raise
+        return f.size
+    return c.at
+
+
+def _guess(f: Ranged, begin: int, end: int, limit: int) -> tuple[int | None, int | None]:
+    """(start, stop) of the values that seem to begin in a split: from the first array header behind a CRLF that can be followed to the end."""
+    if begin == 0:
+        return 0, _follow(f, 0, end, limit)
+    at = begin
+    while at < end:
+        data = f.read(at - 2, min(PIECE, end - at) + 32)
+        last = min(PIECE, end - at)
+        for m in HEADER.finditer(data, 2):
+            if m.start() - 2 >= last:
+                break
+            if data[m.start() - 2 : m.start()] == b"\r\n":
+                start = at - 2 + m.start()
+                try:
+                    return start, _follow(f, start, end, limit, strict=True)
+                except WireError:
+                    continue
+        at += last
+    return None, None
+
+
+GUESSES = "path string, k long, begin long, end long, start long, stop long"
+
+
+def _chain(rows: pa.Table) -> pa.Table:
+    """The splits of one file as far as they follow from one another; start is null where a split has to be followed anew from the place in stop."""
+    rows = rows.sort_by("k")
+    at, out = 0, []
+    for r in rows.to_pylist():
+        if at >= r["end"]:
+            start = stop = at  # a value of an earlier split covers this one
+        elif r["start"] == at:
+            start, stop = at, r["stop"]
+            at = stop
+        else:
+            start, stop = None, at
+            # Taken as right for now, so that other breaks are found in the same round.
+            at = r["stop"] if r["stop"] is not None else r["end"]
+        out.append({**r, "start": start, "stop": stop})
+    return pa.Table.from_pylist(out, rows.schema)
+
+
+def split_logs(spark: SparkSession, base: str, split: int = SPLIT, limit: int = DECODER_LIMIT) -> DataFrame:
+    """(run_id, path, offset, start, stop): stretches of whole values of all logs under base, each of about split bytes.
+
+    Splits begin at arbitrary bytes. Each guesses its first value and passes
+    over values to its end, without reading them; then each split's true end is
+    compared with the next one's guess, and those that differ are passed over
+    again from the true end. A value that covers splits leaves them empty.
+    """
+    from pyspark.sql import functions as F
+
+    from kvloom.operators.segments import read_catalogue
+    from kvloom.sources.shared import written
+
+    files = read_catalogue(spark, base).filter((F.col("kind") == "aof") & (F.col("size") > 0)).select("run_id", "path", "offset", "size")
+    n = F.floor((F.col("size") - 1) / split)
+    splits = files.select("run_id", "path", "offset", "size", F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("k"))
+    splits = splits.withColumns({"begin": F.col("k") * split, "end": F.least((F.col("k") + 1) * split, "size")})
+    if splits.filter("k > 0").isEmpty():
+        return splits.select("run_id", "path", "offset", F.col("begin").alias("start"), F.col("end").alias("stop"))
+
+    def found(how):
+        def run(batches):
+            for b in batches:
+                rows = b.to_pylist()
+                for r in rows:
+                    with Ranged(r["path"]) as f:
+                        r["start"], r["stop"] = how(f, r)
+                yield pa.RecordBatch.from_pylist(rows, b.schema)
+        return run
+
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    none = F.lit(None).cast("long")
+    todo = splits.select("path", "k", "begin", "end", none.alias("start"), none.alias("stop")).repartition(spread, "path", "k")
+    known = written(todo.mapInArrow(found(lambda f, r: _guess(f, r["begin"], r["end"], limit)), GUESSES), "splits")
+    while True:
+        chain = written(known.groupBy("path").applyInArrow(_chain, GUESSES), "splits")  # a row for each split of a file
+        again = chain.filter("start IS NULL")
+        if again.isEmpty():
+            break
+        again = again.repartition(spread, "path", "k").mapInArrow(found(lambda f, r: (r["stop"], _follow(f, r["stop"], r["end"], limit))), GUESSES)
+        known = written(known.join(again.select("path", "k"), ["path", "k"], "left_anti").unionByName(again), "splits")
+    stretches = chain.filter("stop > start").select("path", "start", "stop")
+    return files.join(stretches, "path").select("run_id", "path", "offset", "start", "stop")
+
+
+def read_logs(spark: SparkSession, base: str, max_buffer: int = DECODER_LIMIT, mode: str = "PERMISSIVE", split: int = SPLIT) -> DataFrame:
+    """Commands of all base/{run_id}/{offset}.aof segments. Files over split bytes are read by several tasks, each by ranges; what is malformed ends its file."""
+    from pyspark.sql import functions as F
+
+    if not readable(base):
+        return _read_whole_logs(spark, base, max_buffer, mode)
+
+    def run(batches):
+        for b in batches:
+            for run_id, path, offset, start, stop in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                with Ranged(path) as f:
+                    rows: list = []
+                    for row in decode_log(run_id, offset + start, f.pieces(start, stop), max_buffer, mode == "FAILFAST"):
+                        rows.append(row)
+                        if len(rows) == 4096:
+                            yield _batch(rows)
+                            rows = []
+                    if rows:
+                        yield _batch(rows)
+
+    stretches = split_logs(spark, base, split, max_buffer)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return stretches.select("run_id", "path", "offset", "start", "stop").repartition(n, F.col("path"), F.col("start")).mapInArrow(run, SCHEMA)
+
+
+def _read_whole_logs(spark: SparkSession, base: str, max_buffer: int, mode: str) -> DataFrame:
+    """Stores that only Spark can read: one task for each file, of 2 GB at most."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.aof").load(base).select("path", "content")
 
     def run(batches):
@@ -170,7 +341,7 @@ class RespLogSource(DataSource):
 
 class _LogReader(DataSourceReader):
     def __init__(self, options):
-        self.base, self.limit, self.fail_fast = options["path"], int(options.get("maxBufferSize", DECODER_LIMIT)), options.get("mode", "") == "FAILFAST"
+        self.base, self.limit, self.fail_fast = required_local(options["path"]), int(options.get("maxBufferSize", DECODER_LIMIT)), options.get("mode", "") == "FAILFAST"
 
     def partitions(self):
         return [_Stretch(r, o, p, 0, None) for r, o, p, _ in _segments(self.base)]
@@ -183,7 +354,7 @@ class _LogStream(DataSourceStreamReader):
     """The offset is the number of whole commands' bytes read of each segment; a half-written command waits for its rest."""
 
     def __init__(self, options):
-        self.base, self.limit, self.fail_fast = options["path"], int(options.get("maxBufferSize", DECODER_LIMIT)), options.get("mode", "") == "FAILFAST"
+        self.base, self.limit, self.fail_fast = required_local(options["path"]), int(options.get("maxBufferSize", DECODER_LIMIT)), options.get("mode", "") == "FAILFAST"
         self.done: dict[str, int] = {}
 
     def initialOffset(self) -> dict:

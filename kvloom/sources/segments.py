@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvloom.functions.constants import LOG_SIZE
-from kvloom.operators.segments import catalogue, find_log
+from kvloom.operators.segments import find_log, read_catalogue
 from kvloom.sources.rdb import snapshot_pieces
-from kvloom.sources.shared import mounted
+from kvloom.sources.shared import written
+from kvloom.sources.store import Ranged, read_spans, required_local, write_new
 
 
 def read_bytes(spark: SparkSession, path: str, segment_offset: int, offset: int, size: int | None = None) -> DataFrame:
@@ -30,7 +31,7 @@ def read_bytes(spark: SparkSession, path: str, segment_offset: int, offset: int,
 
 def write_segment(base: str, run_id: str, name: str, data: bytes) -> str:
     """Write one segment so that readers see all of it or nothing."""
-    folder = os.path.join(base, run_id)
+    folder = os.path.join(required_local(base), run_id)
     os.makedirs(folder, exist_ok=True)
     path = os.path.join(folder, name)
     with open(path + ".part", "wb") as f:
@@ -49,7 +50,7 @@ class LogWriter:
     """Appends to base/{run_id}/{offset}.aof; a write that finds log_size bytes or more begins a new file."""
 
     def __init__(self, base: str, run_id: str, offset: int = 0, log_size: int = LOG_SIZE):
-        self.folder, self.start, self.at, self.log_size = os.path.join(base, run_id), offset, offset, log_size
+        self.folder, self.start, self.at, self.log_size = os.path.join(required_local(base), run_id), offset, offset, log_size
         os.makedirs(self.folder, exist_ok=True)
 
     @property
@@ -73,21 +74,6 @@ class LogWriter:
 SEGMENTS = "run_id string, kind string, offset long, size long, path string"
 
 
-def _written(folder: str, name, pieces: Iterable[bytes]) -> tuple[int, str]:
-    """(size, path) of a file whose name depends on its size; readers see all of it or nothing, and a task that runs again replaces it."""
-    os.makedirs(folder, exist_ok=True)
-    part, size = os.path.join(folder, f".{uuid.uuid4().hex}.part"), 0
-    with open(part, "wb") as f:
-        for p in pieces:
-            f.write(p)
-            size += len(p)
-        f.flush()
-        os.fsync(f.fileno())
-    path = os.path.join(folder, name(size))
-    os.replace(part, path)
-    return size, path
-
-
 def _each_run(batches) -> Iterator[tuple[str, Iterator[dict]]]:
     """(run_id, its rows) of batches that are sorted by run."""
     rows = (r for b in batches for r in b.to_pylist())
@@ -99,14 +85,14 @@ def write_snapshots(rows: DataFrame, base: str, offset: int = 0, aux: dict[str,
 
     rows: (run_id, pos, db, key, raw_value, expire_ms, rdb_type, lead); lead
     holds opcodes that go before an entry. A file can't be split: each run is
-    one stream through one task, of which a batch is held. base must be mounted
-    on the executors.
+    one stream through one task, of which a batch is held. A store that Arrow can
+    not write to is an error.
     """
     def run(batches):
         for run_id, own in _each_run(batches):
             entries = ((r["db"], r["key"], r["raw_value"], r["expire_ms"], r["rdb_type"], r["lead"]) for r in own)
             pairs = [(k.encode(), v.encode()) for k, v in {**(aux or {}), "repl-id": run_id}.items()]
-            size, path = _written(os.path.join(mounted(base), run_id), lambda n: f"{offset}_{n}.rdb", snapshot_pieces(entries, pairs))
+            size, path = write_new(f"{base.rstrip('/')}/{run_id}", f".{uuid.uuid4().hex}.part", lambda n: f"{offset}_{n}.rdb", snapshot_pieces(entries, pairs))
             yield _segment_batch([(run_id, "rdb", offset, size, path)])
 
     binary = [F.col(c).cast("binary").alias(c) for c in ("key", "raw_value", "lead")]
@@ -132,7 +118,7 @@ def write_logs(commands: DataFrame, base: str, log_size: int = LOG_SIZE) -> Data
                         at += len(left["raw"])
                         left = next(own, None)
 
-                size, path = _written(os.path.join(mounted(base), run_id), lambda _: f"{start}.aof", pieces())
+                size, path = write_new(f"{base.rstrip('/')}/{run_id}", f".{uuid.uuid4().hex}.part", lambda _: f"{start}.aof", pieces())
                 yield _segment_batch([(run_id, "aof", start, size, path)])
 
     rows = commands.select("run_id", "seq", F.col("raw").cast("binary").alias("raw"))
@@ -144,18 +130,35 @@ def _segment_batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["run_id", "kind", "offset", "size", "path"])
 
 
+#: Bytes of a log whose ranges a task reads together.
+STRETCH = 16 << 20
+
+
 def read_ranges(spark: SparkSession, base: str, wanted: DataFrame) -> DataFrame:
     """(run_id, o, size, content): bytes of the logs under base, at most size from o on, out of the segment that holds o.
 
-    wanted: (run_id, o, size). Files and ranges meet by path; what lies past a
-    segment's end is not read on from the next one, as a reader stops there.
+    wanted: (run_id, o, size). Ranges meet files by name and are read by
+    seeking, those of one stretch of a file in order by one task; file bodies
+    are never shuffled. What lies past a segment's end is not read on from the
+    next one, as a reader stops there.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.aof").load(base)
-    names = catalogue(files.drop("content"))
+    names = written(read_catalogue(spark, base).filter("kind = 'aof'"), "catalogue")
     at = find_log(wanted, names).join(names.select("run_id", "offset", "path"), ["run_id", "offset"])
-    ranges = wanted.join(at, ["run_id", "o"]).select("run_id", "o", "size", "path", (F.col("o") - F.col("offset")).cast("int").alias("skip"))
-    met = ranges.join(files.select("path", "content"), "path")
-    return met.select("run_id", "o", "size", F.expr("substring(content, skip + 1, cast(size as int))").alias("content"))
+    ranges = wanted.join(at, ["run_id", "o"]).select("run_id", "o", F.col("size").cast("long").alias("size"), "path", (F.col("o") - F.col("offset")).alias("skip"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges.repartition(n, F.col("path"), F.floor(F.col("skip") / STRETCH)).sortWithinPartitions("path", "skip")
+
+    def run(batches):
+        for b in batches:
+            content: list[bytes] = []
+            rows = zip(*[b.column(c).to_pylist() for c in ("path", "skip", "size")], strict=True)
+            for path, own in itertools.groupby(rows, key=operator.itemgetter(0)):
+                with Ranged(path) as f:
+                    content += read_spans(f, [(skip, max(0, size)) for _, skip, size in own])
+            yield pa.RecordBatch.from_arrays([b.column("run_id"), b.column("o"), b.column("size"), pa.array(content, pa.binary())], names=["run_id", "o", "size", "content"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in ranges.schema}
+    return ranges.mapInArrow(run, f"run_id {kinds['run_id']}, o {kinds['o']}, size long, content binary")
 
 
 def write_commands(commands: DataFrame, folder: str) -> None:

@@ -33,8 +33,3 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     path = shared_folder(df.sparkSession, kind)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def mounted(path: str) -> str:
-    """The path as the operating system takes it."""
-    return re.sub(r"^file:(//)?", "", path)

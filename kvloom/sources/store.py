@@ -25,6 +25,13 @@ def local_path(path: str) -> str | None:
     return path
 
 
+def required_local(path: str) -> str:
+    """local_path, or an error where there is none."""
+    if (own := local_path(path)) is None:
+        raise ValueError(f"{path} is no folder of the operating system")
+    return own
+
+
 def _arrow(path: str):
     from pyarrow import fs
 
@@ -69,6 +76,67 @@ class Ranged:
         self.close()
 
 
+def read_spans(f: Ranged, spans: list[tuple[int, int]], most: int = PIECE, gap: int = 64 << 10) -> list[bytes]:
+    """The bytes of (place, size) spans that ascend by place; neighbours are read as one range of at most ``most`` bytes, or of one span."""
+    out: list[bytes] = []
+    i = 0
+    while i < len(spans):
+        begin, end = spans[i][0], sum(spans[i])
+        j = i + 1
+        while j < len(spans) and spans[j][0] <= end + gap and sum(spans[j]) - begin <= most:
+            end, j = max(end, sum(spans[j])), j + 1
+        data = f.read(begin, end - begin)
+        out += [data[a - begin : a - begin + n] for a, n in spans[i:j]]
+        i = j
+    return out
+
+
+class Cursor:
+    """Reads a file forward from a place; what is skipped beyond the buffer is not read."""
+
+    def __init__(self, f: Ranged, at: int = 0, piece: int = 1 << 18):
+        self.f, self.at, self.piece, self.buffer, self.begin = f, at, piece, b"", at
+
+    def _fill(self, n: int) -> None:
+        """n bytes from the place on into the buffer, or as many as there are."""
+        if self.at + n > self.begin + len(self.buffer):
+            kept = self.buffer[self.at - self.begin :] if self.at < self.begin + len(self.buffer) else b""
+            got = self.at + len(kept)
+            self.buffer, self.begin = kept + self.f.read(got, max(n - len(kept), self.piece)), self.at
+
+    def peek(self, n: int) -> bytes:
+        self._fill(n)
+        i = self.at - self.begin
+        return self.buffer[i : i + n]
+
+    def read(self, n: int) -> bytes:
+        data = self.peek(n)
+        self.at += len(data)
+        return data
+
+    def skip(self, n: int) -> bool:
+        """Whether there were so many bytes."""
+        self.at += n
+        return self.at <= self.f.size
+
+    def line(self) -> bytes | None:
+        """Bytes up to the next CRLF, which is passed; None if there is none."""
+        n = 64
+        while True:
+            data = self.peek(n)
+            if (end := data.find(b"\r\n")) >= 0:
+                self.at += end + 2
+                return data[:end]
+            if len(data) < n:
+                return None
+            n *= 8
+
+
+def readable(path: str) -> bool:
+    """Whether Ranged can read the path's store."""
+    return re.match(r"([A-Za-z][A-Za-z0-9+.-]+):", path) is None or path.split(":", 1)[0] in ("file", "hdfs", "s3", "s3a", "s3n", "gs", "gcs", "abfs", "abfss")
+
+
 def write_new(folder: str, part: str, name, pieces: Iterable[bytes]) -> tuple[int, str]:
     """(size, path) of folder/name(size): written as ``part`` and renamed, so that readers see all of it or nothing, and a task that runs again replaces it."""
     own, size = local_path(folder), 0
