@@ -86,9 +86,9 @@ def _entries(v: Views) -> DataFrame:
     return rows.withColumn("pos", F.struct("place", "key"))
 
 
-def _snapshot_store(v: Views) -> str:
+def _snapshot_store(v: Views, aux: dict | None = None) -> str:
     base = shared_folder(v.spark, "snapshots")
-    _spark_writes(G.write_snapshots(_entries(v), base, offset=100, aux={"redis-ver": "7.2.0", "ctime": "1"}))
+    _spark_writes(G.write_snapshots(_entries(v), base, offset=100, aux=aux or {"redis-ver": "7.2.0", "ctime": "1"}))
     return base
 
 
@@ -116,9 +116,12 @@ def rdb_split_scan(v):
     return d.select("pos", "db", c("key").cast("string").alias("key"), "rdb_type", c("value").cast("string").alias("value"), F.hex("raw_value").alias("raw"), F.unix_millis("expire").alias("expire_ms"))
 
 
-@query("SELECT run_id, unnest(['redis-ver', 'ctime', 'repl-id']) AS key, unnest(['7.2.0', '1', run_id]) AS value FROM (SELECT unnest(['run_0', 'run_1', 'run_2']) AS run_id)")
+@query(with_views("keyspace") + """SELECT 'run_' || i AS run_id, unnest(['redis-ver', 'keys', 'first-key', 'repl-id']) AS key, unnest(['7.2.0', n::VARCHAR, k, 'run_' || i]) AS value
+  FROM (SELECT count(*) AS n, min(key) AS k FROM keyspace), (SELECT unnest([0, 1, 2]) AS i)""")
 def rdb_aux(v):
-    d = rdb.read_aux(v.spark, _snapshot_store(v))
+    """AUX pairs of snapshot files, which tell of the keyspace that was saved."""
+    n, first = v.keyspace.agg(F.count("*"), F.min("key")).first()
+    d = rdb.read_aux(v.spark, _snapshot_store(v, {"redis-ver": "7.2.0", "keys": str(n), "first-key": first}))
     return d.select("run_id", c("key").cast("string").alias("key"), c("value").cast("string").alias("value"))
 
 

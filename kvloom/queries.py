@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kvloom.functions import constants as C
 from kvloom.functions import hashing as H
 from kvloom.functions import snapshot_types as T
+from kvloom.functions import sql
 from kvloom.functions import wire as W
 from kvloom.operators import ranges as R
 from kvloom.operators import replay as P
@@ -65,6 +66,7 @@ FNV = (
     "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(1, strlen(key) + 1), lambda i: ascii(key[i])::UHUGEINT)), "
     "lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
 )
+ENCODED = "'*' || len(args) || chr(13) || chr(10) || array_to_string(list_transform(args, lambda a: '$' || strlen(a) || chr(13) || chr(10) || a || chr(13) || chr(10)), '')"
 KEYS = "keys AS (SELECT DISTINCT key FROM commands WHERE key IS NOT NULL)"
 
 
@@ -253,6 +255,27 @@ def snapshot_row_skip(v):
     return P.replayable(d).groupBy("db").agg(F.count("*").alias("n"))
 
 
+# Functions in SQL text -------------------------------------------------
+
+
+@query(with_views("commands", more=slot_cte("commands")) + f"""SELECT s.key, s.tag, s.slot, ({FNV})::VARCHAR AS fnv, ({FNV} % 7::UHUGEINT)::BIGINT AS worker,
+  {any_prefix(('user:', 'order:'))} AS listed, s.slot BETWEEN 100 AND 4000 OR s.slot BETWEEN 9000 AND 9999 AS in_range FROM slots s""")
+def sql_functions(v):
+    """The library's functions called in SQL text."""
+    sql.register(v.spark)
+    _keys(v).createOrReplaceTempView("kvloom_keys")
+    return v.spark.sql("""SELECT key, hash_tag(key) AS tag, cast(key_slot(key) AS BIGINT) AS slot, cast(fnv1a(key) AS STRING) AS fnv, worker_index(key, 7) AS worker,
+      has_prefix(key, array('user:', 'order:')) AS listed, in_ranges(key_slot(key), array(struct(100, 4000), struct(9000, 9999))) AS in_range FROM kvloom_keys""")
+
+
+@query(with_views("commands", more=f"e AS (SELECT seq, {ENCODED} AS raw FROM commands)") + "SELECT seq, raw, ['string', 'list', 'set', 'zset', 'hash', 'zset', 'other', NULL, NULL, 'hash', 'list'][seq % 11 + 1] AS value_class FROM e")
+def sql_encode(v):
+    """Commands encoded, and type bytes classed, in SQL text."""
+    sql.register(v.spark)
+    v.commands.select("seq", "args").createOrReplaceTempView("kvloom_commands")
+    return v.spark.sql("SELECT seq, resp_encode(args) AS raw, rdb_value_class(cast(seq % 11 AS INT)) AS value_class FROM kvloom_commands")
+
+
 # Scalar functions ------------------------------------------------------
 
 
@@ -305,12 +328,21 @@ def _position_sql() -> str:
     return "CASE cmd " + " ".join(f"WHEN '{n}' THEN {list(at)}" for n, at in C.KEY_POSITIONS.items()) + " END"
 
 
-@query(f"SELECT cmd, {_position_sql()} AS positions, len(list_filter({_position_sql()}, lambda i: i > 0)) AS n_keys FROM (SELECT unnest([{_list([*C.KEY_POSITIONS, 'UNKNOWNCMD'])}]) AS cmd)".replace(" AS positions", "::VARCHAR AS positions"))
+NAMES = [*C.KEY_POSITIONS, "UNKNOWNCMD"]
+
+
+@query(f"""WITH e AS (SELECT event_id AS seq, ([{_list(NAMES)}])[event_id % {len(NAMES)} + 1] AS cmd, ['a' || event_id, 'b' || user_id, event_type, 'd', 'e' || event_id % 7, 'f', 'g' || user_id] AS args FROM events),
+p AS (SELECT *, {_position_sql()} AS places FROM e)
+SELECT seq, cmd, places::VARCHAR AS positions, array_to_string(list_transform(list_filter(places, lambda i: i > 0), lambda i: args[i]), ',') AS keys FROM p""")
 def key_positions(v):
-    d = v.spark.createDataFrame([(n,) for n in [*C.KEY_POSITIONS, "UNKNOWNCMD"]], "cmd string")
+    """Places and keys of every known command and an unknown one, over all events."""
+    cmd = F.get(F.array(*[lit(n) for n in NAMES]), (c("event_id") % len(NAMES)).cast("int"))
+    s = lambda p, x: F.concat(lit(p), x.cast("string"))
+    args = F.array(s("a", c("event_id")), s("b", c("user_id")), c("event_type"), lit("d"), s("e", c("event_id") % 7), lit("f"), s("g", c("user_id")))
     at = W.key_positions(c("cmd"))
     shown = F.when(at.isNotNull(), F.concat(lit("["), F.array_join(at.cast("array<string>"), ", "), lit("]")))
-    return d.select("cmd", shown.alias("positions"), F.when(at.isNotNull(), F.size(F.filter(at, lambda i: i > 0)).cast("long")).alias("n_keys"))
+    d = v.table("events").select(c("event_id").alias("seq"), cmd.alias("cmd"), args.alias("args"))
+    return d.select("seq", "cmd", shown.alias("positions"), F.array_join(W.command_keys(c("cmd"), c("args")), ",").alias("keys"))
 
 
 @query(with_views("commands") + "SELECT seq, CASE WHEN cmd IN ('SET', 'GET', 'HSET') THEN args[2] WHEN cmd = 'DEL' THEN args[2] END AS first_key, CASE WHEN cmd = 'CONFIG' THEN NULL ELSE 1 END AS n_keys FROM commands")
@@ -344,10 +376,10 @@ def expire_times(v):
 
 
 @query("SELECT b AS type_byte, CASE b " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in C.VALUE_TYPES.items()) + " END AS type_name, CASE "
-       + " ".join(f"WHEN b IN ({', '.join(map(str, m))}) THEN '{n}'" for n, m in C.VALUE_CLASSES.items()) + f" WHEN b IN ({', '.join(map(str, C.VALUE_TYPES))}) THEN 'other' END AS value_class FROM (SELECT unnest(range(0, 30)) AS b)")
+       + " ".join(f"WHEN b IN ({', '.join(map(str, m))}) THEN '{n}'" for n, m in C.VALUE_CLASSES.items()) + f" WHEN b IN ({', '.join(map(str, C.VALUE_TYPES))}) THEN 'other' END AS value_class, count(*) AS n FROM (SELECT o_orderkey % 30 AS b FROM orders) GROUP BY b")
 def type_from_byte(v):
-    d = v.spark.range(0, 30).select(c("id").alias("type_byte"))
-    return d.select("type_byte", T.type_name(c("type_byte")).alias("type_name"), T.value_class(c("type_byte")).alias("value_class"))
+    d = v.table("orders").select((c("o_orderkey") % 30).alias("type_byte")).groupBy("type_byte").agg(F.count("*").alias("n"))
+    return d.select("type_byte", "n", T.type_name(c("type_byte")).alias("type_name"), T.value_class(c("type_byte")).alias("value_class"))
 
 
 @query(with_views("keyspace") + "SELECT CASE rdb_type WHEN 0 THEN 'string' WHEN 1 THEN 'list' WHEN 2 THEN 'set' WHEN 4 THEN 'hash' ELSE 'zset' END AS value_class, db, count(*) AS n, count(expire) AS n_expiring FROM keyspace GROUP BY 1, 2")
@@ -365,18 +397,25 @@ def segment_parse(v):
     return d.select("p_partkey", kind.alias("kind"), offset.alias("offset"), size.alias("size"))
 
 
-@query(with_views("commands", more=KEYS) + "SELECT starts_with('kvloom_checkpoint', 'kvloom_') AS checkpoint_reserved, count(*) FILTER (WHERE starts_with(key, 'kvloom_')) AS n_reserved, count(*) AS n FROM keys")
+RESERVED = "['kvloom_checkpoint', 'kvloom_circle_', 'kvloom_delay_', 'kvloom_election_', 'kvloo_', 'user:']"
+
+
+@query(f"""WITH k AS (SELECT c_custkey, ({RESERVED})[c_custkey % 6 + 1] || CASE WHEN c_custkey % 6 = 0 THEN '' ELSE c_name END AS key FROM customer)
+SELECT key, key LIKE 'kvloom@_%' ESCAPE '@' AS reserved, count(*) AS n FROM k GROUP BY key""")
 def reserved_keys(v):
-    return _keys(v).agg(F.first(A.is_reserved(lit(A.reserved_key("checkpoint")))).alias("checkpoint_reserved"), F.count_if(A.is_reserved(c("key"))).alias("n_reserved"), F.count("*").alias("n"))
+    """Keys of every reserved kind and others."""
+    prefix = F.get(F.array(*[lit(A.reserved_key(k)) for k in C.RESERVED_KINDS], lit("kvloo_"), lit("user:")), (c("c_custkey") % 6).cast("int"))
+    d = v.table("customer").select(F.concat(prefix, F.when(c("c_custkey") % 6 == 0, "").otherwise(c("c_name"))).alias("key"))
+    return d.groupBy("key").agg(F.count("*").alias("n")).select("key", A.is_reserved(c("key")).alias("reserved"), "n")
 
 
 @query("""SELECT b AS code, CASE WHEN b <= 5 THEN ['Started', 'FullInit', 'FullSyncing', 'FullSynced', 'IncrSyncing', 'IncrSynced'][b + 1] ELSE 'Started' END AS phase,
   CASE WHEN b <= 5 THEN b ELSE 0 END AS back, CASE WHEN b <= 3 THEN ['ReadyRun', 'Run', 'Pause', 'Stop'][b + 1] ELSE 'ReadyRun' END AS state,
-  CASE WHEN b = 1 THEN 'Follower' ELSE 'Leader' END AS role FROM (SELECT unnest(range(0, 256)) AS b)""")
+  CASE WHEN b = 1 THEN 'Follower' ELSE 'Leader' END AS role, count(*) AS n FROM (SELECT event_id % 256 AS b FROM events) GROUP BY b""")
 def enum_codecs(v):
     name = T.phase_name(c("code"))
-    return v.spark.range(0, 256).select(c("id").alias("code")).select(
-        "code", name.alias("phase"), T.phase_code(name).cast("long").alias("back"), T.code_name(c("code"), C.STATES).alias("state"), T.code_name(c("code"), C.ROLES).alias("role")
+    return v.table("events").select((c("event_id") % 256).alias("code")).groupBy("code").agg(F.count("*").alias("n")).select(
+        "code", "n", name.alias("phase"), T.phase_code(name).cast("long").alias("back"), T.code_name(c("code"), C.STATES).alias("state"), T.code_name(c("code"), C.ROLES).alias("role")
     )
 
 
@@ -395,7 +434,6 @@ def psync_reply(v):
 
 # Wire ------------------------------------------------------------------
 
-ENCODED = "'*' || len(args) || chr(13) || chr(10) || array_to_string(list_transform(args, lambda a: '$' || strlen(a) || chr(13) || chr(10) || a || chr(13) || chr(10)), '')"
 
 
 @query(with_views("commands") + f"SELECT seq, {ENCODED} AS raw, wire_len FROM commands")
@@ -638,13 +676,14 @@ def dump_payload(v):
     return v.keyspace.select("key", "db", F.hex(P.dump_payload(c("rdb_type"), P.string_raw(c("value")))).alias("payload"))
 
 
-@query(with_views("keyspace", more=ORDERED) + f"""SELECT pos, db, 5 AS n_args, 'RESTORE' AS cmd, key, CASE WHEN expire > TIMESTAMP '{NOW}' THEN epoch_ms(expire) - epoch_ms(TIMESTAMP '{NOW}') ELSE 0 END::VARCHAR AS ttl,
-  {PAYLOAD_LEN} AS payload_len FROM ordered""")
+@query(with_views("keyspace", more=ORDERED + f", b AS (SELECT *, {BODY} AS body FROM ordered)") + f"""SELECT pos, db, 5 AS n_args, 'RESTORE' AS cmd, key,
+  array_to_string(list_transform(body, lambda b: printf('%02X', b::BIGINT)), '') || {crc64_sql('body')} AS payload, CASE WHEN expire > TIMESTAMP '{NOW}' THEN epoch_ms(expire) - epoch_ms(TIMESTAMP '{NOW}') ELSE 0 END::VARCHAR AS ttl,
+  {PAYLOAD_LEN} AS payload_len FROM b""")
 def restore_commands(v):
     d = _ordered(v).withColumn("raw_value", P.string_raw(c("value")))
     out = P.restore_commands(d, lit(NOW).cast("timestamp"))
     at = lambda i: F.get("args", lit(i))
-    return out.select("pos", "db", F.size("args").alias("n_args"), at(0).cast("string").alias("cmd"), at(1).cast("string").alias("key"), at(2).cast("string").alias("ttl"), F.octet_length(at(3)).cast("long").alias("payload_len"))
+    return out.select("pos", "db", F.size("args").alias("n_args"), at(0).cast("string").alias("cmd"), at(1).cast("string").alias("key"), at(2).cast("string").alias("ttl"), F.hex(at(3)).alias("payload"), F.octet_length(at(3)).cast("long").alias("payload_len"))
 
 
 @query(with_views("commands", "keyspace", more="""lg AS (SELECT db, key, val AS value, seq, cmd FROM commands WHERE cmd IN ('SET', 'HSET', 'DEL') AND key IS NOT NULL),
