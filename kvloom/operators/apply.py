@@ -33,10 +33,13 @@ NO_CHANGE = (
 )
 
 
-def in_database(log: DataFrame) -> DataFrame:
-    """log (run_id, seq, name, args) with db: that of the last SELECT of its run, 0 before the first."""
+def in_database(log: DataFrame, carried: DataFrame | None = None) -> DataFrame:
+    """log (run_id, seq, name, args) with db: that of the last SELECT of its run; before the first that of carried (run_id, carried), a row for each run, or 0."""
     chosen = F.when(F.upper("name") == "SELECT", F.get("args", F.lit(0)).cast("string").try_cast("int"))
-    return scan(log, ["run_id"], "seq", {"db": ("last", chosen)}).withColumn("db", F.coalesce("db", F.lit(0)))
+    d = scan(log, ["run_id"], "seq", {"db": ("last", chosen)})
+    if carried is None:
+        return d.withColumn("db", F.coalesce("db", F.lit(0)))
+    return d.join(F.broadcast(carried), "run_id", "left").withColumn("db", F.coalesce("db", "carried", F.lit(0))).drop("carried")
 
 
 def _at(i: int | Column) -> Column:

@@ -147,6 +147,19 @@ def _follow(f: Ranged, start: int, end: int, limit: int, strict: bool = False) -
     return c.at
 
 
+def _whole(f: Ranged, limit: int) -> int | None:
+    """Where the file's last whole value ends; None if malformed bytes come before."""
+    c = Cursor(f)
+    while True:
+        at = c.at
+        try:
+            _pass(c, limit, False)
+        except _Cut:
+            return at
+        except WireError:
+            return None
+
+
 def _guess(f: Ranged, begin: int, end: int, limit: int) -> tuple[int | None, int | None]:
     """(start, stop) of the values that seem to begin in a split: from the first array header behind a CRLF that can be followed to the end."""
     if begin == 0:
@@ -323,7 +336,7 @@ def _read(s: _Stretch, limit: int, fail_fast: bool):
 
 
 class RespLogSource(DataSource):
-    """format("respLog"): options path, maxBufferSize, mode; batch and stream over a mounted folder of segments."""
+    """format("respLog"): options path, maxBufferSize, mode, for streams maxBytesPerTrigger; batch and stream over a mounted folder of segments."""
 
     @classmethod
     def name(cls) -> str:
@@ -351,46 +364,44 @@ class _LogReader(DataSourceReader):
 
 
 class _LogStream(DataSourceStreamReader):
-    """The offset is the number of whole commands' bytes read of each segment; a half-written command waits for its rest."""
+    """The offset is the number of bytes of each segment, so planning lists files and opens none.
+
+    A batch from byte a to z of a segment gives the commands that end there. Its
+    task passes over the values before a, without reading them, to where the
+    last whole one ends: a command that is cut by a batch, or by several, comes
+    with the batch in which its last byte lies.
+    """
 
     def __init__(self, options):
         self.base, self.limit, self.fail_fast = required_local(options["path"]), int(options.get("maxBufferSize", DECODER_LIMIT)), options.get("mode", "") == "FAILFAST"
-        self.done: dict[str, int] = {}
+        self.most = int(options.get("maxBytesPerTrigger", 0))
+        self.seen: dict[str, int] = {}
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
 
     def latestOffset(self) -> dict:
+        left = self.most or None
         for _, _, path, size in _segments(self.base):
-            begin = self.done.get(path, 0)
-            if size > begin:
-                self.done[path] = begin + self._whole(path, begin, size)
-        return {"files": json.dumps(self.done, sort_keys=True)}
-
-    def _whole(self, path: str, begin: int, size: int) -> int:
-        d = Decoder(self.limit)
-        with open(path, "rb") as f:
-            f.seek(begin)
-            left = size - begin
-            while left > 0 and (data := f.read(min(PIECE, left))):
-                left -= len(data)
-                try:
-                    d.feed(data)
-                    for _ in d:
-                        pass
-                except WireError:
-                    return size - begin
-        return d.offset
+            more = max(0, size - self.seen.get(path, 0))
+            more = more if left is None else min(more, left)
+            left = None if left is None else left - more
+            if more:
+                self.seen[path] = self.seen.get(path, 0) + more
+        return {"files": json.dumps(self.seen, sort_keys=True)}
 
     def partitions(self, start: dict, end: dict):
         a, z = json.loads(start["files"]), json.loads(end["files"])
         return [_Stretch(r, o, p, a.get(p, 0), z[p]) for r, o, p, _ in _segments(self.base) if z.get(p, 0) > a.get(p, 0)]
 
     def read(self, partition):
-        yield from _read(partition, self.limit, self.fail_fast)
+        with Ranged(partition.path, end=partition.begin) as f:
+            begin = _whole(f, self.limit)
+        if begin is not None:
+            yield from _read(_Stretch(partition.run_id, partition.offset, partition.path, begin, partition.end), self.limit, self.fail_fast)
 
     def commit(self, end: dict) -> None:
-        self.done = {**json.loads(end["files"]), **self.done}
+        self.seen = {**json.loads(end["files"]), **self.seen}
 
 
 def register(spark: SparkSession) -> None:

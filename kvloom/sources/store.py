@@ -39,9 +39,9 @@ def _arrow(path: str):
 
 
 class Ranged:
-    """A file that is read by ranges; n_read counts bytes."""
+    """A file that is read by ranges, as if it ended at most at the place ``end``; n_read counts bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end: int | None = None):
         self.path, self.n_read, own = path, 0, local_path(path)
         if own is not None:
             self.f = open(own, "rb")
@@ -50,10 +50,11 @@ class Ranged:
             store, name = _arrow(path)
             self.f = store.open_input_file(name)
             self.size = self.f.size()
+        self.size = self.size if end is None else min(self.size, end)
 
     def read(self, at: int, n: int) -> bytes:
         self.f.seek(at)
-        data = self.f.read(n)
+        data = self.f.read(max(0, min(n, self.size - at)))
         self.n_read += len(data)
         return data
 

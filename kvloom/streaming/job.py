@@ -12,7 +12,10 @@ from kvloom.functions.constants import PHASES, STATES, STORE_SIZE
 from kvloom.operators import apply, segments
 from kvloom.operators.rules import RuleSet
 from kvloom.sources import rdb, resp
-from kvloom.streaming import databases
+from kvloom.sources.shared import written
+
+COLUMNS = ("run_id", "seq", "db", "name", "args", "_error", "end_offset")
+SAVED = "run_id string, offset long, db int, applied long, filtered long, errors long, batch long"
 
 
 class SyncJob:
@@ -32,11 +35,12 @@ class SyncJob:
     def _answer(self, code: int = 0, message: str = "ok", data=None) -> dict:
         return {"code": code, "message": message, "data": data}
 
-    def commands(self, stream: bool = True) -> DataFrame:
-        """The logs as (run_id, seq, db, name, args, _error, end_offset, dropped). A command is dropped if the rules drop any of its keys."""
-        log = (self.spark.readStream.format("respLog").option("path", self.base).load() if stream else resp.read_logs(self.spark, self.base))
-        rows = log.select("run_id", F.col("start_offset").alias("seq"), "name", "args", "_error", "end_offset")
-        rows = (databases.track if stream else apply.in_database)(rows).select(*databases.COLUMNS)
+    def _log(self, stream: bool) -> DataFrame:
+        """(run_id, seq, name, args, _error, end_offset)."""
+        log = self.spark.readStream.format("respLog").option("path", self.base).load() if stream else resp.read_logs(self.spark, self.base)
+        return log.select("run_id", F.col("start_offset").alias("seq"), "name", "args", "_error", "end_offset")
+
+    def _with_drops(self, rows: DataFrame) -> DataFrame:
         cmd = F.upper("name")
         keys = wire.command_keys(cmd, F.transform("args", lambda a: a.cast("string")))
         # Of commands that take any number of keys, all count: DEL and UNLINK every argument, MSET every other.
@@ -44,7 +48,30 @@ class SyncJob:
             cmd == "MSET", F.transform(F.filter("args", lambda a, i: i % 2 == 0), lambda a: a.cast("string"))
         ).otherwise(keys)
         dropped = F.col("_error").isNull() & ~self.rules.keeps_all_keys(cmd, keys, F.col("db"))
-        return rows.withColumn("dropped", dropped)
+        return rows.select(*COLUMNS).withColumn("dropped", dropped)
+
+    def commands(self) -> DataFrame:
+        """The logs as they are now, as (run_id, seq, db, name, args, _error, end_offset, dropped). A command is dropped if the rules drop any of its keys."""
+        return self._with_drops(apply.in_database(self._log(stream=False)))
+
+    def _saved(self) -> DataFrame | None:
+        """(batch, run_id, offset, db, counts): what each micro-batch has saved of each run; None before the first."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.out}/checkpoints")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return None
+        return self.spark.read.option("basePath", f"{self.out}/checkpoints").schema(SAVED).parquet(f"{self.out}/checkpoints")
+
+    def _save(self, batch: DataFrame, batch_id: int) -> None:
+        """One micro-batch: databases by a scan over its commands, with what earlier batches carry on; a batch that runs again replaces its own output."""
+        saved = self._saved()
+        carried = None if saved is None else saved.filter(F.col("batch") < batch_id).groupBy("run_id").agg(F.max_by("db", F.when(F.col("db").isNotNull(), F.col("batch"))).alias("carried"))
+        rows = self._with_drops(apply.in_database(written(batch, "batch"), carried))
+        rows.write.mode("overwrite").parquet(f"{self.out}/log/batch={batch_id}")
+        rows, failed = self.spark.read.schema(rows.schema).parquet(f"{self.out}/log/batch={batch_id}"), F.col("_error").isNotNull()
+        rows.groupBy("run_id").agg(
+            F.max("end_offset").alias("offset"), F.max_by("db", "seq").alias("db"), F.count_if(~F.col("dropped") & ~failed).alias("applied"),
+            F.count_if("dropped").alias("filtered"), F.count_if(failed).alias("errors"),
+        ).write.mode("overwrite").parquet(f"{self.out}/checkpoints/batch={batch_id}")
 
     def run(self) -> dict:
         if self.state not in ("ReadyRun", "Pause"):
@@ -54,12 +81,7 @@ class SyncJob:
             elements.entries(rdb.read_snapshots(self.spark, self.base)).write.mode("overwrite").parquet(f"{self.out}/snapshot")
             self.phase = "FullSynced"
 
-        def save(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{self.out}/log/batch={batch_id}")
-            saved = batch.groupBy("run_id").agg(F.max("end_offset").alias("offset"))
-            saved.write.mode("overwrite").parquet(f"{self.out}/checkpoints/batch={batch_id}")
-
-        writer = self.commands().writeStream.foreachBatch(save).option("checkpointLocation", f"{self.out}/stream")
+        writer = self._log(stream=True).writeStream.foreachBatch(self._save).option("checkpointLocation", f"{self.out}/stream")
         writer = writer.trigger(processingTime=f"{self.every} milliseconds") if self.every else writer.trigger(availableNow=True)
         self.query, self.state, self.phase = writer.start(), "Run", "IncrSyncing"
         return self._answer()
@@ -121,13 +143,12 @@ class SyncJob:
 
     def checkpoints(self) -> DataFrame:
         """(run_id, offset): the last saved log offset of each run."""
-        return self.spark.read.parquet(f"{self.out}/checkpoints").groupBy("run_id").agg(F.max("offset").alias("offset"))
+        return self._saved().groupBy("run_id").agg(F.max("offset").alias("offset"))
 
     def metrics(self) -> dict:
-        log = self.spark.read.parquet(f"{self.out}/log")
-        failed = F.col("_error").isNotNull()
-        counts = [F.count_if(~F.col("dropped") & ~failed).alias("aof_commands_total"), F.count_if("dropped").alias("filtered_commands_total"), F.count_if(failed).alias("sync_errors_total")]
-        return self._answer(data=log.agg(*counts, F.max("end_offset").alias("offset")).first().asDict())
+        """Sums over what the micro-batches have counted; the log is not read again."""
+        sums = [F.sum("applied").alias("aof_commands_total"), F.sum("filtered").alias("filtered_commands_total"), F.sum("errors").alias("sync_errors_total")]
+        return self._answer(data=self._saved().agg(*sums, F.max("offset").alias("offset")).first().asDict())
 
     def gc(self, limit: int = STORE_SIZE) -> DataFrame:
         """Segments that have to go so that the store fits limit."""

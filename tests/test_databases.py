@@ -4,8 +4,7 @@ from kvloom.operators import prefix_sum
 from kvloom.operators.rules import RuleSet
 from kvloom.sources import rdb
 from kvloom.sources import segments as seg
-from kvloom.streaming import databases
-from kvloom.streaming.job import SyncJob
+from kvloom.streaming.job import COLUMNS, SyncJob
 from test_sources import command
 
 
@@ -35,8 +34,8 @@ def test_job_follows_select(spark, tmp_path, monkeypatch):
     assert keys(job) == old | want | {(1, "later"): "one", (0, "later"): "zero"}
     job.stop()
     monkeypatch.setattr(prefix_sum, "BITS", 5)
-    batch = sorted(map(tuple, job.commands(stream=False).select(*databases.COLUMNS).collect()), key=str)
-    log = spark.read.parquet(f"{out}/log").select(*databases.COLUMNS)
+    batch = sorted(map(tuple, job.commands().select(*COLUMNS).collect()), key=str)
+    log = spark.read.parquet(f"{out}/log").select(*COLUMNS)
     assert batch == sorted(map(tuple, log.collect()), key=str)
 
 

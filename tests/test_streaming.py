@@ -52,3 +52,33 @@ def test_streaming_transactions_equal_batch(spark, tmp_path):
     got = {(r.run_id, r.seq): (r.txn, r.in_txn) for r in spark.table("txn_out").collect()}
     want = {(r.run_id, r.seq): (r.txn, r.in_txn) for r in transaction_status(d).collect()}
     assert got == want
+
+
+def test_stream_plans_by_size_and_keeps_cut_commands(spark, tmp_path, monkeypatch):
+    """A command cut across three batches comes with the last; planning opens no file; what is malformed comes once and ends its log."""
+    from kvloom.sources import resp
+
+    base, out = tmp_path / "store", str(tmp_path / "out")
+    long = command("SET", "long", "*2\r\n$3\r\nGET\r\n" * 200)
+    first, last = command("SET", "a", "1"), command("SET", "z", "2")
+    steps = [first + long[:5], long[5:900], long[900:1500], long[1500:] + last + b"$", b"x\r\n", last]
+    path = base / "r" / "0.aof"
+    path.parent.mkdir(parents=True)
+    resp.register(spark)
+    seen: list = []
+    query = spark.readStream.format("respLog").option("path", str(base)).load().writeStream.foreachBatch(
+        lambda d, i: seen.append(sorted((r.start_offset, r.name, (r._error or "")[:14]) for r in d.collect()))
+    ).option("checkpointLocation", out).start()
+    try:
+        for s in steps:
+            with open(path, "ab") as f:
+                f.write(s)
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    rows = [x for batch in seen for x in batch]
+    at = len(first) + len(long)
+    assert rows == [(0, "SET", ""), (len(first), "SET", ""), (at, "SET", ""), (at + len(last), None, "InvalidInteger")]
+    reader = resp._LogStream({"path": str(base), "maxBytesPerTrigger": "1000"})
+    monkeypatch.setattr(resp, "open", None, raising=False)
+    assert [sum(__import__("json").loads(reader.latestOffset()["files"]).values()) for _ in range(3)] == [1000, 2000, min(3000, sum(map(len, steps)))]
