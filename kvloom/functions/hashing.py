@@ -6,6 +6,8 @@ and shown as decimal(20,0); CRC-64 is bytes or hex.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -43,9 +45,58 @@ def crc64_table() -> list[int]:
 
 
 _CRC64 = crc64_table()
+_TABLE = np.array(_CRC64, np.uint64)
+
+
+#: Bytes from which on blocks of a value are summed side by side; blocks at a time, at most.
+LONG, LANES = 4096, 1 << 14
+
+
+@functools.cache
+def _behind(n: int) -> tuple[list[int], ...]:
+    """What a CRC becomes when n zero bytes follow, as a table for each of its bytes.
+
+    Zero bytes act on a CRC as a matrix over GF(2), whose columns are kept as
+    numbers; the matrix of n is a product of squares.
+    """
+    step = lambda c: c >> 8 ^ _CRC64[c & 255]
+    def times(matrix: list[int], c: int) -> int:
+        out, i = 0, 0
+        while c:
+            if c & 1:
+                out ^= matrix[i]
+            c, i = c >> 1, i + 1
+        return out
+
+    square, matrix = [step(1 << i) for i in range(64)], [1 << i for i in range(64)]
+    while n:
+        if n & 1:
+            matrix = [times(square, c) for c in matrix]
+        square = [times(square, c) for c in square]
+        n >>= 1
+    return tuple([times(matrix, b << 8 * i) for b in range(256)] for i in range(8))
+
+
+def crc64_joined(first: int, second: int, n: int) -> int:
+    """CRC-64 of two stretches, one behind the other, from the CRC of each; n: bytes of the second."""
+    for i, table in enumerate(_behind(n)):
+        second ^= table[first >> 8 * i & 255]
+    return second
 
 
 def crc64_of(data: bytes, crc: int = 0) -> int:
+    """CRC-64 of data, going on from crc. Long data are cut into blocks that are summed side by side and joined."""
+    if len(data) >= LONG:
+        lanes = min(LANES, len(data) // 256)
+        size = len(data) // lanes
+        x = np.frombuffer(data, np.uint8, lanes * size).reshape(lanes, size)
+        own, low, eight = np.zeros(lanes, np.uint64), np.uint64(255), np.uint64(8)
+        columns = np.ascontiguousarray(x.T)
+        for p in range(size):
+            own = own >> eight ^ _TABLE[(own ^ columns[p]) & low]
+        for c in own.tolist():
+            crc = crc64_joined(crc, c, size)
+        data = data[lanes * size :]
     for b in data:
         crc = crc >> 8 ^ _CRC64[(crc ^ b) & 255]
     return crc
@@ -109,7 +160,6 @@ def worker_index(h: Column, n: int) -> Column:
 
 #: Rows from which on a step over all of them beats a loop over bytes.
 FEW = 16
-_TABLE = np.array(_CRC64, np.uint64)
 
 
 def crc64_batch(values: list[bytes], starts: list[int]) -> np.ndarray:

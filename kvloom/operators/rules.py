@@ -12,11 +12,14 @@ import json
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvloom.functions.constants import NO_ROUTE, NO_ROUTE_STRICT
 from kvloom.functions.hashing import key_slot
+from kvloom.sources.shared import written
 
 
 def merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -119,3 +122,44 @@ class RuleSet:
         """For commands of several keys: kept only if no key is dropped."""
         none = ~self.drops(cmd, F.lit(None).cast("string"), db)
         return none & ~F.exists(F.coalesce(keys, F.array().cast("array<string>")), lambda k: self.drops(cmd, k, db))
+
+
+def longest_prefix(keys: DataFrame, prefixes: DataFrame, key: str = "key", prefix: str = "prefix") -> DataFrame:
+    """(key, prefix): each distinct key with the longest of prefixes that it begins with, null if there is none. Null keys and prefixes take no part.
+
+    Keys and prefixes are sorted together by ranges, and one sweep over each
+    range holds a stack of the prefixes that are open. Those that begin in an
+    earlier range are prefixes of the range's first string, and shorter than any
+    that begins later: they are looked up for one string of each range, and
+    settle the keys that the sweep left open. The rule table may be of any size
+    and its prefixes of any lengths; keys and prefixes are shuffled once.
+    """
+    def sweep(batches):
+        part, first, stack = TaskContext.get().partitionId(), True, []
+        for b in batches:
+            out: list[tuple] = []
+            for text, is_key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if first:
+                    out.append((part, text, None, True))
+                    first = False
+                while stack and not text.startswith(stack[-1]):
+                    stack.pop()
+                if is_key:
+                    out.append((part, text, stack[-1] if stack else None, False))
+                else:
+                    stack.append(text)
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = [pa.int32(), pa.string(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "text", "found", "first"])
+
+    rules = prefixes.select(F.col(prefix).cast("string").alias("text")).filter("text IS NOT NULL").distinct()
+    both = rules.withColumn("is_key", F.lit(False)).unionByName(keys.select(F.col(key).cast("string").alias("text")).filter("text IS NOT NULL").distinct().withColumn("is_key", F.lit(True)))
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    swept = written(both.repartitionByRange(n, "text", "is_key").sortWithinPartitions("text", "is_key").mapInArrow(sweep, "part int, text string, found string, first boolean"), "prefix-sweep")
+    # A string for each range, and a row for each of its lengths.
+    starts = swept.filter("first").select("part", F.explode(F.transform(F.sequence(F.lit(0), F.length("text")), lambda i: F.substring(F.col("text"), F.lit(1), i))).alias("text"))
+    carried = F.broadcast(starts).join(rules, "text").groupBy("part").agg(F.collect_list("text").alias("open"))
+    met = swept.filter("NOT first").join(F.broadcast(carried), "part", "left")
+    fits = F.filter("open", lambda p: F.col("text").startswith(p))
+    longest = F.get(F.reverse(F.sort_array(F.transform(fits, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))), F.lit(0))["p"]
+    return met.select(F.col("text").alias(key), F.coalesce("found", longest).alias(prefix))

@@ -194,6 +194,19 @@ def trie_prefix_join(v):
     return U.prefix_join(_keys(v), prefixes)
 
 
+LONG_KEYS = """k AS (SELECT repeat(md5((c_custkey % 40)::VARCHAR), 7) || c_name AS key, c_custkey FROM customer),
+p AS (SELECT DISTINCT substr(key, 1, (c_custkey * 7 % 200 + 1)::INTEGER) AS prefix FROM k WHERE c_custkey % 3 > 0 AND c_custkey % 40 <> 5)"""
+
+
+@query(f"WITH {LONG_KEYS} SELECT key, max_by(prefix, length(prefix)) AS prefix FROM k LEFT JOIN p ON starts_with(key, prefix) GROUP BY key")
+def longest_prefix(v):
+    """Which rule of a table with prefixes of 1 to 200 characters is the longest that a key begins with."""
+    key = F.concat(F.expr("repeat(md5(cast(c_custkey % 40 AS STRING)), 7)"), c("c_name"))
+    d = v.table("customer").select("c_custkey", key.alias("key"))
+    rules = d.filter((c("c_custkey") % 3 > 0) & (c("c_custkey") % 40 != 5)).select(F.substring(c("key"), lit(1), (c("c_custkey") * 7 % 200 + 1).cast("int")).alias("prefix"))
+    return U.longest_prefix(d, rules)
+
+
 @query(with_views("commands") + "SELECT run_id, count(key) = 0 AS is_empty FROM commands GROUP BY run_id")
 def trie_is_empty(v):
     return v.commands.groupBy("run_id").agg((F.count("key") == 0).alias("is_empty"))

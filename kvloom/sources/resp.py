@@ -336,7 +336,7 @@ def _read(s: _Stretch, limit: int, fail_fast: bool):
 
 
 class RespLogSource(DataSource):
-    """format("respLog"): options path, maxBufferSize, mode, for streams maxBytesPerTrigger; batch and stream over a mounted folder of segments."""
+    """format("respLog"): options path, maxBufferSize, mode, for streams maxBytesPerTrigger; reads and writes, in batches and streams, a mounted folder of segments."""
 
     @classmethod
     def name(cls) -> str:
@@ -351,6 +351,16 @@ class RespLogSource(DataSource):
     def streamReader(self, schema) -> DataSourceStreamReader:
         return _LogStream(self.options)
 
+    def writer(self, schema, overwrite: bool):
+        from kvloom.sources.sink import LogSink
+
+        return LogSink(self.options, schema, overwrite)
+
+    def streamWriter(self, schema, overwrite: bool):
+        from kvloom.sources.sink import LogStreamSink
+
+        return LogStreamSink(self.options, schema, overwrite)
+
 
 class _LogReader(DataSourceReader):
     def __init__(self, options):
