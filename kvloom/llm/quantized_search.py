@@ -8,6 +8,13 @@ of 16 partial products for each pair and adds table entries over the codes of
 all rows, in blocks. The RERANK rows of the highest sums, over all blocks
 together (more in large tables), are scored exactly, from the original vectors in double precision.
 
+Codes stay where they are: queries come to them by broadcast, QUERY_ROWS at a
+time. A block first gives each query its share of the highest sums, twice what
+it would hold on average. Blocks whose last one given still stands above the
+bound that follows from all of them are searched again, for what is above that
+bound: rows out of blocks are a small multiple of the reranked ones, and none of
+those is missed.
+
 The codebook is fitted on a bounded sample (``MAX_TRAIN`` rows, the smallest by
 a hash of their id). Every row is coded and scanned.
 """
@@ -18,11 +25,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvloom.llm.blocks import best, matrix, ranked, usable
-from kvloom.llm.common import materialize, table, tidy
+from kvloom.llm.common import materialize, scratch_dir, shuffle_partitions, table, tidy
 
 MAX_TRAIN = 10_000
 CENTROIDS = 16
@@ -33,8 +41,8 @@ ROUNDS, PASSES = 8, 2
 K = 5
 #: Candidates of a query that are scored exactly, of the whole table: this many, or the square root of the rows where that is more.
 RERANK = 64
-#: Codes of a block, queries that meet it in one task.
-BLOCK_ROWS, QUERY_ROWS = 65_536, 256
+#: Codes of a block, and those up to which blocks are made smaller so that all tasks have some; queries of a broadcast.
+BLOCK_ROWS, LEAST_ROWS, QUERY_ROWS = 65_536, 4096, 8192
 
 
 class Codebook:
@@ -149,12 +157,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, rerank: int | No
     books = train(vectors)
     n = vectors.count()
     rerank = max(k, rerank or max(RERANK, math.isqrt(n)))
-    n_blocks = max(1, -(-n // BLOCK_ROWS))
+    spark = vectors.sparkSession
+    n_blocks = max(1, -(-n // BLOCK_ROWS), min(shuffle_partitions(spark), n // LEAST_ROWS))
+    share = min(rerank, 2 * -(-rerank // n_blocks) + 2)
     asked = queries.select(F.col("vec_id").alias("query_id"), "vector", "dim").distinct().withColumn("hash", F.xxhash64("query_id", "vector"))
-    asked = materialize(asked, "ann-queries")
-    chunks = max(1, -(-asked.count() // QUERY_ROWS))
+    pieces = max(1, -(-asked.count() // QUERY_ROWS))
     place = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    asked = materialize(asked.withColumn("piece", place("hash", pieces)), "ann-queries")
 
     def code(batches):
         for b in batches:
@@ -166,22 +175,57 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, rerank: int | No
                     codes[i] = c.tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(codes, pa.binary())], names=["vec_id", "dim", "code"])
 
-    def look(a: pa.Table, b: pa.Table) -> pa.Table:
-        """The rerank highest sums of each query over a block's codes, ties to the smaller id."""
-        out: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]]
+    def pack(t: pa.Table) -> pa.Table:
+        """A block as one row: ids, and codes byte by byte."""
+        ids = t.column("vec_id").to_numpy()
+        codes = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(ids), -1).T
+        row = {"block": t.column("block")[:1], "dim": t.column("dim")[:1], "ids": pa.array([ids.tobytes()], pa.binary()), "codes": pa.array([codes.tobytes()], pa.binary())}
+        return pa.table(row)
+
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float32(), pa.int32(), pa.bool_()]
+    found = "query_id long, hash long, vec_id long, near float, block int, last boolean"
+
+    def given(block: int, ids: np.ndarray, codes: bytes, asked: list[tuple], dim: int) -> list[np.ndarray]:
+        """Columns of found: of each query (id, hash, vector, bound, rows given before) its highest sums in a block, ties to the smaller id."""
+        lanes, out = np.frombuffer(codes, np.uint8).reshape(-1, len(ids)), [[np.zeros(0, k.to_pandas_dtype())] for k in kinds]
+        for i, h, v, bound, most in asked:
+            sums = scan(lanes, books[dim].tables(v))
+            sums[ids == i] = -np.inf
+            rows = best(sums, ids, most)
+            rows = rows[(ids[rows] != i) & (sums[rows] >= bound)]
+            last = np.zeros(len(rows), bool)
+            last[-1:] = len(rows) == most < len(ids)
+            for c, y in zip(out, (np.full(len(rows), i), np.full(len(rows), h), ids[rows], sums[rows], np.full(len(rows), block, np.int32), last), strict=True):
+                c.append(y)
+        return [np.concatenate(c) for c in out]
+
+    def first(piece: int):
+        """A pass over all blocks with one broadcast of queries."""
+        own = asked.filter(F.col("piece") == piece).select("query_id", "hash", "vector", "dim").toArrow()  # QUERY_ROWS, about
+        shared = spark.sparkContext.broadcast({
+            d: (t.column("query_id").to_pylist(), t.column("hash").to_pylist(), matrix(t.column("vector"), d))
+            for d in books if len(t := own.filter(pc.equal(own.column("dim"), d)))
+        })
+
+        def run(batches):
+            for b in batches:
+                for block, dim, ids, codes in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                    if dim in shared.value:
+                        queries = [(i, h, v, -np.inf, share) for i, h, v in zip(*shared.value[dim], strict=True)]
+                        cols = given(block, np.frombuffer(ids, np.int64), codes, queries, dim)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in found.split(", ")])
+
+        return packed.select("block", "dim", "ids", "codes").mapInArrow(tidy(run), found)
+
+    def again(a: pa.Table, b: pa.Table) -> pa.Table:
+        """Queries that a block may hold more for, over it."""
+        cols = [np.zeros(0, k.to_pandas_dtype()) for k in kinds]
         if len(a) and len(b):
             dim = a.column("dim")[0].as_py()
-            ids, book = b.column("vec_id").to_numpy(), books[dim]
-            codes = np.ascontiguousarray(np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(ids), -1).T)
-            for i, h, v in zip(a.column("query_id").to_pylist(), a.column("hash").to_pylist(), matrix(a.column("vector"), dim), strict=True):
-                sums = scan(codes, book.tables(v))
-                sums[ids == i] = -np.inf
-                rows = best(sums, ids, rerank)
-                rows = rows[ids[rows] != i]
-                for x, y in zip(out, (np.full(len(rows), i), np.full(len(rows), h), ids[rows], sums[rows]), strict=True):
-                    x.append(y)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float32()]
-        return pa.table([pa.array(np.concatenate(x), kind) for x, kind in zip(out, kinds, strict=True)], names=["query_id", "hash", "vec_id", "near"])
+            queries = zip(a.column("query_id").to_pylist(), a.column("hash").to_pylist(), matrix(a.column("vector"), dim), a.column("bound").to_pylist(), strict=True)
+            row = lambda c: b.column(c)[0].as_py()
+            cols = given(row("block"), np.frombuffer(row("ids"), np.int64), row("codes"), [(*q, rerank) for q in queries], dim)
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in found.split(", ")])
 
     def exact(batches):
         for b in batches:
@@ -194,11 +238,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, rerank: int | No
 
     # Rows that repeat id and vector are one candidate; those of one id with other vectors are told apart when scored.
     coded = vectors.select("vec_id", "vector", "dim").mapInArrow(tidy(code), "vec_id long, dim int, code binary").distinct()
-    left = asked.withColumn("block", every(n_blocks)).withColumn("chunk", place("hash", chunks))
-    right = coded.withColumn("block", place("vec_id", n_blocks)).withColumn("chunk", every(chunks))
-    by = ["dim", "block", "chunk"]
-    met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(look, "query_id long, hash long, vec_id long, near float")
-    pairs = materialize(ranked(met, rerank, ("query_id", "hash"), "near").select("query_id", "hash", "vec_id").distinct(), "ann-candidates")
+    packed = coded.withColumn("block", place("vec_id", n_blocks)).groupBy("block", "dim").applyInArrow(pack, "block int, dim int, ids binary, codes binary")
+    packed = materialize(packed, "ann-blocks")
+    path = scratch_dir(spark, "ann-shares")
+    for piece in range(pieces):
+        first(piece).write.mode("overwrite").parquet(f"{path}/piece={piece}")
+    shares = spark.read.schema(found).parquet(*[f"{path}/piece={i}" for i in range(pieces)])
+    key = ["query_id", "hash"]
+    bound = ranked(shares, rerank, tuple(key), "near").groupBy(*key).agg(F.min("near").alias("bound"), F.count("*").alias("n"))
+    bound = bound.withColumn("bound", F.when(F.col("n") < rerank, F.lit(float("-inf"))).otherwise(F.col("bound").cast("double"))).drop("n")
+    open_ = shares.filter("last").join(bound, key).filter("near >= bound").select(*key, "block", "bound")
+    open_ = materialize(open_.join(asked.drop("piece"), key), "ann-open")
+    chunks = max(1, -(-open_.count() // (n_blocks * QUERY_ROWS)))
+    open_ = open_.withColumn("chunk", place("hash", chunks))
+    by = ["block", "dim", "chunk"]
+    blocks = packed.join(open_.select(*[F.col(c).alias(c) for c in by]).distinct(), ["block", "dim"])
+    more = open_.groupBy(*by).cogroup(blocks.groupBy(*by)).applyInArrow(again, found)
+    candidates = shares.select("query_id", "hash", "vec_id", "near").unionByName(more.select("query_id", "hash", "vec_id", "near")).distinct()
+    pairs = materialize(ranked(candidates, rerank, tuple(key), "near").select("query_id", "hash", "vec_id").distinct(), "ann-candidates")
     pairs = pairs.join(asked.select("hash", F.col("query_id").alias("q"), F.col("vector").alias("asked"), "dim"), ["hash"]).filter("q = query_id")
     rows = pairs.join(vectors.select("vec_id", "vector", F.col("dim").alias("d")), "vec_id").filter("d = dim")
     scored = rows.select("query_id", "vec_id", "dim", "vector", "asked").mapInArrow(tidy(exact), "query_id long, vec_id long, score double")

@@ -111,6 +111,20 @@ def test_nearest_recall_and_scores(spark):
     assert quantized_search.nearest(d.limit(0), d.limit(0)).count() == 0
 
 
+def test_shares_of_blocks_lose_nothing(spark, monkeypatch):
+    """Many blocks that give shares, several broadcasts and a second pass, against one block that gives all: also where a block holds far more than its share."""
+    rows = sample(1500, 16, 5)
+    near = [(6000 + i, [v + 1e-3 * ((i + j) % 7) for j, v in enumerate(rows[50][1])]) for i in range(90)]
+    d = vectors(spark, rows + near)
+    queries = d.filter("vec_id % 50 = 0")
+    whole = quantized_search.nearest(d, queries, rerank=80)
+    want = sorted(map(tuple, whole.collect()))
+    monkeypatch.setattr(quantized_search, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(quantized_search, "QUERY_ROWS", 9)
+    assert sorted(map(tuple, quantized_search.nearest(d, queries, rerank=80).collect())) == want
+    assert len(want) >= 5 * 30
+
+
 def test_anisotropic_codes_beat_plain_ones_where_it_matters():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(2000, 16))
