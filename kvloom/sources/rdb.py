@@ -20,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from kvloom.functions.constants import MAX_ELEMENTS, MODULE_TYPES, STREAM_TYPES, VALUE_TYPES
 from kvloom.functions.hashing import crc64_of
+from kvloom.sources.pushed import Pushed, enable
 from kvloom.sources.shared import written
 from kvloom.sources.store import Cursor, Ranged, readable, required_local
 
@@ -69,6 +70,7 @@ class SnapshotReader:
         self.aux: list[tuple[bytes, bytes]] = []
         self.version = None
         self.tape: bytearray | None = None  # bytes read since _record()
+        self.passing = False  # strings are passed over, not read
 
     def _take(self, n: int) -> bytes:
         data = self.f.read(n) if n else b""
@@ -103,7 +105,25 @@ class SnapshotReader:
             raise CorruptSnapshot("a special coding where a length belongs")
         return n
 
+    def _pass_string(self) -> bytes:
+        """Short strings are read all the same: streams look at their ids."""
+        n, special = self._length()
+        if special and n < 3:
+            n = 1 << n
+        elif special and n == 3:
+            n, _ = self._count(), self._count()
+        elif special:
+            raise CorruptSnapshot(f"string coding {n}")
+        if n <= 64:
+            return self._take(n)
+        if not self.f.skip(n):
+            raise CorruptSnapshot(f"ends after {self.f.f.size} bytes, inside an entry")
+        self.seen += n
+        return b""
+
     def _string(self) -> bytes:
+        if self.passing:
+            return self._pass_string()
         n, special = self._length()
         if not special:
             return self._take(n)
@@ -182,8 +202,9 @@ class SnapshotReader:
         self.header()
         return self.entries()
 
-    def entries(self, db: int = 0, expire: int | None = None, stop: int | None = None, marks: Marks | None = None) -> Iterator[tuple[int, bytes, bytes | None, bytes | None, int | None, int]]:
-        """Entries from here on, in database db and with a pending expiry, up to the place stop or the end of the file."""
+    def entries(self, db: int = 0, expire: int | None = None, stop: int | None = None, marks: Marks | None = None, wanted=None) -> Iterator[tuple[int, bytes, bytes | None, bytes | None, int | None, int] | None]:
+        """Entries from here on, in database db and with a pending expiry, up to the place stop or the end of the file. wanted(db, type): other
+        entries are passed over, and come as None."""
         while stop is None or self.seen < stop:
             if marks:
                 marks.note(self.seen, db, expire)
@@ -211,10 +232,13 @@ class SnapshotReader:
             elif op == 0xF7:
                 self._module()
             elif op in VALUE_TYPES:
+                here = wanted is None or wanted(db, op)
+                was, self.passing = self.passing, self.passing or not here
                 key = self._string()
                 value, raw = self._value(op)
+                self.passing = was
                 if op not in MODULE_TYPES:
-                    yield db, key, value, raw, expire, op
+                    yield (db, key, value, raw, expire, op) if here else None
                 expire = None
             else:
                 raise CorruptSnapshot(f"opcode {op:#x}")
@@ -234,20 +258,9 @@ class Marks:
 class Skimmer(SnapshotReader):
     """Passes over the strings of a snapshot without reading them, to find places where it can be cut."""
 
-    def _string(self) -> bytes:
-        n, special = self._length()
-        if special and n < 3:
-            n = 1 << n
-        elif special and n == 3:
-            n, _ = self._count(), self._count()
-        elif special:
-            raise CorruptSnapshot(f"string coding {n}")
-        if n <= 64:
-            return self._take(n)
-        if not self.f.skip(n):
-            raise CorruptSnapshot(f"ends after {self.f.f.size} bytes, inside an entry")
-        self.seen += n
-        return b""
+    def __init__(self, f: Cursor):
+        super().__init__(f)
+        self.passing = True
 
     def marks(self, every: int) -> list[tuple[int, int, int | None, int]]:
         """(place, database, pending expiry, rows before) of places between entries, about every so many bytes."""
@@ -299,7 +312,10 @@ def write_snapshot(rows, aux=(), version: int = 9) -> bytes:
 
 
 def _rows(run_id: str, entries, first: int = 0):
-    for pos, (db, key, value, raw, expire, kind) in enumerate(entries, first):
+    for pos, entry in enumerate(entries, first):
+        if entry is None:
+            continue
+        db, key, value, raw, expire, kind = entry
         at = None if expire is None else dt.datetime.fromtimestamp(expire / 1000, dt.timezone.utc)
         yield run_id, pos, db, key, value, raw, at, kind
 
@@ -402,7 +418,12 @@ class _File(InputPartition):
 
 
 class SnapshotSource(DataSource):
-    """format("rdbSnapshot"): option path, a mounted folder base/{run_id}/*.rdb; checkCrc; reads files as streams of any size."""
+    """format("rdbSnapshot"): option path, a mounted folder base/{run_id}/*.rdb; checkCrc; reads files as streams of any size.
+
+    Filters on run_id leave files out; entries of other databases or types than
+    filters ask for are passed over, their long strings unread, unless checkCrc
+    needs all bytes.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -418,18 +439,36 @@ class SnapshotSource(DataSource):
 class _SnapshotFiles(DataSourceReader):
     def __init__(self, options):
         self.base, self.check = required_local(options["path"]), options.get("checkCrc", "false") == "true"
+        self.pushed = Pushed(("run_id", "db", "rdb_type"))
+
+    def pushFilters(self, filters):
+        return self.pushed.take(filters)
 
     def partitions(self):
+        runs = self.pushed.tests().get("run_id", lambda _: True)
         return [
             _File(run, os.path.join(self.base, run, name))
-            for run in sorted(os.listdir(self.base)) if os.path.isdir(os.path.join(self.base, run))
+            for run in sorted(os.listdir(self.base)) if os.path.isdir(os.path.join(self.base, run)) and runs(run)
             for name in sorted(os.listdir(os.path.join(self.base, run))) if re.fullmatch(r"\d+_\d+\.rdb", name)
         ]
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
-            yield from _rows(partition.run_id, SnapshotReader(f, self.check))
+        with Ranged(partition.path) as f:
+            yield from self.rows(partition.run_id, f)
+
+    def rows(self, run_id: str, f: Ranged):
+        tests = self.pushed.tests()
+        dbs, kinds = (tests.get(c, lambda _: True) for c in ("db", "rdb_type"))
+        wanted = lambda db, op: dbs(db) and kinds(op)
+        reader = SnapshotReader(Cursor(f, piece=1 << 16), self.check)
+        reader.header()
+        if self.check:
+            entries = (e if wanted(e[0], e[5]) else None for e in reader.entries())
+        else:
+            entries = reader.entries(wanted=wanted if {"db", "rdb_type"} & set(tests) else None)
+        yield from _rows(run_id, entries)
 
 
 def register(spark: SparkSession) -> None:
+    enable(spark)
     spark.dataSource.register(SnapshotSource)

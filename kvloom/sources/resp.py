@@ -13,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from kvloom.functions.constants import DECODER_LIMIT
 from kvloom.functions.wire import Decoder, WireError
+from kvloom.sources.pushed import Pushed, enable
 from kvloom.sources.store import Cursor, Ranged, readable, required_local
 
 SCHEMA = "run_id string, start_offset long, end_offset long, name string, args array<binary>, _error string"
@@ -363,14 +364,22 @@ class RespLogSource(DataSource):
 
 
 class _LogReader(DataSourceReader):
+    """Filters on run_id leave files out, those on name commands, before rows are made of them."""
+
     def __init__(self, options):
         self.base, self.limit, self.fail_fast = required_local(options["path"]), int(options.get("maxBufferSize", DECODER_LIMIT)), options.get("mode", "") == "FAILFAST"
+        self.pushed = Pushed(("run_id", "name"))
+
+    def pushFilters(self, filters):
+        return self.pushed.take(filters)
 
     def partitions(self):
-        return [_Stretch(r, o, p, 0, None) for r, o, p, _ in _segments(self.base)]
+        runs = self.pushed.tests().get("run_id", lambda _: True)
+        return [_Stretch(r, o, p, 0, None) for r, o, p, _ in _segments(self.base) if runs(r)]
 
     def read(self, partition):
-        yield from _read(partition, self.limit, self.fail_fast)
+        names = self.pushed.tests().get("name", lambda _: True)
+        return (row for row in _read(partition, self.limit, self.fail_fast) if names(row[3]))
 
 
 class _LogStream(DataSourceStreamReader):
@@ -415,4 +424,5 @@ class _LogStream(DataSourceStreamReader):
 
 
 def register(spark: SparkSession) -> None:
+    enable(spark)
     spark.dataSource.register(RespLogSource)
