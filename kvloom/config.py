@@ -6,6 +6,10 @@ import json
 import os
 from dataclasses import dataclass, field, fields
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from kvloom.functions.constants import CHECKPOINT_MS, LOG_SIZE, STORE_SIZE
 from kvloom.operators.rules import RuleSet
 
@@ -93,3 +97,29 @@ def load(source: str | dict, base_dir: str = ".") -> Config:
     if not os.path.isabs(config.store.dir):
         config.store.dir = os.path.join(base_dir, config.store.dir)
     return config.validate()
+
+
+LOADED = "addresses int, output_kind string, rdb_parallel int, batch_size long, dir string, max_size long, log_size long, checkpoint_ms long, rules int, error string"
+
+
+def load_column(df: DataFrame, text: str, base_dir: str = ".", *keep: str) -> DataFrame:
+    """(keep, LOADED): what each configuration of a column of JSON text says with its defaults, or why it is refused."""
+    names = [c.split()[0] for c in LOADED.split(", ")]
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+
+    def one(source: str | None) -> tuple:
+        try:
+            c = load(json.loads(source or ""), base_dir)
+        except ValueError as e:  # ConfigError is one
+            return (*[None] * 9, str(e) if isinstance(e, ConfigError) else "no JSON")
+        r = c.rules
+        rules = sum(map(len, (r.db_black, r.cmd_black, r.prefix_white, r.prefix_black, r.slot_white, r.slot_black)))
+        return len(c.input.addresses), c.output.kind, c.replay.rdb_parallel, c.replay.batch_size, c.store.dir, c.store.max_size, c.store.log_size, c.checkpoint_ms, rules, None
+
+    def run(batches):
+        for b in batches:
+            cols = list(zip(*map(one, b.column(text).to_pylist()), strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[*keep, *names])
+
+    schema = ", ".join([f"{k} {df.schema[k].dataType.simpleString()}" for k in keep] + [LOADED])
+    return df.select(*keep, F.col(text)).mapInArrow(run, schema)

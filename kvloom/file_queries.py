@@ -183,6 +183,22 @@ def segment_reads(v):
     return G.read_ranges(v.spark, _log_store(v), wanted).select("run_id", "o", F.hex("content").alias("content"))
 
 
+RECEIVED = """b AS (SELECT 'run_' || c_nationkey AS run_id, c_nationkey::BIGINT * 1000 AS base, string_agg(c_name, '' ORDER BY c_custkey) AS data FROM customer GROUP BY c_nationkey),
+w AS (SELECT run_id, base, data, base + c_custkey * 37 % (strlen(data) + 40) - 20 AS o FROM customer JOIN b ON run_id = 'run_' || c_nationkey)"""
+
+
+@query(f"WITH {RECEIVED} SELECT DISTINCT run_id, o, substr(data, (o - base + 1)::BIGINT, 25) AS content FROM w WHERE o >= base AND o < base + strlen(data)")
+def snapshot_reads(v):
+    """25 bytes, or what is left, from places inside and outside of snapshot files that hold bytes as they were received."""
+    per = v.table("customer").groupBy(c("c_nationkey").alias("n")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"]), "").alias("data"))
+    blobs = per.select(F.concat(lit("run_"), c("n").cast("string")).alias("run_id"), (c("n").cast("long") * 1000).alias("offset"), "data", "n")
+    base = shared_folder(v.spark, "received")
+    _spark_writes(G.write_received(blobs, base))
+    place = c("offset") + c("c_custkey") * 37 % (F.octet_length("data") + 40) - 20
+    wanted = v.table("customer").join(blobs, c("c_nationkey") == c("n")).select("run_id", place.alias("o"), lit(25).cast("long").alias("size")).distinct()
+    return G.read_snapshot_ranges(v.spark, base, wanted).select("run_id", "o", c("content").cast("string").alias("content"))
+
+
 # Decoding --------------------------------------------------------------
 
 # A value of each kind, malformed ones, a cut one and one over the cap of 120 bytes.

@@ -36,6 +36,33 @@ def transaction_status(commands: DataFrame) -> DataFrame:
     return d.withColumn("txn", status).withColumn("in_txn", ordinary & (F.col("txn") == "In")).drop("__multi", "__last", "__end")
 
 
+def lifecycle(commands: DataFrame) -> DataFrame:
+    """commands (run_id, seq, cmd: run, pause, resume, stop or restart) with state after each and code: 0 if it was taken, 1 if refused.
+
+    Closed form by one prefix scan: stop and restart set the state whatever it
+    was; behind a restart, or the first run if there is none, the last of run,
+    resume and pause decides; a stopped job stays so until a restart.
+    """
+    seq, cmd = F.col("seq"), F.col("cmd")
+    place = F.struct(seq.alias("at"), cmd.alias("cmd"))
+    values = {
+        "__set": ("max", F.when(cmd.isin("stop", "restart"), place)), "__moved": ("max", F.when(cmd.isin("run", "resume", "pause"), place)),
+        "__begun": ("min", F.when(cmd == "run", seq)),
+    }
+    d = scan(commands, ["run_id"], "seq", values, exclusive=True)
+    set_, moved, begun = F.col("__set"), F.col("__moved"), F.col("__begun")
+    start = F.when(set_["cmd"] == "restart", set_["at"]).otherwise(begun)
+    before = (
+        F.when(F.coalesce(set_["cmd"] == "stop", F.lit(False)), "Stop").when(start.isNull(), "ReadyRun")
+        .when((moved["at"] >= start) & (moved["cmd"] == "pause"), "Pause").otherwise("Run")
+    )
+    taken = (
+        cmd.isin("stop", "restart") | ((cmd == "run") & before.isin("ReadyRun", "Pause")) | ((cmd == "pause") & (before == "Run")) | ((cmd == "resume") & (before == "Pause"))
+    )
+    after = F.when(~taken, before).when(cmd == "stop", "Stop").when(cmd == "pause", "Pause").otherwise("Run")
+    return d.withColumn("state", after).withColumn("code", F.when(taken, 0).otherwise(1)).drop("__set", "__moved", "__begun")
+
+
 def last_phase(events: DataFrame) -> DataFrame:
     """(run_id, phase, code) of the last phase event (run_id, seq, code) of each run."""
     last = events.groupBy("run_id").agg(F.max_by("code", "seq").alias("code"))

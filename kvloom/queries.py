@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvloom import config
 from kvloom.functions import constants as C
 from kvloom.functions import hashing as H
 from kvloom.functions import snapshot_types as T
@@ -608,6 +609,55 @@ def txn_status(v):
     return A.transaction_status(v.txn_commands.select("run_id", "seq", "cmd")).select("run_id", "seq", "txn", "in_txn")
 
 
+LIFE = """l AS (SELECT event_id AS seq, 'job_' || user_id % 9 AS run_id, ['run', 'pause', 'resume', 'pause', 'run', 'stop', 'restart', 'resume'][CASE WHEN event_id % 31 = 5 THEN 6 WHEN event_id % 17 = 3 THEN 7 ELSE event_id * 3 % 5 + 1 END] AS cmd FROM events),
+i AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS i FROM l),
+s AS (SELECT run_id, i, seq, cmd, CASE WHEN cmd IN ('run', 'restart') THEN 'Run' WHEN cmd = 'stop' THEN 'Stop' ELSE 'ReadyRun' END AS state, CASE WHEN cmd IN ('pause', 'resume') THEN 1 ELSE 0 END AS code FROM i WHERE i = 1
+  UNION ALL SELECT i.run_id, i.i, i.seq, i.cmd,
+    CASE i.cmd WHEN 'stop' THEN 'Stop' WHEN 'restart' THEN 'Run' WHEN 'run' THEN CASE WHEN s.state IN ('ReadyRun', 'Pause') THEN 'Run' ELSE s.state END
+      WHEN 'pause' THEN CASE WHEN s.state = 'Run' THEN 'Pause' ELSE s.state END ELSE CASE WHEN s.state = 'Pause' THEN 'Run' ELSE s.state END END,
+    CASE WHEN i.cmd IN ('stop', 'restart') OR (i.cmd = 'run' AND s.state IN ('ReadyRun', 'Pause')) OR (i.cmd = 'pause' AND s.state = 'Run') OR (i.cmd = 'resume' AND s.state = 'Pause') THEN 0 ELSE 1 END
+  FROM s JOIN i ON i.run_id = s.run_id AND i.i = s.i + 1)"""
+
+
+@query(with_views(more=LIFE, recursive=True) + "SELECT run_id, seq, cmd, state, code::BIGINT AS code FROM s")
+def lifecycle(v):
+    """The states that a script of control commands leads jobs through, and which commands are refused."""
+    n = c("event_id")
+    at = F.when(n % 31 == 5, 5).when(n % 17 == 3, 6).otherwise(n * 3 % 5).cast("int")
+    cmd = F.get(F.array(*[lit(x) for x in ("run", "pause", "resume", "pause", "run", "stop", "restart", "resume")]), at)
+    d = v.table("events").select(n.alias("seq"), F.concat(lit("job_"), (c("user_id") % 9).cast("string")).alias("run_id"), cmd.alias("cmd"))
+    return A.lifecycle(d).select("run_id", "seq", "cmd", "state", c("code").cast("long").alias("code"))
+
+
+CONFIG_TEXT = """x AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 11 = 7 THEN '{"input": ' WHEN s_suppkey % 11 = 8 THEN '{"input": {"addresses": ["a:1"]}}' WHEN s_suppkey % 11 = 9 THEN '{"input": {"addresses": []}, "output": {"addresses": ["b:2"]}}'
+    WHEN s_suppkey % 11 = 10 THEN '{"input": {"addresses": ["a:1"], "typo": 1}, "output": {"addresses": ["b:2"]}}'
+    ELSE '{"input": {"addresses": ["a:1", "a:2"]}, "output": {"addresses": ["b:2"], "kind": "sentinel"}' || CASE WHEN s_suppkey % 3 = 0 THEN ', "replay": {"rdb_parallel": ' || s_suppkey || '}' ELSE '' END
+      || CASE WHEN s_suppkey % 2 = 0 THEN ', "store": {"dir": "s' || s_suppkey || '", "max_size": ' || (s_suppkey % 4) * 100000000 || '}' ELSE '' END
+      || CASE WHEN s_suppkey % 5 = 0 THEN ', "checkpoint_ms": ' || s_suppkey || ', "filter": {"db_black_list": [1, 2], "key_prefix_white_list": ["user:"]}' ELSE '' END || '}' END AS text FROM supplier),
+e AS (SELECT *, CASE k % 11 WHEN 7 THEN 'no JSON' WHEN 8 THEN 'output is missing' WHEN 9 THEN 'input: addresses are empty' WHEN 10 THEN 'input: unknown typo'
+    ELSE CASE WHEN k % 2 = 0 AND (k % 4) * 100000000 < 104857600 THEN 'max_size is below log_size' END END AS error FROM x)"""
+
+
+@query("WITH " + CONFIG_TEXT + """ SELECT k, error, CASE WHEN error IS NULL THEN 2 END AS addresses, CASE WHEN error IS NULL THEN 'sentinel' END AS output_kind,
+  CASE WHEN error IS NULL THEN CASE WHEN k % 3 = 0 THEN k ELSE 4 END END AS rdb_parallel, CASE WHEN error IS NULL THEN 65536 END AS batch_size,
+  CASE WHEN error IS NULL THEN CASE WHEN k % 2 = 0 THEN '/base/s' || k ELSE '/tmp/kvloom-store' END END AS dir, CASE WHEN error IS NULL THEN CASE WHEN k % 2 = 0 THEN (k % 4) * 100000000 ELSE 1073741824 END END AS max_size,
+  CASE WHEN error IS NULL THEN 104857600 END AS log_size, CASE WHEN error IS NULL THEN CASE WHEN k % 5 = 0 THEN k ELSE 5000 END END AS checkpoint_ms, CASE WHEN error IS NULL THEN CASE WHEN k % 5 = 0 THEN 3 ELSE 0 END END AS rules FROM e""")
+def config_load(v):
+    """Configurations with their defaults filled in, or why they are refused."""
+    k, s = c("s_suppkey"), lambda x: x.cast("string")
+    good = F.concat(
+        lit('{"input": {"addresses": ["a:1", "a:2"]}, "output": {"addresses": ["b:2"], "kind": "sentinel"}'),
+        F.when(k % 3 == 0, F.concat(lit(', "replay": {"rdb_parallel": '), s(k), lit("}"))).otherwise(""),
+        F.when(k % 2 == 0, F.concat(lit(', "store": {"dir": "s'), s(k), lit('", "max_size": '), s(k % 4 * 100_000_000), lit("}"))).otherwise(""),
+        F.when(k % 5 == 0, F.concat(lit(', "checkpoint_ms": '), s(k), lit(', "filter": {"db_black_list": [1, 2], "key_prefix_white_list": ["user:"]}'))).otherwise(""), lit("}"))
+    text = (
+        F.when(k % 11 == 7, '{"input": ').when(k % 11 == 8, '{"input": {"addresses": ["a:1"]}}').when(k % 11 == 9, '{"input": {"addresses": []}, "output": {"addresses": ["b:2"]}}')
+        .when(k % 11 == 10, '{"input": {"addresses": ["a:1"], "typo": 1}, "output": {"addresses": ["b:2"]}}').otherwise(good)
+    )
+    d = config.load_column(v.table("supplier").select(k.alias("k"), text.alias("text")), "text", "/base", "k")
+    return d.select("k", "error", "output_kind", "dir", *[c(n).cast("long").alias(n) for n in ("addresses", "rdb_parallel", "batch_size", "max_size", "log_size", "checkpoint_ms", "rules")])
+
+
 @query(with_views("commands") + "SELECT run_id, ['Started', 'FullInit', 'FullSyncing', 'FullSynced', 'IncrSyncing', 'IncrSynced'][CASE WHEN max_by(seq % 8, seq) > 5 THEN 1 ELSE max_by(seq % 8, seq) + 1 END] AS phase FROM commands GROUP BY run_id")
 def phase_last(v):
     return A.last_phase(v.commands.select("run_id", "seq", (c("seq") % 8).alias("code"))).select("run_id", "phase")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvloom.functions.constants import LOG_SIZE
-from kvloom.operators.segments import find_log, read_catalogue
+from kvloom.operators.segments import find_log, find_snapshot, read_catalogue
 from kvloom.sources.rdb import snapshot_pieces
 from kvloom.sources.shared import written
 from kvloom.sources.store import Ranged, read_spans, required_local, write_new
@@ -145,7 +145,24 @@ def read_ranges(spark: SparkSession, base: str, wanted: DataFrame) -> DataFrame:
     names = written(read_catalogue(spark, base).filter("kind = 'aof'"), "catalogue")
     at = find_log(wanted, names).join(names.select("run_id", "offset", "path"), ["run_id", "offset"])
     ranges = wanted.join(at, ["run_id", "o"]).select("run_id", "o", F.col("size").cast("long").alias("size"), "path", (F.col("o") - F.col("offset")).alias("skip"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _read_at(ranges)
+
+
+def read_snapshot_ranges(spark: SparkSession, base: str, wanted: DataFrame) -> DataFrame:
+    """(run_id, o, size, content): bytes of the snapshots under base, at most size from o on, out of the snapshot that holds o, and none past its end.
+
+    wanted: (run_id, o, size); what no snapshot of its run holds gives no row.
+    """
+    names = written(read_catalogue(spark, base).filter("kind = 'rdb'"), "catalogue")
+    at = find_snapshot(wanted, names).withColumnRenamed("size", "length").join(names.select("run_id", "offset", F.col("size").alias("length"), "path"), ["run_id", "offset", "length"])
+    skip = F.col("o") - F.col("offset")
+    ranges = wanted.join(at, ["run_id", "o"]).select("run_id", "o", F.least(F.col("size").cast("long"), F.col("length") - skip).alias("size"), "path", skip.alias("skip"))
+    return _read_at(ranges)
+
+
+def _read_at(ranges: DataFrame) -> DataFrame:
+    """(run_id, o, size, content) of ranges (run_id, o, size, path, skip)."""
+    n = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = ranges.repartition(n, F.col("path"), F.floor(F.col("skip") / STRETCH)).sortWithinPartitions("path", "skip")
 
     def run(batches):
@@ -161,6 +178,20 @@ def read_ranges(spark: SparkSession, base: str, wanted: DataFrame) -> DataFrame:
     return ranges.mapInArrow(run, f"run_id {kinds['run_id']}, o {kinds['o']}, size long, content binary")
 
 
+def write_received(rows: DataFrame, base: str) -> DataFrame:
+    """SEGMENTS of base/{run_id}/{offset}_{size}.rdb with the bytes that a source has sent, written when the result is read. rows: (run_id, offset, data)."""
+    def run(batches):
+        for b in batches:
+            found = []
+            for run_id, offset, data in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                size, path = write_new(f"{base.rstrip('/')}/{run_id}", f".{uuid.uuid4().hex}.part", lambda n, at=offset: f"{at}_{n}.rdb", [data])
+                found.append((run_id, "rdb", offset, size, path))
+            if found:
+                yield _segment_batch(found)
+
+    return rows.select("run_id", F.col("offset").cast("long").alias("offset"), F.col("data").cast("binary").alias("data")).mapInArrow(run, SEGMENTS)
+
+
 def write_commands(commands: DataFrame, folder: str) -> None:
     """Encoded commands (pos, args of text) as RESP text files in order of pos, through Spark's own writer."""
     from kvloom.functions.wire import encode_command
