@@ -293,12 +293,21 @@ def explode_values(snapshot: DataFrame) -> DataFrame:
 
 
 def entries(snapshot: DataFrame) -> DataFrame:
-    """(run_id, db, key, field, value, expire_ms, rdb_type) of a snapshot, as log application takes them: strings, fields of hashes, and other values as they are."""
+    """(run_id, db, key, kind, field, value, expire_ms, rdb_type) of a snapshot, as log application takes them: strings, elements of hashes, sets
+    and sorted sets (a member is the field, its score the value), and other values as they are. kind is null for streams."""
     rows = written(snapshot, "entries")
     kind, expire = F.col("rdb_type"), F.unix_millis("expire").alias("expire_ms")
-    whole = rows.filter(~kind.isin(*VALUE_CLASSES["hash"])).select("run_id", "db", "key", F.lit(None).cast("binary").alias("field"), F.coalesce("value", "raw_value").alias("value"), expire, kind)
-    fields = explode_values(rows.filter(kind.isin(*VALUE_CLASSES["hash"])))
-    return whole.unionByName(fields.select("run_id", "db", "key", "field", "value", expire, kind))
+    named = F.element_at(F.create_map(*[F.lit(x) for t, n in CLASS_OF.items() for x in (t, n)]), kind)
+    decoded = kind.isin(*(VALUE_CLASSES["hash"] + VALUE_CLASSES["set"] + VALUE_CLASSES["zset"]))
+    whole = rows.filter(~decoded).select("run_id", "db", "key", named.alias("kind"), F.lit(None).cast("binary").alias("field"), F.coalesce("value", "raw_value").alias("value"), expire, kind)
+    is_hash, score = kind.isin(*VALUE_CLASSES["hash"]), F.col("score")
+    # Whole scores as servers write them.
+    shown = F.when((score == F.floor(score)) & (F.abs(score) < 1e15), score.cast("long").cast("string")).otherwise(score.cast("string"))
+    each = explode_values(rows.filter(decoded)).select(
+        "run_id", "db", "key", named.alias("kind"), F.when(is_hash, F.col("field")).otherwise(F.col("value")).alias("field"),
+        F.when(is_hash, F.col("value")).otherwise(shown.cast("binary")).alias("value"), expire, kind,
+    )
+    return whole.unionByName(each)
 
 
 def pack_values(rows: DataFrame, *keep: str) -> DataFrame:

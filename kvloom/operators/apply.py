@@ -25,11 +25,11 @@ HOT_SHARE = 1 / 2000
 # Commands that are applied, and commands that change nothing (fixed values).
 APPLIED = (
     "SET", "SETEX", "PSETEX", "GETSET", "MSET", "DEL", "UNLINK", "HSET", "HMSET", "HDEL", "EXPIRE", "PEXPIRE", "EXPIREAT", "PEXPIREAT", "PERSIST",
-    "FLUSHDB", "FLUSHALL", "RENAME", "RENAMENX",
+    "FLUSHDB", "FLUSHALL", "RENAME", "RENAMENX", "HSETNX", "SADD", "SREM", "SMOVE", "ZADD", "ZREM",
 )
 NO_CHANGE = (
     "SELECT", "PING", "GET", "MGET", "EXISTS", "TTL", "PTTL", "TYPE", "STRLEN", "HGET", "HGETALL", "HMGET", "HEXISTS", "HKEYS", "HVALS", "HLEN",
-    "MULTI", "EXEC", "DISCARD", "REPLCONF", "INFO", "CONFIG", "AUTH", "CLUSTER", "DEBUG", "MONITOR", "SCAN", "KEYS",
+    "SMEMBERS", "SISMEMBER", "SCARD", "ZSCORE", "ZRANGE", "ZCARD", "ZRANK", "MULTI", "EXEC", "DISCARD", "REPLCONF", "INFO", "CONFIG", "AUTH", "CLUSTER", "DEBUG", "MONITOR", "SCAN", "KEYS",
 )
 
 
@@ -59,6 +59,18 @@ def _given(word: str) -> Column:
     return _number(_at(_option(word) + 2))
 
 
+def _first_score() -> Column:
+    """The place of ZADD's first score, behind its options; null if there is none."""
+    at = F.array_position(F.transform("args", lambda a, i: (i > 0) & a.cast("string").try_cast("double").isNotNull()), True).cast("int")
+    return F.when(at > 0, at - 1)
+
+
+def conditional() -> Column:
+    """Whether a command holds for some of its elements only, by what was there before: these are not applied."""
+    options = F.transform(F.slice("args", 2, F.greatest(F.coalesce(_first_score(), F.size("args")) - 1, F.lit(0))), lambda a: F.upper(a.cast("string")))
+    return F.coalesce((F.upper("name") == "ZADD") & F.arrays_overlap(options, F.array(*[F.lit(o) for o in ("NX", "XX", "GT", "LT", "INCR")])), F.lit(False))
+
+
 def malformed() -> Column:
     """Whether arguments of a command that apply() knows are missing or no numbers; such a command changes nothing."""
     name, size = F.upper("name"), F.coalesce(F.size("args"), F.lit(0))
@@ -66,24 +78,31 @@ def malformed() -> Column:
     bad = F.when(name == "SET", (size < 2) | F.coalesce(*[F.when(_option(w) > 0, _given(w).isNull()) for w in ("EX", "PX", "EXAT", "PXAT")], F.lit(False)))
     bad = bad.when(name.isin("SETEX", "PSETEX"), (size != 3) | no_number(1)).when(name.isin("GETSET", "RENAME", "RENAMENX"), size < 2)
     bad = bad.when(name == "MSET", (size == 0) | (size % 2 == 1)).when(name.isin("DEL", "UNLINK", "PERSIST"), size < 1)
-    bad = bad.when(name.isin("HSET", "HMSET"), (size < 3) | (size % 2 == 0)).when(name == "HDEL", size < 2)
+    bad = bad.when(name.isin("HSET", "HMSET"), (size < 3) | (size % 2 == 0)).when(name.isin("HDEL", "SADD", "SREM", "ZREM"), size < 2)
+    bad = bad.when(name.isin("HSETNX", "SMOVE"), size != 3).when(name == "ZADD", _first_score().isNull() | ((size - _first_score()) % 2 == 1) | F.exists(
+        F.filter("args", lambda a, i: (i >= _first_score()) & ((i - _first_score()) % 2 == 0)), lambda a: a.cast("string").try_cast("double").isNull()))
     bad = bad.when(name.isin("EXPIRE", "PEXPIRE", "EXPIREAT", "PEXPIREAT"), (size < 2) | no_number(1)).otherwise(F.lit(False))
     return F.coalesce(bad, F.lit(True))
 
 
-def _effect(op: str, key: Column, field: Column | None = None, value: Column | None = None, expire: Column | None = None) -> Column:
+def _effect(op: str, key: Column, field: Column | None = None, value: Column | None = None, expire: Column | None = None, kind: str = "string") -> Column:
     none = F.lit(None).cast("binary")
     return F.struct(
-        F.lit(op).alias("op"), key.alias("key"), (none if field is None else field).alias("field"), (none if value is None else value).alias("value"),
+        F.lit(op).alias("op"), F.lit(kind).alias("kind"), key.alias("key"), (none if field is None else field).alias("field"), (none if value is None else value).alias("value"),
         (F.lit(None).cast("long") if expire is None else expire).alias("expire_ms"),
     )
 
 
+def _each_element(op: str, kind: str):
+    return lambda i: _effect(op, _at(0), _at(i), kind=kind)
+
+
 def effects(log: DataFrame, now_ms: int) -> DataFrame:
-    """(run_id, seq, i, db, op, key, field, value, expire_ms): one row for each key or field that a command of log (run_id, seq, db, name, args) touches.
+    """(run_id, seq, i, db, op, kind, key, field, value, expire_ms): one row for each key or element that a command of log (run_id, seq, db, name, args) touches.
 
-    op: set, keep (a set that leaves the expiry), del, hset, hdel, expire; out
-    and in for a rename's two keys, out with the new key as its field.
+    op: set, keep (a set that leaves the expiry), del, expire; hset and hdel for
+    elements of kind hash, set or zset (a member is a field, its score the
+    value); out and in for a rename's two keys, out with the new key as its field.
     """
     name, size = F.upper("name"), F.size("args")
     expire = (
@@ -101,13 +120,17 @@ def effects(log: DataFrame, now_ms: int) -> DataFrame:
     got = got.when(name == "GETSET", one(_effect("set", _at(0), value=_at(1))))
     got = got.when(name == "MSET", F.transform(every(2, F.lit(0), size - 2), lambda i: _effect("set", _at(i), value=_at(i + 1))))
     got = got.when(name.isin("DEL", "UNLINK"), F.transform("args", lambda k: _effect("del", k)))
-    got = got.when(name.isin("HSET", "HMSET"), F.transform(every(2, F.lit(1), size - 2), lambda i: _effect("hset", _at(0), _at(i), _at(i + 1))))
-    got = got.when(name == "HDEL", F.transform(every(1, F.lit(1), size - 1), lambda i: _effect("hdel", _at(0), _at(i))))
+    got = got.when(name.isin("HSET", "HMSET"), F.transform(every(2, F.lit(1), size - 2), lambda i: _effect("hset", _at(0), _at(i), _at(i + 1), kind="hash")))
+    got = got.when(name == "HSETNX", one(_effect("hset", _at(0), _at(1), _at(2), kind="hash")))
+    for n, op, kind in (("HDEL", "hdel", "hash"), ("SADD", "hset", "set"), ("SREM", "hdel", "set"), ("ZREM", "hdel", "zset")):
+        got = got.when(name == n, F.transform(every(1, F.lit(1), size - 1), _each_element(op, kind)))
+    got = got.when(name == "SMOVE", one(_effect("hdel", _at(0), _at(2), kind="set"), _effect("hset", _at(1), _at(2), kind="set")))
+    got = got.when(name == "ZADD", F.transform(every(2, _first_score(), size - 2), lambda i: _effect("hset", _at(0), _at(i + 1), _at(i), kind="zset")))
     got = got.when(name.isin("RENAME", "RENAMENX") & (_at(0) != _at(1)), one(_effect("out", _at(0), _at(1)), _effect("in", _at(1))))
     for n, ms in until.items():
         got = got.when(name == n, one(_effect("expire", _at(0), expire=ms)))
     got = got.when(name == "PERSIST", one(_effect("expire", _at(0))))
-    rows = log.filter(name.isin(*APPLIED) & ~name.isin("FLUSHDB", "FLUSHALL") & ~malformed())
+    rows = log.filter(name.isin(*APPLIED) & ~name.isin("FLUSHDB", "FLUSHALL") & ~malformed() & ~conditional())
     rows = rows.select("run_id", "seq", "db", F.posexplode(got).alias("i", "e"))
     return rows.select("run_id", "seq", "i", "db", "e.*").filter(F.col("key").isNotNull())
 
@@ -117,7 +140,7 @@ LOADED, BEFORE = -1, -2
 
 
 def _operations(snapshot: DataFrame, log: DataFrame, now_ms: int) -> DataFrame:
-    """(db, key, place, i, op, field, value, expire_ms, source, run_id, seq) of snapshot and log, without what a later flush takes away.
+    """(db, key, place, i, op, kind, field, value, expire_ms, source, run_id, seq) of snapshot and log, without what a later flush takes away.
 
     Runs follow one another by run_id: place is seq behind all runs before.
     """
@@ -127,9 +150,10 @@ def _operations(snapshot: DataFrame, log: DataFrame, now_ms: int) -> DataFrame:
     base = F.coalesce(F.sum(F.col("last") + 1).over(Window.orderBy("run_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = F.broadcast(ends.select("run_id", base.alias("base")))
     field = F.col("field").cast("binary") if "field" in snapshot.columns else F.lit(None).cast("binary")
+    given = F.col("kind") if "kind" in snapshot.columns else F.when(field.isNull(), "string").otherwise("hash")
     none = lambda kind: F.lit(None).cast(kind)
     first = snapshot.select("db", F.col("key").cast("binary").alias("key"), F.lit(LOADED).cast("long").alias("place"), F.lit(0).alias("i"), F.when(field.isNull(), "load").otherwise("hload").alias("op"),
-                            field.alias("field"), F.col("value").cast("binary").alias("value"), "expire_ms", F.lit("snapshot").alias("source"), none("string").alias("run_id"), none("long").alias("seq"))
+                            given.alias("kind"), field.alias("field"), F.col("value").cast("binary").alias("value"), "expire_ms", F.lit("snapshot").alias("source"), none("string").alias("run_id"), none("long").alias("seq"))
     place = (F.col("base") + F.col("seq")).alias("place")
     found = effects(log, now_ms).join(bases, "run_id").select("*", place, F.lit("log").alias("source"))
     rows = first.unionByName(found.select(*first.columns))
@@ -196,7 +220,7 @@ STRING_OPS = ("load", "set", "keep")
 def _keys(rows: DataFrame) -> DataFrame:
     """(db, key, n, whole, made, expiry): of each key the number of operations, the last that sets or deletes it, the last such that also says its expiry, and the last expiry."""
     op = F.col("op")
-    what = F.struct(F.col("place"), F.col("i"), "op", "value", "expire_ms", "source")
+    what = F.struct(F.col("place"), F.col("i"), "op", "kind", "value", "expire_ms", "source")
     return rows.groupBy("db", "key").agg(
         F.count("*").alias("n"), F.max_by(what, F.when(op.isin("load", "set", "keep", "del"), _here())).alias("whole"),
         F.max_by(what, F.when(op.isin("load", "set", "del"), _here())).alias("made"), F.max_by(what, F.when(op.isin("expire", "hload"), _here())).alias("expiry"),
@@ -210,11 +234,11 @@ def _place(c: str) -> Column:
 def _alive(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """(db, key, alive): whether keys (db, key, made, expiry) have been there from their last expiry on, by how many fields they had after each command."""
     none = F.struct(F.lit(BEFORE).cast("long").alias("place"), F.lit(0).alias("i"))
-    events = rows.filter(F.col("op").isin(*FIELD_OPS, "keep")).select("db", "key", "place", "i", "op", F.coalesce("field", F.lit(b"")).alias("field"), (F.col("op") == "keep").alias("whole"))
+    events = rows.filter(F.col("op").isin(*FIELD_OPS, "keep")).select("db", "key", "place", "i", "op", "kind", F.coalesce("field", F.lit(b"")).alias("field"), (F.col("op") == "keep").alias("whole"))
     events = _met(events, keys.select("db", "key", "n", F.coalesce(_place("made"), none).alias("from"), _place("expiry").alias("since"))).filter(_here() > F.col("from"))
     span = int(rows.agg(F.max(F.abs("place"))).first()[0] or 0)
     there = F.col("op") != "hdel"
-    d = scan(events, ["db", "key", "whole", "field"], "place", {"was": ("last", there)}, tie=(F.col("i"),), exclusive=True, span=span)
+    d = scan(events, ["db", "key", "whole", "kind", "field"], "place", {"was": ("last", there)}, tie=(F.col("i"),), exclusive=True, span=span)
     step = there.cast("int") - F.coalesce("was", F.lit(False)).cast("int")
     d = scan(d.withColumn("step", step), ["db", "key"], "place", {"n_fields": ("sum", F.col("step"))}, tie=(F.col("i"),), span=span)
     now = F.max_by("n_fields", F.when(_here() <= F.col("since"), _here()))
@@ -225,15 +249,15 @@ def _resolved(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(keys, fields): each key's state with its expiry, and each field's last operation behind the last that set or deleted its key."""
     keys = written(_keys(rows), "keys")
     none = F.struct(F.lit(BEFORE).cast("long").alias("place"), F.lit(0).alias("i"))
-    own = rows.filter(F.col("op").isin(*FIELD_OPS)).select("db", "key", "place", "i", "op", "field", "value", "source")
+    own = rows.filter(F.col("op").isin(*FIELD_OPS)).select("db", "key", "place", "i", "op", "kind", "field", "value", "source")
     own = _met(own, keys.select("db", "key", "n", F.coalesce(_place("whole"), none).alias("from"), _place("expiry").alias("since")))
     own = own.filter(_here() > F.col("from"))
     then = F.max_by("op", F.when(_here() <= F.col("since"), _here())).isin("hset", "hload")
-    fields = own.groupBy("db", "key", "field").agg(
+    fields = own.groupBy("db", "key", "kind", "field").agg(
         F.max_by(F.struct("op", "value", "source"), _here()).alias("f"),
         F.coalesce(then & (F.count_if((_here() > F.col("since")) & (F.col("op") == "hdel")) == 0), F.lit(False)).alias("stays"), F.count("*").alias("n"),
     )
-    fields = written(fields.select("db", "key", "field", "f.*", "stays", "n"), "fields")
+    fields = written(fields.select("db", "key", "kind", "field", "f.*", "stays", "n"), "fields")
     hashes = fields.groupBy("db", "key").agg(F.max("stays").alias("stays"), F.max(F.col("op") != "hdel").alias("fields"))
     d = keys.join(hashes, ["db", "key"], "left")
     string = F.coalesce(F.col("whole.op").isin(*STRING_OPS), F.lit(False))
@@ -247,14 +271,16 @@ def _resolved(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not open_.isEmpty():
         d = d.join(_alive(rows, open_), ["db", "key"], "left").withColumn("sure", F.col("sure") | F.coalesce("alive", F.lit(False)))
     expire = F.when(F.col("said") & F.col("sure"), F.col("expiry.expire_ms")).when(made, F.col("made.expire_ms"))
-    return d.select("db", "key", "string", "fields", "n", F.col("whole.value").alias("value"), F.col("whole.source").alias("source"), expire.alias("expire_ms")), fields
+    return d.select("db", "key", "string", "fields", "n", F.col("whole.kind").alias("kind"), F.col("whole.value").alias("value"), F.col("whole.source").alias("source"), expire.alias("expire_ms")), fields
 
 
 def apply(snapshot: DataFrame, log: DataFrame, now_ms: int) -> DataFrame:
-    """(db, key, field, value, expire_ms, source): the keyspace after the log, a row for each string, raw value or hash field.
+    """(db, key, kind, field, value, expire_ms, source): the keyspace after the log, a row for each string, raw value or element.
 
-    snapshot: (db, key, value, expire_ms) and, where hashes are decoded, field:
-    null for strings and values that stay as they are. log: (run_id, seq, db,
+    Elements are fields of hashes with their values, members of sets without,
+    and members of sorted sets with their scores. snapshot: (db, key, value,
+    expire_ms) and, where collections are decoded, field and kind; field is null
+    for strings and values that stay as they are (kind list). log: (run_id, seq, db,
     name, args); runs follow one another by run_id. source tells whether a value
     comes from the snapshot or the log. Keys whose expiry has passed stay, with
     that expiry. Malformed commands change nothing, nor do field commands on
@@ -263,8 +289,8 @@ def apply(snapshot: DataFrame, log: DataFrame, now_ms: int) -> DataFrame:
     rows = follow_renames(written(_operations(snapshot, log, now_ms), "operations"))
     keys, fields = _resolved(rows)
     keys = written(keys, "keyspace")
-    strings = keys.filter("string").select("db", "key", F.lit(None).cast("binary").alias("field"), "value", "expire_ms", "source")
-    live = fields.filter("op <> 'hdel'").select("db", "key", "field", "value", "source")
+    strings = keys.filter("string").select("db", "key", "kind", F.lit(None).cast("binary").alias("field"), "value", "expire_ms", "source")
+    live = fields.filter("op <> 'hdel'").select("db", "key", "kind", "field", "value", "source")
     hashes = _met(live, keys.filter("NOT string").select("db", "key", "n", "expire_ms"))
     return strings.unionByName(hashes.select(*strings.columns))
 
@@ -274,7 +300,7 @@ def unapplied(log: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
     not know, and, with the snapshot, field commands whose key was a string or a raw value when they came and still is."""
     name = F.upper("name")
     reason = F.when(F.col("_error").isNotNull(), F.col("_error")).when(~name.isin(*APPLIED, *NO_CHANGE), F.lit("not supported"))
-    reason = reason.when(name.isin(*APPLIED) & malformed(), F.lit("malformed arguments"))
+    reason = reason.when(name.isin(*APPLIED) & malformed(), F.lit("malformed arguments")).when(conditional(), F.lit("not supported"))
     out = log.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select("run_id", "seq", "name", "reason")
     if snapshot is None:
         return out
