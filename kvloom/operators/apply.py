@@ -156,7 +156,7 @@ def _operations(snapshot: DataFrame, log: DataFrame, now_ms: int) -> DataFrame:
                             given.alias("kind"), field.alias("field"), F.col("value").cast("binary").alias("value"), "expire_ms", F.lit("snapshot").alias("source"), none("string").alias("run_id"), none("long").alias("seq"))
     place = (F.col("base") + F.col("seq")).alias("place")
     found = effects(log, now_ms).join(bases, "run_id").select("*", place, F.lit("log").alias("source"))
-    rows = first.unionByName(found.select(*first.columns))
+    rows = written(first.unionByName(found.select(*first.columns)), "operations")
     # A row for each database that is flushed, and one for all.
     flushes = log.filter(F.upper("name").isin("FLUSHDB", "FLUSHALL")).join(bases, "run_id").select("db", "name", place)
     last = flushes.groupBy(F.when(F.upper("name") == "FLUSHDB", F.col("db")).otherwise(-1).alias("flushed")).agg(F.max("place").alias("at"))
@@ -286,7 +286,7 @@ def apply(snapshot: DataFrame, log: DataFrame, now_ms: int) -> DataFrame:
     that expiry. Malformed commands change nothing, nor do field commands on
     strings and raw values; unapplied() lists both.
     """
-    rows = follow_renames(written(_operations(snapshot, log, now_ms), "operations"))
+    rows = follow_renames(_operations(snapshot, log, now_ms))
     keys, fields = _resolved(rows)
     keys = written(keys, "keyspace")
     strings = keys.filter("string").select("db", "key", "kind", F.lit(None).cast("binary").alias("field"), "value", "expire_ms", "source")
@@ -304,7 +304,7 @@ def unapplied(log: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
     out = log.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select("run_id", "seq", "name", "reason")
     if snapshot is None:
         return out
-    rows = follow_renames(written(_operations(snapshot, log.filter(F.col("_error").isNull()), 0), "operations"))
+    rows = follow_renames(_operations(snapshot, log.filter(F.col("_error").isNull()), 0))
     strings = _keys(rows).filter(F.col("whole.op").isin(*STRING_OPS)).select("db", "key", "n", _place("whole").alias("from"))
     wrong = _met(rows.filter(F.col("op").isin("hset", "hdel")).select("db", "key", "place", "i", "run_id", "seq"), strings).filter(_here() > F.col("from"))
     wrong = wrong.select("run_id", "seq").distinct().join(log.select("run_id", "seq", "name"), ["run_id", "seq"])

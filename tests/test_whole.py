@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 from kvloom import queries as q
-from kvloom.operators import replay
+from kvloom.operators import prefix_sum, replay
 from kvloom.operators.prefix_sum import numbered
 
 
@@ -16,7 +16,7 @@ def test_places_and_switches_go_on_from_block_to_block(spark, monkeypatch):
     d = spark.createDataFrame(rnd.sample(rows, len(rows)), "key string, db int")
     placed = numbered(d, "key", "pos")
     assert sorted((r.pos, r.key) for r in placed.collect()) == list(enumerate(keys, 1))
-    monkeypatch.setattr(replay, "BLOCK", 7)
+    monkeypatch.setattr(prefix_sum, "BITS", 3)
     want = [(i + 1, db) for i, (_, db) in enumerate(rows) if db != (rows[i - 1][1] if i else 0)]
     assert sorted(map(tuple, replay.select_switches(placed).collect())) == want
 
