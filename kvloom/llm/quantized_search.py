@@ -1,12 +1,18 @@
 """Approximate nearest neighbours by score-aware (anisotropic) quantisation.
 
-Vectors are scaled to length 1 and cut into pairs of components; each pair is
-coded by one of 16 centroids, four bits. Codes and centroids minimise a loss
-that weighs the residual parallel to the vector ``eta`` times as much as the
-rest, since that part moves the largest inner products. A query makes a table
-of 16 partial products for each pair and adds table entries over the codes of
-all rows, in blocks. The RERANK rows of the highest sums, over all blocks
-together (more in large tables), are scored exactly, from the original vectors in double precision.
+Vectors are scaled to length 1. What they differ by from the nearest of some
+hundred cell centres is turned by a fixed rotation, scaled to length 1 and cut
+into pairs of components; each pair is coded by one of 16 centroids, four bits.
+What the codes leave is scaled and coded again, STAGES times in all, so codes
+are as fine inside a tight cluster as in a wide one, on any rows. Codes and
+centroids minimise a loss that weighs the residual parallel to the coded vector
+``eta`` times as much as the rest, since that part moves the largest inner
+products. A query makes a table of 16 partial products for each pair and adds
+table entries over the codes of all rows, in blocks, each stage times its
+scale, to its product with the row's centre and the centre's with what no code
+holds: what is missing is of the order of the distance from query to centre
+times that rest. The RERANK rows of the highest sums, over all blocks together
+(more in large tables), are scored exactly, from the original vectors in double precision.
 
 Codes stay where they are: queries come to them by broadcast, QUERY_ROWS at a
 time. A block first gives each query its share of the highest sums, twice what
@@ -38,6 +44,12 @@ PAIR = 2
 #: Products above this cosine matter; sets eta.
 THRESHOLD = 0.2
 ROUNDS, PASSES = 8, 2
+#: Times that what is left of a vector is coded; cells at most, and rows of the sample for each; rounds that move their centres.
+STAGES, CELLS, CELL_ROWS, CELL_ROUNDS = 2, 512, 16, 4
+#: Rows of the sample that codebooks are fitted on; cells take all of it.
+BOOK_ROWS = 4000
+#: Components that are turned together.
+TURNED = 256
 K = 5
 #: Candidates of a query that are scored exactly, of the whole table: this many, or the square root of the rows where that is more.
 RERANK = 64
@@ -123,7 +135,86 @@ class Codebook:
         each = np.einsum("pcj,pj->pc", self.centers, q.reshape(self.parts, PAIR))
         if self.parts % 2:
             each = np.vstack([each, np.zeros((1, CENTROIDS))])
-        return (each[1::2, :, None] + each[::2, None, :]).reshape(-1, 256).astype(np.float32)
+        return (each[1::2, :, None] + each[::2, None, :]).reshape(-1, 256)
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """Vectors of codes as encode gives them."""
+        each = np.stack([codes & 15, codes >> 4], axis=2).reshape(len(codes), -1)[:, : self.parts]
+        return self.centers[np.arange(self.parts), each].reshape(len(codes), -1)[:, : self.dim]
+
+
+def _units(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors of length 1, lengths); a zero vector gives the first axis, of length 0."""
+    top = np.abs(vectors).max(axis=1, initial=0)
+    v = vectors / np.where(top > 0, top, 1)[:, None]
+    size = np.sqrt((v * v).sum(axis=1))
+    v = v / np.where(top > 0, size, 1)[:, None]
+    v[top == 0, :1] = 1
+    return v, size * top
+
+
+class Coder:
+    """Cells, and a codebook for each stage of what is left of a vector."""
+
+    def __init__(self, dim: int, sample: np.ndarray):
+        self.dim, rng = dim, np.random.default_rng(11)
+        self.order = rng.permutation(dim)
+        self.turns = [np.linalg.qr(rng.normal(size=(n, n)))[0] for n in (min(TURNED, dim - at) for at in range(0, dim, TURNED))]
+        unit = _units(sample)[0]
+        self.cells = self._spread(unit, max(1, min(CELLS, len(unit) // CELL_ROWS)), rng)
+        for _ in range(CELL_ROUNDS):
+            # Medians: a tight group keeps its centre, whatever else falls into its cell.
+            of = self._cell(unit)
+            for i in np.unique(of):
+                self.cells[i] = np.median(unit[of == i], axis=0)
+        self.turned = self.turn(self.cells)
+        self.books: list[Codebook] = []
+        unit = unit[:BOOK_ROWS]
+        left = self.turn(unit) - self.turned[self._cell(unit)]
+        for _ in range(STAGES):
+            x, size = _units(left)
+            self.books.append(Codebook(dim, x[size > 0] if (size > 0).any() else x))
+            left = left - size[:, None] * self.books[-1].decode(self.books[-1].encode(x))
+
+    @staticmethod
+    def _spread(unit: np.ndarray, n: int, rng) -> np.ndarray:
+        """Rows far from one another: each is drawn by its squared distance to those before."""
+        picked = [int(rng.integers(len(unit)))]
+        far = ((unit - unit[picked[0]]) ** 2).sum(axis=1)
+        while len(picked) < n and (total := far.sum()) > 0:
+            picked.append(int(np.searchsorted(np.cumsum(far), rng.random() * total).clip(0, len(unit) - 1)))
+            far = np.minimum(far, ((unit - unit[picked[-1]]) ** 2).sum(axis=1))
+        return unit[picked].copy()
+
+    def _cell(self, unit: np.ndarray) -> np.ndarray:
+        half = (self.cells**2).sum(axis=1) / 2
+        return np.concatenate([np.zeros(0, np.int64), *[(unit[i : i + 4096] @ self.cells.T - half).argmax(axis=1) for i in range(0, len(unit), 4096)]])
+
+    def turn(self, vectors: np.ndarray) -> np.ndarray:
+        v = vectors[:, self.order]
+        return np.hstack([v[:, i * TURNED : i * TURNED + len(t)] @ t for i, t in enumerate(self.turns)])
+
+    def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(codes of all stages; the cell; the scale of each stage, and behind them the product of the centre with what no code holds)."""
+        unit = _units(vectors)[0]
+        cell = self._cell(unit)
+        left, codes, numbers = self.turn(unit) - self.turned[cell], [], []
+        for book in self.books:
+            x, size = _units(left)
+            codes.append(book.encode(x))
+            numbers.append(size)
+            left = left - size[:, None] * book.decode(codes[-1])
+        numbers.append((left * self.turned[cell]).sum(axis=1))
+        return np.hstack(codes), cell.astype(np.int32), np.stack(numbers, axis=1)
+
+    def products(self, query: np.ndarray, lanes: np.ndarray, cell: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Approximate products of a query with all rows of a block: codes byte by byte, numbers by stage."""
+        query = _units(query[None])[0]
+        turned, each = self.turn(query)[0], len(lanes) // len(self.books)
+        total = (self.cells @ query[0])[cell] + numbers[-1]
+        for i, book in enumerate(self.books):
+            total += numbers[i] * scan(lanes[i * each : (i + 1) * each], book.tables(turned))
+        return total
 
 
 def scan(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
@@ -134,15 +225,15 @@ def scan(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
     return total
 
 
-def train(rows: DataFrame) -> dict[int, Codebook]:
-    """A codebook for each vector length; they share the sample."""
+def train(rows: DataFrame) -> dict[int, Coder]:
+    """A coder for each vector length; they share the sample."""
     lengths = rows.select("dim").distinct().count()
     order = Window.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id")
     sample = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(1, MAX_TRAIN // max(1, lengths)))
     by_dim: dict[int, list] = {}
     for r in sample.select("dim", "vector", "place").orderBy("dim", "place").collect():  # bounded
         by_dim.setdefault(r["dim"], []).append(r["vector"])
-    return {d: Codebook(d, np.array(v)) for d, v in by_dim.items()}
+    return {d: Coder(d, np.array(v)) for d, v in by_dim.items()}
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, rerank: int | None = None) -> DataFrame:
@@ -162,34 +253,38 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, rerank: int | No
     share = min(rerank, 2 * -(-rerank // n_blocks) + 2)
     asked = queries.select(F.col("vec_id").alias("query_id"), "vector", "dim").distinct().withColumn("hash", F.xxhash64("query_id", "vector"))
     pieces = max(1, -(-asked.count() // QUERY_ROWS))
+    columns = ("ids", "codes", "cells", "numbers")
     place = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
     asked = materialize(asked.withColumn("piece", place("hash", pieces)), "ann-queries")
 
     def code(batches):
         for b in batches:
             dims = b.column(2).to_numpy()
-            codes: list = [None] * len(dims)
+            codes, cells, numbers = [None] * len(dims), np.zeros(len(dims), np.int32), [None] * len(dims)
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                for i, c in zip(at, books[int(d)].encode(matrix(b.column(1).take(pa.array(at)), int(d))), strict=True):
-                    codes[i] = c.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(codes, pa.binary())], names=["vec_id", "dim", "code"])
+                c, cells[at], x = books[int(d)].encode(matrix(b.column(1).take(pa.array(at)), int(d)))
+                for j, i in enumerate(at):
+                    codes[i], numbers[i] = c[j].tobytes(), x[j].tobytes()
+            cols = [b.column(0), b.column(2), pa.array(codes, pa.binary()), pa.array(cells), pa.array(numbers, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "dim", "code", "cell", "numbers"])
 
     def pack(t: pa.Table) -> pa.Table:
-        """A block as one row: ids, and codes byte by byte."""
+        """A block as one row: ids, codes byte by byte, cells, numbers by stage."""
         ids = t.column("vec_id").to_numpy()
-        codes = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(ids), -1).T
-        row = {"block": t.column("block")[:1], "dim": t.column("dim")[:1], "ids": pa.array([ids.tobytes()], pa.binary()), "codes": pa.array([codes.tobytes()], pa.binary())}
-        return pa.table(row)
+        by_row = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind).reshape(len(ids), -1).T
+        row = {"ids": ids, "codes": by_row("code", np.uint8), "cells": t.column("cell").to_numpy(), "numbers": by_row("numbers", np.float64)}
+        return pa.table({"block": t.column("block")[:1], "dim": t.column("dim")[:1], **{c: pa.array([x.tobytes()], pa.binary()) for c, x in row.items()}})
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float32(), pa.int32(), pa.bool_()]
-    found = "query_id long, hash long, vec_id long, near float, block int, last boolean"
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.bool_()]
+    found = "query_id long, hash long, vec_id long, near double, block int, last boolean"
 
-    def given(block: int, ids: np.ndarray, codes: bytes, asked: list[tuple], dim: int) -> list[np.ndarray]:
-        """Columns of found: of each query (id, hash, vector, bound, rows given before) its highest sums in a block, ties to the smaller id."""
-        lanes, out = np.frombuffer(codes, np.uint8).reshape(-1, len(ids)), [[np.zeros(0, k.to_pandas_dtype())] for k in kinds]
+    def given(block: int, packed: tuple[bytes, ...], asked: list[tuple], dim: int) -> list[np.ndarray]:
+        """Columns of found: of each query (id, hash, vector, bound, rows given before) its highest sums in a block (ids, codes, cells, numbers), ties to the smaller id."""
+        ids, codes, cells, numbers = (np.frombuffer(x, k) for x, k in zip(packed, (np.int64, np.uint8, np.int32, np.float64), strict=True))
+        lanes, numbers, out = codes.reshape(-1, len(ids)), numbers.reshape(-1, len(ids)), [[np.zeros(0, k.to_pandas_dtype())] for k in kinds]
         for i, h, v, bound, most in asked:
-            sums = scan(lanes, books[dim].tables(v))
+            sums = books[dim].products(v, lanes, cells, numbers)
             sums[ids == i] = -np.inf
             rows = best(sums, ids, most)
             rows = rows[(ids[rows] != i) & (sums[rows] >= bound)]
@@ -209,13 +304,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, rerank: int | No
 
         def run(batches):
             for b in batches:
-                for block, dim, ids, codes in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                for block, dim, *packed in zip(*[c.to_pylist() for c in b.columns], strict=True):
                     if dim in shared.value:
                         queries = [(i, h, v, -np.inf, share) for i, h, v in zip(*shared.value[dim], strict=True)]
-                        cols = given(block, np.frombuffer(ids, np.int64), codes, queries, dim)
+                        cols = given(block, packed, queries, dim)
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in found.split(", ")])
 
-        return packed.select("block", "dim", "ids", "codes").mapInArrow(tidy(run), found)
+        return packed.select("block", "dim", *columns).mapInArrow(tidy(run), found)
 
     def again(a: pa.Table, b: pa.Table) -> pa.Table:
         """Queries that a block may hold more for, over it."""
@@ -224,7 +319,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, rerank: int | No
             dim = a.column("dim")[0].as_py()
             queries = zip(a.column("query_id").to_pylist(), a.column("hash").to_pylist(), matrix(a.column("vector"), dim), a.column("bound").to_pylist(), strict=True)
             row = lambda c: b.column(c)[0].as_py()
-            cols = given(row("block"), np.frombuffer(row("ids"), np.int64), row("codes"), [(*q, rerank) for q in queries], dim)
+            cols = given(row("block"), [row(c) for c in columns], [(*q, rerank) for q in queries], dim)
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in found.split(", ")])
 
     def exact(batches):
@@ -237,8 +332,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, rerank: int | No
             yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("vec_id"), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     # Rows that repeat id and vector are one candidate; those of one id with other vectors are told apart when scored.
-    coded = vectors.select("vec_id", "vector", "dim").mapInArrow(tidy(code), "vec_id long, dim int, code binary").distinct()
-    packed = coded.withColumn("block", place("vec_id", n_blocks)).groupBy("block", "dim").applyInArrow(pack, "block int, dim int, ids binary, codes binary")
+    coded = vectors.select("vec_id", "vector", "dim").mapInArrow(tidy(code), "vec_id long, dim int, code binary, cell int, numbers binary").distinct()
+    packed = coded.withColumn("block", place("vec_id", n_blocks)).groupBy("block", "dim").applyInArrow(pack, "block int, dim int, " + ", ".join(f"{c} binary" for c in columns))
     packed = materialize(packed, "ann-blocks")
     path = scratch_dir(spark, "ann-shares")
     for piece in range(pieces):

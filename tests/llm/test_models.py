@@ -111,6 +111,29 @@ def test_nearest_recall_and_scores(spark):
     assert quantized_search.nearest(d.limit(0), d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["clusters", "offset", "near copies"])
+def test_nearest_inside_tight_groups(spark, kind):
+    """Rows whose nearest ones differ by far less than rows do on the whole."""
+    rng, n = np.random.default_rng(4), 3000
+    x = rng.normal(size=(n, 16))
+    if kind == "clusters":
+        x = x[rng.integers(0, 6, n)] + 1e-2 * rng.normal(size=(n, 16))
+    elif kind == "offset":
+        x = 5 + x / 20
+    else:
+        x[: n // 3] = x[0] + 1e-5 * x[: n // 3]
+    d = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    got: dict = {}
+    for r in quantized_search.nearest(d, d.filter("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    x, hits = np.array([r.vector for r in d.orderBy("vec_id").collect()], float), 0
+    for q in range(0, n, 50):
+        s = (x * x[q]).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((x[q] ** 2).sum()))
+        s[q] = -2
+        hits += len(set(np.lexsort((np.arange(n), -s))[:5].tolist()) & got[q])
+    assert hits >= 0.95 * 300
+
+
 def test_shares_of_blocks_lose_nothing(spark, monkeypatch):
     """Many blocks that give shares, several broadcasts and a second pass, against one block that gives all: also where a block holds far more than its share."""
     rows = sample(1500, 16, 5)
