@@ -137,7 +137,7 @@ def _pass(c: Cursor, limit: int, strict: bool) -> None:
 
 def _follow(f: Ranged, start: int, end: int, limit: int, strict: bool = False) -> int:
     """Where the first value begins that does not begin before end, from a value at start on. Malformed or cut: the file's size, as the log ends there."""
-    c = Cursor(f, start)
+    c = Cursor(f, start, piece=min(1 << 18, max(1 << 12, end - start)))
     try:
         while c.at < end:
             _pass(c, limit, strict)
@@ -188,19 +188,18 @@ GUESSES = "path string, k long, begin long, end long, start long, stop long"
 def _chain(rows: pa.Table) -> pa.Table:
     """The splits of one file as far as they follow from one another; start is null where a split has to be followed anew from the place in stop."""
     rows = rows.sort_by("k")
-    at, out = 0, []
-    for r in rows.to_pylist():
-        if at >= r["end"]:
-            start = stop = at  # a value of an earlier split covers this one
-        elif r["start"] == at:
-            start, stop = at, r["stop"]
-            at = stop
+    ends, starts, stops = (rows.column(c).to_pylist() for c in ("end", "start", "stop"))
+    at = 0
+    for i, end in enumerate(ends):
+        if at >= end:
+            starts[i] = stops[i] = at  # a value of an earlier split covers this one
+        elif starts[i] == at:
+            at = stops[i]
         else:
-            start, stop = None, at
             # Taken as right for now, so that other breaks are found in the same round.
-            at = r["stop"] if r["stop"] is not None else r["end"]
-        out.append({**r, "start": start, "stop": stop})
-    return pa.Table.from_pylist(out, rows.schema)
+            starts[i], stops[i], at = None, at, stops[i] if stops[i] is not None else end
+    kept = {"start": pa.array(starts, pa.int64()), "stop": pa.array(stops, pa.int64())}
+    return pa.table([kept.get(c, rows.column(c)) for c in rows.column_names], rows.schema)
 
 
 def split_logs(spark: SparkSession, base: str, split: int = SPLIT, limit: int = DECODER_LIMIT) -> DataFrame:
@@ -257,16 +256,16 @@ def read_logs(spark: SparkSession, base: str, max_buffer: int = DECODER_LIMIT, m
 
     def run(batches):
         for b in batches:
+            rows: list = []
             for run_id, path, offset, start, stop in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 with Ranged(path) as f:
-                    rows: list = []
                     for row in decode_log(run_id, offset + start, f.pieces(start, stop), max_buffer, mode == "FAILFAST"):
                         rows.append(row)
                         if len(rows) == 4096:
                             yield _batch(rows)
                             rows = []
-                    if rows:
-                        yield _batch(rows)
+            if rows:
+                yield _batch(rows)
 
     stretches = split_logs(spark, base, split, max_buffer)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
