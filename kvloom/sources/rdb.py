@@ -16,10 +16,11 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from kvloom.functions.constants import MAX_ELEMENTS, MODULE_TYPES, STREAM_TYPES, VALUE_TYPES
-from kvloom.functions.hashing import crc64_of
+from kvloom.functions.hashing import crc64_joined, crc64_of
 from kvloom.sources.pushed import Pushed, enable
 from kvloom.sources.shared import written
 from kvloom.sources.store import Cursor, Ranged, readable, required_local
@@ -71,6 +72,7 @@ class SnapshotReader:
         self.version = None
         self.tape: bytearray | None = None  # bytes read since _record()
         self.passing = False  # strings are passed over, not read
+        self.glides = False  # entries of the buffer are passed over together
 
     def _take(self, n: int) -> bytes:
         data = self.f.read(n) if n else b""
@@ -202,10 +204,77 @@ class SnapshotReader:
         self.header()
         return self.entries()
 
+    def _glide(self, db: int, expire: int | None, marks: Marks | None) -> tuple[int, int | None]:
+        """(database, pending expiry) behind the entries of common types and short strings that lie whole in the buffer; others are left to entries()."""
+        self.f.peek(256)
+        buf, i, base = self.f.buffer, self.f.at - self.f.begin, self.f.begin
+        begin = here = i
+        size = len(buf)
+        due = 0 if marks is None or not marks.found else marks.found[-1][0] + marks.every - base
+        try:
+            while True:
+                here = i
+                if marks is not None and i >= due:
+                    marks.note(base + i, db, expire)
+                    due = i + marks.every
+                op = buf[i]
+                i += 1
+                if op in ONE_STRING:
+                    strings, gap = 2, 0
+                elif op in STRINGS_EACH or op in SCORED:
+                    b = buf[i]
+                    if b >= 128:
+                        break
+                    i += 1 + b if b < 64 else 2 + ((b & 63) << 8 | buf[i + 1])
+                    strings, gap = buf[i], 8 if op in SCORED else 0
+                    if strings >= 64:
+                        break
+                    i, strings = i + 1, strings * STRINGS_EACH.get(op, 1)
+                elif op == 0xFE and buf[i] < 64:
+                    db, expire, i = buf[i], None, i + 1
+                    continue
+                elif op in (0xFC, 0xFD) and i + 8 <= size:
+                    n = 8 if op == 0xFC else 4
+                    expire = int.from_bytes(buf[i : i + n], "little") * (1 if n == 8 else 1000)
+                    i += n
+                    continue
+                elif op == 0xF9 and i < size:
+                    i += 1
+                    continue
+                elif op == 0xF8 and buf[i] < 128 and i + 1 < size:
+                    i += 1 if buf[i] < 64 else 2
+                    continue
+                else:
+                    break
+                while strings:
+                    b = buf[i]
+                    if b < 64:
+                        i += 1 + b + gap
+                    elif b < 128:
+                        i += 2 + ((b & 63) << 8 | buf[i + 1]) + gap
+                    elif 0xC0 <= b <= 0xC2:
+                        i += 1 + (1 << b - 0xC0) + gap
+                    else:
+                        break
+                    strings -= 1
+                if strings or i > size:
+                    break
+                expire = None
+                if marks is not None:
+                    marks.rows += 1
+        except IndexError:
+            pass
+        self.f.at = base + here
+        self.seen += here - begin
+        return db, expire
+
     def entries(self, db: int = 0, expire: int | None = None, stop: int | None = None, marks: Marks | None = None, wanted=None) -> Iterator[tuple[int, bytes, bytes | None, bytes | None, int | None, int] | None]:
         """Entries from here on, in database db and with a pending expiry, up to the place stop or the end of the file. wanted(db, type): other
         entries are passed over, and come as None."""
         while stop is None or self.seen < stop:
+            if self.glides:
+                db, expire = self._glide(db, expire, marks)
+                yield 0
             if marks:
                 marks.note(self.seen, db, expire)
             op = self._uint(1)
@@ -224,7 +293,9 @@ class SnapshotReader:
             elif op == 0xFB:
                 self._count(), self._count()
             elif op == 0xFA:
+                was, self.passing = self.passing, False
                 self.aux.append((self._string(), self._string()))
+                self.passing = was
             elif op == 0xF9:
                 self._take(1)
             elif op == 0xF8:
@@ -260,15 +331,23 @@ class Skimmer(SnapshotReader):
 
     def __init__(self, f: Cursor):
         super().__init__(f)
-        self.passing = True
+        self.passing = self.glides = True
 
     def marks(self, every: int) -> list[tuple[int, int, int | None, int]]:
-        """(place, database, pending expiry, rows before) of places between entries, about every so many bytes."""
+        """(place, database, pending expiry, rows before) of places between entries, about every so many bytes, and behind the last."""
+        return [m for some in self.stretches(every) for m in some[:-1]] + [(self.seen, 0, None, self.rows)]
+
+    def stretches(self, every: int) -> Iterator[list[tuple[int, int, int | None, int]]]:
+        """marks, some at a time; the last of some is the first of the next."""
         self.header()
         marks = Marks(every)
-        for _ in self.entries(marks=marks):
-            marks.rows += 1
-        return [*marks.found, (self.seen, 0, None, marks.rows)]
+        for passed in self.entries(marks=marks):
+            marks.rows += passed != 0
+            if len(marks.found) > 4096:
+                yield marks.found
+                marks.found = marks.found[-1:]
+        self.rows = marks.rows
+        yield [*marks.found, (self.seen, 0, None, marks.rows)]
 
 
 def encode_length(n: int) -> bytes:
@@ -283,6 +362,14 @@ def encode_string(data: bytes) -> bytes:
     return encode_length(len(data)) + data
 
 
+def select_database(db: int) -> bytes:
+    return b"\xfe" + encode_length(db)
+
+
+def snapshot_head(aux=(), version: int = 9) -> bytes:
+    return MAGIC + b"%04d" % version + b"".join(b"\xfa" + encode_string(k) + encode_string(v) for k, v in aux)
+
+
 def snapshot_pieces(rows, aux=(), version: int = 9) -> Iterator[bytes]:
     """A snapshot file, piece by piece, of (db, key, raw, expire_ms, type) rows; a sixth value holds opcodes that go before the entry."""
     crc = 0
@@ -292,12 +379,12 @@ def snapshot_pieces(rows, aux=(), version: int = 9) -> Iterator[bytes]:
         crc = crc64_of(piece, crc)
         return piece
 
-    yield counted(MAGIC + b"%04d" % version + b"".join(b"\xfa" + encode_string(k) + encode_string(v) for k, v in aux))
+    yield counted(snapshot_head(aux, version))
     now = None
     for db, key, raw, expire, kind, *lead in rows:
         piece = b""
         if db != now:
-            piece += b"\xfe" + encode_length(db)
+            piece += select_database(db)
             now = db
         if expire is not None:
             piece += b"\xfc" + expire.to_bytes(8, "little")
@@ -335,12 +422,12 @@ def snapshot_index(spark: SparkSession, base: str, split: int = SPLIT) -> DataFr
     def run(batches):
         for b in batches:
             for path in b.column(0).to_pylist():
-                with Ranged(path) as f:
-                    marks = Skimmer(Cursor(f, piece=1 << 14)).marks(split)
-                rows = [(path.split("/")[-2], path, *m, after[0]) for m, after in zip(marks, marks[1:], strict=False)]
                 kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                cols = list(zip(*rows, strict=True)) or [[]] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in INDEX.split(", ")])
+                with Ranged(path) as f:
+                    for marks in Skimmer(Cursor(f, piece=1 << 14)).stretches(split):
+                        rows = [(path.split("/")[-2], path, *m, after[0]) for m, after in zip(marks, marks[1:], strict=False)]
+                        cols = list(zip(*rows, strict=True)) or [[]] * 7
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in INDEX.split(", ")])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.rdb").load(base).select("path")
     return written(files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(run, INDEX), "snapshot-index")
@@ -350,36 +437,79 @@ def read_snapshots(spark: SparkSession, base: str, check_crc: bool = False, spli
     """Rows of all snapshots under base; corrupt files fail the query.
 
     Files are cut at the places of index (snapshot_index, made here if it is not
-    given), and each part is read by its range. With check_crc a file is one
-    stream, as its checksum runs over all of it.
+    given), and each part is read by its range. With check_crc the checksums of
+    blocks are joined to that of their file before, in a job of its own.
     """
-    if check_crc or not readable(base):
+    if not readable(base):
         return _read(spark, base, SCHEMA, check_crc, lambda run, r: _rows(run, r), KINDS)
     index = snapshot_index(spark, base, split) if index is None else index
+    if check_crc:
+        _check(index)
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batches):
+        yield from batched(rows(batches), KINDS, names)
+
+    def rows(batches):
         for b in batches:
             for run_id, path, at, db, expire, pos, stop in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 with Ranged(path) as f:
-                    reader = SnapshotReader(Cursor(f, at))
+                    reader = SnapshotReader(Cursor(f, at, piece=min(1 << 18, stop - at)))
                     reader.seen = at
-                    part: list = []
-                    for row in _rows(run_id, reader.entries(db, expire, stop), pos):
-                        part.append(row)
-                        if len(part) == 4096:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), KINDS, strict=True)], names=names)
-                            part = []
-                    if part:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), KINDS, strict=True)], names=names)
+                    yield from _rows(run_id, reader.entries(db, expire, stop), pos)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return index.select(*[c.split()[0] for c in INDEX.split(", ")]).repartition(n, "path", "at").mapInArrow(run, SCHEMA)
 
 
+#: Bytes whose checksum a task makes at a time, and of values in a batch.
+BLOCK = 8 << 20
+
+
+def _check(index: DataFrame) -> None:
+    """Fail if the bytes of a file of the index differ from its checksum, where it has one."""
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = index.groupBy("path").agg(F.max("stop").alias("end")).select("path", "end", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("end") - 1) / BLOCK))).alias("k"))
+
+    def run(batches):
+        for b in batches:
+            sums = []
+            for path, end, k in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                with Ranged(path) as f:
+                    sums.append(crc64_of(f.read(k * BLOCK, min(BLOCK, end - k * BLOCK))).to_bytes(8, "little"))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sums, pa.binary())], names=["path", "end", "k", "crc"])
+
+    def joined(t: pa.Table) -> pa.Table:
+        crc = 0
+        for r in t.sort_by("k").to_pylist():
+            crc = crc64_joined(crc, int.from_bytes(r["crc"], "little"), min(BLOCK, r["end"] - r["k"] * BLOCK))
+        with Ranged(r["path"]) as f:
+            tail = f.read(r["end"], 8)
+        if len(tail) == 8 and any(tail) and int.from_bytes(tail, "little") != crc:
+            raise CorruptSnapshot("checksum differs")
+        return pa.table({"path": [r["path"]]})
+
+    sums = blocks.repartition(n, "path", "k").mapInArrow(run, "path string, end long, k long, crc binary")
+    sums.groupBy("path").applyInArrow(joined, "path string").count()
+
+
+def batched(rows, kinds: list, names: list[str], most: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, and of little more than BLOCK bytes."""
+    part, held = [], 0
+    for row in rows:
+        part.append(row)
+        held += sum(len(x) for x in row if isinstance(x, bytes))
+        if len(part) == most or held > BLOCK:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
+            part, held = [], 0
+    if part:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
+
+
 def read_aux(spark: SparkSession, base: str) -> DataFrame:
     """AUX pairs of all snapshots under base."""
     def pairs(run: str, r: SnapshotReader):
+        r.passing = r.glides = isinstance(r.f, Cursor)
         for _ in r:
             pass
         yield from ((run, k, v) for k, v in r.aux)
@@ -398,14 +528,7 @@ def _read(spark: SparkSession, base: str, schema: str, check_crc: bool, rows, ki
         for b in batches:
             for i, path in enumerate(b.column(0).to_pylist()):
                 with Ranged(path) if ranged else io.BytesIO(b.column(1)[i].as_py()) as f:
-                    part: list = []
-                    for row in rows(path.split("/")[-2], SnapshotReader(Cursor(f) if ranged else f, check_crc)):
-                        part.append(row)
-                        if len(part) == 4096:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
-                            part = []
-                    if part:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
+                    yield from batched(rows(path.split("/")[-2], SnapshotReader(Cursor(f) if ranged else f, check_crc)), kinds, names)
 
     if ranged:
         files = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
